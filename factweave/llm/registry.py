@@ -9,6 +9,7 @@ MODULES = {
     "op2_exact_dedup": "exact_dedup",
     "op3_quality_rules": "quality_rules",
     "op5_quality_classifier": "quality_classifier",
+    "op6_secret_scan": "secret_scan",
 }
 
 
