@@ -10,6 +10,7 @@ MODULES = {
     "op3_quality_rules": "quality_rules",
     "op5_quality_classifier": "quality_classifier",
     "op6_secret_scan": "secret_scan",
+    "op10_substring_dedup": "substring_dedup",
 }
 
 
