@@ -10,6 +10,8 @@ MODULES = {
     "op3_quality_rules": "quality_rules",
     "op5_quality_classifier": "quality_classifier",
     "op6_secret_scan": "secret_scan",
+    "op7_line_dedup": "line_dedup",
+    "op9_mixing": "mixing",
     "op10_substring_dedup": "substring_dedup",
 }
 
