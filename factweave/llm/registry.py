@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module of each operator; a module has a function named like the query and maybe SQL for it.
 MODULES = {
+    "op1_bestfit_packing": "packing",
     "op2_exact_dedup": "exact_dedup",
     "op3_quality_rules": "quality_rules",
     "op5_quality_classifier": "quality_classifier",
