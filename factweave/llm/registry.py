@@ -12,6 +12,7 @@ MODULES = {
     "op5_quality_classifier": "quality_classifier",
     "op6_secret_scan": "secret_scan",
     "op7_line_dedup": "line_dedup",
+    "op8_minhash_dedup": "minhash_dedup",
     "op9_mixing": "mixing",
     "op10_substring_dedup": "substring_dedup",
 }
