@@ -9,6 +9,7 @@ MODULES = {
     "op1_bestfit_packing": "packing",
     "op2_exact_dedup": "exact_dedup",
     "op3_quality_rules": "quality_rules",
+    "op4_lm_scoring": "lm_scoring",
     "op5_quality_classifier": "quality_classifier",
     "op6_secret_scan": "secret_scan",
     "op7_line_dedup": "line_dedup",
