@@ -14,7 +14,7 @@ several rows with one doc_id -> each is a row of its own group count; extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import SPACE_RE
@@ -24,35 +24,35 @@ _MAX = 9223372036854775807
 _STEP = "10000000000000000000"
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    norm = F.regexp_replace(text, SPACE_RE + "+", "")
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.length(text).alias("chars"), norm.alias("norm"))
+def _groups(base: DataFrame) -> DataFrame:
+    """g_h128, g_sha, keep_id, group_size of each different text; base has doc_id, chars, norm."""
     # The most code points, then the smallest id, as one number, which a hash aggregate can hold.
     rank = F.col("chars").cast("decimal(38,0)") * F.expr(_STEP) + (F.lit(_MAX).cast("decimal(20,0)") - F.coalesce("doc_id", F.lit(_MAX)))
-    groups = (
+    texts = (
         base.select(F.unhex(F.md5("norm")).alias("h128"), "norm", rank.cast("decimal(38,0)").alias("rank"))
         .groupBy("h128", "norm")
         .agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("size"))
-        .select(
-            "h128",
-            F.unhex(F.sha2("norm", 256)).alias("sha"),
-            (F.lit(_MAX).cast("decimal(20,0)") - F.col("rank") % F.expr(_STEP)).cast("long").alias("keep_id"),
-            "size",
-        )
-        .groupBy("h128", "sha")
-        .agg(F.max("keep_id").alias("keep_id"), F.max("size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-        .select(
-            F.col("h128").alias("g_h128"),
-            F.col("sha").alias("g_sha"),
-            F.when(F.col("texts") > 1, F.raise_error(F.lit("two different texts share both hashes")).cast("long")).otherwise(F.col("keep_id")).alias("keep_id"),
-            "group_size",
-        )
     )
+    keep_id = F.lit(_MAX).cast("decimal(20,0)") - F.col("rank") % F.expr(_STEP)
+    hashed = texts.select("h128", F.unhex(F.sha2("norm", 256)).alias("sha"), keep_id.cast("long").alias("keep_id"), "size")
+    merged = hashed.groupBy("h128", "sha").agg(F.max("keep_id").alias("keep_id"), F.max("size").alias("size"), F.count(F.lit(1)).alias("texts"))
+    stop = F.raise_error(F.lit("two different texts share both hashes")).cast("long")
+    return merged.select(
+        F.col("h128").alias("g_h128"), F.col("sha").alias("g_sha"), F.when(F.col("texts") > 1, stop).otherwise(F.col("keep_id")).alias("keep_id"), F.col("size").alias("group_size")
+    )
+
+
+def _base(docs: DataFrame, text_col: str, id_col: str) -> list:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.length(text).alias("chars"), F.regexp_replace(text, SPACE_RE + "+", "").alias("norm")]
+
+
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
+    base = docs.select(*_base(docs, text_col, id_col))
     rows = base.select("doc_id", F.unhex(F.md5("norm")).alias("h128"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    found = rows.join(groups, (F.col("h128") == F.col("g_h128")) & (F.col("sha") == F.col("g_sha")))
-    keep_id = F.when(F.col("keep_id") == _MAX, None).otherwise(F.col("keep_id"))
+    found = rows.join(_groups(base), (F.col("h128") == F.col("g_h128")) & (F.col("sha") == F.col("g_sha")))
+    keep_id = F.when(F.col("keep_id") != _MAX, F.col("keep_id"))
     return found.select(
         "doc_id",
         keep_id.alias("keep_id"),
@@ -62,6 +62,18 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     )
 
 
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of docs for each different text, with docs' own columns."""
+    base = docs.select(*_base(docs, text_col, id_col))
+    groups = _groups(base).select(F.col("keep_id").alias("k_id"), "g_h128")
+    whole = docs.select(F.struct("*").alias("row"), *_base(docs, text_col, id_col))
+    rows = whole.select("row", F.coalesce("doc_id", F.lit(_MAX)).alias("id"), F.unhex(F.md5("norm")).alias("h128"), "chars")
+    kept = rows.join(groups, (F.col("id") == F.col("k_id")) & (F.col("h128") == F.col("g_h128")), "left_semi")
+    # Rows that repeat an id and its text are one document.
+    one = F.row_number().over(Window.partitionBy("id", "h128").orderBy(F.desc("chars")))
+    return kept.withColumn("nr", one).where("nr = 1").select("row.*")
+
+
 def op2_exact_dedup(spark, sf_dir):
     from .tables import documents
 

@@ -262,5 +262,12 @@ def minhash_components(docs: DataFrame, percent: int = 75, block: int = 1024, te
     return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose component they lead (the smallest id), with docs' own columns."""
+    kept = minhash_components(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("k_id"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return whole.join(kept, F.col("id").eqNullSafe(F.col("k_id")), "left_semi").select("row.*")
+
+
 def op8_minhash_dedup(spark, sf_dir):
     return minhash_components(documents(spark, sf_dir))

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import FEATURES, document_stats
+from .stats import FEATURES, document_stats, features, measure
 from .tables import documents, keep, labels
+from .textcols import column, pieces
 
 
 @dataclass
@@ -139,5 +140,19 @@ def quality_classifier(docs: DataFrame, labels_df: DataFrame, max_rows: int = 20
     return score_stats(stats, train_from(stats, labels_df, max_rows, **options))
 
 
+def keep_good(docs: DataFrame, labels_df: DataFrame, max_rows: int = 20_000, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that the classifier takes for good (score >= 0.5), with docs' own columns; texts stay where they are."""
+    model = train_from(document_stats(docs, text_col), labels_df, max_rows, **options)
+    at = docs.columns.index(text_col)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for t in pieces(column(batch.column(at))):
+                good = model.score(features(measure(t))) >= 0.5
+                yield batch.slice(t.first, len(t)).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality_classifier(spark, sf_dir):
     return quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
