@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import facts
+from .shared import HELPERS, SHARED
+
+facts.FACTS.update(HELPERS)
+
+
+def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.run_sql(spark, sf_dir, text)
+
 
 def queries() -> dict:
-    return {}
+    return {name: partial(_shared, text) for name, (_, text) in SHARED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: facts.duck_sql(text) for name, (_, text) in SHARED.items()}
