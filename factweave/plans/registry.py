@@ -6,10 +6,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import cfg, locks, paths, program
 from ..sources import facts
-from .shared import HELPERS, SHARED
+from .shared import SHARED
 
-facts.FACTS.update(HELPERS)
+
+OPERATORS = (cfg, locks, program, paths)
 
 
 def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +19,14 @@ def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: partial(_shared, text) for name, (_, text) in SHARED.items()}
+    out = {name: partial(_shared, text) for name, (_, text) in SHARED.items()}
+    for module in OPERATORS:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: facts.duck_sql(text) for name, (_, text) in SHARED.items()}
+    out = {name: facts.duck_sql(text) for name, (_, text) in SHARED.items()}
+    for module in OPERATORS:
+        out |= module.SQL
+    return out
