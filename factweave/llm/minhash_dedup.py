@@ -7,7 +7,8 @@
    all pairs within the threshold share a key. At a similarity of 0.75 a pair has 16 differing values on average; more
    than 31 of 64 is beyond four standard deviations.
 3. Inside a key's documents the distance is computed in rounds of comparison with a leader, then between the members of
-   different leaders; what comes out is at most one edge a document and one a pair of leaders, never the pairs. Keys with
+   different leaders; what comes out is at most one edge a document and one a pair of leaders, never the pairs, and each under the
+   first key that its ends share. Keys with
    more than `block` documents are dealt into pairs of blocks.
 4. Components of these edges are candidate families. A family's whole texts meet (again in pairs of blocks when there are
    many), intersections are counted exactly through an inverted index of the shingles, and the links with
@@ -96,7 +97,7 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def near_edges(group: np.ndarray, ids: np.ndarray, low: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, in each group (rows sorted by group), what a chain of distances of MOST_ERRORS or less connects.
+    """Edges (row, row) that connect, in each group (rows sorted by group), what a chain of distances of MOST_ERRORS or less connects.
 
     low: one byte of each signature value, so the distance here is never more than the true one.
     """
@@ -134,7 +135,20 @@ def near_edges(group: np.ndarray, ids: np.ndarray, low: np.ndarray, at_once: int
             vs.append(pairs % n)
     u, v = (np.concatenate(k).astype(int) if k else np.zeros(0, int) for k in (us, vs))
     own = ids[u] != ids[v]
-    return ids[u[own]], ids[v[own]]
+    return u[own], v[own]
+
+
+def first_shared(sig: np.ndarray, u: np.ndarray, v: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """The first key that rows u[i] and v[i] share.
+
+    Only there is their edge sent on. Where it is left out, both are together under that earlier key, which connects them
+    by edges of its own or of keys before it; so the components stay the same and an edge comes out once.
+    """
+    out = np.zeros(len(u), np.int64)
+    for i in range(0, len(u), at_once):
+        a, b = chunk_keys(sig[u[i : i + at_once]]), chunk_keys(sig[v[i : i + at_once]])
+        out[i : i + at_once] = a[np.arange(len(a)), (a == b).argmax(1)].view(np.int64)
+    return out
 
 
 def _whole_groups(rows: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -160,8 +174,10 @@ def _whole_groups(rows: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterat
 
 def _near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _whole_groups(rows):
-        low = np.ascontiguousarray(_matrix(batch.column(2), np.uint16, HASHES).astype(np.uint8))
-        u, v = near_edges(batch.column(0).to_numpy(), batch.column(1).to_numpy(), low)
+        sig, ids, key = _matrix(batch.column(3), np.uint16, HASHES), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        u, v = near_edges(batch.column(0).to_numpy(), ids, np.ascontiguousarray(sig.astype(np.uint8)))
+        own = first_shared(sig, u, v) == key[u]
+        u, v = ids[u[own]], ids[v[own]]
         pair = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
 
@@ -247,7 +263,7 @@ def minhash_components(docs: DataFrame, percent: int = 75, block: int = 1024, te
     shared = keys.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     rows_of_keys = keys.join(shared, F.col("key") == F.col("s_key")).select("key", "members", "id")
     signed = rows_of_keys.join(reps.select(F.col("id").alias("r_id"), "sig"), F.col("id") == F.col("r_id")).select("key", "members", "id", "sig")
-    dealt = _in_blocks(signed, "key", "members", block).select("g", "id", "sig").repartition("g").sortWithinPartitions("g", "id")
+    dealt = _in_blocks(signed, "key", "members", block).select("g", "id", "key", "sig").repartition("g").sortWithinPartitions("g", "id")
     families = components(dealt.mapInArrow(_near, "u long, v long"))
     sizes = families.groupBy(F.col("component").alias("s_component")).agg(F.count(F.lit(1)).alias("members"))
     wanted = families.join(sizes, F.col("component") == F.col("s_component")).select("component", "members", F.col("id").alias("w_id"))
