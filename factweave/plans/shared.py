@@ -138,7 +138,7 @@ FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op IN ('Lock
     "ops_to_lca_chains": ("J13", "SELECT c.site, c.caller AS lca_fn, i.inst_id AS op_id FROM {call_edge} c JOIN {inst} i ON c.callee = i.fn_id WHERE i.op = 'Lock' AND i.idx < 8 AND c.site_kind = 'Call'"),
     "same_parent_dep_prims": ("J15", "SELECT DISTINCT a.prim AS prim1, b.prim AS prim2, a.fn_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim < b.prim WHERE a.idx < 4 AND b.idx < 4"),
     "remove_visited_chains": ("J16", "SELECT DISTINCT c.caller, c.callee FROM {call_edge} c WHERE NOT EXISTS (SELECT 1 FROM {call_edge} v WHERE v.caller = c.caller AND v.callee = c.callee AND v.site_kind = 'Go')"),
-    "call_insts_by_name": ("J17", "SELECT c.site, f.fn_id FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, fn_id % 10 AS pkg FROM {inst}) f ON c.callee = f.fn_id AND c.caller % 10 = f.pkg"),
+    "call_insts_by_name": ("J17", "SELECT c.site, f.fn_id FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, fn_id % 4 AS pkg FROM {inst}) f ON c.callee = f.fn_id AND c.caller % 4 = f.pkg"),
     "go_sites_of_fn": ("J18", "SELECT callee AS fn_id, site FROM {call_edge} WHERE site_kind = 'Go'"),
     "has_direct_call_sites": ("J18", "SELECT DISTINCT callee AS fn_id FROM {call_edge} WHERE site_kind = 'Call'"),
     "make_chan_at_line": ("J19", "SELECT file, line, max(inst_id) AS make_inst FROM {inst} WHERE op = 'Send' AND line IS NOT NULL GROUP BY file, line"),
@@ -326,5 +326,25 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "lint_unusedresult": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Load%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx)"),
     "lint_unusedwrite": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Store%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx AND u.callee LIKE '%Load%')"),
     "lint_shadow": ("2.14", "SELECT a.inst_id AS outer_id, b.inst_id AS inner_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx AND b.idx <= a.idx + 6 WHERE a.op = 'Lock' AND b.op = 'Lock'"),
+    "is_mutex_make": ("P6", "SELECT p_partkey AS inst_id, CASE WHEN p_size % 2 = 0 THEN 'sync.Mutex' ELSE 'sync.RWMutex' END AS made FROM {part} WHERE p_type LIKE 'PROMO%'"),
+    "cg_pointer": ("G7", "SELECT DISTINCT c.caller, c.site, o.label AS callee FROM {call_edge} c JOIN {obj_addr} o ON c.site % 200 = o.node"),
+    "bb_precondition_smt": (
+        "E14",
+        "SELECT fn_id, bb_id, concat('(assert (and ', JOINED[cond| |idx], '))') AS text FROM (SELECT fn_id, bb_id, idx, concat(CASE WHEN pos % 2 = 0 THEN '(not c' ELSE '(c' END, CAST(prim AS STRING), ')') AS cond FROM {inst} WHERE op IN ('Recv', 'Call')) GROUP BY fn_id, bb_id",
+    ),
+    "patch_2": ("Q13", "SELECT doc_id, line_no, concat('defer func() {{ ', text, ' }}()') AS patched FROM {doc_line} WHERE line_no = 1 AND length(text) > 0"),
+    "patch_3": (
+        "Q13",
+        "SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN concat(text, '; stop := make(chan struct{{}}); defer close(stop)') ELSE concat('select {{ case ', text, ': case <-stop: }}') END AS patched FROM {doc_line} WHERE line_no < 2",
+    ),
+    "rel_explanations": ("R17", "SELECT a.fn_id, a.src_bb AS a, b.dst_bb AS c, JOINED[a.dst_bb|,|a.dst_bb] AS proof FROM {bb_edge} a JOIN {bb_edge} b ON a.fn_id = b.fn_id AND a.dst_bb = b.src_bb GROUP BY a.fn_id, a.src_bb, b.dst_bb"),
+    "guru_whicherrs": ("V7", "SELECT DISTINCT i.fn_id, o.label AS err, CASE WHEN o.label % 3 = 0 THEN 'global' WHEN o.label % 3 = 1 THEN 'constant' ELSE 'type' END AS kind FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op = 'Call' AND o.label % 4 <> 0"),
+    "guru_what": ("V9", "SELECT i.inst_id, concat('fn', CAST(i.fn_id AS STRING), '/bb', CAST(i.bb_id AS STRING), '/', i.op) AS enclosing, i.op IN ('Send', 'Recv') AS peers_apply FROM {inst} i"),
+    "lint_bools": ("2.14", "SELECT b.inst_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND b.idx = a.idx + 1 AND a.op = b.op AND a.prim = b.prim"),
+    "lint_unreachable": ("2.14", "SELECT b.fn_id, b.bb_id FROM {bb} b WHERE b.bb_id <> 0 AND NOT EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.dst_bb = b.bb_id AND e.src_bb <> b.bb_id - 1)"),
+    "lint_structtag": ("2.14", "SELECT p_brand, p_size, count(*) AS n FROM {part} GROUP BY p_brand, p_size HAVING count(*) > 1"),
+    "lint_loopclosure": ("2.14", "SELECT DISTINCT c.site FROM {call_edge} c JOIN {inst} i ON c.site = i.inst_id JOIN {bb_edge} e ON e.fn_id = i.fn_id AND e.dst_bb < e.src_bb AND i.bb_id BETWEEN e.dst_bb AND e.src_bb WHERE c.site_kind IN ('Go', 'Defer')"),
+    "lint_atomic": ("2.14", "SELECT s.inst_id FROM {sync_op} s JOIN {sync_api} a ON s.callee = a.callee WHERE a.op = 'Atomic_Int_Add' AND s.value_id % 2 = 0"),
+    "lint_nilfunc": ("2.14", "SELECT inst_id FROM {sync_op} WHERE value_id = 0 AND callee LIKE '%.%'"),
     "lint_findcall": ("2.14", "SELECT inst_id, fn_id FROM {sync_op} WHERE callee = 'fmt.Println'"),
 }
