@@ -22,6 +22,7 @@ doc_id are scored each (a running number tells them apart); no training rows ->
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,7 @@ def lookup(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Symbols, parameters and, once finished, the tables that probabilities are read from."""
+    """Symbols and parameters."""
 
     def __init__(self, frequent: np.ndarray, prior: np.ndarray, seed: int = 5):
         """frequent: hashes of the frequent tokens, most frequent first; prior: symbols' shares of the training tokens."""
@@ -143,20 +144,25 @@ class Model:
         self.params = (e, b)
         return seen
 
-    def finish(self) -> None:
-        e, b = self.params
-        c1, c2, q = (e[i * SYMBOLS : (i + 1) * SYMBOLS].astype(np.float64) for i in range(3))
-        a1, a2 = c1 @ q.T + b, c2 @ q.T
-        top1, top2 = a1.max(1), a2.max(1)
-        total = np.exp(a1 - top1[:, None]) @ np.exp(a2 - top2[:, None]).T
-        self.tables = (a1.astype(np.float32), a2.astype(np.float32), (np.log(total) + top1[:, None] + top2).astype(np.float32))
-
     def log10(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Normalised log-probability of each symbol in its context."""
-        a1, a2, norm = self.tables
+        a1, a2, norm = _tables(self.params[0].tobytes(), self.params[1].tobytes())
         return (a1[one, w].astype(np.float64) + a2[two, w] - norm[one, two]) / np.log(10)
 
 
+@lru_cache(maxsize=1)
+def _tables(embeddings: bytes, bias: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores by either context symbol, and the log-normaliser of each pair of them; made once in each worker process."""
+    e, b = np.frombuffer(embeddings, np.float32).reshape(3, SYMBOLS, DIM), np.frombuffer(bias, np.float32)
+    a1, a2 = e[0] @ e[2].T + b, e[1] @ e[2].T
+    top1, top2 = a1.max(1), a2.max(1)
+    norm = np.exp(a1 - top1[:, None]) @ np.exp(a2 - top2[:, None]).T
+    np.log(norm, out=norm)
+    norm += top1[:, None]
+    norm += top2
+    return a1, a2, norm
+
+
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
@@ -214,7 +220,7 @@ def _mean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, dict]:
-    """The finished model, and what scoring needs of the counts: N, V, per-class N and V, and the head's hashes and counts."""
+    """The model, and what scoring needs of the counts: N, V, per-class N and V, and the head's hashes and counts."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # The head: tokens above a count that leaves at most HEAD of them, found on a histogram of counts.
     bins = counts.groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).count().orderBy(F.desc("c"))
@@ -223,7 +229,7 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Mode
         if above + row["count"] > HEAD:
             break
         above, least = above + row["count"], row["c"]
-    head = counts.where(F.col("c") >= least).select("token", "hash", "c", "kind").toPandas().sort_values(["c", "token"], ascending=[False, True])
+    head = counts.where(F.col("c") >= least).select("hash", "c", "kind").toPandas().sort_values(["c", "hash"], ascending=[False, True])
     hashes_, c = head["hash"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
     frequent = hashes_[:FREQUENT]
     is_end = np.flatnonzero(frequent == np.uint64(END))
@@ -245,7 +251,6 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Mode
         if parts:
             whole = np.concatenate([np.frombuffer(r["block"]) / r["seen"] for r in parts]).astype(np.float32)
             model.params = (whole[:-SYMBOLS].reshape(3 * SYMBOLS, DIM), whole[-SYMBOLS:])
-    model.finish()
     order = np.argsort(hashes_)
     return model, {"N": int(total[0]), "V": int(total[1]), "n": n_class, "v": v_class, "hash": hashes_[order], "c": c[order], "end": end}
 
