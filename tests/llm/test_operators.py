@@ -76,7 +76,7 @@ def words(t):
     return WORD.findall(t or "")
 
 
-def test_exact_dedup(docs, empty):
+def test_exact_dedup(docs, empty, monkeypatch):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)
     for i, t in TEXTS:
@@ -89,6 +89,8 @@ def test_exact_dedup(docs, empty):
     names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert collected(exact_dedup.exact_dedup(docs), *names) == expected(want)
     assert exact_dedup.exact_dedup(empty).count() == 0
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 20)  # some groups hot, others not
+    assert collected(exact_dedup.exact_dedup(docs), *names) == expected(want)
     one = exact_dedup.keep_one(docs)
     assert one.columns == docs.columns
     assert Counter(norm(r["text"]) for r in one.collect()) == Counter(dict.fromkeys(groups, 1))
