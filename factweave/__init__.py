@@ -1 +1 @@
-
+"""A program-analysis engine on Spark DataFrames."""

@@ -1 +1 @@
-
+"""Operators on fact tables."""

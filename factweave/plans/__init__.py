@@ -1 +1 @@
-
+"""Named queries."""

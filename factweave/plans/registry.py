@@ -19,7 +19,7 @@ def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {name: partial(_shared, text) for name, (_, text) in SHARED.items()}
+    out: dict = {name: partial(_shared, text) for name, (_, text) in SHARED.items()}
     for module in OPERATORS:
         out |= module.QUERIES
     return out

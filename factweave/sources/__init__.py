@@ -1 +1 @@
-
+"""Fact tables and where they come from."""

@@ -1 +1 @@
-
+"""Kept for streaming forms of the operators; the data model has no streams, so there are none."""
