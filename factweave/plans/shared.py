@@ -313,7 +313,7 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
 (SELECT a.name, a.nth, a.ns AS before_ns, b.ns AS after_ns FROM {bench_nth} a JOIN {bench_nth} b ON a.name = b.name AND a.nth = b.nth WHERE a.half = 0 AND b.half = 1)""",
     ),
     "type_hash_map": ("V21", "SELECT form, count(*) AS n_types, min(p_partkey) AS first_type FROM (SELECT p_partkey, concat('struct{{', p_brand, ';', p_type, '}}') AS form FROM {part}) GROUP BY form"),
-    "doc_dirtree": ("V24", "SELECT split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS dir, count(*) AS n_pages, length(url) - length(replace(url, '/', '')) AS depth FROM {pages} GROUP BY split_part(url, '/', 3), split_part(url, '/', 4), length(url) - length(replace(url, '/', ''))"),
+    "doc_dirtree": ("V24", "SELECT split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS dir, count(*) AS n_pages, CAST(length(url) - length(replace(url, '/', '')) AS BIGINT) AS depth FROM {pages} GROUP BY split_part(url, '/', 3), split_part(url, '/', 4), length(url) - length(replace(url, '/', ''))"),
     # --- lint passes on theme ------------------------------------------------------------------------------------------------------------------------
     "lint_assign": ("2.14", "SELECT inst_id FROM {inst} WHERE inst_id % 5 = prim AND pos = prim"),
     "lint_copylock": ("2.14", "SELECT p.p_partkey FROM {part} p JOIN {struct_sync} s ON p.p_brand = s.struct_name WHERE p.p_size % 2 = 0"),
