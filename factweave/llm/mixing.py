@@ -84,16 +84,16 @@ def source_weights(
     return per.crossJoin(F.broadcast(one)).select("source", "tokens", "rows", "tau", weight.alias("weight"), repeats.alias("repeats"))
 
 
-def draws(rows: DataFrame, weights: DataFrame, block_rows: int = 2048, seed: int = 1) -> DataFrame:
+def draws(rows: DataFrame, narrow: DataFrame, weights: DataFrame, block_rows: int = 2048, seed: int = 1) -> DataFrame:
     """The rows with columns block, at (words before the row in its source's permutation) and draws (times drawn).
 
-    rows has columns doc_id, source, n_tokens.
+    rows has columns doc_id, source, n_tokens; narrow is the same rows with no more than these, for the block totals.
     """
     w = weights.select(F.col("source").alias("w_source"), "tokens", "repeats", F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).alias("blocks"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = rows.join(F.broadcast(w), F.col("source").eqNullSafe(F.col("w_source"))).withColumn("order", order)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), F.col("doc_id")), F.col("blocks")))
-    totals = dealt.groupBy("w_source", "block").agg(F.sum("n_tokens").alias("b_tokens"))
+    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), F.col("doc_id")), F.col("blocks"))
+    deal = lambda df: df.join(F.broadcast(w), F.col("source").eqNullSafe(F.col("w_source"))).withColumn("block", block)
+    dealt = deal(rows).withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    totals = deal(narrow).groupBy("w_source", "block").agg(F.sum("n_tokens").alias("b_tokens"))
     before = F.coalesce(F.sum("b_tokens").over(Window.partitionBy("w_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select(F.col("w_source").alias("b_source"), F.col("block").alias("b_block"), before.alias("b_before"))
     inside = Window.partitionBy("w_source", "block").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,17 +111,22 @@ def _rows(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> list[
     return [c(id_col).cast("long").alias("doc_id"), c(source_col).cast("string").alias("source"), n_words(c(text_col)).alias("n_tokens")]
 
 
+def token_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """doc_id, source, n_tokens (words) of each row."""
+    return docs.select(*_rows(docs, text_col, id_col, source_col))
+
+
 def mixing(docs: DataFrame, block_rows: int = 2048, seed: int = 1, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **goal) -> DataFrame:
     """doc_id, source, n_tokens, block, at, draws: one row for each row of docs. goal: see source_weights."""
-    rows = keep(docs.select(*_rows(docs, text_col, id_col, source_col)))  # the texts are read once
-    return draws(rows, source_weights(rows, **goal), block_rows, seed)
+    rows = keep(token_rows(docs, text_col, id_col, source_col))  # the texts are read once
+    return draws(rows, rows, source_weights(rows, **goal), block_rows, seed)
 
 
 def mix_rows(docs: DataFrame, block_rows: int = 2048, seed: int = 1, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **goal) -> DataFrame:
     """The rows of docs, each as often as it is drawn, with docs' own columns."""
-    narrow = docs.select(*_rows(docs, text_col, id_col, source_col))
+    narrow = keep(token_rows(docs, text_col, id_col, source_col))
     rows = docs.select(F.struct("*").alias("row"), *_rows(docs, text_col, id_col, source_col))
-    drawn = draws(rows, source_weights(narrow, **goal), block_rows, seed)
+    drawn = draws(rows, narrow, source_weights(narrow, **goal), block_rows, seed)
     return drawn.where("draws > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("epoch")).select("row.*")
 
 
