@@ -5,7 +5,8 @@ Of equal texts the row with the most code points stays, then the smallest doc_id
 
 Plan: (1) rows are aggregated by (hash, normalised text) with a map-side combine, so a hot group of copies leaves each
 task as one row; grouping on the text itself compares bytes, so two texts that share a hash stay apart. (2) Each
-document looks its group up by (hash, SHA-256): narrow rows without text. A hot key there is split by AQE's skew join.
+document looks its group up by (hash, SHA-256): narrow rows without text. Groups of a thousandth of all rows or more, of which
+there are a thousand at most, are broadcast, and their rows spread over all tasks.
 Two different texts with the same 128-bit hash and the same SHA-256 stop the query instead of being merged.
 
 Cases: empty table -> no rows; null doc_id -> kept apart from no one (it can be the row that stays, as the largest id);
@@ -17,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import SPACE_RE
+from .tables import SPACE_RE, keep
 
 _MAX = 9223372036854775807
+#: Groups with 1 / HOT_SHARE of all rows or more are hot; so there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
 #: More than any id: a decimal literal.
 _STEP = "10000000000000000000"
 
@@ -50,13 +53,21 @@ def _base(docs: DataFrame, text_col: str, id_col: str) -> list:
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
     base = docs.select(*_base(docs, text_col, id_col))
+    groups = keep(_groups(base))
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    hot = groups.where(F.col("group_size") * HOT_SHARE >= max(total, HOT_SHARE))
+    hot = hot.select(F.col("g_h128").alias("hot_h128"), F.col("g_sha").alias("hot_sha"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
     rows = base.select("doc_id", F.unhex(F.md5("norm")).alias("h128"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    found = rows.join(_groups(base), (F.col("h128") == F.col("g_h128")) & (F.col("sha") == F.col("g_sha")))
-    keep_id = F.when(F.col("keep_id") != _MAX, F.col("keep_id"))
+    rows = rows.join(F.broadcast(hot), (F.col("h128") == F.col("hot_h128")) & (F.col("sha") == F.col("hot_sha")), "left")
+    # A row of a hot group is answered; it goes through the next join under a key of its own, so that it lands anywhere.
+    key = F.when(F.col("hot_size").isNull(), F.col("h128")).otherwise(F.unhex(F.md5(F.concat_ws(":", "doc_id", F.monotonically_increasing_id()))))
+    found = rows.withColumn("key", key).join(groups, (F.col("key") == F.col("g_h128")) & (F.col("sha") == F.col("g_sha")), "left")
+    keep_id = F.coalesce("hot_keep", "keep_id")
+    keep_id = F.when(keep_id != _MAX, keep_id)
     return found.select(
         "doc_id",
         keep_id.alias("keep_id"),
-        F.col("group_size").cast("long"),
+        F.coalesce("hot_size", "group_size").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
