@@ -1,10 +1,10 @@
 """Quality rules: fixed base rules, then an isolation forest over rule statistics with a threshold from labelled rows.
 
 Statistics of every whole text are measured once and kept in the checkpoint folder. The forest is grown on the driver from
-at most sample_rows documents (default 25,600, the smallest 64-bit hashes of doc_id): trees times subsample rows, the
-bound of the published method. All labelled rows are then scored on the executors and counted in a histogram of scores by
-label; the threshold is the score that separates the labels best (hit rate less false alarms) among those that reject at
-most max_false of the rows labelled good.
+about sample_rows documents (default 25,600, chosen by a hash of doc_id): trees times subsample rows, the bound of the
+published method. All labelled rows that pass the base rules are then scored on the executors and counted in a histogram
+of scores by label; the threshold is the score that separates the labels best (hit rate less false alarms) among those
+that reject at most max_false of the rows labelled good.
 
 Cases: null and empty texts have no words and fail the base rule; no labelled rows -> the threshold is 0.6, the usual
 reading of the score; null doc_id is kept as null; extra columns are ignored; empty table -> no rows.
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .quality_classifier import labelled
 from .stats import COUNTS, FEATURES, document_stats
-from .tables import documents, keep, labels
+from .tables import documents, hashed_sample, keep, labels
 
 #: What the forest splits on: rule statistics that do not follow a text's length.
 RULES = (
     "word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "punct_ratio",
-    "ended_ratio", "capital_ratio", "short_ratio", "bar_ratio",
+    "ended_ratio", "capital_ratio", "short_ratio", "bar_ratio", "line_words", "run_ratio",
 )
 BUCKETS = 1000
 
@@ -95,13 +95,14 @@ def calibrate(counts: np.ndarray, max_false: float = 0.01) -> float:
         return 0.6
     above = counts[::-1].cumsum(0)[::-1] / counts.sum(0)
     gain = np.where(above[:, 1] <= max_false, above[:, 0] - above[:, 1], -1)
-    return float(gain.argmax() / BUCKETS) if gain.max() > 0 else 1.0
+    best = np.flatnonzero(gain == gain.max())  # in the middle of the best ones, away from either label's rows
+    return float(best[len(best) // 2] / BUCKETS) if gain.max() > 0 else 1.0
 
 
 def quality_rules(docs: DataFrame, labels_df: DataFrame, sample_rows: int = 25_600, max_false: float = 0.01) -> DataFrame:
     """doc_id, the base counts, base_failed, anomaly (the forest's score), kept: one row for each row of docs."""
     stats = keep(document_stats(docs))
-    sample = stats.select("doc_id", *RULES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
+    sample = hashed_sample(stats, sample_rows, *RULES)
     forest = grow(sample[list(RULES)].to_numpy(float))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +113,12 @@ def quality_rules(docs: DataFrame, labels_df: DataFrame, sample_rows: int = 25_6
 
     schema = ", ".join(["doc_id long", *(f"{k} long" for k in COUNTS[:5]), "anomaly double"])
     scored = stats.select("doc_id", *COUNTS[:5], *RULES).mapInArrow(run, schema)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     bucket = F.least(F.floor(F.col("anomaly") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
     counts = np.zeros((BUCKETS, 2))
-    for row in scored.join(labelled(labels_df), F.col("doc_id") == F.col("l_doc_id")).groupBy(bucket.alias("bucket"), "label").count().collect():
+    for row in scored.where(~failed).join(labelled(labels_df), F.col("doc_id") == F.col("l_doc_id")).groupBy(bucket.alias("bucket"), "label").count().collect():
         counts[row["bucket"], row["label"]] += row["count"]
     threshold = calibrate(counts, max_false)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & (F.col("anomaly") < threshold)).alias("kept"), "anomaly")
 
 

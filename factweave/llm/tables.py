@@ -41,3 +41,12 @@ def n_words(text: Column) -> Column:
 def crc_of_id(doc_id: int | None) -> int:
     """CRC-32 of the id as text, as in the SQL function crc32(cast(doc_id as string))."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+
+
+def hashed_sample(df: DataFrame, rows: int, *cols: str):
+    """About `rows` rows of a kept table (all of them if it has no more) as pandas, sorted by doc_id: those whose hash of
+    doc_id falls below rows / count. The executors filter; the driver gets the sample alone, at most a tenth more than rows.
+    """
+    n = df.count()
+    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, rows / max(n, 1))))
+    return df.where(share).select("doc_id", *cols).limit(rows + max(64, rows // 10)).toPandas().sort_values(["doc_id", *cols], kind="stable")
