@@ -5,8 +5,8 @@ on the driver to at most max_rows labelled rows of the training part, and laid o
 batch go down one level at a time.
 
 Training part: labelled rows whose crc32(doc_id as text) mod 3 is not 1. When more than max_rows (default 20,000) such
-rows exist, those with the smallest 64-bit hash of doc_id are taken; that bound is the only sampling. Only statistics of
-the text are inputs of a score.
+rows exist, about so many are taken by a hash of doc_id; that bound is the only sampling. Only statistics of the text are
+inputs of a score.
 
 Cases: no labelled rows, or rows of one class -> the score is their share of label 1 (0.5 without rows); null and empty
 texts are scored like any text without words; null doc_id counts as the empty string in crc32; several labels of one
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import FEATURES, document_stats, features, measure
-from .tables import documents, keep, labels
+from .tables import documents, hashed_sample, keep, labels
 from .textcols import column, pieces
 
 
@@ -111,14 +111,8 @@ def labelled(labels_df: DataFrame, label: str = "quality") -> DataFrame:
 
 
 def train_from(stats: DataFrame, labels_df: DataFrame, max_rows: int = 20_000, **options) -> Trees:
-    train = (
-        stats.where(~held_out(F.col("doc_id")))
-        .join(labelled(labels_df), F.col("doc_id") == F.col("l_doc_id"))
-        .select("doc_id", "label", *FEATURES)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-        .toPandas()
-    )
+    rows = stats.where(~held_out(F.col("doc_id"))).join(labelled(labels_df), F.col("doc_id") == F.col("l_doc_id"))
+    train = hashed_sample(keep(rows.select("doc_id", "label", *FEATURES)), max_rows, "label", *FEATURES)
     return fit_trees(train[list(FEATURES)].to_numpy(float), train["label"].to_numpy(float), **options)
 
 
