@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import can_finish, fuzzy_score
+from ..functions.scalar import all_run, can_finish, fuzzy_score  # noqa: F401 - can_finish is called as paths.can_finish
 from ..sources.facts import duck_sql, frame, run_sql
 
 
@@ -81,22 +81,24 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "part").select("p_partkey", score("p_name").alias("score")).where("score > 0")
 
 
-_CHANNEL_OPS = """SELECT fn_id % 50 AS grp, prim, fn_id, idx, op, count(*) OVER (PARTITION BY fn_id % 50, prim) AS n FROM {inst} WHERE op IN ('Send', 'Recv') AND idx < 8"""
+# Goroutines of a group with the same operations on a primitive are one word with a count.
+_CHANNEL_WORDS = """SELECT grp, prim, word, count(*) AS n FROM (
+SELECT fn_id % 50 AS grp, prim, fn_id, JOINED[CASE op WHEN 'Send' THEN 'S' ELSE 'R' END||idx] AS word FROM {inst} WHERE op IN ('Send', 'Recv') GROUP BY fn_id, prim) GROUP BY grp, prim, word"""
 
 
 def sat_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grp, prim, capacity, finishes): can the operations of a group of functions on a channel all run?
 
-    At most 14 operations a group (the operator's limit on a path combination); larger ones are reported as null.
+    Every group is decided exactly, whatever its size; the search is exponential at worst.
     """
-    ops = run_sql(spark, sf_dir, _CHANNEL_OPS)
+    words = run_sql(spark, sf_dir, _CHANNEL_WORDS)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         grp, prim = int(g["grp"].iloc[0]), int(g["prim"].iloc[0])
-        rows = list(zip(g["fn_id"], g["idx"], g["op"], strict=True))
-        return pd.DataFrame([(grp, prim, c, can_finish(rows, c) if len(rows) <= 14 else None) for c in (0, 1, 2)], columns=["grp", "prim", "capacity", "finishes"])
+        have = {w: int(n) for w, n in zip(g["word"], g["n"], strict=True)}
+        return pd.DataFrame([(grp, prim, c, all_run(have, c)) for c in (0, 1, 2)], columns=["grp", "prim", "capacity", "finishes"])
 
-    return ops.groupBy("grp", "prim").applyInPandas(run, "grp long, prim long, capacity long, finishes boolean")
+    return words.groupBy("grp", "prim").applyInPandas(run, "grp long, prim long, capacity long, finishes boolean")
 
 
 def bmoc(spark: SparkSession, sf_dir: str) -> DataFrame:
