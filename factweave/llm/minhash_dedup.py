@@ -7,8 +7,8 @@
    all pairs within the threshold share a key. At a similarity of 0.75 a pair has 16 differing values on average; more
    than 31 of 64 is beyond four standard deviations.
 3. Inside a key's documents the distance is computed in rounds of comparison with a leader, then between the members of
-   different leaders; what comes out is at most one edge a document and one a pair of leaders, never the pairs, and each under the
-   first key that its ends share. Keys with
+   different leaders; what comes out is at most one edge a document and one near pair for two leaders, never all pairs, and each
+   under the first key that its ends share. Keys with
    more than `block` documents are dealt into pairs of blocks.
 4. Components of these edges are candidate families. A family's whole texts meet (again in pairs of blocks when there are
    many), intersections are counted exactly through an inverted index of the shingles, and the links with
@@ -99,6 +99,8 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def near_edges(group: np.ndarray, ids: np.ndarray, low: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, row) that connect, in each group (rows sorted by group), what a chain of distances of MOST_ERRORS or less connects.
 
+    The ends of every edge are within MOST_ERRORS themselves; first_shared relies on that.
+
     low: one byte of each signature value, so the distance here is never more than the true one.
     """
     n = len(ids)
@@ -130,9 +132,10 @@ def near_edges(group: np.ndarray, ids: np.ndarray, low: np.ndarray, at_once: int
             x = np.repeat(led[s : s + step], c)
             y = rows[_ranges(after[s : s + step], c)]
             near = (low[x] != low[y]).sum(1) <= MOST_ERRORS
-            pairs = np.unique(leader[x[near]] * n + leader[y[near]])
-            us.append(pairs // n)
-            vs.append(pairs % n)
+            x, y = x[near], y[near]
+            one = np.unique(leader[x] * n + leader[y], return_index=True)[1]  # a near pair for each pair of leaders
+            us.append(x[one])
+            vs.append(y[one])
     u, v = (np.concatenate(k).astype(int) if k else np.zeros(0, int) for k in (us, vs))
     own = ids[u] != ids[v]
     return u[own], v[own]
@@ -142,7 +145,8 @@ def first_shared(sig: np.ndarray, u: np.ndarray, v: np.ndarray, at_once: int = 1
     """The first key that rows u[i] and v[i] share.
 
     Only there is their edge sent on. Where it is left out, both are together under that earlier key, which connects them
-    by edges of its own or of keys before it; so the components stay the same and an edge comes out once.
+    by edges of its own or of keys before it, as they are near; so the components stay the same and an edge comes out once.
+    Rows that are not near are not connected there: their edge must not be left out.
     """
     out = np.zeros(len(u), np.int64)
     for i in range(0, len(u), at_once):

@@ -10,6 +10,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from factweave.llm import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, substring_dedup
@@ -268,6 +270,28 @@ def test_pigeonhole_keys():
         assert (minhash_dedup.chunk_keys(a) == minhash_dedup.chunk_keys(b)).any()
 
 
+def test_near_pair_whose_leaders_are_far_apart():
+    # x and y are near and share keys of the last chunk only; so do x and a, y and b. The leaders a and b also share keys of
+    # the first chunk, which x and y lack, and are far apart.
+    m = minhash_dedup
+    sig = np.zeros((4, m.CHUNKS, m.HASHES // m.CHUNKS), np.uint16)
+    a, b, x, y = sig  # by id
+    y[:-1, :2] = b[:-1, :2] = 1
+    a[1:-1, 2:], b[1:-1, 2:] = 3, 4
+    a[0], b[0] = (2, 2, 0, 0), (2, 2, 0, 0)
+    sig = sig.reshape(4, m.HASHES)
+    far = (sig[:, None] != sig[None]).sum(2) > m.MOST_ERRORS
+    assert {(i, j) for i in range(4) for j in range(i) if not far[i, j]} == {(2, 0), (3, 1), (3, 2)}
+    keys = m.chunk_keys(sig).view(np.int64)
+    rows = sorted((int(k), i) for i in range(4) for k in keys[i])
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([i for _, i in rows]), pa.array([k for k, _ in rows]), pa.array([sig[i].tobytes() for _, i in rows])], ["g", "id", "key", "sig"])
+    label = list(range(4))
+    for out in m._near(iter([batch])):
+        for u, v in zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True):
+            label = [label[u] if k == label[v] else k for k in label]
+    assert len(set(label)) == 1
+
+
 def test_mixing(docs, empty):
     got = mixing.mixing(docs, block_rows=8, max_repeat=2.0).collect()
     assert len(got) == len(TEXTS)
