@@ -6,6 +6,8 @@ bounds the depth. Shared sides of a join are small static relations; Spark broad
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +107,10 @@ def digraph_sccs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cg_path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, depth): the length of a shortest call path from function 1, up to ten calls."""
+    """(node, depth): the length of a shortest call path from function 1, to every function that it reaches."""
     edges = _rename(_fn_edges(spark, sf_dir), e_src="src", e_dst="dst")
     level = total = keep(spark.createDataFrame([(1, 0)], "node long, depth int"))
-    for depth in range(1, 11):
+    for depth in count(1):
         new = level.join(edges, F.col("node") == F.col("e_src")).select(F.col("e_dst").alias("node"), F.lit(depth).alias("depth")).distinct()
         level = keep(new.join(_rename(total, t_node="node"), F.col("node") == F.col("t_node"), "left_anti"))
         if level.isEmpty():

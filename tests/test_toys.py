@@ -6,7 +6,7 @@ import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factweave.operators import cfg, locks, paths
+from factweave.operators import cfg, locks, paths, program
 from factweave.operators.fixpoint import after, reach, semi_naive
 
 GRAPHS = st.dictionaries(st.integers(0, 6), st.lists(st.integers(0, 6), max_size=3, unique=True), max_size=7).map(lambda d: {n: d.get(n, []) for n in range(7)})
@@ -106,6 +106,13 @@ def test_semi_naive_ends_on_cycles(spark):
     assert {r["n"] for r in once.collect()} == {1, 2, 3}
 
 
+def test_call_paths_of_any_length(spark, sf_dir, monkeypatch):
+    edges = [(i, i + 1) for i in range(1, 13)] + [(13, 1), (20, 2)]
+    monkeypatch.setattr(program, "_fn_edges", lambda spark, sf_dir: spark.createDataFrame(edges, "src long, dst long"))
+    assert {tuple(r) for r in program.cg_path_search(spark, sf_dir).collect()} == {(i, i - 1) for i in range(1, 14)}
+    assert {tuple(r) for r in program.guru_callstack(spark, sf_dir).collect()} == {(i, i - 1) for i in range(2, 14)}
+
+
 def test_points_to_with_loads_and_stores(spark, tmp_path):
     from factweave.operators.program import points_to_full
     from factweave.sources import facts
