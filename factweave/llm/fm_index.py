@@ -1,7 +1,9 @@
-"""FM-index over integer symbols: packed wavelet levels with popcount rank, and batched backward search.
+"""Compressed FM-index over integer symbols: an entropy-shaped wavelet tree with popcount rank, and batched backward search.
 
-Symbols are 0 .. sigma-1; 0 separates the indexed pieces and is in no pattern. The suffixes are sorted by their first
-`depth` symbols only, which is exact for every pattern of at most that length.
+Symbols are 0 .. sigma-1; 0 separates the indexed pieces and is in no pattern. The Burrows-Wheeler transform is stored as the
+bits of a wavelet tree whose paths are the symbols' Shannon codes, so that a frequent symbol takes few bits (n (H0 + 1) bits
+at most for n symbols), with a directory of a quarter of that. The suffixes are sorted by their first `depth` symbols only,
+which is exact for every pattern of at most that length.
 """
 
 from __future__ import annotations
@@ -10,69 +12,122 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the depth (rounded up to a power of two) symbols that begin there; beyond the end sorts first."""
+    """Positions sorted by depth or more symbols that begin there; beyond the end sorts first."""
     n = len(text)
-    rank = text.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    h = 1
+    rank, h = text.astype(np.int64) + 1, 1
+    width = int(rank.max(initial=0)) + 1
+    while h < depth and width ** (h + 1) < 1 << 62 and h < 3:  # the first symbols as one number
+        first = np.zeros(n, np.int64)
+        first[: max(0, n - h)] = text[h:] + 1
+        rank, h = rank * width + first, h + 1
+    order = np.argsort(rank)
     while h < depth:
-        key = rank * (max(n, int(rank.max(initial=0))) + 2)
+        new = np.ones(n, np.int64)
+        new[1:] = rank[order[1:]] != rank[order[:-1]]
+        rank[order] = np.cumsum(new)
+        if n == 0 or rank[order[-1]] == n:
+            break
+        key = rank * (n + 2)
         key[: max(0, n - h)] += rank[h:]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) + 1 if n else []
-        h *= 2
+        rank, order, h = key, np.argsort(key), 2 * h
     return order
 
 
 class FMIndex:
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
         self.n, self.sigma = len(text), sigma
-        bwt = text[suffix_order(text, depth) - 1]  # the first suffix is preceded by the last symbol, a separator
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:sigma]
-        self.levels = []
-        for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
-            ones = (bwt >> bit) & 1 == 1
-            packed = np.packbits(np.concatenate([ones, np.zeros(-len(ones) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[:-1]
-            zeros = self.n - int(ones.sum())
-            self.levels.append((bit, packed, counts, zeros))
-            bwt = np.concatenate([bwt[~ones], bwt[ones]])
-        self.origin = np.zeros(sigma, np.int64)
-        self.origin = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
+        counts = np.bincount(text, minlength=sigma)
+        self.before = np.concatenate([[0], np.cumsum(counts)])
+        # Shannon codes: a symbol's path has about log2(n / count) branches; paths of one length follow each other.
+        some = np.maximum(counts, 1)
+        self.size = np.ceil(np.log2((int(some.sum()) + 1) / some)).astype(np.int64).clip(1, 62)
+        order = np.argsort(self.size, kind="stable")
+        deepest = int(self.size.max(initial=1))
+        room = np.int64(1) << (deepest - self.size[order])
+        self.code = np.empty(sigma, np.int64)
+        self.code[order] = (np.cumsum(room) - room) >> (deepest - self.size[order])
+        self._branch(text[suffix_order(text, depth) - 1])  # the first suffix is preceded by the last symbol, a separator
 
-    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where position `at` of the transform comes to lie on the last level when symbol's branches are taken."""
-        for bit, packed, counts, zeros in self.levels:
-            word = at >> 6
-            ones = counts[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where((symbol >> bit) & 1 == 1, zeros + ones, at - ones)
-        return at
+    def _branch(self, seq: np.ndarray) -> None:
+        """The bits of all nodes, level by level; a node's symbols lie together and in their order in the transform."""
+        bits, starts, child = [], [np.zeros(1, np.int64)], [np.full((1, 2), -1, np.int64)]
+        node, nodes, base, level = np.zeros(len(seq), np.int64), 1, 0, 0
+        while len(seq):
+            size = self.size[seq]
+            one = (self.code[seq] >> (size - 1 - level)) & 1 == 1
+            bits.append(one)
+            base += len(seq)
+            on = size > level + 1  # the others have arrived
+            zero_on, one_on = on & ~one, on & one
+            seq = np.concatenate([seq[zero_on], seq[one_on]])
+            edge = np.concatenate([2 * node[zero_on], 2 * node[one_on] + 1])
+            at = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]])) if len(edge) else np.zeros(0, np.int64)
+            starts.append(base + at)
+            child.append(np.full((len(at), 2), -1, np.int64))
+            links = np.concatenate(child)
+            links[edge[at] >> 1, edge[at] & 1] = nodes + np.arange(len(at))
+            child = [links]
+            node = np.repeat(nodes + np.arange(len(at)), np.diff(np.append(at, len(edge))))
+            nodes, level = nodes + len(at), level + 1
+        every = np.concatenate(bits) if bits else np.zeros(0, bool)
+        # 64 bits a word, 4 words a block: a count for each block, and for each word the ones before it in its block.
+        self.words = np.packbits(np.concatenate([every, np.zeros(-len(every) % 256 + 256, bool)]), bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(self.words).reshape(-1, 4)
+        self.inside = (np.cumsum(ones, 1, dtype=np.uint8) - ones).ravel()
+        self.blocks = np.concatenate([[0], np.cumsum(ones.sum(1, dtype=np.int64))])[:-1].astype(np.uint32 if len(every) < 1 << 32 else np.int64)
+        self.start, self.child = np.concatenate(starts), np.concatenate(child)
+        self.ones = self._ones(self.start)
+
+    def _ones(self, at: np.ndarray) -> np.ndarray:
+        """Set bits before each position."""
+        word = at >> 6
+        part = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.blocks[word >> 2].astype(np.int64) + self.inside[word] + np.bitwise_count(part)
+
+    @property
+    def bits(self) -> int:
+        """Size of the tree with its directory and nodes."""
+        return 8 * sum(x.nbytes for x in (self.words, self.inside, self.blocks, self.start, self.ones, self.child))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol stands in the first `at` places of the transform."""
-        return self._descend(symbol, at) - self.origin[symbol]
+        out = np.empty(len(at), np.int64)
+        live, node, at = np.arange(len(at)), np.zeros(len(at), np.int64), at.astype(np.int64)
+        code, left = self.code[symbol], self.size[symbol]
+        while len(live):
+            ones = self._ones(self.start[node] + at) - self.ones[node]
+            left = left - 1
+            bit = (code >> left) & 1
+            at = np.where(bit == 1, ones, at - ones)
+            done = left == 0
+            if done.any():
+                out[live[done]] = at[done]
+                go = ~done
+                live, at, code, left, node, bit = live[go], at[go], code[go], left[go], node[go], bit[go]
+            node = self.child[node, bit]
+        return out
 
-    def match(self, text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-        """For the pattern text[s:s + length] of each start: the first row of its interval, or -1 if only one place has it.
+    def matching_statistics(self, text: np.ndarray, end: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end: how many of the symbols of a streamed text before it, up to most, stand together in at least
+        `least` places of the index; and the rows low, high of the index that begin with them.
 
-        Every pattern occurs in the index at least once. Backward search by one symbol a step for all patterns; a
-        pattern leaves the search as soon as its interval has one row, since its matching statistic then ends there.
+        Backward search of all ends at once, one symbol a step; an end drops out when too few places go on. Symbols of
+        sigma or more are not in the index. text needs `most` symbols before each end, or a separator among them.
         """
-        out = np.full(len(start), -1, np.int64)
-        live = np.arange(len(start))
-        symbol = text[start + length - 1]
-        low = self.before[symbol]
-        high = np.concatenate([self.before, [self.n]])[symbol + 1]
-        for back in range(2, length + 2):
-            more = high - low > 1
-            if not more.all():
-                live, low, high = live[more], low[more], high[more]
-            if back > length or not len(live):
+        length, first, last = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64), np.full(len(end), self.n)
+        live, low, high = np.arange(len(end)), first.copy(), last.copy()
+        for back in range(1, most + 1):
+            symbol = text[end[live] - back]
+            known = (symbol > 0) & (symbol < self.sigma)
+            live, low, high, symbol = live[known], low[known], high[known], symbol[known]
+            if back == 1:
+                low, high = self.before[symbol], self.before[symbol + 1]
+            else:
+                both = self.before[np.concatenate([symbol, symbol])] + self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+                low, high = both[: len(live)], both[len(live) :]
+            more = high - low >= least
+            live, low, high = live[more], low[more], high[more]
+            if not len(live):
                 break
-            symbol = text[start[live] + length - back]
-            both = self.before[np.concatenate([symbol, symbol])] + self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-            low, high = both[: len(live)], both[len(live) :]
-        out[live] = low
-        return out
+            length[live], first[live], last[live] = back, low, high
+        return length, first, last

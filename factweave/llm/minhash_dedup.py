@@ -8,36 +8,44 @@
    than 31 of 64 is beyond four standard deviations.
 3. Inside a key's documents the distance is computed in rounds of comparison with a leader, then between the members of
    different leaders; what comes out is at most one edge a document and one near pair for two leaders, never all pairs, and each
-   under the first key that its ends share. Keys with
-   more than `block` documents are dealt into pairs of blocks.
-4. Components of these edges are candidate families. A family's whole texts meet (again in pairs of blocks when there are
-   many), intersections are counted exactly through an inverted index of the shingles, and the links with
-   100 * intersection >= 75 * union are joined into the components that count.
+   under the first key that its ends share.
+4. Components of these edges are candidate families. A family's whole texts meet, intersections are counted exactly through
+   an inverted index of the shingles, and the links with 100 * intersection >= 75 * union are joined into the components
+   that count. Shingles are compared word by word, not by hashes.
 
-Sets are compared by 64-bit shingle hashes. Every key, family and document is handled; there are no caps.
+A key or family of more than `block` documents (or of more than BLOCK_SHINGLES shingles, for whole texts) is dealt into
+blocks. Each block meets the smallest document as well; what it connects with that document is settled there, which is
+linear in the group. Distances obey the triangle inequality (signatures: Hamming; sets: Jaccard), so a document that is not
+settled can only be near those whose distance from the smallest document is within the threshold of its own: only these
+meet again, in pairs of blocks. Every key, family and document is handled; there are no caps.
 
 Cases: null and empty texts have an empty set and are linked with nothing; fewer than five words make one shingle of all;
-null doc_id counts as the largest id (its component_id is null when it is alone); rows that share a doc_id are one node of
-the graph; repeated rows are equal sets; extra columns are ignored; empty table -> no rows.
+a null doc_id is a document of its own, told apart from others by its text, and larger than any id (a component of such
+documents alone has a null component_id; ids must be below 2**62); rows that share a doc_id are one node of the graph;
+repeated rows are equal sets; extra columns are ignored; empty table -> no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import documents, keep
-from .textcols import _WEIGHTS, column, mix, pieces, shingle_sets
+from .tables import documents, keep, with_groups
+from .textcols import _WEIGHTS, Texts, column, exact_grams, gram_mask, lowered, mix, pieces, ranges, shingle_sets, symbols, words
 
 HASHES, CHUNKS, CHUNK_ERRORS = 64, 16, 1
 MOST_ERRORS = CHUNKS * (CHUNK_ERRORS + 1) - 1
-_MAX = np.iinfo(np.int64).max
+#: Shingles of a family's texts that meet in one task, unless one text has more.
+BLOCK_SHINGLES = 1 << 21
+#: Nodes from here on are documents without an id.
+NO_ID = 1 << 62
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -91,11 +99,6 @@ def _emit_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
-def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    skip = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(count) else np.zeros(0, np.int64)
-    return skip + np.arange(len(skip))
-
-
 def near_edges(group: np.ndarray, ids: np.ndarray, low: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, row) that connect, in each group (rows sorted by group), what a chain of distances of MOST_ERRORS or less connects.
 
@@ -130,7 +133,7 @@ def near_edges(group: np.ndarray, ids: np.ndarray, low: np.ndarray, at_once: int
         for s in range(0, len(led), step):
             c = count[s : s + step]
             x = np.repeat(led[s : s + step], c)
-            y = rows[_ranges(after[s : s + step], c)]
+            y = rows[ranges(after[s : s + step], c)]
             near = (low[x] != low[y]).sum(1) <= MOST_ERRORS
             x, y = x[near], y[near]
             one = np.unique(leader[x] * n + leader[y], return_index=True)[1]  # a near pair for each pair of leaders
@@ -176,14 +179,51 @@ def _whole_groups(rows: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def connected(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Component number of each of n rows under the edges (u, v)."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _found(edges: np.ndarray, keys: np.ndarray, ids: np.ndarray, home: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    """Edges, then members of dealt groups, as rows of FOUND."""
+    n, m = len(edges), len(ids)
+    cols = [
+        pa.concat_arrays([pa.array(edges[:, 0]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(edges[:, 1]), pa.nulls(m, pa.int64())]),
+        *(pa.concat_arrays([pa.nulls(n, k), pa.array(x, k)]) for x, k in ((keys, pa.int64()), (ids, pa.int64()), (home, pa.bool_()), (far, pa.float64()))),
+    ]
+    return pa.RecordBatch.from_arrays(cols, ["u", "v", "key", "id", "home", "far"])
+
+
+FOUND = "u long, v long, key long, id long, home boolean, far double"
+
+
 def _near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FOUND rows of (g, key, id, lead, sig) sorted by g: near edges, and where a group has a leader its members."""
     for batch in _whole_groups(rows):
-        sig, ids, key = _matrix(batch.column(3), np.uint16, HASHES), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        u, v = near_edges(batch.column(0).to_numpy(), ids, np.ascontiguousarray(sig.astype(np.uint8)))
+        g, key, ids = (batch.column(i).to_numpy() for i in range(3))
+        sig = _matrix(batch.column(4), np.uint16, HASHES)
+        low = np.ascontiguousarray(sig.astype(np.uint8))
+        u, v = near_edges(g, ids, low)
+        star = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
+        home, far = np.zeros(len(star), bool), np.zeros(len(star))
+        if len(star):
+            label = connected(u, v, len(ids))
+            lead = batch.column(3).fill_null(0).to_numpy()
+            at = np.flatnonzero(ids[star] == lead[star])  # each dealt group has its leader once
+            head = star[at][np.searchsorted(g[star[at]], g[star])]
+            home, far = label[star] == label[head], (low[star] != low[head]).sum(1).astype(float)
         own = first_shared(sig, u, v) == key[u]
-        u, v = ids[u[own]], ids[v[own]]
-        pair = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
+        a, b = ids[u[own]], ids[v[own]]
+        pair = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        yield _found(pair, key[star], ids[star], home, far)
 
 
 def linked(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
@@ -207,7 +247,7 @@ def linked(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
     left = n - 1
     for i in np.argsort(-size, kind="stable"):
         own = place[begin[i] : begin[i + 1]]
-        both = np.bincount(by[_ranges(first[own], length[own])], minlength=n)
+        both = np.bincount(by[ranges(first[own], length[own])], minlength=n)
         near = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (both > 0))
         old = np.unique(label[near])
         if len(old) > 1:
@@ -218,75 +258,129 @@ def linked(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
     return label
 
 
+def whole_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
+    """Each lower-cased text's distinct word k-grams as numbers that are equal for equal words only.
+
+    A text of fewer than k words has none: it can be linked only with a text of the same words, which it is folded with.
+    """
+    t = lowered(Texts(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])))
+    s = words(t)
+    ok = gram_mask(s, k)
+    g = exact_grams(symbols(t, s)[0], k)[ok] if ok.any() else np.zeros(0, np.int64)
+    _, g = np.unique(g, return_inverse=True)
+    owned = np.unique(s.text[: len(ok)][ok] * max(1, len(g)) + g)
+    owner, g = owned // max(1, len(g)), owned % max(1, len(g))
+    return np.split(g, np.searchsorted(owner, np.arange(1, len(texts))))
+
+
 def _confirm(percent: int):
-    def done(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        label, at = linked(sets, percent), np.array(ids)
-        low = np.full(len(at), _MAX)
+    """FOUND rows of (g, key, id, lead, text) sorted by g: links of whole sets, and where a group has a leader its members."""
+
+    def done(key: int, ids: list[int], lead: int | None, texts: list[bytes]) -> pa.RecordBatch:
+        sets, at = whole_sets(texts), np.array(ids)
+        label = linked(sets, percent)
+        low = np.full(len(at), np.iinfo(np.int64).max)
         np.minimum.at(low, label, at)
-        return low[label], at
+        edges = np.column_stack([low[label], at])
+        if lead is None:
+            return _found(edges, *(np.zeros(0, k) for k in (np.int64, np.int64, bool, float)))
+        head = ids.index(lead)
+        both = np.array([len(np.intersect1d(x, sets[head], assume_unique=True)) for x in sets])
+        size = np.array([len(x) for x in sets])
+        return _found(edges, np.full(len(at), key), at, label == label[head], 1 - both / np.maximum(1, size + size[head] - both))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, ids, texts, lead = None, [], [], None
         for batch in rows:
-            us, vs = [], []
-            for t in pieces(column(batch.column(2))):
-                g, bounds = shingle_sets(t)
-                keys, own = batch.column(0)[t.first : t.first + len(t)].to_pylist(), batch.column(1)[t.first : t.first + len(t)].to_pylist()
-                for i, (key, x) in enumerate(zip(keys, own, strict=True)):
-                    if ids and key != now:
-                        for k, part in zip((us, vs), done(ids, sets), strict=True):
-                            k.append(part)
-                        ids, sets = [], []
-                    now = key
-                    ids.append(x)
-                    sets.append(g[bounds[i] : bounds[i + 1]].copy())
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            t = column(batch.column(4))
+            raw = t.data.tobytes()
+            for i, (g, key, x, top) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if ids and (g, key) != now:
+                    yield done(now[1], ids, lead, texts)
+                    ids, texts = [], []
+                now, lead = (g, key), top
+                ids.append(x)
+                texts.append(raw[t.offsets[i] : t.offsets[i + 1]])
         if ids:
-            u, v = done(ids, sets)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield done(now[1], ids, lead, texts)
 
     return run
 
 
-def _in_blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """rows with a column g for each pair of blocks of its key that the row belongs to; one where the key has one block."""
-    blocks = F.ceil(F.col(count) / block)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64(F.col(key), F.least(j, own), F.greatest(j, own)))
-    return rows.withColumn("g", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.col(key)))))
-
+def _links(members: DataFrame, payload: DataFrame, run, limit: float, kind: str, block: int) -> DataFrame:
+    """Edges (u, v) of the groups of members(key, id, lead, blocks), by `run` on (g, key, id, lead, payload's second column).
 
-def minhash_components(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(_MAX))).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    See the module's notes on groups of more than one block. payload has one column besides id.
+    """
+    data = payload.columns[1]
+    held = payload.select(F.col("id").alias("p_id"), data)
+    met = members.join(held, F.col("id") == F.col("p_id"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", j))
+    g = F.when(F.col("blocks") <= 1, F.array("key")).when(F.col("id") == F.col("lead"), every).otherwise(F.array(F.xxhash64("key", own)))
+    dealt = met.select(F.explode(g).alias("g"), "key", "id", F.when(F.col("blocks") > 1, F.col("lead")).alias("lead"), data)
+    found = keep(dealt.repartition("g").sortWithinPartitions("g", "key", "id", data).mapInArrow(run, FOUND))
+    edges, whole = found.where("u is not null").select("u", "v"), found.where("id is not null").select("key", "id", "home", "far")
+    total = whole.count()
+    if not total:
+        return edges
+    apart = F.when(~F.col("home"), F.col("far"))
+    rest = whole.groupBy("key").agg(F.min(apart).alias("lo"), F.max(apart).alias("hi"), F.count(F.lit(1)).alias("size")).where("lo is not null")
+    near = with_groups(whole, rest, {"key": "key"}, ["lo", "hi"], "size", total)
+    open_ = keep(near.where((~F.col("home")) | F.col("far").between(F.col("lo") - limit - 1e-9, F.col("hi") + limit + 1e-9)).where("lo is not null").select("key", "id").distinct())
+    size = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    again = with_groups(open_, size.select(F.col("key").alias("s_key"), "n"), {"key": "s_key"}, ["n"], "n", max(1, open_.count()))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")
+    mine = F.pmod(F.xxhash64("id"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64(F.lit(kind), F.col("key"), F.least(j, mine), F.greatest(j, mine)))
+    meets = again.join(held, F.col("id") == F.col("p_id")).select(F.explode(pairs).alias("g"), "key", "id", F.lit(None).cast("long").alias("lead"), data)
+    crossed = meets.repartition("g").sortWithinPartitions("g", "key", "id", data).mapInArrow(run, FOUND).select("u", "v")
+    return edges.unionByName(crossed)
+
+
+def _node(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NO_ID)))
+
+
+def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id, n, component of each row of docs as nodes (a null doc_id is a number from NO_ID on)."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(_node(F.col(f"`{id_col}`").cast("long"), text).alias("id"), text.alias("text"))
     profile = keep(rows.mapInArrow(_profile, "id long, n long, h1 long, h2 long, sig binary"))
-    folded = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    folded = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("size"))
     reps = keep(folded)
     keys = reps.select("id", "sig").mapInArrow(_emit_keys, "key long, id long")
-    shared = keys.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows_of_keys = keys.join(shared, F.col("key") == F.col("s_key")).select("key", "members", "id")
-    signed = rows_of_keys.join(reps.select(F.col("id").alias("r_id"), "sig"), F.col("id") == F.col("r_id")).select("key", "members", "id", "sig")
-    dealt = _in_blocks(signed, "key", "members", block).select("g", "id", "key", "sig").repartition("g").sortWithinPartitions("g", "id")
-    families = components(dealt.mapInArrow(_near, "u long, v long"))
-    sizes = families.groupBy(F.col("component").alias("s_component")).agg(F.count(F.lit(1)).alias("members"))
-    wanted = families.join(sizes, F.col("component") == F.col("s_component")).select("component", "members", F.col("id").alias("w_id"))
-    texts = rows.join(wanted, F.col("id") == F.col("w_id")).select("component", "members", "id", "text")
-    met = _in_blocks(texts, "component", "members", block).select("g", "id", "text").repartition("g").sortWithinPartitions("g")
-    final = components(met.mapInArrow(_confirm(percent), "u long, v long"))
-    known = reps.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn"), F.col("id").alias("rep"))
-    out = profile.select("id", "n", "h1", "h2").join(known, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("n") == F.col("rn")), "left")
-    out = out.join(final.select(F.col("id").alias("f_id"), "component"), F.col("rep") == F.col("f_id"), "left")
-    component = F.coalesce("component", "rep", "id")
-    back = lambda c: F.when(c != int(_MAX), c)
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    one = F.lit(1).cast("long")
+    shared = keys.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("lead")).where("members > 1")
+    shared = shared.withColumn("blocks", F.greatest(one, F.ceil(F.col("members") / block)).cast("long"))
+    n_keys = reps.count() * CHUNKS * comb(HASHES // CHUNKS, CHUNK_ERRORS)
+    of_keys = with_groups(keys, shared, {"key": "s_key"}, ["lead", "blocks"], "members", n_keys).where("lead is not null")
+    families = components(_links(of_keys, reps.select("id", "sig"), _near, MOST_ERRORS, "near", block))
+    heavy = families.join(reps.select(F.col("id").alias("r_id"), "n"), F.col("id") == F.col("r_id")).select("component", "id", "n")
+    sizes = heavy.groupBy(F.col("component").alias("key")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    sizes = sizes.withColumn("blocks", F.greatest(one, F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long"))
+    of_families = heavy.join(sizes, F.col("component") == F.col("key")).select("key", "id", F.col("key").alias("lead"), "blocks")
+    final = components(_links(of_families, rows, _confirm(percent), 1 - percent / 100, "confirm", block))
+    known = reps.join(final.select(F.col("id").alias("f_id"), "component"), F.col("id") == F.col("f_id"), "left")
+    known = known.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn"), F.coalesce("component", "id").alias("component"), "size")
+    # Rows without a set have no group; they go on under keys of their own.
+    apart = profile.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.monotonically_increasing_id()).alias("h1"), "h2")
+    out = with_groups(apart, known, {"h1": "r1", "h2": "r2", "n": "rn"}, ["component"], "size", max(1, profile.count()))
+    return out.select("id", "n", F.coalesce("component", "id").alias("component"))
+
+
+def minhash_components(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    back = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    nodes = minhash_nodes(docs, percent, block, text_col, id_col)
+    return nodes.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose component they lead (the smallest id), with docs' own columns."""
-    kept = minhash_components(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("k_id"))
-    whole = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
-    return whole.join(kept, F.col("id").eqNullSafe(F.col("k_id")), "left_semi").select("row.*")
+    kept = minhash_nodes(docs, text_col=text_col, id_col=id_col, **options).where("id = component").select(F.col("id").alias("k_id"))
+    whole = docs.select(F.struct("*").alias("row"), _node(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).alias("id"))
+    return whole.join(kept, F.col("id") == F.col("k_id"), "left_semi").select("row.*")
 
 
 def op8_minhash_dedup(spark, sf_dir):

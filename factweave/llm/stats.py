@@ -1,7 +1,8 @@
 """Statistics of whole texts that the quality rules (op3) and the quality classifier (op5) read.
 
 One pass over the text column in Arrow batches; a batch is worked on in pieces of about a megabyte, so a task needs
-memory for one batch of text and one piece, whatever the table's size. Null and empty texts have zero counts.
+memory for one batch of text and one piece, whatever the table's size. Words, windows and lines are compared by their
+bytes. Null and empty texts have zero counts; repeated rows, rows that share an id and rows without one are measured each.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Texts, code_points, column, gram_mask, grams, hashes, lines, mix, per_text, pieces, words
+from .textcols import Spans, Texts, code_points, column, exact_grams, gram_mask, lines, per_text, pieces, symbols, words
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_points", "n_lines", "n_upper", "n_digits",
@@ -28,6 +29,14 @@ SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _PUNCT = np.frombuffer(b".,;:!?", np.uint8)
 
 
+def _different(text: np.ndarray, number: np.ndarray, width: int, n: int) -> np.ndarray:
+    """How many different numbers (below width) each of n texts has."""
+    x = np.sort(text * width + number)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.bincount(x[new] // max(1, width), minlength=n)
+
+
 def measure(t: Texts) -> dict[str, np.ndarray]:
     """Counts of each text, and its byte entropy in bits."""
     n, lens = len(t), np.diff(t.offsets)
@@ -36,32 +45,28 @@ def measure(t: Texts) -> dict[str, np.ndarray]:
     share = by_byte / np.maximum(lens, 1)[:, None]
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
     s = words(t)
-    h = hashes(t, s)
     points = code_points(t)
-    own = s.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    distinct = np.sort(mix(h ^ own))
-    order = np.argsort(mix(h ^ own), kind="stable")
-    first = np.ones(len(h), bool)
-    first[order[1:]] = distinct[1:] != distinct[:-1]
-    ok = gram_mask(s, 3)
-    at = np.flatnonzero(ok)
-    g = mix(grams(h, 3)[ok] ^ own[: len(ok)][ok])
-    order = np.argsort(g)
-    g = g[order]
+    number, one = symbols(t, s)
+    n_distinct = _different(s.text, number, len(one), n)
+    at = np.flatnonzero(gram_mask(s, 3))
+    g = exact_grams(number, 3)[at] if len(at) else at
+    # Equal windows in order of place, so those of one text lie together.
+    order = np.argsort(g, kind="stable")
+    g, owner3 = g[order], s.text[at[order]]
     twin = np.zeros(len(g) + 1, bool)
-    twin[1:-1] = g[1:] == g[:-1]
+    twin[1:-1] = (g[1:] == g[:-1]) & (owner3[1:] == owner3[:-1])
     again = at[order[twin[1:] | twin[:-1]]]
-    cover = np.zeros(len(h) + 1, np.int64)
+    cover = np.zeros(len(number) + 1, np.int64)
     np.add.at(cover, again, 1)
-    np.add.at(cover, again + 3, -1) if len(again) else None
+    np.add.at(cover, again + 3, -1)
     repeated = np.cumsum(cover)[:-1] > 0
     ln = lines(t)
-    lh = mix(hashes(t, ln) ^ (ln.text.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
     ink = np.concatenate([[0], np.cumsum(np.bincount(s.start, minlength=len(t.data)) if len(t.data) else np.zeros(0, int))])
     full = ink[ln.end] > ink[ln.start]
-    kept_hash, kept_text = lh[full], ln.text[full]
-    _, at_first = np.unique(kept_hash, return_index=True)
-    n_full = np.bincount(kept_text, minlength=n)
+    with_ink = Spans(ln.start[full], ln.end[full], ln.text[full], ln.bounds)
+    line, lines_ = symbols(t, with_ink)
+    n_full = np.bincount(with_ink.text, minlength=n)
+    n_different = _different(with_ink.text, line, len(lines_), n)
     last = t.data[s.end - 1]
     head = t.data[s.start]
     width = points[s.end] - points[s.start]
@@ -73,7 +78,7 @@ def measure(t: Texts) -> dict[str, np.ndarray]:
         "n_words": s.counts,
         "word_chars": per_text(s.bounds, width),
         "n_symbols": by_byte[:, SYMBOLS].sum(1),
-        "n_dup_lines": n_full - np.bincount(kept_text[at_first], minlength=n),
+        "n_dup_lines": n_full - n_different,
         "n_repeat_words": per_text(s.bounds, repeated),
         "n_points": points[t.offsets[1:]] - points[t.offsets[:-1]],
         "n_lines": ln.counts,
@@ -81,7 +86,7 @@ def measure(t: Texts) -> dict[str, np.ndarray]:
         "n_digits": by_byte[:, 48:58].sum(1),
         "n_punct": by_byte[:, _PUNCT].sum(1),
         "n_high": by_byte[:, 0xC0:].sum(1),
-        "n_distinct": per_text(s.bounds, first),
+        "n_distinct": n_distinct,
         "n_ended": per_text(s.bounds, np.isin(last, _PUNCT)),
         "n_capital": per_text(s.bounds, (head >= 65) & (head <= 90)),
         "n_text_lines": n_full,

@@ -24,12 +24,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared checkpoint folder; executors that are lost later cost nothing.
 
-    The folder is what the session's spark.checkpoint.dir names. Only where that is unset, as in tests on one
-    machine, is one made here.
+    The folder is what the session's spark.checkpoint.dir names. Where that is unset, a session on one machine gets a
+    temporary one, and a cluster gets an error, as its executors share no local folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factweave-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factweave-ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -44,9 +47,41 @@ def crc_of_id(doc_id: int | None) -> int:
 
 
 def hashed_sample(df: DataFrame, rows: int, *cols: str):
-    """About `rows` rows of a kept table (all of them if it has no more) as pandas, sorted by doc_id: those whose hash of
-    doc_id falls below rows / count. The executors filter; the driver gets the sample alone, at most a tenth more than rows.
+    """The `rows` rows of a kept table with the smallest hashes of doc_id and cols (all rows if it has no more), as pandas.
+
+    Executors pass on the rows below a hash that leaves a few more than asked for, so the driver gets a bounded number.
+    Where equal rows make that too few, the smallest are taken from all rows. The rows are the same however the table is
+    partitioned, a table that has rows gives rows, and null or repeated ids are rows like others.
     """
+    names = ["doc_id", *cols]
     n = df.count()
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, rows / max(n, 1))))
-    return df.where(share).select("doc_id", *cols).limit(rows + max(64, rows // 10)).toPandas().sort_values(["doc_id", *cols], kind="stable")
+    order = F.xxhash64(F.lit("sample"), *names)
+    hashed = df.select(*names, order.alias("h_order"))
+    if n > rows:
+        share = min(1.0, (rows + 6 * rows**0.5 + 64) / n)
+        below = hashed.where(F.col("h_order") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1024))))
+        got = below.orderBy("h_order", *names).limit(rows).toPandas()
+        if len(got) < rows:
+            got = hashed.orderBy("h_order", *names).limit(rows).toPandas()
+    else:
+        got = hashed.toPandas()
+    return got.drop(columns="h_order").sort_values(names, kind="stable")
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], values: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """rows with the columns values of the one row of groups whose columns on[k] equal their columns k; null where none does.
+
+    Groups of at least 1 / share of `total` (by their column size; they sum to total at most, so they are no more than
+    share in number) are broadcast and answer their rows in place. Those rows go through the join of the others under a
+    key that no group has, so that they lie on all partitions.
+    """
+    g = lambda c, kind: F.col(c).alias(f"{kind}_{c}")
+    columns = list(dict.fromkeys([*on.values(), *values]))
+    hot = groups.where(F.col(size) * share >= max(total, share)).select(*(g(c, "hot") for c in columns), F.lit(True).alias("is_hot"))
+    match = lambda kind, col: [col(k) == F.col(f"{kind}_{c}") for k, c in on.items()]
+    met = rows.join(F.broadcast(hot), match("hot", F.col), "left")
+    spread = F.when(F.col("is_hot").isNull(), F.lit(0)).otherwise(1 + F.monotonically_increasing_id())
+    met = met.withColumn("spread", spread)
+    found = met.join(groups.select(*(g(c, "g") for c in columns), F.lit(0).cast("long").alias("g_spread")), [*match("g", F.col), F.col("spread") == F.col("g_spread")], "left")
+    out = [F.when(F.col("is_hot"), F.col(f"hot_{c}")).otherwise(F.col(f"g_{c}")).alias(c) for c in values]
+    return found.select(*rows.columns, *out)

@@ -2,11 +2,13 @@
 
 A batch of texts is one byte buffer with offsets; every function here works on that buffer at once, with no loop over
 words. Words are maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D), which in UTF-8 is the same as
-runs of code points. Hashes have 64 bits: a polynomial over the word's bytes, finished by a bijective mixer.
+runs of code points. Hashes have 64 bits and chain a non-linear mixer over eight bytes at a time, so no pattern in a text
+makes two of them meet; where a result must not hang on them at all, symbols() numbers spans by their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,20 +21,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
-_R = 0x9E3779B97F4A7C15
-_RINV = pow(_R, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64, grown as needed."""
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_R, _RINV)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 256
+_SEED, _STEP = np.uint64(0x243F6A8885A308D3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,12 +113,95 @@ def lines(t: Texts) -> Spans:
     return Spans(start, end, np.repeat(np.arange(len(t)), counts), bounds)
 
 
+def _eights(t: Texts) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the last byte."""
+    padded = np.concatenate([t.data, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.ndarray(len(t.data) + 1, "<u8", padded, strides=(1,)))
+
+
+def _ends(left: np.ndarray) -> np.ndarray:
+    """Masks of the low min(8, left) bytes; left is 1 or more."""
+    return ~np.uint64(0) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8))
+
+
 def hashes(t: Texts, s: Spans) -> np.ndarray:
-    """64-bit hash of each span's bytes: prefix sums of byte * base**position, shifted back to position 0."""
-    up, down = _pow(len(t.data) + 1)
-    total = np.zeros(len(t.data) + 1, np.uint64)
-    np.cumsum((t.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[s.end] - total[s.start]) * down[s.start])
+    """64-bit hash of each span's bytes and length."""
+    eights, size = _eights(t), s.end - s.start
+    out = mix(size.astype(np.uint64) * _STEP ^ _SEED)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = s.start[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ ((eights[at] & _ends(left)) * _STEP))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(t.data[s.start[i] : s.end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(t: Texts, s: Spans, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span that other names."""
+    eights, size = _eights(t), s.end - s.start
+    same = size == size[other]
+    live = np.flatnonzero(same & (size > 0) & (size <= LONG_SPAN) & (other != np.arange(len(size))))
+    at, to, left = s.start[live], s.start[other[live]], size[live]
+    while len(live):
+        differ = (eights[at] ^ eights[to]) & _ends(left) != 0
+        same[live[differ]] = False
+        more = (left > 8) & ~differ
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+    for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        j = other[i]
+        same[i] = i == j or np.array_equal(t.data[s.start[i] : s.end[i]], t.data[s.start[j] : s.end[j]])
+    return same
+
+
+def symbols(t: Texts, s: Spans, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal for equal bytes only, and one span of each number.
+
+    Spans are sorted by hash and each is compared with the bytes of its number's span; should two different ones share a
+    hash, those that differ are numbered by a dictionary.
+    """
+    h = hashes(t, s) if h is None else h
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    one = order[new]
+    odd = np.flatnonzero(~same_bytes(t, s, one[number])) if len(h) else order
+    if len(odd):
+        known: dict[bytes, int] = {}
+        added = []
+        for i in odd.tolist():
+            raw = t.data[s.start[i] : s.end[i]].tobytes()
+            if raw not in known:
+                known[raw] = len(one) + len(known)
+                added.append(i)
+            number[i] = known[raw]
+        one = np.concatenate([one, added])
+    return number, one
+
+
+def exact_grams(number: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k consecutive symbols (across texts as well), equal for equal ones only."""
+    m = len(number) - k + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    width = int(number.max()) + 1
+    out, most = number[:m], width
+    for j in range(1, k):
+        if most * width >= 1 << 63:  # no room for another digit: number anew
+            _, out = np.unique(out, return_inverse=True)
+            most = m
+        out, most = out * width + number[j : j + m], most * width
+    return out
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] values each, one after another."""
+    skip = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(count) else np.zeros(0, np.int64)
+    return skip + np.arange(len(skip))
 
 
 _WEIGHTS = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)

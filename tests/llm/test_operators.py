@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factweave.llm import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, substring_dedup
+from factweave.llm import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, stats, substring_dedup, textcols
+from factweave.llm.fm_index import FMIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -43,9 +44,20 @@ def _rows() -> list[tuple]:
     rows = [(i, t, "en", ["a", "b", None, "a", "a"][i % 5], 0, False, "h", -1, "r", -i) for i, t in enumerate(texts)]
     rows += [rows[3], rows[40], rows[40]]  # repeated rows
     rows.append((None, "a text of a row without id", "en", "b", 0, True, "h", 7, "r", 1))
+    # Words and word sequences that polynomial hashes modulo a power of two cannot tell apart, and a text of over a megabyte.
+    x, y = _morse("ab"), _morse("ba")
+    head = " ".join(f"w{k}" for k in range(19))
+    odd = [f"{head} {x}", f"{head} {y}", f"p q r s {x}", f"p q r s {y}", f"{x}\n{y}", f"{x}\n{x}", " ".join(x), " ".join(y)]
+    odd.append(" ".join(f"{k:x}" for k in range(180_000)) + " " + passage)
+    rows += [(1000 + i, t, "en", "c", 0, False, "h", -1, "r", -i) for i, t in enumerate(odd)]
     return rows
 
 
+def _morse(letters: str, n: int = 2048) -> str:
+    """The Thue-Morse word over two letters."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
 ROWS = _rows()
 TEXTS = [(r[0], r[1]) for r in ROWS]
 
@@ -233,12 +245,17 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_near_duplicates(docs, empty, block):
+def _shingles(texts):
     sets = {}
-    for i, t in TEXTS:
+    for i, t in texts:
         w = WORD.findall((t or "").translate(LOWER))
         sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    return sets
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates(docs, empty, block):
+    sets = _shingles(TEXTS)
     top = {i: i for i in sets}
 
     def find(x):
@@ -284,7 +301,8 @@ def test_near_pair_whose_leaders_are_far_apart():
     assert {(i, j) for i in range(4) for j in range(i) if not far[i, j]} == {(2, 0), (3, 1), (3, 2)}
     keys = m.chunk_keys(sig).view(np.int64)
     rows = sorted((int(k), i) for i in range(4) for k in keys[i])
-    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([i for _, i in rows]), pa.array([k for k, _ in rows]), pa.array([sig[i].tobytes() for _, i in rows])], ["g", "id", "key", "sig"])
+    key = pa.array([k for k, _ in rows])
+    batch = pa.RecordBatch.from_arrays([key, key, pa.array([i for _, i in rows]), pa.nulls(len(rows), pa.int64()), pa.array([sig[i].tobytes() for _, i in rows])], ["g", "key", "id", "lead", "sig"])
     label = list(range(4))
     for out in m._near(iter([batch])):
         for u, v in zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True):
@@ -371,38 +389,68 @@ def test_packing_keeps_its_constraints(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2, 5000])
-def test_substring_dedup(docs, empty, hot):
+def _without_repeats(texts):
     first = {}
-    order = sorted({(i, t) for i, t in TEXTS}, key=lambda x: (x[0] is None, x[0]))
+    order = sorted(set(texts), key=lambda x: (x[0] is None, x[0]))
     for i, t in order:
         w = words(t)
         for s in range(len(w) - 19):
             first.setdefault(tuple(w[s : s + 20]), (i, s))
     want = []
-    for i, t in TEXTS:
+    for i, t in texts:
         w = words(t)
         gone = {k for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] != (i, s) for k in range(s, s + 20)}
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return want
+
+
+@pytest.mark.parametrize("hot", [2, 5000])
+def test_substring_dedup(docs, empty, hot):
+    want = _without_repeats(TEXTS)
     assert sum(x[2] for x in want) > 300
     assert collected(substring_dedup.substring_dedup(docs, hot), "doc_id", "n_words", "n_removed", "text") == expected(want)
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_fm_index_counts():
-    import numpy as np
-
-    from factweave.llm.fm_index import FMIndex
-
+def test_fm_index_against_counting():
     rng = np.random.default_rng(5)
-    text = np.concatenate([np.append(rng.integers(1, 4, 60), 0) for _ in range(5)])
-    index = FMIndex(text, 4, 6)
-    start = np.array([s for s in range(len(text) - 5) if (text[s : s + 6] > 0).all()])
-    row = index.match(text, start, 6)
-    where = defaultdict(list)
-    for s in start:
-        where[tuple(text[s : s + 6])].append(s)
-    for s, r in zip(start, row, strict=True):
-        mates = where[tuple(text[s : s + 6])]
-        assert (r < 0) == (len(mates) == 1)
-        assert {int(x) for x, y in zip(start, row, strict=True) if y == r and r >= 0} == (set(map(int, mates)) if len(mates) > 1 else set())
+    for sigma, n in ((2, 3), (4, 60), (40, 60)):
+        text = np.concatenate([np.append(rng.integers(1, sigma, n), 0) for _ in range(5)])
+        index = FMIndex(text, sigma, 6)
+        stands = lambda x: sum((text[i : i + len(x)] == x).all() for i in range(len(text) - len(x) + 1))  # noqa: B023, E731
+        for least in (1, 2):  # a streamed text that also has symbols of its own, and one that is part of the index
+            for stream in (np.concatenate([np.zeros(6, int), rng.integers(1, sigma + 2, 60)]), text):
+                ends = np.arange(6, len(stream) + 1)
+                for e, length, low, high in zip(ends, *index.matching_statistics(stream, ends, 6, least), strict=True):
+                    k = 0
+                    while k < 6 and stream[e - k - 1] > 0 and stands(stream[e - k - 1 : e]) >= least:
+                        k += 1
+                    assert k == length and (k == 0 or high - low == stands(stream[e - k : e]))
+
+
+@pytest.mark.parametrize("bytes_", [300, 16 << 20])
+def test_repeats_between_batches_and_shards(spark, monkeypatch, bytes_):
+    # One passage in most documents, one phrase in many contexts, in small batches and with every minimiser hot, or not.
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    passage, phrase = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(8))
+    texts = [" ".join([*(word() for _ in range(12)), passage if i % 3 else phrase, *(word() for _ in range(15))]) for i in range(90)]
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", bytes_)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = _without_repeats(list(enumerate(texts)))
+    assert sum(x[2] for x in want) >= 59 * 30
+    for hot in (1, 5000):
+        assert collected(substring_dedup.substring_dedup(frame, hot), "doc_id", "n_words", "n_removed", "text") == expected(want)
+
+
+def test_windows_are_compared_by_their_words(monkeypatch):
+    # Even if all words had one hash, windows of different words would not be repeats.
+    monkeypatch.setattr(textcols, "hashes", lambda t, s: np.zeros(len(s.start), np.uint64))
+    a, b = " ".join(f"x{i}" for i in range(25)), " ".join(f"y{i}" for i in range(25))
+    place = np.zeros(3, substring_dedup._PLACE)
+    place["doc"], place["n"] = (1, 2, 3), 6
+    owner, offset, late = substring_dedup.search(place, textcols.column([a, b, a]))
+    assert late.tolist() == [False] * 12 + [True] * 6
+    assert stats.measure(textcols.column(["x\ny\nx y z"]))["n_dup_lines"].tolist() == [0]
+    sets = minhash_dedup.whole_sets([a.encode(), b.encode(), a.encode()])
+    assert np.array_equal(sets[0], sets[2]) and not set(sets[0]) & set(sets[1])
