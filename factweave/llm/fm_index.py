@@ -2,7 +2,7 @@
 
 Symbols are 0 .. sigma-1; 0 separates the indexed pieces and is in no pattern. The Burrows-Wheeler transform is stored as the
 bits of a wavelet tree whose paths are the symbols' Shannon codes, so that a frequent symbol takes few bits (n (H0 + 1) bits
-at most for n symbols), with a directory of a quarter of that. The suffixes are sorted by their first `depth` symbols only,
+at most for n symbols), with a directory of half of that. The suffixes are sorted by their first `depth` symbols only,
 which is exact for every pattern of at most that length.
 """
 
@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Masks of the bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by depth or more symbols that begin there; beyond the end sorts first."""
@@ -70,41 +73,39 @@ class FMIndex:
             node = np.repeat(nodes + np.arange(len(at)), np.diff(np.append(at, len(edge))))
             nodes, level = nodes + len(at), level + 1
         every = np.concatenate(bits) if bits else np.zeros(0, bool)
-        # 64 bits a word, 4 words a block: a count for each block, and for each word the ones before it in its block.
-        self.words = np.packbits(np.concatenate([every, np.zeros(-len(every) % 256 + 256, bool)]), bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(self.words).reshape(-1, 4)
-        self.inside = (np.cumsum(ones, 1, dtype=np.uint8) - ones).ravel()
-        self.blocks = np.concatenate([[0], np.cumsum(ones.sum(1, dtype=np.int64))])[:-1].astype(np.uint32 if len(every) < 1 << 32 else np.int64)
+        # 64 bits a word, and for each word the set bits before it.
+        self.words = np.packbits(np.concatenate([every, np.zeros(-len(every) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        self.counts = np.zeros(len(self.words), np.uint32 if len(every) < 1 << 32 else np.int64)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.counts[1:])
         self.start, self.child = np.concatenate(starts), np.concatenate(child)
         self.ones = self._ones(self.start)
 
     def _ones(self, at: np.ndarray) -> np.ndarray:
         """Set bits before each position."""
         word = at >> 6
-        part = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return self.blocks[word >> 2].astype(np.int64) + self.inside[word] + np.bitwise_count(part)
+        return np.bitwise_count(self.words[word] & _BELOW[at & 63]) + self.counts[word]
 
     @property
     def bits(self) -> int:
         """Size of the tree with its directory and nodes."""
-        return 8 * sum(x.nbytes for x in (self.words, self.inside, self.blocks, self.start, self.ones, self.child))
+        return 8 * sum(x.nbytes for x in (self.words, self.counts, self.start, self.ones, self.child))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often symbol stands in the first `at` places of the transform."""
-        out = np.empty(len(at), np.int64)
-        live, node, at = np.arange(len(at)), np.zeros(len(at), np.int64), at.astype(np.int64)
-        code, left = self.code[symbol], self.size[symbol]
-        while len(live):
-            ones = self._ones(self.start[node] + at) - self.ones[node]
-            left = left - 1
-            bit = (code >> left) & 1
-            at = np.where(bit == 1, ones, at - ones)
-            done = left == 0
-            if done.any():
-                out[live[done]] = at[done]
-                go = ~done
-                live, at, code, left, node, bit = live[go], at[go], code[go], left[go], node[go], bit[go]
-            node = self.child[node, bit]
+        """How often symbol[i] stands in the first at[..., i] places of the transform; at may have several rows."""
+        # The longest paths first, so that those still on their way are a prefix at each level.
+        order = np.argsort(-self.size[symbol])
+        symbol, at = symbol[order], at[..., order].astype(np.int64)
+        code, left, node = self.code[symbol], self.size[symbol], np.zeros(len(symbol), np.int64)
+        going = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), "left")
+        for live in going.tolist():
+            place, where = at[..., :live], node[:live]
+            ones = self._ones(self.start[where] + place) - self.ones[where]
+            left[:live] -= 1
+            bit = (code[:live] >> left[:live]) & 1
+            at[..., :live] = np.where(bit == 1, ones, place - ones)
+            node[:live] = self.child[where, bit]
+        out = np.empty_like(at)
+        out[..., order] = at
         return out
 
     def matching_statistics(self, text: np.ndarray, end: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,8 +124,7 @@ class FMIndex:
             if back == 1:
                 low, high = self.before[symbol], self.before[symbol + 1]
             else:
-                both = self.before[np.concatenate([symbol, symbol])] + self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-                low, high = both[: len(live)], both[len(live) :]
+                low, high = self.before[symbol] + self.rank(symbol, np.stack([low, high]))
             more = high - low >= least
             live, low, high = live[more], low[more], high[more]
             if not len(live):

@@ -7,9 +7,10 @@ minimiser (the smallest hash of its 5-grams), so equal windows always meet and n
    shards; a task sends one row for a minimiser, with a count if it has several places. Only the segments whose
    minimiser has two places or more go on.
 2. These segments' words are fetched by a join with the documents. Each task builds a wavelet-tree FM-index of the segments
-   that it holds, streams them through backward search, and reads matching statistics: a window whose statistic reaches
-   20 words stands in all places of its interval, and all but the earliest are repeats. What is not a repeat yet goes, as text,
-   to the minimiser's shard, where an index of all tasks' segments is searched in the same way.
+   that share a minimiser among those it holds, streams them through backward search, and reads matching statistics: a
+   window whose statistic reaches 20 words stands in all places of its interval, and all but the earliest are repeats. What
+   is not a repeat yet goes, as text, to the minimiser's shard, where an index of all tasks' segments is searched in the same
+   way.
    The windows of a minimiser that has more than hot_segments places and a millionth of all places are sent one by one to
    the shard of the window's own hash (the list of such minimisers, at most a million, goes to all tasks). A common passage
    so arrives once from each batch of a task, and the windows around a common phrase spread over all shards.
@@ -45,7 +46,7 @@ BATCH_BYTES = 16 << 20
 #: Bytes of places, or of segments, that a shard holds on average.
 SHARD_BYTES = 16 << 20
 #: Windows that are searched at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 15
 MOST_HOT = 1_000_000
 _NULL_ID = np.iinfo(np.int64).max
 _PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("kind", "<i1")])
@@ -167,6 +168,23 @@ def _meet(hot_segments: int):
     return run
 
 
+def _alike(number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each segment one with the same words, itself or another."""
+    own = np.repeat(np.arange(len(size)), size)
+    h = mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(number)) - begin[own]).astype(np.uint64))
+    h = mix(np.add.reduceat(h, begin[:-1]) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+    order = np.argsort(h)
+    at = _starts(h[order])
+    like = np.empty(len(size), np.int64)
+    like[order] = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    other = np.flatnonzero((like != np.arange(len(size))) & (size[like] == size))
+    differs = number[ranges(begin[other], size[other])] != number[ranges(begin[like[other]], size[other])]
+    alone = np.ones(len(size), bool)
+    if len(other):
+        alone[other] = np.logical_or.reduceat(differs, np.concatenate([[0], np.cumsum(size[other])[:-1]]))
+    return np.where(alone, np.arange(len(size)), like)
+
+
 def search(place: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of the segments (place i has the words of text i): its segment, its number in it, and whether it
     also begins earlier in these segments.
@@ -182,17 +200,21 @@ def search(place: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndar
     index = FMIndex(text, len(one) + 1, WINDOW)
     owner = np.repeat(np.arange(len(place)), place["n"])
     offset = ranges(np.zeros(len(place), np.int64), place["n"].astype(np.int64))
-    end = begin[owner] + owner + offset + WINDOW
-    interval = np.full(len(end), -1, np.int64)
+    like = _alike(number, begin, size)
+    asked = like[owner] == owner  # segments of the same words have the same intervals: each is searched once
+    end = (begin[owner] + owner + offset + WINDOW)[asked]
+    found = np.full(len(end), -1, np.int64)
     for i in range(0, len(end), AT_ONCE):
         length, low, _ = index.matching_statistics(text, end[i : i + AT_ONCE], WINDOW, 2)
-        interval[i : i + AT_ONCE] = np.where(length == WINDOW, low, -1)
+        found[i : i + AT_ONCE] = np.where(length == WINDOW, low, -1)
+    first = np.concatenate([[0], np.cumsum(place["n"], dtype=np.int64)])
+    interval = found[(np.cumsum(asked) - 1)[first[like[owner]] + offset]]
     hit = np.flatnonzero(interval >= 0)
     doc, rid, start = place["doc"][owner[hit]], place["rid"][owner[hit]], place["start"][owner[hit]] + offset[hit]
     order = np.lexsort((start, rid, doc, interval[hit]))
     at = _starts(interval[hit][order])
     lead = np.repeat(order[at], np.diff(np.append(at, len(order))))
-    late = np.zeros(len(end), bool)
+    late = np.zeros(len(owner), bool)
     late[hit[order]] = (doc[order] != doc[lead]) | (rid[order] != rid[lead]) | (start[order] != start[lead])
     return owner, offset, late
 
@@ -221,7 +243,11 @@ def _send_words(shards: int, hot: np.ndarray):
     """Searches the asked segments of each batch; repeats go on as segments without text, the rest to shards with it."""
 
     def sent(place: np.ndarray, t: Texts) -> pa.RecordBatch:
-        owner, offset, late = search(place, t)
+        owner, offset = np.repeat(np.arange(len(place)), place["n"]), ranges(np.zeros(len(place), np.int64), place["n"].astype(np.int64))
+        late = np.zeros(len(owner), bool)
+        _, at, count = np.unique(place["key"], return_inverse=True, return_counts=True)
+        if len(met := np.flatnonzero(count[at] > 1)):  # a minimiser with one segment here has its repeats elsewhere
+            late[np.isin(owner, met)] = search(place[met], _cut(t, t.offsets[met], t.offsets[met + 1]))[2]
         repeats, _ = _runs(place, owner, offset, late)
         is_hot = np.isin(place["key"], hot)
         rest, own = _runs(place, owner, offset, ~late, is_hot)
