@@ -1,7 +1,7 @@
 """Substring de-duplication: words covered by a 20-word window that also begins earlier are removed.
 
 A compressed FM-index per shard, where a shard holds whatever can match: every window belongs to the shard of its
-minimiser (the smallest hash of its 5-grams), so equal windows always meet and no document is compared with every shard.
+minimiser (the smallest hash of its 7-grams), so equal windows always meet and no document is compared with every shard.
 
 1. Each text is cut into segments, runs of consecutive windows with the same minimiser. Minimisers are counted in their
    shards; a task sends one row for a minimiser, with a count if it has several places. Only the segments whose
@@ -19,7 +19,8 @@ minimiser (the smallest hash of its 5-grams), so equal windows always meet and n
 Windows are judged on the input. Hashes only say where segments meet; there, words are compared by their bytes. "Earlier" means
 a smaller doc_id (null counts as the largest), then a smaller hash of the text, then an earlier start.
 
-Memory: a task's index holds BATCH_BYTES of segments, a shard's about SHARD_BYTES; the number of shards follows from the data.
+Memory: a task holds BATCH_BYTES of segments, a shard about SHARD_BYTES; the number of shards follows from the data. An index
+holds INDEX_BYTES, all segments of its minimisers among them.
 
 Cases: null and empty texts and texts under 20 words lose nothing; rows that share a doc_id, or have none, are documents of
 their own, told apart by a hash of the text; repeated rows (same id and text) are one place, so neither removes the other;
@@ -40,11 +41,13 @@ from .fm_index import FMIndex
 from .tables import documents, keep
 from .textcols import Texts, column, gram_mask, grams, hashes, mix, pieces, ranges, symbols, words
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 7
 #: Text of so many bytes is gathered before its minimisers are sent off, and of segments before they are searched.
 BATCH_BYTES = 16 << 20
 #: Bytes of places, or of segments, that a shard holds on average.
 SHARD_BYTES = 16 << 20
+#: Bytes of segments that one index holds, unless one minimiser has more: small enough for a processor's cache.
+INDEX_BYTES = 1 << 20
 #: Windows that are searched at once.
 AT_ONCE = 1 << 15
 MOST_HOT = 1_000_000
@@ -52,7 +55,7 @@ _NULL_ID = np.iinfo(np.int64).max
 _PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("kind", "<i1")])
 #: Kinds of a place: the only one of its key in its batch, a count of several (n), one of several.
 ONE, COUNT, SEVERAL = 0, 1, 2
-_SEGMENT = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("size", "<i4")])
+_SEGMENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("size", "<i4")])
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -168,29 +171,44 @@ def _meet(hot_segments: int):
     return run
 
 
-def _alike(number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each segment one with the same words, itself or another."""
-    own = np.repeat(np.arange(len(size)), size)
-    h = mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(number)) - begin[own]).astype(np.uint64))
-    h = mix(np.add.reduceat(h, begin[:-1]) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+def _alike(text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each window (WINDOW symbols from start on) one with the same symbols, itself or another."""
+    h = grams(mix(text.astype(np.uint64)), WINDOW)[start]
     order = np.argsort(h)
     at = _starts(h[order])
-    like = np.empty(len(size), np.int64)
+    like = np.empty(len(start), np.int64)
     like[order] = np.repeat(order[at], np.diff(np.append(at, len(order))))
-    other = np.flatnonzero((like != np.arange(len(size))) & (size[like] == size))
-    differs = number[ranges(begin[other], size[other])] != number[ranges(begin[like[other]], size[other])]
-    alone = np.ones(len(size), bool)
-    if len(other):
-        alone[other] = np.logical_or.reduceat(differs, np.concatenate([[0], np.cumsum(size[other])[:-1]]))
-    return np.where(alone, np.arange(len(size)), like)
+    other = np.flatnonzero(like != np.arange(len(start)))
+    mine, theirs = start[other], start[like[other]]
+    same = np.ones(len(other), bool)
+    for k in range(WINDOW):
+        same &= text[mine + k] == text[theirs + k]
+    like[other[~same]] = other[~same]
+    return like
 
 
-def search(place: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the segments (place i has the words of text i): its segment, its number in it, and whether it
-    also begins earlier in these segments.
+def windows(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the segments: its segment, and its number in it."""
+    n = place["n"].astype(np.int64)
+    return np.repeat(np.arange(len(place)), n), ranges(np.zeros(len(place), np.int64), n)
 
-    A window at the very place of the earliest one (a repeated row of the table) is not a repeat.
+
+def search(place: np.ndarray, t: Texts) -> np.ndarray:
+    """Whether each window of the segments (place i has the words of text i) also begins earlier in them.
+
+    A window at the very place of the earliest one (a repeated row of the table) is not a repeat. Equal windows have equal
+    keys, so the segments are indexed in parts of INDEX_BYTES by their keys.
     """
+    late = np.zeros(int(place["n"].sum()), bool)
+    first = np.concatenate([[0], np.cumsum(place["n"], dtype=np.int64)])
+    part = (mix(place["key"]) % np.uint64(-(-len(t.data) // INDEX_BYTES) or 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for own in np.split(order, _starts(part[order])[1:]) if len(order) else []:
+        late[ranges(first[own], place["n"][own].astype(np.int64))] = _repeats(place[own], _cut(t, t.offsets[own], t.offsets[own + 1]))
+    return late
+
+
+def _repeats(place: np.ndarray, t: Texts) -> np.ndarray:
     s = words(t)
     number, one = symbols(t, s)
     size = place["n"].astype(np.int64) + WINDOW - 1
@@ -198,17 +216,16 @@ def search(place: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndar
     text = np.zeros(len(number) + len(place), np.int64)
     text[np.arange(len(number)) + np.repeat(np.arange(len(place)), size)] = number + 1
     index = FMIndex(text, len(one) + 1, WINDOW)
-    owner = np.repeat(np.arange(len(place)), place["n"])
-    offset = ranges(np.zeros(len(place), np.int64), place["n"].astype(np.int64))
-    like = _alike(number, begin, size)
-    asked = like[owner] == owner  # segments of the same words have the same intervals: each is searched once
-    end = (begin[owner] + owner + offset + WINDOW)[asked]
-    found = np.full(len(end), -1, np.int64)
-    for i in range(0, len(end), AT_ONCE):
-        length, low, _ = index.matching_statistics(text, end[i : i + AT_ONCE], WINDOW, 2)
-        found[i : i + AT_ONCE] = np.where(length == WINDOW, low, -1)
-    first = np.concatenate([[0], np.cumsum(place["n"], dtype=np.int64)])
-    interval = found[(np.cumsum(asked) - 1)[first[like[owner]] + offset]]
+    owner, offset = windows(place)
+    start = begin[owner] + owner + offset
+    like = _alike(text, start)
+    asked = np.flatnonzero(like == np.arange(len(start)))  # a pattern that occurs several times is searched once
+    interval = np.full(len(start), -1, np.int64)
+    for i in range(0, len(asked), AT_ONCE):
+        some = asked[i : i + AT_ONCE]
+        length, low, _ = index.matching_statistics(text, start[some] + WINDOW, WINDOW, 2)
+        interval[some] = np.where(length == WINDOW, low, -1)
+    interval = interval[like]
     hit = np.flatnonzero(interval >= 0)
     doc, rid, start = place["doc"][owner[hit]], place["rid"][owner[hit]], place["start"][owner[hit]] + offset[hit]
     order = np.lexsort((start, rid, doc, interval[hit]))
@@ -216,7 +233,7 @@ def search(place: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndar
     lead = np.repeat(order[at], np.diff(np.append(at, len(order))))
     late = np.zeros(len(owner), bool)
     late[hit[order]] = (doc[order] != doc[lead]) | (rid[order] != rid[lead]) | (start[order] != start[lead])
-    return owner, offset, late
+    return late
 
 
 def _runs(place: np.ndarray, owner: np.ndarray, offset: np.ndarray, chosen: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -243,11 +260,11 @@ def _send_words(shards: int, hot: np.ndarray):
     """Searches the asked segments of each batch; repeats go on as segments without text, the rest to shards with it."""
 
     def sent(place: np.ndarray, t: Texts) -> pa.RecordBatch:
-        owner, offset = np.repeat(np.arange(len(place)), place["n"]), ranges(np.zeros(len(place), np.int64), place["n"].astype(np.int64))
+        owner, offset = windows(place)
         late = np.zeros(len(owner), bool)
         _, at, count = np.unique(place["key"], return_inverse=True, return_counts=True)
         if len(met := np.flatnonzero(count[at] > 1)):  # a minimiser with one segment here has its repeats elsewhere
-            late[np.isin(owner, met)] = search(place[met], _cut(t, t.offsets[met], t.offsets[met + 1]))[2]
+            late[np.isin(owner, met)] = search(place[met], _cut(t, t.offsets[met], t.offsets[met + 1]))
         repeats, _ = _runs(place, owner, offset, late)
         is_hot = np.isin(place["key"], hot)
         rest, own = _runs(place, owner, offset, ~late, is_hot)
@@ -258,6 +275,7 @@ def _send_words(shards: int, hot: np.ndarray):
         rest["size"] = np.diff(part.offsets)
         whole = grams(hashes(t, s), WINDOW)
         key = np.where(is_hot[own], whole[np.minimum(first, max(0, len(whole) - 1))] if len(whole) else np.uint64(0), place["key"][own])
+        rest["key"] = key
         shard = np.concatenate([(key % np.uint64(shards)), mix(repeats["rid"].view(np.uint64)) % np.uint64(shards)]).astype(np.int64)
         both = np.concatenate([rest, repeats])
         start = np.concatenate([part.offsets[:-1], np.full(len(repeats), part.offsets[-1])])
@@ -319,8 +337,7 @@ def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(known)
         if len(x):
             t = Texts(np.frombuffer(b"".join(w for _, w in blocks), np.uint8), np.concatenate([[0], np.cumsum(x["size"], dtype=np.int64)]))
-            owner, offset, late = search(x, t)
-            yield _spans(_runs(x, owner, offset, late)[0])
+            yield _spans(_runs(x, *windows(x), search(x, t))[0])
 
 
 def repeated_spans(docs: DataFrame, hot_segments: int = 5000) -> DataFrame:

@@ -436,6 +436,7 @@ def test_repeats_between_batches_and_shards(spark, monkeypatch, bytes_):
     passage, phrase = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(8))
     texts = [" ".join([*(word() for _ in range(12)), passage if i % 3 else phrase, *(word() for _ in range(15))]) for i in range(90)]
     monkeypatch.setattr(substring_dedup, "BATCH_BYTES", bytes_)
+    monkeypatch.setattr(substring_dedup, "INDEX_BYTES", bytes_)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = _without_repeats(list(enumerate(texts)))
     assert sum(x[2] for x in want) >= 59 * 30
@@ -449,8 +450,7 @@ def test_windows_are_compared_by_their_words(monkeypatch):
     a, b = " ".join(f"x{i}" for i in range(25)), " ".join(f"y{i}" for i in range(25))
     place = np.zeros(3, substring_dedup._PLACE)
     place["doc"], place["n"] = (1, 2, 3), 6
-    owner, offset, late = substring_dedup.search(place, textcols.column([a, b, a]))
-    assert late.tolist() == [False] * 12 + [True] * 6
+    assert substring_dedup.search(place, textcols.column([a, b, a])).tolist() == [False] * 12 + [True] * 6
     assert stats.measure(textcols.column(["x\ny\nx y z"]))["n_dup_lines"].tolist() == [0]
     sets = minhash_dedup.whole_sets([a.encode(), b.encode(), a.encode()])
     assert np.array_equal(sets[0], sets[2]) and not set(sets[0]) & set(sets[1])
