@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .quality_classifier import held_out
 from .tables import documents, keep
-from .textcols import Texts, column, hashes, lowered, mix, pieces, words
+from .textcols import Spans, Texts, column, hashes, lowered, mix, pieces, symbols, words
 
 FREQUENT, CLASSES, DIM, NOISE, BATCH, ROUNDS, RATE, START = 1536, 512, 16, 128, 8192, 1, 0.1, 100.0
 SYMBOLS = FREQUENT + CLASSES
@@ -168,19 +168,18 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         h, n, kind = (np.concatenate([x[k] for x in held]) for k in range(3))
-        names = pa.concat_arrays([x[3] for x in held])
-        _, first, at = np.unique(h, return_index=True, return_inverse=True)
-        counts = np.bincount(at, n).astype(np.int64)
-        return pa.RecordBatch.from_arrays([names.take(pa.array(first)), pa.array(h[first].view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(counts)], ["token", "hash", "kind", "c"])
+        whole = pa.table([pa.concat_arrays([x[3] for x in held]), pa.array(h.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], ["token", "hash", "kind", "c"])
+        one = whole.group_by(["token", "hash", "kind"]).aggregate([("c", "sum")])
+        return one.select([0, 1, 2, 3]).rename_columns(["token", "hash", "kind", "c"]).combine_chunks().to_batches()[0]
 
     size = 0
     for batch in rows:
         for t in pieces(column(batch.column(0))):
             h, kind, start, end, _ = tokens(t)
-            _, first, counts = np.unique(h, return_index=True, return_counts=True)
-            raw = lowered(t).data.tobytes()
+            number, first = symbols(t := lowered(t), Spans(start, end, start, start), h)
+            raw = t.data.tobytes()
             names = pa.array([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary())
-            held.append((h[first], counts, kind[first], names))
+            held.append((h[first], np.bincount(number), kind[first], names))
             size += len(t.data)
             if size >= COUNT_BYTES:
                 yield out()
@@ -277,10 +276,10 @@ def _score(model: Model, k: dict):
                 base = np.where(known, np.log10(c + 0.5), 0) - np.log10(whole)
                 sums = lambda x: np.bincount(own, x, len(t))
                 rest = np.flatnonzero(~known)
-                key = mix(h[rest] ^ (own[rest].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                _, first, times = np.unique(key, return_index=True, return_counts=True)
+                raw = (low := lowered(t)).data.tobytes()
+                number, one = symbols(low, Spans(start[rest], end[rest], own, own), h[rest])
+                _, first, times = np.unique(own[rest] * max(1, len(one)) + number, return_index=True, return_counts=True)
                 first = rest[first]
-                raw = lowered(t).data.tobytes()
                 names = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
                 ids = batch.column(0).slice(t.first, len(t))
                 n = len(t)
@@ -310,8 +309,10 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text", id_
     named = rows.select(F.struct("doc_id", out.alias("held_out"), F.monotonically_increasing_id().alias("nr")).alias("row"), "text")
     parts = named.mapInArrow(_score(model, known), f"{ids}, token binary, times long, known long, base double, score double")
     rare = counts.select(F.col("token").alias("c_token"), F.col("c"))
-    whole = parts.join(rare, F.col("token") == F.col("c_token"), "left")
+    # A row without a token joins nothing, under a key of its own: a space, which no token has, and the row's number.
     found = F.col("token").isNotNull()
+    key = F.coalesce("token", F.concat(F.lit(" "), F.col("row.nr").cast("string")).cast("binary"))
+    whole = parts.withColumn("key", key).join(rare, F.col("key") == F.col("c_token"), "left")
     term = F.when(found, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)))
     scored = whole.groupBy("row").agg(
         F.sum(F.when(~found, F.col("times"))).alias("n_tokens"),

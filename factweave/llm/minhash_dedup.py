@@ -385,3 +385,30 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
 def op8_minhash_dedup(spark, sf_dir):
     return minhash_components(documents(spark, sf_dir))
+
+
+SQL = {
+    "op8_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), b AS (
+  SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT u, v FROM b JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * common >= 75 * (x.size + y.size - common)
+), e AS (
+  SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r AS (
+  SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.node = e.u
+), c AS (
+  SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(size, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.doc_id
+"""
+}

@@ -8,11 +8,12 @@ and opens a bin only if there is none.
 
 Shards are packed apart: a document's shard is a hash of its id over as many shards as give about shard_rows rows each, so
 sources and clusters of any size spread evenly, a task holds the narrow rows of one shard (id, source, cluster, length; no
-text), and bins never span shards. The loss is at most a few part-filled bins for each shard.
+text), and bins never span shards. The loss is at most a few part-filled bins for each shard. Equal rows are counted and
+numbered, and the number takes part in the hash: the bins do not depend on how the input is partitioned.
 
 Sources of a shard are numbered by frequency, clusters only where a cluster has two items in the shard: bitmaps are Python
-integers of any width. Bins without an item of a source are found by source bitmap: bins with one bitmap form a group, so
-a hot source costs a look at each distinct bitmap, not at each bin.
+integers of any width. The open bins are kept in groups by which of the HOT most frequent sources they hold, so an item of a
+hot source passes by the bins that hold it at one look for each group; the others are met, and passed, one by one.
 
 Cases: null and empty texts have no tokens and take no room, but their conflicts hold (all empty texts are one cluster); null
 source is a source; a null cluster is in conflict with nothing; null doc_id is kept and hashed as 0; repeated rows are items of one cluster; a token count that is null
@@ -32,44 +33,49 @@ from pyspark.sql import functions as F
 from .tables import documents, keep, n_words
 
 CAPACITY = 2048
+#: Sources by which open bins are grouped.
+HOT = 3
 
 
 class Bins:
-    """Open bins, grouped by source bitmap; each group is sorted by (residual, bin)."""
+    """Open bins, in groups by their hot sources; each group is sorted by (residual, bin)."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.groups: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.clusters: list[int] = []  # bitmap of each bin
+        self.sources: list[int] = []  # bitmaps of each bin
+        self.clusters: list[int] = []
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
         """The bin and offset of an item; source and cluster are bitmaps (0: no conflict is possible)."""
         best: tuple[int, int] | None = None
-        home = -1
-        for sources, group in self.groups.items():
-            if sources & source:
+        for hot, group in self.groups.items():
+            if hot & source:
                 continue
             i = bisect_left(group, (size, -1))
             while i < len(group) and (best is None or group[i] < best):  # the next tightest, until one is compatible
-                if not self.clusters[group[i][1]] & cluster:
-                    best, home = group[i], sources
+                b = group[i][1]
+                if not self.sources[b] & source and not self.clusters[b] & cluster:
+                    best = group[i]
                     break
                 i += 1
         if best is None:
             best = (self.capacity, len(self.clusters))
+            self.sources.append(0)
             self.clusters.append(0)
-            home = 0
         else:
-            group = self.groups[home]
+            group = self.groups[self.sources[best[1]] & _HOT]
             del group[bisect_left(group, best)]
-            if not group:
-                del self.groups[home]
         residual, b = best
+        self.sources[b] |= source
         self.clusters[b] |= cluster
-        insort(self.groups[home | source], (residual - size, b))
+        insort(self.groups[self.sources[b] & _HOT], (residual - size, b))
         return b, self.capacity - residual
 
 
+_HOT = (1 << HOT) - 1
+
+
 def pack(items: list[tuple[int, str | None, bytes, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(item, piece, bin, offset, tokens) for items of (doc_id, source, cluster, tokens); bins are numbered from 0.
 
@@ -98,11 +104,13 @@ def packing(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = 4096)
 
     (shard, bin) names a bin.
     """
-    rows = items.select("doc_id", "source", "cluster", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    rows = keep(rows)  # the texts are read once
+    names = ("doc_id", "source", "cluster", "n_tokens")
+    rows = items.select(*names[:3], F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
+    # Equal rows are told apart by a number of their own. The texts are read once.
+    numbered = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    rows = keep(numbered)
     shards = max(1, -(-rows.count() // shard_rows))
-    # Repeated rows of one document spread as well: the cluster's rows are told apart by a running number of their task.
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("shard"), F.monotonically_increasing_id() % 64), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("shard"), "source", "cluster", "n_tokens", "copy"), F.lit(shards)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -126,7 +134,7 @@ def packing(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = 4096)
         if held:
             yield out()
 
-    dealt = rows.select(shard.alias("shard"), "doc_id", "source", "cluster", "n_tokens").repartition("shard").sortWithinPartitions("shard")
+    dealt = rows.select(shard.alias("shard"), *names).repartition("shard").sortWithinPartitions("shard", *names)
     return dealt.mapInArrow(run, "doc_id long, source string, cluster binary, piece int, shard int, bin int, offset long, tokens long")
 
 

@@ -227,24 +227,46 @@ def test_lm_is_normalised_and_learns():
         assert math.isclose((10 ** model.log10(every, np.full(len(every), a), np.full(len(every), b))).sum(), 1, rel_tol=1e-3)
 
 
-def test_line_dedup(docs, empty):
-    w, first = 3, {}
-    inked = {}
-    for i, t in TEXTS:
-        inked[i, t] = [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+def _lines_left(texts):
+    """Brute force of the line rule: doc_id, lines with a word, removed, text left."""
+    inked = {(i, t): [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for i, t in texts}
+    runs = lambda ls: ((s, n) for s in range(len(ls)) for n in (1, 2, 3) if s + n <= len(ls) and (n == 3 or any(len(words(x)) >= 3 for _, x in ls[s : s + n])))
+    content = lambda ls, s, n: tuple(x for _, x in ls[s : s + n])
+    first = {}
     for (i, t), ls in sorted(inked.items(), key=lambda x: (x[0][0] is None, x[0][0])):
-        for s in range(len(ls) - w + 1):
-            first.setdefault(tuple(x for _, x in ls[s : s + w]), (i, s))
-    want = []
-    for i, t in TEXTS:
+        for s, n in runs(ls):
+            first.setdefault(content(ls, s, n), (i, t, s))
+    out = []
+    for i, t in texts:
         ls = inked[i, t]
-        gone = {ls[s + k][0] for s in range(len(ls) - w + 1) if first[tuple(x for _, x in ls[s : s + w])] != (i, s) for k in range(w)}
-        want.append((i, len(ls), len(gone), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone)))
+        gone = {ls[s + k][0] for s, n in runs(ls) if first[content(ls, s, n)] != (i, t, s) for k in range(n)}
+        out.append((i, len(ls), len(gone), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone)))
+    return out
+
+
+def test_line_dedup(docs, empty, monkeypatch):
+    want = _lines_left(TEXTS)
     assert sum(x[2] for x in want) >= 10
     assert collected(line_dedup.line_dedup(docs), "doc_id", "n_lines", "n_removed", "text") == expected(want)
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [4, 1000])
+def test_lines_of_short_and_long_runs(spark, share, monkeypatch):
+    rng = random.Random(12)
+    some = ["x", "y", "a b", "one two three", "All rights reserved.", "", " \t", "Licensed under the Apache License, Version 2.0."]
+    texts = [(i, "\n".join(rng.choice(some) if rng.random() < 0.5 else f"u{rng.randrange(25)}" for _ in range(rng.randrange(0, 9)))) for i in range(120)]
+    whole = line_dedup.with_groups
+    monkeypatch.setattr(line_dedup, "with_groups", lambda *a: whole(*a, share))  # some fingerprints hot, or none
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = _lines_left(texts)
+    assert 50 < sum(x[2] for x in want) < sum(x[1] for x in want) - 100
+    assert collected(line_dedup.line_dedup(frame), "doc_id", "n_lines", "n_removed", "text") == expected(want)
+    # Documents without an id are ordered by a hash of their text: one of them keeps the line.
+    loose = spark.createDataFrame([(None, "the same line here\nP"), (None, "the same line here\nQ")], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in line_dedup.line_dedup(loose).collect()) == [0, 1]
+
+
 def _shingles(texts):
     sets = {}
     for i, t in texts:
