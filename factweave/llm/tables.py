@@ -59,7 +59,7 @@ def hashed_sample(df: DataFrame, rows: int, *cols: str):
     hashed = df.select(*names, order.alias("h_order"))
     if n > rows:
         share = min(1.0, (rows + 6 * rows**0.5 + 64) / n)
-        below = hashed.where(F.col("h_order") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1024))))
+        below = hashed.where(F.col("h_order") <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
         got = below.orderBy("h_order", *names).limit(rows).toPandas()
         if len(got) < rows:
             got = hashed.orderBy("h_order", *names).limit(rows).toPandas()

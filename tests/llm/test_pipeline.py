@@ -5,6 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from test_operators import ROWS, SCHEMA
+
 import corpus_pipeline
 from factweave.llm import quality_classifier
 
@@ -62,3 +67,38 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "shard", "bin", "offset", "tokens"] and out.count() > 0
+
+
+@pytest.fixture(scope="module")
+def marked(tmp_path_factory):
+    """A folder with labels for the awkward rows."""
+    at = tmp_path_factory.mktemp("marked")
+    pq.write_table(pa.table({"doc_id": [1, 2, 3, None, 5, 7], "quality": [1, 0, 1, 1, None, 0], "toxic": [0] * 6}), at / "labels.parquet")
+    return str(at)
+
+
+def test_stages_on_awkward_rows(spark, marked):
+    # Null and empty texts, repeated rows, rows without an id, a very long text, columns with the operators' own names.
+    rows = ROWS[:60] + ROWS[-12:]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, marked)
+        got = out.collect()
+        if k < 4:
+            assert out.columns == docs.columns and {tuple(r) for r in got} <= set(rows), name
+        if name == "exact dedup":
+            norm = [re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in got]
+            assert len(norm) == len(set(norm)) == len({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in rows})
+        if name == "MinHash near-dedup":
+            assert {r[0] for r in rows if r[1] in (None, "", " \t\n")} <= {r["doc_id"] for r in got}
+        if name == "mixing":
+            assert {tuple(r) for r in got} == set(rows)
+        if k == 4:
+            want = Counter()
+            for r in rows:
+                want[r[0]] += len(WORD.findall(r[1] or ""))
+            tokens = Counter()
+            for r in got:
+                tokens[r["doc_id"]] += r["tokens"]
+            assert tokens == want
+        assert stage(spark, docs.limit(0), marked).count() == 0, name
