@@ -73,15 +73,15 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], values:
 
     Groups of at least 1 / share of `total` (by their column size; they sum to total at most, so they are no more than
     share in number) are broadcast and answer their rows in place. Those rows go through the join of the others under a
-    key that no group has, so that they lie on all partitions.
+    random key, so that they lie on all partitions; whatever they may meet there is not used. The first key is a long.
     """
     g = lambda c, kind: F.col(c).alias(f"{kind}_{c}")
     columns = list(dict.fromkeys([*on.values(), *values]))
     hot = groups.where(F.col(size) * share >= max(total, share)).select(*(g(c, "hot") for c in columns), F.lit(True).alias("is_hot"))
-    match = lambda kind, col: [col(k) == F.col(f"{kind}_{c}") for k, c in on.items()]
-    met = rows.join(F.broadcast(hot), match("hot", F.col), "left")
-    spread = F.when(F.col("is_hot").isNull(), F.lit(0)).otherwise(1 + F.monotonically_increasing_id())
-    met = met.withColumn("spread", spread)
-    found = met.join(groups.select(*(g(c, "g") for c in columns), F.lit(0).cast("long").alias("g_spread")), [*match("g", F.col), F.col("spread") == F.col("g_spread")], "left")
+    first, *others = on
+    met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"hot_{c}") for k, c in on.items()], "left")
+    spread = F.when(F.col("is_hot").isNull(), F.col(first)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    match = [F.col("spread") == F.col(f"g_{on[first]}"), *(F.col(k) == F.col(f"g_{on[k]}") for k in others)]
+    found = met.withColumn("spread", spread).join(groups.select(*(g(c, "g") for c in columns)), match, "left")
     out = [F.when(F.col("is_hot"), F.col(f"hot_{c}")).otherwise(F.col(f"g_{c}")).alias(c) for c in values]
     return found.select(*rows.columns, *out)
