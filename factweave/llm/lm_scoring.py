@@ -11,8 +11,9 @@ takes its class's probability times (c + 0.5) / (N_class + 0.5 (V_class + 1)), w
 
 Training: each task runs noise-contrastive Adagrad over all its training tokens, from the same start, and hands back one
 set of parameters (under 1 MB, whatever the data); their mean, weighted by tokens, is the next start. ROUNDS passes. So all
-training texts take part, tasks can be lost and run again, and the driver holds one set of parameters. START is what
-Adagrad's sums of squares begin with.
+training texts take part, tasks can be lost and run again, and the driver holds one set of parameters. Small partitions are
+put together to TASK_TOKENS, so that a task trains long enough to count. START is what Adagrad's sums of squares begin with.
+The symbols are of fixed number; what grows with the corpus is the counts, which reach every token's score in its class.
 
 Cases: null and empty texts are the end token alone; null doc_id counts as the empty string in crc32; rows that share a
 doc_id are scored each (a running number tells them apart); no training rows -> counts are 0 and probabilities come from the
@@ -40,6 +41,8 @@ COUNT_BYTES = 32 << 20
 #: Hash of the end token, which is no word: the empty byte string.
 END = int(mix(np.zeros(1, np.uint64))[0])
 PARTS = 32
+#: Training tokens of a task: with fewer, the mean of the tasks' parameters has hardly moved from the start.
+TASK_TOKENS = 2_000_000
 
 
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,8 +247,9 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Mode
     prior[: len(frequent)] += c[:FREQUENT]
     prior[FREQUENT:] += n_class
     model = Model(frequent, prior / prior.sum())
+    tasks = -(-int(total[0]) // TASK_TOKENS) or 1
     for _ in range(rounds):
-        sent = train.mapInArrow(_train(model, end), "part int, seen long, block binary")
+        sent = train.coalesce(tasks).mapInArrow(_train(model, end), "part int, seen long, block binary")
         parts = sorted(sent.repartition("part").mapInArrow(_mean, "part int, seen long, block binary").collect(), key=lambda r: r["part"])
         if parts:
             whole = np.concatenate([np.frombuffer(r["block"]) / r["seen"] for r in parts]).astype(np.float32)

@@ -4,9 +4,9 @@ Statistics of every whole text are measured once and written to the checkpoint f
 on the driver to at most max_rows labelled rows of the training part, and laid out as arrays in which all documents of a
 batch go down one level at a time.
 
-Training part: labelled rows whose crc32(doc_id as text) mod 3 is not 1. When more than max_rows (default 20,000) such
-rows exist, about so many are taken by a hash of doc_id; that bound is the only sampling. Only statistics of the text are
-inputs of a score.
+Training part: labelled rows whose crc32(doc_id as text) mod 3 is not 1. Of more than max_rows (default 20,000) such
+documents, those of the smallest hashes of id and label are taken; that bound is the only sampling. Only statistics of the
+text are inputs of a score.
 
 Cases: no labelled rows, or rows of one class -> the score is their share of label 1 (0.5 without rows); null and empty
 texts are scored like any text without words; null doc_id counts as the empty string in crc32; several labels of one
@@ -110,8 +110,21 @@ def labelled(labels_df: DataFrame, label: str = "quality") -> DataFrame:
     )
 
 
-def train_from(stats: DataFrame, labels_df: DataFrame, max_rows: int = 20_000, **options) -> Trees:
-    rows = stats.where(~held_out(F.col("doc_id"))).join(labelled(labels_df), F.col("doc_id") == F.col("l_doc_id"))
+def training_rows(docs: DataFrame, labels_df: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id") -> DataFrame:
+    """l_doc_id, label of the labelled documents to learn from: max_rows at most, so that they can be broadcast.
+
+    Only ids are read to find them.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("p_id"))
+    marks = labelled(labels_df).where(~held_out(F.col("l_doc_id")))
+    chosen = hashed_sample(keep(marks.join(ids, F.col("l_doc_id") == F.col("p_id"), "left_semi").withColumnRenamed("l_doc_id", "doc_id")), max_rows, "label")
+    rows = [(int(i), int(y)) for i, y in zip(chosen["doc_id"], chosen["label"], strict=True)]
+    return docs.sparkSession.createDataFrame(rows, "l_doc_id long, label int")
+
+
+def train_from(stats: DataFrame, chosen: DataFrame, max_rows: int = 20_000, **options) -> Trees:
+    """The trees of the chosen rows' statistics; where documents share an id, max_rows of their rows at most."""
+    rows = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_doc_id"))
     train = hashed_sample(keep(rows.select("doc_id", "label", *FEATURES)), max_rows, "label", *FEATURES)
     return fit_trees(train[list(FEATURES)].to_numpy(float), train["label"].to_numpy(float), **options)
 
@@ -131,12 +144,17 @@ def score_stats(stats: DataFrame, model: Trees) -> DataFrame:
 def quality_classifier(docs: DataFrame, labels_df: DataFrame, max_rows: int = 20_000, **options) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs."""
     stats = keep(document_stats(docs))
-    return score_stats(stats, train_from(stats, labels_df, max_rows, **options))
+    return score_stats(stats, train_from(stats, training_rows(stats, labels_df, max_rows), max_rows, **options))
 
 
 def keep_good(docs: DataFrame, labels_df: DataFrame, max_rows: int = 20_000, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the classifier takes for good (score >= 0.5), with docs' own columns; texts stay where they are."""
-    model = train_from(document_stats(docs, text_col), labels_df, max_rows, **options)
+    """The rows of docs that the classifier takes for good (score >= 0.5), with docs' own columns; texts stay where they are.
+
+    Of the first reading, only the texts to learn from are measured.
+    """
+    chosen = training_rows(docs, labels_df, max_rows)
+    some = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("l_doc_id"), "left_semi")
+    model = train_from(document_stats(some, text_col), chosen, max_rows, **options)
     at = docs.columns.index(text_col)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
