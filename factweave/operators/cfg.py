@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.facts import duck_sql, frame
-from .fixpoint import after, flipped, per_function, walk
+from .fixpoint import after, flipped, keep, per_function, walk
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen: dict = {}
-    nodes = frame(spark, sf_dir, "bb", seen).select("fn_id", F.col("bb_id").alias("id"))
+    seen = {"bb": keep(frame(spark, sf_dir, "bb"))}
+    nodes = seen["bb"].select("fn_id", F.col("bb_id").alias("id"))
     return nodes, frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
 
 
@@ -101,11 +101,11 @@ def last_common_dominator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def happens_before_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn_id, inst1, inst2): inst1 may run before inst2: by index in a block, else by reachability; deferred ones run last."""
+    """(fn_id, inst1, inst2): inst1 may run before inst2, an operation on the same primitive: by index in a block, else by reachability; deferred ones run last."""
     seen: dict = {}
-    inst = frame(spark, sf_dir, "inst", seen).where("op in ('Send', 'Recv') and prim = 2")
-    a, b = (inst.select(*(F.col(c).alias(f"{c}{k}") for c in ("fn_id", "inst_id", "bb_id", "idx", "is_defer"))) for k in (1, 2))
-    pairs = a.join(b, (F.col("fn_id1") == F.col("fn_id2")) & (F.col("inst_id1") != F.col("inst_id2")))
+    inst = frame(spark, sf_dir, "inst", seen).where("op in ('Send', 'Recv')")
+    a, b = (inst.select(*(F.col(c).alias(f"{c}{k}") for c in ("fn_id", "inst_id", "bb_id", "idx", "prim", "is_defer"))) for k in (1, 2))
+    pairs = a.join(b, (F.col("fn_id1") == F.col("fn_id2")) & (F.col("prim1") == F.col("prim2")) & (F.col("inst_id1") != F.col("inst_id2")))
     paths = reachable_blocks(spark, sf_dir)
     ahead = pairs.join(paths, (F.col("fn_id1") == F.col("fn_id")) & (F.col("bb_id1") == F.col("src_bb")) & (F.col("bb_id2") == F.col("dst_bb")), "left")
     order = (F.col("src_bb").isNotNull() & (F.col("bb_id1") != F.col("bb_id2"))) | ((F.col("bb_id1") == F.col("bb_id2")) & (F.col("idx1") < F.col("idx2")))
@@ -151,7 +151,7 @@ WHERE NOT EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.src_bb
         "SELECT a.fn_id, a.bb_id AS bb1, b.bb_id AS bb2, max(a.dom_bb) AS lcd FROM dom a JOIN dom b ON a.fn_id = b.fn_id AND a.dom_bb = b.dom_bb AND b.bb_id = a.bb_id + 1 GROUP BY a.fn_id, a.bb_id, b.bb_id", _WITHOUT
     ),
     "happens_before_intra": duck_sql(
-        """SELECT a.fn_id, a.inst_id AS inst1, b.inst_id AS inst2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.inst_id <> b.inst_id AND a.prim = 2 AND b.prim = 2 AND a.op IN ('Send', 'Recv') AND b.op IN ('Send', 'Recv')
+        """SELECT a.fn_id, a.inst_id AS inst1, b.inst_id AS inst2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.inst_id <> b.inst_id AND a.prim = b.prim AND a.op IN ('Send', 'Recv') AND b.op IN ('Send', 'Recv')
 WHERE CASE WHEN a.is_defer AND b.is_defer THEN a.idx > b.idx WHEN b.is_defer THEN true WHEN a.is_defer THEN false WHEN a.bb_id = b.bb_id THEN a.idx < b.idx
 ELSE EXISTS (SELECT 1 FROM reach r WHERE r.fn_id = a.fn_id AND r.src_bb = a.bb_id AND r.dst_bb = b.bb_id) END""",
         _CLOSURE,

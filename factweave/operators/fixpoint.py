@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,51 +16,83 @@ from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
+    """df in the session's checkpoint folder. Only a session on one machine may have none set: it gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factweave-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factweave-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def semi_naive(base: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
+def semi_naive(base: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int | None = None, max_rounds: int = 1000, compact: int = 8) -> DataFrame:
     """Least set that holds base and is closed under step; step sees only the rows that the last round added.
 
-    Set semantics, so cycles end. max_rounds bounds the depth of the recursion where the operator itself does.
+    Set semantics, so cycles end. depth bounds the recursion where the operator itself does; a set that is still growing
+    after max_rounds is an error. A round writes only what it adds; `compact` rounds at a time are put together.
     """
     names = base.columns
-    total = delta = keep(base.distinct())
-    for _ in range(max_rounds):
-        new = step(delta).select(*names).distinct()
+    delta = keep(base.distinct())
+    parts = [delta]
+    for _ in range(max_rounds if depth is None else depth):
+        total = reduce(DataFrame.unionByName, parts)
         known = total.select(*(F.col(c).alias(f"t_{c}") for c in names))
+        new = step(delta).select(*names).distinct()
         delta = keep(new.join(known, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in names], "left_anti"))
         if delta.isEmpty():
-            break
-        total = keep(total.unionByName(delta))
-    return total
+            return total
+        parts = [*parts, delta] if len(parts) < compact else [keep(total), delta]
+    if depth is None:
+        raise RuntimeError(f"the relation still grows after {max_rounds} rounds")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def reach(start: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node): nodes reachable from each root; start has (root, node), edges (src, dst)."""
     e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct()
-    return semi_naive(start.select("root", "node"), lambda d: d.join(e, d["node"] == F.col("e_src")).select("root", F.col("e_dst").alias("node")), max_rounds)
+    return semi_naive(start.select("root", "node"), lambda d: d.join(e, d["node"] == F.col("e_src")).select("root", F.col("e_dst").alias("node")))
 
 
 def per_function(nodes: DataFrame, edges: DataFrame, solve: Callable[[pd.DataFrame, dict], list[tuple]], schema: str) -> DataFrame:
-    """solve(nodes of one function sorted by id, successors by id) for each fn_id; nodes has fn_id, id and attributes.
+    """solve(nodes of one function sorted by id, successors by id) for each fn_id; solve returns rows after fn_id.
 
-    One shuffle: nodes carry their successor list, which is bounded by the function. solve returns rows after fn_id.
+    nodes has fn_id, id and attributes; edges has fn_id, src, dst: between nodes, or, where nodes have bb_id and idx, between
+    blocks (an instruction is followed by the next one of its block, a block's last one by the first of each successor).
+    One shuffle: nodes and edges travel as one relation by fn_id.
     """
-    out = edges.groupBy(F.col("fn_id").alias("e_fn"), F.col("src").alias("e_src")).agg(F.sort_array(F.collect_set("dst")).alias("succ"))
-    rows = nodes.join(out, (F.col("fn_id") == F.col("e_fn")) & (F.col("id") == F.col("e_src")), "left").drop("e_fn", "e_src")
     names = [p.split()[0] for p in schema.split(",")]
+    both = nodes.withColumns({"e_src": F.lit(None).cast("long"), "e_dst": F.lit(None).cast("long")})
+    both = both.unionByName(edges.select("fn_id", F.col("src").alias("e_src"), F.col("dst").alias("e_dst")), allowMissingColumns=True)
+    of_blocks = "bb_id" in nodes.columns
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable").reset_index(drop=True)
-        succ = {i: list(s) if s is not None else [] for i, s in zip(group["id"], group["succ"], strict=True)}
+        is_edge = group["e_src"].notna().to_numpy()
+        own, arcs = group[~is_edge], group[is_edge]
+        if own.empty:
+            return pd.DataFrame([], columns=names)
+        own = own.sort_values("idx" if of_blocks else "id", kind="stable").reset_index(drop=True)
+        for c, kind in kinds.items():
+            own[c] = own[c].astype(kind)
+        pairs = sorted({(int(a), int(b)) for a, b in zip(arcs["e_src"], arcs["e_dst"], strict=True)})
+        succ: dict = {i: [] for i in own["id"].tolist()}
+        if of_blocks:
+            first, last = {}, {}
+            for i, b in zip(own["id"].tolist(), own["bb_id"].tolist(), strict=True):
+                first.setdefault(b, i)
+                if b in last:
+                    succ[last[b]].append(i)
+                last[b] = i
+            pairs = [(last[a], first[b]) for a, b in pairs if a in last and b in first]
+            own = own.sort_values("id", kind="stable").reset_index(drop=True)
+        for a, b in pairs:
+            succ.setdefault(a, []).append(b)
         fn = group["fn_id"].iloc[0]
-        return pd.DataFrame([(fn, *r) for r in solve(group, succ)], columns=names)
+        return pd.DataFrame([(fn, *r) for r in solve(own, {a: sorted(set(bs)) for a, bs in succ.items()})], columns=names)
 
-    return rows.groupBy("fn_id").applyInPandas(run, schema)
+    # Nulls of the other kind of row turn columns into floats or objects.
+    kinds = {c: {"bigint": "int64", "int": "int64", "boolean": "bool"}.get(t, "object") for c, t in nodes.dtypes if c != "fn_id"}
+    return both.groupBy("fn_id").applyInPandas(run, schema)
 
 
 def walk(succ: dict, start: list, stop: Callable = lambda n: False) -> set:

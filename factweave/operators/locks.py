@@ -17,9 +17,10 @@ DEPTH = 7
 
 
 def _insts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen: dict = {}
-    nodes = frame(spark, sf_dir, "inst", seen).select("fn_id", F.col("inst_id").alias("id"), "idx", "op", "prim", "is_defer", "bb_id")
-    return nodes, frame(spark, sf_dir, "inst_edge", seen).select("fn_id", "src", "dst")
+    """Instructions, and edges of their blocks; the instructions are numbered once."""
+    seen = {"inst": keep(frame(spark, sf_dir, "inst"))}
+    nodes = seen["inst"].select("fn_id", F.col("inst_id").alias("id"), "idx", "op", "prim", "is_defer", "bb_id")
+    return nodes, frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
 
 
 def _held(g, succ):
@@ -147,7 +148,7 @@ def _entry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         op, prim, idx = (dict(zip(g["id"], g[c], strict=True)) for c in ("op", "prim", "idx"))
         first = next(n for n in g["id"] if idx[n] == 0)
         out = []
-        for p in range(5):
+        for p in sorted(set(prim.values())):
             for n in walk(s, [first], lambda n, p=p: op[n] == "Unlock" and prim[n] == p):
                 if op[n] == "Call" or (op[n] == "Lock" and prim[n] == p):
                     out.append((p, n, op[n]))

@@ -54,8 +54,8 @@ def mutex_name_from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_using_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no): lines of a document between its second and sixth that use a name as a whole word of letters."""
-    return frame(spark, sf_dir, "doc_line").where("line_no between 1 and 5").where(F.col("text").rlike("(^|[^A-Za-z])(the|der|les)([^A-Za-z]|$)")).select("doc_id", "line_no")
+    """(doc_id, line_no): lines of a document that use a name as a whole word of letters."""
+    return frame(spark, sf_dir, "doc_line").where(F.col("text").rlike("(^|[^A-Za-z])(the|der|les)([^A-Za-z]|$)")).select("doc_id", "line_no")
 
 
 def rank_worthy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ SQL = {
     "split_option_list": "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(string_split(split_part(url, '?', 2), '&'), lambda x: x <> ''))), ',') AS options FROM pages",
     "read_bug_list_csv": "SELECT p_partkey AS bug_no, p_type AS bug_type, concat('src/', replace(p_name, ' ', '_'), '.go') AS src, CAST(p_size AS BIGINT) AS lineno FROM part",
     "mutex_name_from_source": duck_sql("SELECT inst_id, CASE inst_id % 4 WHEN 0 THEN concat('s.mu', CAST(prim AS STRING)) WHEN 1 THEN concat('a.b.rw', CAST(prim AS STRING)) WHEN 2 THEN concat('m', CAST(prim AS STRING)) END AS name FROM {inst}"),
-    "lines_using_name": duck_sql("SELECT doc_id, line_no FROM {doc_line} WHERE line_no BETWEEN 1 AND 5 AND regexp_matches(text, '(^|[^A-Za-z])(the|der|les)([^A-Za-z]|$)')"),
+    "lines_using_name": duck_sql("SELECT doc_id, line_no FROM {doc_line} WHERE regexp_matches(text, '(^|[^A-Za-z])(the|der|les)([^A-Za-z]|$)')"),
     "rank_worthy_paths": """WITH c AS (SELECT dir, sum(n) AS n FROM (SELECT concat(split_part(url, '/', 3), '/', split_part(url, '/', 4)) AS dir, 1 AS n FROM pages
 UNION ALL SELECT split_part(url, '/', 3), 1 FROM pages WHERE page_id % 3 = 0) GROUP BY dir),
 h AS (SELECT coalesce((SELECT p.dir FROM c p WHERE starts_with(c.dir, p.dir) AND p.dir <> c.dir AND (p.n > c.n OR (p.n = c.n AND p.dir < c.dir)) ORDER BY length(p.dir) LIMIT 1), c.dir) AS dir, n FROM c)

@@ -56,14 +56,14 @@ def points_to_full(spark: SparkSession, sf_dir: str, max_rounds: int = 1000) ->
 
 
 def dynamic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, type_id, n_labels): the points-to set of each interface value by the labels' type."""
-    pts = points_to(spark, sf_dir).where("node % 5 = 0")
+    """(node, type_id, n_labels): the points-to set of each value by the labels' type."""
+    pts = points_to(spark, sf_dir)
     return pts.groupBy("node", (F.col("label") % 7).alias("type_id")).agg(F.count(F.lit(1)).alias("n_labels"))
 
 
 def guru_pointsto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, labels): the sorted points-to set of each value asked for."""
-    pts = points_to(spark, sf_dir).where("node % 10 = 3")
+    """(node, labels): the sorted points-to set of each value."""
+    pts = points_to(spark, sf_dir)
     return pts.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_set("label")), lambda x: x.cast("string")), ",").alias("labels"))
 
 
@@ -147,21 +147,25 @@ def _levels(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def bounded_call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(root, node, depth): what each tenth function calls within three layers, at its least depth."""
+    """(root, node, depth): what each function calls within three layers, at its least depth."""
     edges = _fn_edges(spark, sf_dir)
-    start = edges.where("src % 10 = 0").select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
+    start = edges.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
     return _levels(start, edges, 3).groupBy("root", "node").agg(F.min("depth").cast("long").alias("depth"))
 
 
+_SHARERS = "SELECT DISTINCT a.fn_id AS f1, b.fn_id AS f2 FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.fn_id < b.fn_id WHERE a.op = 'Send' AND b.op = 'Recv'"
+
+
 def lca_of_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(f1, f2, lca): callers of both functions within seven layers with the least sum of distances, then the smallest."""
-    edges = _fn_edges(spark, sf_dir)
-    up = _rename(edges, src="dst", dst="src")
-    start = edges.where("src % 25 in (1, 2)").select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
+    """(f1, f2, lca) for functions of which one sends and the other receives on a channel: the caller of both within seven
+    layers (a function calls itself in none) with the least sum of distances, then the smallest."""
+    up = _rename(_fn_edges(spark, sf_dir), src="dst", dst="src")
+    asked = keep(run_sql(spark, sf_dir, _SHARERS))
+    start = asked.select(F.col("f1").alias("root")).union(asked.select("f2")).distinct().select("root", F.col("root").alias("node"))
     near = keep(_levels(start, up, 7).groupBy("root", "node").agg(F.min("depth").alias("depth")))
-    other = _rename(near, r2="root", n2="node", d2="depth")
-    pairs = near.join(other, (F.col("node") == F.col("n2")) & (F.col("root") < F.col("r2")))
-    return pairs.groupBy(F.col("root").alias("f1"), F.col("r2").alias("f2")).agg(F.min(F.struct((F.col("depth") + F.col("d2")).alias("d"), "node"))["node"].alias("lca"))
+    first, other = _rename(near, r1="root", n1="node", d1="depth"), _rename(near, r2="root", n2="node", d2="depth")
+    pairs = asked.join(first, F.col("f1") == F.col("r1")).join(other, (F.col("f2") == F.col("r2")) & (F.col("n1") == F.col("n2")))
+    return pairs.groupBy("f1", "f2").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("d"), "n1"))["n1"].alias("lca"))
 
 
 def cond_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,17 +177,18 @@ def cond_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prims_of_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, prim): primitives on which a function or what it calls, up to seven layers and by one-callee sites, blocks."""
-    own = frame(spark, sf_dir, "inst").where("op in ('Send', 'Recv') and idx < 6").select("fn_id", "prim").distinct()
+    own = frame(spark, sf_dir, "inst").where("op in ('Send', 'Recv')").select("fn_id", "prim").distinct()
     calls = run_sql(spark, sf_dir, "SELECT DISTINCT caller AS u_caller, callee AS u_callee FROM (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM {call_edge}) WHERE n = 1")
     calls = keep(calls)
-    return semi_naive(own, lambda d: d.join(calls, F.col("fn_id") == F.col("u_callee")).select(F.col("u_caller").alias("fn_id"), "prim"), max_rounds=7)
+    return semi_naive(own, lambda d: d.join(calls, F.col("fn_id") == F.col("u_callee")).select(F.col("u_caller").alias("fn_id"), "prim"), depth=7)
 
 
 def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p1, p2): an operation that may unblock p1 comes after one that may block on p2 in some function."""
     seen: dict = {}
-    nodes = frame(spark, sf_dir, "inst", seen).select("fn_id", F.col("inst_id").alias("id"), "op", (F.col("inst_id") % 23).alias("ch"))
-    edges = frame(spark, sf_dir, "inst_edge", seen).select("fn_id", "src", "dst")
+    seen["inst"] = keep(frame(spark, sf_dir, "inst"))
+    nodes = seen["inst"].select("fn_id", F.col("inst_id").alias("id"), "op", (F.col("inst_id") % 23).alias("ch"), "bb_id", "idx")
+    edges = frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
 
     def solve(g, s):
         op, ch = dict(zip(g["id"], g["op"], strict=True)), dict(zip(g["id"], g["ch"], strict=True))
@@ -209,7 +214,7 @@ def scan_all_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(start, edges).select(F.col("node").alias("fn_id"))
 
 
-_FIELDS = "SELECT DISTINCT p_brand AS owner, concat('Brand#', CAST(p_size % 25 AS STRING)) AS inner_type, p_type LIKE 'PROMO%' AND p_size > 47 AS is_sync FROM {part} WHERE p_partkey % 20 = 0"
+_FIELDS = "SELECT DISTINCT p_brand AS owner, concat('Brand#', CAST(p_size % 25 AS STRING)) AS inner_type, p_type LIKE 'PROMO%' AND p_size > 47 AS is_sync FROM {part}"
 
 
 def sync_struct_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +228,7 @@ def type_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(type_name, method): methods of a type and of the types embedded in it, at any depth."""
     fields = keep(run_sql(spark, sf_dir, _FIELDS))
     e = _rename(fields, f_owner="owner", f_inner="inner_type")
-    own = run_sql(spark, sf_dir, "SELECT DISTINCT p_brand AS type_name, concat(p_brand, '.', p_type) AS method FROM {part} WHERE p_partkey % 20 = 1")
+    own = run_sql(spark, sf_dir, "SELECT DISTINCT p_brand AS type_name, concat(p_brand, '.', p_type) AS method FROM {part}")
     return semi_naive(own, lambda d: d.join(e, F.col("type_name") == F.col("f_inner")).select(F.col("f_owner").alias("type_name"), "method"))
 
 
@@ -244,7 +249,7 @@ def get_base_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def find_primitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, prim): where a value's chain of operands ends; primitives are the chains' roots."""
-    return get_base_type(spark, sf_dir).where("node % 3 = 0").select("node", (F.col("base") % 97).alias("prim"))
+    return get_base_type(spark, sf_dir).select("node", (F.col("base") % 97).alias("prim"))
 
 
 def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +257,7 @@ def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = keep(run_sql(spark, sf_dir, "SELECT DISTINCT ps_a % 60 AS e_src, ps_a % 60 + 1 + ps_b % 3 AS e_dst FROM (SELECT l_partkey AS ps_a, l_suppkey AS ps_b FROM {lineitem} WHERE l_linenumber = 1)"))
     rows = semi_naive(
         spark.createDataFrame([(1, 0)], "pkg long, depth long"),
-        lambda d: d.join(edges, (F.col("pkg") == F.col("e_src")) & (F.col("e_dst") < 14)).select(F.col("e_dst").alias("pkg"), (F.col("depth") + 1).alias("depth")),
+        lambda d: d.join(edges, F.col("pkg") == F.col("e_src")).select(F.col("e_dst").alias("pkg"), (F.col("depth") + 1).alias("depth")),
     )
     return rows.groupBy("pkg").agg(F.max("depth").alias("depth"))
 
@@ -281,13 +286,13 @@ _SWITCH = """SELECT fn_id, min(bb_id) AS first_bb, count(*) AS n_cases FROM (SEL
 
 _PTS = "pts AS (SELECT node, label FROM {obj_addr} UNION SELECT c.dst, p.label FROM pts p JOIN {obj_copy} c ON p.node = c.src)"
 _FWD = "fwd AS (SELECT CAST(s AS BIGINT) AS node FROM (VALUES (1), (2), (3)) AS t(s) UNION SELECT e.callee FROM fwd f JOIN {fn_edge} e ON f.node = e.caller)"
-_DIST = "walk AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.callee, w.depth + 1 FROM walk w JOIN {fn_edge} e ON w.node = e.caller WHERE w.depth < 10), dist AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
+_DIST = "walk AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.callee, w.depth + 1 FROM walk w JOIN {fn_edge} e ON w.node = e.caller WHERE w.depth < (SELECT n FROM {n_fn})), dist AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
 _DEP = """later AS (SELECT b.inst_id AS b, e.dst AS n FROM {inst} b JOIN {inst_edge} e ON b.inst_id = e.src WHERE b.op IN ('Send', 'Recv') UNION SELECT l.b, e.dst FROM later l JOIN {inst_edge} e ON l.n = e.src),
 dep AS (SELECT DISTINCT l.n % 23 AS p1, l.b % 23 AS p2 FROM later l JOIN {inst} i ON l.n = i.inst_id WHERE i.op IN ('Send', 'Recv', 'Unlock'))"""
 SQL = {
     "points_to": duck_sql("SELECT node, label FROM pts", _PTS),
-    "dynamic_types": duck_sql("SELECT node, label % 7 AS type_id, count(*) AS n_labels FROM pts WHERE node % 5 = 0 GROUP BY node, label % 7", _PTS),
-    "guru_pointsto": duck_sql("SELECT node, JOINED[label|,|label] AS labels FROM pts WHERE node % 10 = 3 GROUP BY node", _PTS),
+    "dynamic_types": duck_sql("SELECT node, label % 7 AS type_id, count(*) AS n_labels FROM pts GROUP BY node, label % 7", _PTS),
+    "guru_pointsto": duck_sql("SELECT node, JOINED[label|,|label] AS labels FROM pts GROUP BY node", _PTS),
     "type_propagation": duck_sql("SELECT DISTINCT node, label % 11 AS type_id FROM pts", _PTS),
     "digraph_forward": duck_sql("SELECT node FROM fwd", _FWD),
     "digraph_reverse": duck_sql("SELECT node FROM fwd", _FWD.replace("(1), (2), (3)", "(10), (17), (24)").replace("SELECT e.callee", "SELECT e.caller").replace("f.node = e.caller", "f.node = e.callee")),
@@ -307,11 +312,11 @@ SQL = {
     ),
     "bounded_call_tree": duck_sql(
         "SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node",
-        "t AS (SELECT DISTINCT caller AS root, caller AS node, CAST(0 AS BIGINT) AS depth FROM {fn_edge} WHERE caller % 10 = 0 UNION SELECT t.root, e.callee, t.depth + 1 FROM t JOIN {fn_edge} e ON t.node = e.caller WHERE t.depth < 3)",
+        "t AS (SELECT DISTINCT caller AS root, caller AS node, CAST(0 AS BIGINT) AS depth FROM {fn_edge} UNION SELECT t.root, e.callee, t.depth + 1 FROM t JOIN {fn_edge} e ON t.node = e.caller WHERE t.depth < 3)",
     ),
     "lca_of_functions": duck_sql(
-        "SELECT f1, f2, lca FROM (SELECT a.root AS f1, b.root AS f2, a.node AS lca, row_number() OVER (PARTITION BY a.root, b.root ORDER BY a.depth + b.depth, a.node) AS nr FROM near a JOIN near b ON a.node = b.node AND a.root < b.root) WHERE nr = 1",
-        "t AS (SELECT DISTINCT caller AS root, caller AS node, 0 AS depth FROM {fn_edge} WHERE caller % 25 IN (1, 2) UNION SELECT t.root, e.caller, t.depth + 1 FROM t JOIN {fn_edge} e ON t.node = e.callee WHERE t.depth < 7), near AS (SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node)",
+        "SELECT f1, f2, lca FROM (SELECT q.f1, q.f2, a.node AS lca, row_number() OVER (PARTITION BY q.f1, q.f2 ORDER BY a.depth + b.depth, a.node) AS nr FROM asked q JOIN near a ON q.f1 = a.root JOIN near b ON q.f2 = b.root AND a.node = b.node) WHERE nr = 1",
+        f"asked AS ({_SHARERS}), t AS (SELECT f1 AS root, f1 AS node, 0 AS depth FROM asked UNION SELECT f2, f2, 0 FROM asked UNION SELECT t.root, e.caller, t.depth + 1 FROM t JOIN {{fn_edge}} e ON t.node = e.callee WHERE t.depth < 7), near AS (SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node)",
     ),
     "cond_wrappers": duck_sql(
         "SELECT DISTINCT root AS op_fn, node AS wrapper FROM t WHERE depth > 0",
@@ -320,7 +325,7 @@ SQL = {
     "prims_of_function": duck_sql(
         "SELECT DISTINCT fn_id, prim FROM p",
         """uni AS (SELECT DISTINCT caller, callee FROM (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM {call_edge}) WHERE n = 1),
-p AS (SELECT DISTINCT fn_id, prim, 0 AS depth FROM {inst} WHERE op IN ('Send', 'Recv') AND idx < 6 UNION SELECT u.caller, p.prim, p.depth + 1 FROM p JOIN uni u ON p.fn_id = u.callee WHERE p.depth < 7)""",
+p AS (SELECT DISTINCT fn_id, prim, 0 AS depth FROM {inst} WHERE op IN ('Send', 'Recv') UNION SELECT u.caller, p.prim, p.depth + 1 FROM p JOIN uni u ON p.fn_id = u.callee WHERE p.depth < 7)""",
     ),
     "dependency_edges": duck_sql("SELECT p1, p2 FROM dep", _DEP),
     "circular_dep": duck_sql("SELECT a.p1, a.p2 FROM dep a JOIN dep b ON a.p1 = b.p2 AND a.p2 = b.p1 WHERE a.p1 < a.p2", _DEP),
@@ -328,14 +333,14 @@ p AS (SELECT DISTINCT fn_id, prim, 0 AS depth FROM {inst} WHERE op IN ('Send', '
     "sync_struct_closure": duck_sql("SELECT n AS struct_name FROM r", f"f AS ({_FIELDS}), r AS (SELECT DISTINCT owner AS n FROM f WHERE is_sync UNION SELECT f.owner FROM r JOIN f ON r.n = f.inner_type)"),
     "type_methods": duck_sql(
         "SELECT type_name, method FROM r",
-        f"f AS ({_FIELDS}), r AS (SELECT DISTINCT p_brand AS type_name, concat(p_brand, '.', p_type) AS method FROM {{part}} WHERE p_partkey % 20 = 1 UNION SELECT f.owner, r.method FROM r JOIN f ON r.type_name = f.inner_type)",
+        f"f AS ({_FIELDS}), r AS (SELECT DISTINCT p_brand AS type_name, concat(p_brand, '.', p_type) AS method FROM {{part}} UNION SELECT f.owner, r.method FROM r JOIN f ON r.type_name = f.inner_type)",
     ),
     "get_base_type": duck_sql("SELECT c.node, c.base FROM r c WHERE c.done", f"f AS ({_CHAIN}), r AS (SELECT node, up AS base, node = up AS done FROM f UNION SELECT r.node, f.up, f.up = r.base FROM r JOIN f ON r.base = f.node)"),
-    "find_primitive": duck_sql("SELECT DISTINCT node, base % 97 AS prim FROM r WHERE done AND node % 3 = 0", f"f AS ({_CHAIN}), r AS (SELECT node, up AS base, node = up AS done FROM f UNION SELECT r.node, f.up, f.up = r.base FROM r JOIN f ON r.base = f.node)"),
+    "find_primitive": duck_sql("SELECT DISTINCT node, base % 97 AS prim FROM r WHERE done", f"f AS ({_CHAIN}), r AS (SELECT node, up AS base, node = up AS done FROM f UNION SELECT r.node, f.up, f.up = r.base FROM r JOIN f ON r.base = f.node)"),
     "package_dependencies": duck_sql(
         "SELECT pkg, max(depth) AS depth FROM r GROUP BY pkg",
         """e AS (SELECT DISTINCT l_partkey % 60 AS src, l_partkey % 60 + 1 + l_suppkey % 3 AS dst FROM {lineitem} WHERE l_linenumber = 1),
-r AS (SELECT CAST(1 AS BIGINT) AS pkg, CAST(0 AS BIGINT) AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.pkg = e.src AND e.dst < 14)""",
+r AS (SELECT CAST(1 AS BIGINT) AS pkg, CAST(0 AS BIGINT) AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.pkg = e.src)""",
     ),
     "fp_recursive_vote": duck_sql(
         "SELECT fn_id, fn_id % 6 = 0 OR coalesce((SELECT 2 * sum(CASE WHEN v.fp THEN 1 ELSE 0 END) > count(*) FROM e JOIN v2 v ON e.caller = v.fn_id WHERE e.callee = f.fn_id), false) AS is_fp FROM fns f",

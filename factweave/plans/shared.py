@@ -87,7 +87,7 @@ WHEN 'WaitGroup_Add' THEN 'W_Add' WHEN 'WaitGroup_Done' THEN 'W_Done' ELSE 'W_Wa
         "P30",
         """SELECT a.l_orderkey, a.l_linenumber AS left_line, b.l_linenumber AS right_line FROM {canon} a JOIN {canon} b ON a.l_orderkey = b.l_orderkey AND a.form = b.form AND a.l_linenumber < b.l_linenumber""",
     ),
-    "new_object_fn": ("P32", "SELECT p_partkey AS fn_id, lower(concat('new', split_part(p_name, ' ', 2))) = lower(concat('New', p_name_last)) AS is_new, p_type LIKE 'PROMO%' AS returns_channel FROM (SELECT *, split_part(p_name, ' ', 2) AS p_name_last FROM {part})"),
+    "new_object_fn": ("P32", "SELECT p_partkey AS fn_id, lower(name) = concat('new', lower(type_name)) AS is_new, p_type LIKE 'PROMO%' AS returns_channel FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 2) AS type_name, concat(CASE p_partkey % 3 WHEN 0 THEN 'New' WHEN 1 THEN 'new' ELSE 'make' END, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END) AS name FROM {part})"),
     # --- control flow ----------------------------------------------------------------------------------------------------
     "prev_insts": ("C1", "SELECT dst AS inst_id, src AS prev_id FROM {inst_edge}"),
     "succ_insts": ("C2", "SELECT src AS inst_id, dst AS succ_id FROM {inst_edge}"),
@@ -120,10 +120,11 @@ FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op IN ('Send
         """SELECT o.label AS lk_id, CASE WHEN o.label % 4 = 0 THEN 'RWMutex' ELSE 'Mutex' END AS type, CAST(sum(CASE WHEN i.op = 'Lock' THEN 1 ELSE 0 END) AS BIGINT) AS n_lock, CAST(sum(CASE WHEN i.op = 'Unlock' THEN 1 ELSE 0 END) AS BIGINT) AS n_unlock
 FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op IN ('Lock', 'Unlock') GROUP BY o.label""",
     ),
-    "may_alias": ("J4", "SELECT DISTINCT a.node AS left_node, b.node AS right_node FROM {obj_addr} a JOIN {obj_addr} b ON a.label = b.label AND a.node < b.node WHERE a.node % 10 = 0"),
+    # Nodes of one class share a label; a node may be in several classes. Two nodes may alias exactly if they share a class.
+    "may_alias": ("J4", "SELECT a.label AS class_id, a.node, c.members FROM {obj_addr} a JOIN (SELECT label, count(*) AS members FROM {obj_addr} GROUP BY label HAVING count(*) > 1) c ON a.label = c.label"),
     "pts_equals": (
         "J4",
-        "SELECT a.node AS left_node, b.node AS right_node FROM {pts_text} a JOIN {pts_text} b ON a.labels = b.labels AND a.node < b.node",
+        "SELECT a.node, c.same_as, c.members FROM {pts_text} a JOIN (SELECT labels, min(node) AS same_as, count(*) AS members FROM {pts_text} GROUP BY labels HAVING count(*) > 1) c ON a.labels = c.labels",
     ),
     "callsite_callees": ("J5", "SELECT site, count(DISTINCT callee) AS n_callees, JOINED[callee|,|callee] AS callees FROM {call_edge} GROUP BY site"),
     "unique_callee_filter": ("J6", "SELECT caller, site, callee FROM (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM {call_edge}) WHERE n = 1"),
@@ -135,10 +136,10 @@ FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op IN ('Lock
     "other_buffered_ops": ("J9", "SELECT a.inst_id, b.inst_id AS other_id FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.op = b.op AND a.inst_id <> b.inst_id"),
     "has_pair": ("J10", "SELECT s.inst_id FROM {chan_use} s WHERE s.op = 'Send' AND EXISTS (SELECT 1 FROM {chan_use} r WHERE r.op = 'Recv' AND r.prim = s.prim AND r.fn_id <> s.fn_id)"),
     "double_close_pairs": ("J11", "SELECT a.prim, a.inst_id AS close1, b.inst_id AS close2 FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.inst_id < b.inst_id WHERE a.op = 'Unlock' AND b.op = 'Unlock'"),
-    "ops_to_lca_chains": ("J13", "SELECT c.site, c.caller AS lca_fn, i.inst_id AS op_id FROM {call_edge} c JOIN {inst} i ON c.callee = i.fn_id WHERE i.op = 'Lock' AND i.idx < 8 AND c.site_kind = 'Call'"),
-    "same_parent_dep_prims": ("J15", "SELECT DISTINCT a.prim AS prim1, b.prim AS prim2, a.fn_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim < b.prim WHERE a.idx < 4 AND b.idx < 4"),
+    "ops_to_lca_chains": ("J13", "SELECT c.site, c.caller AS lca_fn, i.inst_id AS op_id FROM {call_edge} c JOIN {inst} i ON c.callee = i.fn_id WHERE i.op = 'Lock' AND c.site_kind = 'Call'"),
+    "same_parent_dep_prims": ("J15", "SELECT a.prim AS prim1, b.prim AS prim2, a.fn_id FROM (SELECT DISTINCT fn_id, prim FROM {inst}) a JOIN (SELECT DISTINCT fn_id, prim FROM {inst}) b ON a.fn_id = b.fn_id AND a.prim < b.prim"),
     "remove_visited_chains": ("J16", "SELECT DISTINCT c.caller, c.callee FROM {call_edge} c WHERE NOT EXISTS (SELECT 1 FROM {call_edge} v WHERE v.caller = c.caller AND v.callee = c.callee AND v.site_kind = 'Go')"),
-    "call_insts_by_name": ("J17", "SELECT c.site, f.fn_id FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, fn_id % 4 AS pkg FROM {inst}) f ON c.callee = f.fn_id AND c.caller % 4 = f.pkg"),
+    "call_insts_by_name": ("J17", "SELECT c.site, f.fn_id FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, fn_id % 3 AS pkg FROM {inst}) f ON c.callee = f.fn_id AND c.caller % 3 = f.pkg"),
     "go_sites_of_fn": ("J18", "SELECT callee AS fn_id, site FROM {call_edge} WHERE site_kind = 'Go'"),
     "has_direct_call_sites": ("J18", "SELECT DISTINCT callee AS fn_id FROM {call_edge} WHERE site_kind = 'Call'"),
     "make_chan_at_line": ("J19", "SELECT file, line, max(inst_id) AS make_inst FROM {inst} WHERE op = 'Send' AND line IS NOT NULL GROUP BY file, line"),
@@ -156,8 +157,8 @@ CAST(sum(CASE WHEN a.op = 'Cond_Wait' THEN 1 ELSE 0 END) AS BIGINT) AS n_wait FR
     "cg_cha": (
         "G5",
         """SELECT site, callee, 'static' AS rule FROM {call_edge} WHERE site % 4 <> 0
-UNION ALL SELECT c.site, f.fn_id, 'interface' FROM {call_edge} c JOIN (SELECT DISTINCT fn_id FROM {inst}) f ON f.fn_id % 37 = c.caller % 37 WHERE c.site % 4 = 0 AND c.site % 8 <> 0
-UNION ALL SELECT c.site, f.fn_id, 'dynamic' FROM {call_edge} c JOIN (SELECT fn_id, max(idx) AS arity FROM {inst} GROUP BY fn_id) f ON f.arity % 53 = c.caller % 53 AND f.fn_id <> 0 WHERE c.site % 8 = 0""",
+UNION ALL SELECT c.site, f.fn_id, 'interface' FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, CAST(floor(fn_id / 4) AS BIGINT) AS method FROM {inst}) f ON f.method = CAST(floor(c.callee / 4) AS BIGINT) WHERE c.site % 4 = 0 AND c.site % 8 <> 0
+UNION ALL SELECT c.site, f.fn_id, 'dynamic' FROM {call_edge} c JOIN (SELECT fn_id, CAST(floor(fn_id / 3) AS BIGINT) AS signature FROM {inst} GROUP BY fn_id) f ON f.signature = CAST(floor(c.callee / 3) AS BIGINT) AND f.fn_id <> 0 WHERE c.site % 8 = 0""",
     ),
     "check_call_relationship": ("G10", "SELECT i.inst_id FROM {inst} i WHERE EXISTS (SELECT 1 FROM {call_edge} c WHERE c.site = i.inst_id AND c.callee % 3 = 0)"),
     # --- aggregates -------------------------------------------------------------------------------------------------------------
@@ -195,24 +196,24 @@ coalesce(max(CASE WHEN op NOT IN ('Call', 'Unlock') THEN 1 ELSE 0 END) OVER (PAR
     ),
     # --- sets ------------------------------------------------------------------------------------------------------------------------
     "set_intersect": ("U1", "SELECT prim FROM {inst} WHERE op = 'Send' INTERSECT SELECT prim FROM {inst} WHERE op = 'Recv'"),
-    "set_equal": ("U2", "SELECT a.fn_id AS fn1, b.fn_id AS fn2 FROM {held_text} a JOIN {held_text} b ON a.prims = b.prims AND a.fn_id < b.fn_id"),
+    "set_equal": ("U2", "SELECT a.fn_id, c.same_as, c.members FROM {held_text} a JOIN (SELECT prims, min(fn_id) AS same_as, count(*) AS members FROM {held_text} GROUP BY prims) c ON a.prims = c.prims"),
     "set_union_delta": ("U3", "SELECT DISTINCT fn_id, prim FROM {inst} i WHERE op = 'Recv' AND NOT EXISTS (SELECT 1 FROM {inst} s WHERE s.op = 'Send' AND s.fn_id = i.fn_id AND s.prim = i.prim)"),
     "set_difference": ("U4", "SELECT fn_id, prim FROM {inst} WHERE op = 'Lock' EXCEPT SELECT fn_id, prim FROM {inst} WHERE op = 'Unlock'"),
     "smt_union_by_name": ("U5", "SELECT DISTINCT concat('v', CAST(prim AS STRING)) AS name FROM (SELECT prim FROM {inst} WHERE op = 'Send' UNION ALL SELECT prim FROM {inst} WHERE op = 'Recv')"),
     "wrappers_append": ("U6", "SELECT callee AS fn_id FROM {call_edge} WHERE site_kind = 'Call' UNION SELECT fn_id FROM {inst} WHERE op = 'Lock'"),
     # --- enumeration ------------------------------------------------------------------------------------------------------------------
-    "blocking_positions": ("E2", "SELECT fn_id AS path_id, idx AS pos FROM {inst} WHERE op IN ('Send', 'Recv') AND idx < 6 UNION ALL SELECT DISTINCT fn_id, -2 FROM {inst}"),
-    "path_combinations": ("E1", "SELECT a.fn_id AS path1, b.fn_id AS path2 FROM {path} a JOIN {path} b ON a.fn_id % 50 = b.fn_id % 50 AND a.fn_id < b.fn_id"),
+    "blocking_positions": ("E2", "SELECT fn_id AS path_id, idx AS pos FROM {inst} WHERE op IN ('Send', 'Recv') UNION ALL SELECT DISTINCT fn_id, -2 FROM {inst}"),
+    "path_combinations": ("E1", "SELECT path1, path2 FROM {go_pair}"),
     "blocking_combinations": (
         "E3",
-        """SELECT a.fn_id AS path1, a.pos AS pos1, b.fn_id AS path2, b.pos AS pos2 FROM {block_pos} a JOIN {block_pos} b ON a.fn_id % 50 = b.fn_id % 50 AND a.fn_id < b.fn_id
+        """SELECT a.fn_id AS path1, a.pos AS pos1, b.fn_id AS path2, b.pos AS pos2 FROM {go_pair} g JOIN {block_pos} a ON g.path1 = a.fn_id JOIN {block_pos} b ON g.path2 = b.fn_id
 WHERE NOT (a.pos = -2 AND b.pos = -2) AND NOT (a.pos <> -2 AND b.pos <> -2 AND a.prim = b.prim AND a.op <> b.op)""",
     ),
-    "mark_executed": ("E4", "SELECT i.fn_id, b.pos AS block_pos, i.idx, b.pos = -2 OR i.idx <= b.pos AS executed FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id WHERE i.idx < 6"),
+    "mark_executed": ("E4", "SELECT i.fn_id, b.pos AS block_pos, i.idx, b.pos = -2 OR i.idx <= b.pos AS executed FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id"),
     "sync_rule": (
         "E5",
         """SELECT fn_id, block_pos, prim, n_send, n_recv FROM (SELECT i.fn_id, b.pos AS block_pos, i.prim, CAST(sum(CASE WHEN i.op = 'Send' THEN 1 ELSE 0 END) AS BIGINT) AS n_send, CAST(sum(CASE WHEN i.op = 'Recv' THEN 1 ELSE 0 END) AS BIGINT) AS n_recv
-FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id WHERE i.idx < 6 AND (b.pos = -2 OR i.idx <= b.pos) GROUP BY i.fn_id, b.pos, i.prim) WHERE n_recv <= n_send""",
+FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id WHERE (b.pos = -2 OR i.idx <= b.pos) GROUP BY i.fn_id, b.pos, i.prim) WHERE n_recv <= n_send""",
     ),
     "exactly_one": ("E7", "SELECT fn_id, prim, sum(CASE WHEN op = 'Lock' THEN 1 ELSE 0 END) = 1 AS exactly_one, sum(CASE WHEN op = 'Lock' THEN 1 ELSE 0 END) = 0 AS none_true FROM {inst} GROUP BY fn_id, prim"),
     "any_happens_before": ("E8", "SELECT inst_id, coalesce(max(CASE WHEN op = 'Unlock' THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, prim ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS happens_before FROM {inst}"),
@@ -262,7 +263,7 @@ WHERE last_idx = last_recv AND line IS NOT NULL GROUP BY fn_id, prim""",
         "Q11",
         """SELECT s.fn_id, s.prim, min(s.line) + 1 AS make_line FROM {inst} s WHERE s.op = 'Send' AND s.line IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {inst} c WHERE c.fn_id = s.fn_id AND c.prim = s.prim AND c.idx > s.idx AND c.op = 'Call') GROUP BY s.fn_id, s.prim""",
     ),
-    "report_direct_usage": ("Q12", "SELECT prim AS ch_id, fn_id, concat('channel ', CAST(prim AS STRING), ' used at ', JOINED[line|,|idx]) AS report FROM {inst} WHERE op IN ('Send', 'Recv') AND line IS NOT NULL AND prim = 1 GROUP BY prim, fn_id"),
+    "report_direct_usage": ("Q12", "SELECT prim AS ch_id, fn_id, concat('channel ', CAST(prim AS STRING), ' used at ', JOINED[line|,|idx]) AS report FROM {inst} WHERE op IN ('Send', 'Recv') AND line IS NOT NULL GROUP BY prim, fn_id"),
     "patch_1": ("Q13", "SELECT doc_id, line_no, replace(text, 'the ', 'the 1 ') AS patched FROM {doc_line} WHERE text LIKE '%the %'"),
     # --- relational engine ------------------------------------------------------------------------------------------------------------------
     "rel_scan": ("R1", "SELECT src_bb, dst_bb, fn_id FROM {bb_edge}"),
@@ -281,10 +282,10 @@ WHERE last_idx = last_recv AND line IS NOT NULL GROUP BY fn_id, prim""",
     "rel_bitvector_key": ("R15", "SELECT inst_id, (fn_id * 8 + prim) * 4 + pos AS packed FROM {inst}"),
     # --- query tools ------------------------------------------------------------------------------------------------------------------------------
     "guru_callees": ("V1", "SELECT DISTINCT site, callee FROM {call_edge} WHERE site_kind = 'Call'"),
-    "guru_callers": ("V2", "SELECT DISTINCT callee, site, caller FROM {call_edge} WHERE callee % 5 = 0"),
+    "guru_callers": ("V2", "SELECT DISTINCT callee, site, caller FROM {call_edge}"),
     "guru_peers": (
         "V4",
-        "SELECT a.inst_id, b.op AS dir, count(*) AS n_peers, min(b.inst_id) AS first_peer FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.fn_id % 3 = b.fn_id % 3 WHERE a.op IN ('Send', 'Recv') AND b.op IN ('Send', 'Recv', 'Unlock') GROUP BY a.inst_id, b.op",
+        "SELECT a.inst_id, b.op AS dir, count(*) AS n_peers, min(b.inst_id) AS first_peer FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim WHERE a.op IN ('Send', 'Recv') AND b.op IN ('Send', 'Recv', 'Unlock') GROUP BY a.inst_id, b.op",
     ),
     "guru_implements": (
         "V6",
@@ -325,17 +326,17 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "lint_testinggoroutine": ("2.14", "SELECT DISTINCT s.inst_id FROM {sync_op} s JOIN {call_edge} c ON c.callee = s.fn_id WHERE c.site_kind = 'Go' AND s.callee = '(*testing.common).Fatal'"),
     "lint_unusedresult": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Load%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx)"),
     "lint_unusedwrite": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Store%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx AND u.callee LIKE '%Load%')"),
-    "lint_shadow": ("2.14", "SELECT a.inst_id AS outer_id, b.inst_id AS inner_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx AND b.idx <= a.idx + 6 WHERE a.op = 'Lock' AND b.op = 'Lock'"),
+    "lint_shadow": ("2.14", "SELECT a.inst_id AS outer_id, b.inst_id AS inner_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'"),
     "is_mutex_make": ("P6", "SELECT p_partkey AS inst_id, CASE WHEN p_size % 2 = 0 THEN 'sync.Mutex' ELSE 'sync.RWMutex' END AS made FROM {part} WHERE p_type LIKE 'PROMO%'"),
     "cg_pointer": ("G7", "SELECT DISTINCT c.caller, c.site, o.label AS callee FROM {call_edge} c JOIN {obj_addr} o ON c.site % 200 = o.node"),
     "bb_precondition_smt": (
         "E14",
         "SELECT fn_id, bb_id, concat('(assert (and ', JOINED[cond| |idx], '))') AS text FROM (SELECT fn_id, bb_id, idx, concat(CASE WHEN pos % 2 = 0 THEN '(not c' ELSE '(c' END, CAST(prim AS STRING), ')') AS cond FROM {inst} WHERE op IN ('Recv', 'Call')) GROUP BY fn_id, bb_id",
     ),
-    "patch_2": ("Q13", "SELECT doc_id, line_no, concat('defer func() {{ ', text, ' }}()') AS patched FROM {doc_line} WHERE line_no = 1 AND length(text) > 0"),
+    "patch_2": ("Q13", "SELECT doc_id, line_no, concat('defer func() {{ ', text, ' }}()') AS patched FROM {doc_line} WHERE length(text) > 0"),
     "patch_3": (
         "Q13",
-        "SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN concat(text, '; stop := make(chan struct{{}}); defer close(stop)') ELSE concat('select {{ case ', text, ': case <-stop: }}') END AS patched FROM {doc_line} WHERE line_no < 2",
+        "SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN concat(text, '; stop := make(chan struct{{}}); defer close(stop)') ELSE concat('select {{ case ', text, ': case <-stop: }}') END AS patched FROM {doc_line}",
     ),
     "rel_explanations": ("R17", "SELECT a.fn_id, a.src_bb AS a, b.dst_bb AS c, JOINED[a.dst_bb|,|a.dst_bb] AS proof FROM {bb_edge} a JOIN {bb_edge} b ON a.fn_id = b.fn_id AND a.dst_bb = b.src_bb GROUP BY a.fn_id, a.src_bb, b.dst_bb"),
     "guru_whicherrs": ("V7", "SELECT DISTINCT i.fn_id, o.label AS err, CASE WHEN o.label % 3 = 0 THEN 'global' WHEN o.label % 3 = 1 THEN 'constant' ELSE 'type' END AS kind FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op = 'Call' AND o.label % 4 <> 0"),

@@ -115,16 +115,17 @@ FACTS |= {
     "canon": "SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_linenumber % 2 = 0 THEN '<' ELSE '==' END, ' ', CAST(least(l_suppkey % 4, l_partkey % 4) AS STRING), ' ', CAST(greatest(l_suppkey % 4, l_partkey % 4) AS STRING)) AS form FROM {lineitem}",
     "one_pred": "SELECT fn_id, dst_bb, min(src_bb) AS src_bb FROM {bb_edge} GROUP BY fn_id, dst_bb HAVING count(*) = 1",
     "pts_text": "SELECT node, JOINED[label|,|label] AS labels FROM {obj_addr} GROUP BY node HAVING count(*) > 1",
-    "chan_use": "SELECT inst_id, fn_id, op, inst_id % 997 AS prim FROM {inst}",
+    "chan_use": "SELECT inst_id, fn_id, op, CAST(floor(inst_id / 8) AS BIGINT) AS prim FROM {inst}",
     "struct_sync": "SELECT DISTINCT p_brand AS struct_name FROM {part} WHERE p_type LIKE 'PROMO%' AND p_size > 45",
     "field_ratio": "SELECT struct_name, field, count(*) AS n_uses, CAST(sum(CASE WHEN locked THEN 1 ELSE 0 END) AS BIGINT) AS n_locked FROM {field_use} GROUP BY struct_name, field",
-    "lock_next": "SELECT a.inst_id AS lock1, b.inst_id AS lock2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx AND b.idx <= a.idx + 10 WHERE a.op = 'Lock' AND b.op = 'Lock'",
+    "lock_next": "SELECT a.inst_id AS lock1, b.inst_id AS lock2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'",
     "bb_text": "SELECT fn_id, bb_id, JOINED[op|,|idx] AS ops FROM {inst} GROUP BY fn_id, bb_id",
-    "held_text": "SELECT fn_id, JOINED[prim|,|prim] AS prims FROM (SELECT DISTINCT fn_id, prim FROM {inst} WHERE op = 'Lock' AND idx < 12) GROUP BY fn_id",
+    "held_text": "SELECT fn_id, JOINED[prim|,|prim] AS prims FROM (SELECT DISTINCT fn_id, prim FROM {inst} WHERE op = 'Lock') GROUP BY fn_id",
+    "go_pair": "SELECT DISTINCT caller AS path1, callee AS path2 FROM {call_edge} WHERE site_kind = 'Go' AND caller <> callee",
     "path": "SELECT DISTINCT fn_id FROM {inst}",
-    "block_pos": "SELECT fn_id, idx AS pos, prim, op FROM {inst} WHERE op IN ('Send', 'Recv') AND idx < 6 UNION ALL SELECT DISTINCT fn_id, -2, -1, 'Exit' FROM {inst}",
+    "block_pos": "SELECT fn_id, idx AS pos, prim, op FROM {inst} WHERE op IN ('Send', 'Recv') UNION ALL SELECT DISTINCT fn_id, -2, -1, 'Exit' FROM {inst}",
     "method_set": "SELECT DISTINCT fn_id, inst_id % 13 AS prim FROM {inst} WHERE op = 'Call'",
-    "method_need": "SELECT DISTINCT fn_id, inst_id % 13 AS prim FROM {inst} WHERE op = 'Call' AND fn_id % 10 = 0 AND idx < 20",
+    "method_need": "SELECT DISTINCT fn_id, inst_id % 13 AS prim FROM {inst} WHERE op = 'Call' AND is_defer",
     "bench_line": "SELECT concat('Benchmark', replace(p_name, ' ', '_'), ' ', CAST(p_size * 1000 AS STRING), ' ', CAST(p_partkey % 700 + 10 AS STRING), ' ns/op', CASE WHEN p_partkey % 3 = 0 THEN ' 12 B/op' ELSE '' END) AS line, p_partkey AS ord FROM {part}",
     "bench_run": "SELECT p_name AS name, p_partkey AS ord, p_partkey % 700 + 10 AS ns FROM {part}",
     "bench_nth": "SELECT p_name AS name, p_partkey % 2 AS half, p_partkey % 700 AS ns, CAST(row_number() OVER (PARTITION BY p_name, p_partkey % 2 ORDER BY p_partkey) AS BIGINT) AS nth FROM {part}",

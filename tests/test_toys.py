@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,8 +103,10 @@ def test_semi_naive_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src long, dst long")
     got = reach(spark.createDataFrame([(0, 1)], "root long, node long"), edges)
     assert {r["node"] for r in got.collect()} == {1, 2, 3}
-    once = semi_naive(spark.createDataFrame([(1,)], "n long"), lambda d: d.selectExpr("n % 5 + 1 as n"), max_rounds=2)
+    once = semi_naive(spark.createDataFrame([(1,)], "n long"), lambda d: d.selectExpr("n % 5 + 1 as n"), depth=2)
     assert {r["n"] for r in once.collect()} == {1, 2, 3}
+    with pytest.raises(RuntimeError):
+        semi_naive(spark.createDataFrame([(1,)], "n long"), lambda d: d.selectExpr("n + 1 as n"), max_rounds=3)
 
 
 def test_call_paths_of_any_length(spark, sf_dir, monkeypatch):
