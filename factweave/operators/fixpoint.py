@@ -1,4 +1,4 @@
-"""Recursion on DataFrames: semi-naive loops for whole-program relations, grouped pandas for per-function graphs.
+"""Recursion on DataFrames: semi-naive loops for whole-program relations, sorted batches for per-function graphs.
 
 Loops keep each round in the session's checkpoint folder (spark.checkpoint.dir), which all executors share, so that lost
 executors cost nothing and lineage stays short. Graphs that decompose by function take one shuffle in all.
@@ -7,10 +7,12 @@ executors cost nothing and lineage stays short. Graphs that decompose by functio
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,45 +56,62 @@ def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     return semi_naive(start.select("root", "node"), lambda d: d.join(e, d["node"] == F.col("e_src")).select("root", F.col("e_dst").alias("node")))
 
 
-def per_function(nodes: DataFrame, edges: DataFrame, solve: Callable[[pd.DataFrame, dict], list[tuple]], schema: str) -> DataFrame:
-    """solve(nodes of one function sorted by id, successors by id) for each fn_id; solve returns rows after fn_id.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def per_function(nodes: DataFrame, edges: DataFrame, solve: Callable[[dict, dict], list[tuple]], schema: str) -> DataFrame:
+    """solve(columns of one function's nodes, sorted by id, successors by id) for each fn_id; solve returns rows after fn_id.
 
     nodes has fn_id, id and attributes; edges has fn_id, src, dst: between nodes, or, where nodes have bb_id and idx, between
     blocks (an instruction is followed by the next one of its block, a block's last one by the first of each successor).
-    One shuffle: nodes and edges travel as one relation by fn_id.
+    One shuffle: nodes and edges travel as one relation by fn_id. A task goes through its functions one by one, so it needs
+    memory for one batch and one function.
     """
-    names = [p.split()[0] for p in schema.split(",")]
+    kinds = dict(part.split() for part in schema.split(", "))
     both = nodes.withColumns({"e_src": F.lit(None).cast("long"), "e_dst": F.lit(None).cast("long")})
     both = both.unionByName(edges.select("fn_id", F.col("src").alias("e_src"), F.col("dst").alias("e_dst")), allowMissingColumns=True)
-    of_blocks = "bb_id" in nodes.columns
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        is_edge = group["e_src"].notna().to_numpy()
-        own, arcs = group[~is_edge], group[is_edge]
-        if own.empty:
-            return pd.DataFrame([], columns=names)
-        own = own.sort_values("idx" if of_blocks else "id", kind="stable").reset_index(drop=True)
-        for c, kind in kinds.items():
-            own[c] = own[c].astype(kind)
-        pairs = sorted({(int(a), int(b)) for a, b in zip(arcs["e_src"], arcs["e_dst"], strict=True)})
-        succ: dict = {i: [] for i in own["id"].tolist()}
+    of_blocks, attributes = "bb_id" in nodes.columns, [c for c in nodes.columns if c != "fn_id"]
+
+    def one(fn: int, t: pa.Table) -> list[tuple]:
+        is_edge = t["e_src"].is_valid()
+        own, arcs = t.filter(pc.invert(is_edge)).select(attributes), t.filter(is_edge)
+        if own.num_rows == 0:
+            return []
+        own = own.sort_by("id")
+        g = {c: own[c].to_numpy() for c in attributes}
+        pairs = set(zip(arcs["e_src"].to_pylist(), arcs["e_dst"].to_pylist(), strict=True))
+        succ: dict = {i: set() for i in g["id"].tolist()}
         if of_blocks:
+            order = g["idx"].argsort(kind="stable")
             first, last = {}, {}
-            for i, b in zip(own["id"].tolist(), own["bb_id"].tolist(), strict=True):
+            for i, b in zip(g["id"][order].tolist(), g["bb_id"][order].tolist(), strict=True):
                 first.setdefault(b, i)
                 if b in last:
-                    succ[last[b]].append(i)
+                    succ[last[b]].add(i)
                 last[b] = i
-            pairs = [(last[a], first[b]) for a, b in pairs if a in last and b in first]
-            own = own.sort_values("id", kind="stable").reset_index(drop=True)
+            pairs = {(last[a], first[b]) for a, b in pairs if a in last and b in first}
         for a, b in pairs:
-            succ.setdefault(a, []).append(b)
-        fn = group["fn_id"].iloc[0]
-        return pd.DataFrame([(fn, *r) for r in solve(own, {a: sorted(set(bs)) for a, bs in succ.items()})], columns=names)
-
-    # Nulls of the other kind of row turn columns into floats or objects.
-    kinds = {c: {"bigint": "int64", "int": "int64", "boolean": "bool"}.get(t, "object") for c, t in nodes.dtypes if c != "fn_id"}
-    return both.groupBy("fn_id").applyInPandas(run, schema)
+            succ.setdefault(a, set()).add(b)
+        return [(fn, *r) for r in solve(g, {a: sorted(bs) for a, bs in succ.items()})]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), ARROW[k]) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            fn = t["fn_id"].to_numpy()
+            cut = [0, *(np.flatnonzero(fn[1:] != fn[:-1]) + 1).tolist()]
+            yield out([r for a, b in zip(cut, cut[1:], strict=False) for r in one(int(fn[a]), t.slice(a, b - a))])
+            held = t.slice(cut[-1]) if len(fn) else held
+        if held is not None and held.num_rows:
+            yield out(one(held["fn_id"][0].as_py(), held))
+
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.where("fn_id is not null").repartition(tasks, "fn_id").sortWithinPartitions("fn_id").mapInArrow(run, schema)
 
 
 def walk(succ: dict, start: list, stop: Callable = lambda n: False) -> set:
