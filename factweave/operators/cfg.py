@@ -114,6 +114,48 @@ def happens_before_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.where(happens).select(F.col("fn_id1").alias("fn_id"), F.col("inst_id1").alias("inst1"), F.col("inst_id2").alias("inst2"))
 
 
+def postdominates_by_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fn_id, pre_bb, post_bb), different blocks: every way out that comes by pre_bb meets post_bb after it; some way out does.
+
+    Ways out are paths from the entry to an exit block, loops any number of times; so post_bb may not be avoidable between
+    pre_bb and an exit. Endless paths do not count, unlike in post_dominators.
+    """
+
+    def solve(g, s):
+        live, back = walk(s, [0]), flipped(s)
+        out = walk(back, [n for n in s if not s[n]])
+        on_way = live & out
+        rows = []
+        for post in on_way:
+            free = walk({n: [m for m in ms if m != post] for n, ms in back.items()}, [n for n in s if not s[n] and n != post])
+            rows += [(pre, post) for pre in on_way if pre != post and pre not in free]
+        return sorted(rows)
+
+    return per_function(*_blocks(spark, sf_dir), solve, "fn_id long, pre_bb long, post_bb long")
+
+
+def fuse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fn_id, bb_id, into_bb): live blocks, each with the first block of the straight line that it is fused into."""
+
+    def solve(g, s):
+        live = walk(s, [0])
+        pred = flipped({n: ms for n, ms in s.items() if n in live})
+        head: dict = {}
+        for n in sorted(live):
+            line = [n]
+            while line[-1] not in head:
+                before = pred.get(line[-1], [])
+                if line[-1] == 0 or len(before) != 1 or len(s[before[0]]) != 1 or before[0] in line:
+                    head[line[-1]] = line[-1]
+                    break
+                line.append(before[0])
+            for m in reversed(line):
+                head.setdefault(m, head[line[-1]])
+        return sorted(head.items())
+
+    return per_function(*_blocks(spark, sf_dir), solve, "fn_id long, bb_id long, into_bb long")
+
+
 _CLOSURE = """reach AS (SELECT fn_id, src_bb, dst_bb FROM {bb_edge} UNION SELECT r.fn_id, r.src_bb, e.dst_bb FROM reach r JOIN {bb_edge} e ON r.fn_id = e.fn_id AND r.dst_bb = e.src_bb)"""
 #: without(x, n): n is reached from the entry when block x is taken out.
 _WITHOUT = """live AS (SELECT DISTINCT fn_id, CAST(0 AS BIGINT) AS n FROM {bb} UNION SELECT l.fn_id, e.dst_bb FROM live l JOIN {bb_edge} e ON l.fn_id = e.fn_id AND l.n = e.src_bb),
@@ -157,4 +199,23 @@ ELSE EXISTS (SELECT 1 FROM reach r WHERE r.fn_id = a.fn_id AND r.src_bb = a.bb_i
         _CLOSURE,
     ),
 }
+#: Ways out that avoid a block, walked backwards: none(x, n) says that n reaches an exit without x.
+_AVOID = """live AS (SELECT DISTINCT fn_id, CAST(0 AS BIGINT) AS n FROM {bb} UNION SELECT l.fn_id, e.dst_bb FROM live l JOIN {bb_edge} e ON l.fn_id = e.fn_id AND l.n = e.src_bb),
+ends AS (SELECT fn_id, bb_id AS n FROM {bb} b WHERE NOT EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.src_bb = b.bb_id)),
+outs AS (SELECT fn_id, n FROM ends UNION SELECT o.fn_id, e.src_bb FROM outs o JOIN {bb_edge} e ON o.fn_id = e.fn_id AND o.n = e.dst_bb),
+way AS (SELECT l.fn_id, l.n FROM live l JOIN outs o ON l.fn_id = o.fn_id AND l.n = o.n),
+free AS (SELECT w.fn_id, w.n AS x, e.n FROM way w JOIN ends e ON w.fn_id = e.fn_id AND e.n <> w.n
+UNION SELECT f.fn_id, f.x, e.src_bb FROM free f JOIN {bb_edge} e ON f.fn_id = e.fn_id AND f.n = e.dst_bb WHERE e.src_bb <> f.x)"""
+SQL |= {
+    "postdominates_by_paths": duck_sql(
+        "SELECT a.fn_id, a.n AS pre_bb, b.n AS post_bb FROM way a JOIN way b ON a.fn_id = b.fn_id AND a.n <> b.n WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.fn_id = a.fn_id AND f.x = b.n AND f.n = a.n)", _AVOID
+    ),
+    "fuse_blocks": duck_sql(
+        "SELECT fn_id, bb_id, min(h) AS into_bb FROM lines WHERE NOT EXISTS (SELECT 1 FROM step t WHERE t.fn_id = lines.fn_id AND t.b = lines.h) GROUP BY fn_id, bb_id",
+        """live AS (SELECT DISTINCT fn_id, CAST(0 AS BIGINT) AS n FROM {bb} UNION SELECT l.fn_id, e.dst_bb FROM live l JOIN {bb_edge} e ON l.fn_id = e.fn_id AND l.n = e.src_bb),
+arcs AS (SELECT DISTINCT e.fn_id, e.src_bb AS a, e.dst_bb AS b FROM {bb_edge} e JOIN live l ON e.fn_id = l.fn_id AND e.src_bb = l.n),
+step AS (SELECT x.fn_id, x.a, x.b FROM arcs x WHERE x.b <> 0 AND (SELECT count(*) FROM arcs y WHERE y.fn_id = x.fn_id AND y.b = x.b) = 1 AND (SELECT count(*) FROM arcs y WHERE y.fn_id = x.fn_id AND y.a = x.a) = 1),
+lines AS (SELECT fn_id, n AS bb_id, n AS h FROM live UNION SELECT l.fn_id, l.bb_id, t.a FROM lines l JOIN step t ON l.fn_id = t.fn_id AND l.h = t.b)""",
+    ),
+}
 QUERIES = {k: globals()[k] for k in SQL}

@@ -141,6 +141,22 @@ def forget_unlock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_function(*_insts(spark, sf_dir), solve, "fn_id long, lock_id long, prim long")
 
 
+def lint_lostcancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fn_id, inst_id): what is taken at inst_id (a cancel function, a lock) and left unused on some way out of the function."""
+
+    def solve(g, s):
+        op, prim = (dict(zip(g["id"], g[c], strict=True)) for c in ("op", "prim"))
+        uses = lambda n, p: op[n] == "Unlock" and prim[n] == p
+        out = []
+        for n in g["id"][g["op"] == "Lock"]:
+            ways = walk(s, [n], lambda m, p=prim[n]: uses(m, p))
+            if any(not s[m] and not uses(m, prim[n]) for m in ways):
+                out.append((n,))
+        return out
+
+    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, inst_id long")
+
+
 def _entry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, prim, inst_id, op): calls, and locks of prim, reached from the function's entry before prim is released."""
 
@@ -229,6 +245,11 @@ UNION ALL SELECT i.fn_id, i.inst_id, i.prim, i.inst_id FROM {inst} i JOIN ends e
 WHERE NOT EXISTS (SELECT 1 FROM late l JOIN {inst} d ON l.d = d.inst_id WHERE d.op = 'Unlock' AND l.prim = x.prim AND l.at = x.at)""",
         _HELD + ", " + _DEFERS + ", " + _ENDS,
     ),
+    "lint_lostcancel": duck_sql(
+        """SELECT DISTINCT l.fn_id, l.inst_id FROM {inst} l JOIN ends e ON l.fn_id = e.fn_id LEFT JOIN held h ON h.lock_id = l.inst_id AND h.at = e.inst_id JOIN {inst} i ON e.inst_id = i.inst_id
+WHERE l.op = 'Lock' AND (h.lock_id IS NOT NULL OR e.inst_id = l.inst_id) AND NOT (i.op = 'Unlock' AND i.prim = l.prim)""",
+        _HELD + ", " + _ENDS,
+    ),
     "interprocedural_double_lock": duck_sql("SELECT DISTINCT x.lock_id AS lock1, n.at AS lock2 FROM ctx x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = x.prim", _CTX),
     "interprocedural_lock_pairs": duck_sql("SELECT DISTINCT x.prim AS m1, i.prim AS m2 FROM ctx x JOIN {inst} i ON x.fn = i.fn_id WHERE i.op = 'Lock' AND i.bb_id = 0 AND i.prim <> x.prim", _CTX),
 }

@@ -97,13 +97,73 @@ def digraph_allpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digraph_sccs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, scc): the smallest function that a function reaches and is reached from."""
-    edges = _fn_edges(spark, sf_dir)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    paths = keep(reach(nodes.select(F.col("node").alias("root"), "node"), edges))
-    back = _rename(paths, b_root="root", b_node="node")
-    both = paths.join(back, (F.col("root") == F.col("b_node")) & (F.col("node") == F.col("b_root")), "left_semi")
-    return both.groupBy(F.col("root").alias("node")).agg(F.min("node").alias("scc"))
+    """(node, scc): the smallest function that a function reaches and is reached from.
+
+    Forward-backward colouring: every round spreads the smallest node forwards to all that it reaches, then back from each
+    colour's own node inside the colour, which is one component a colour; nodes that nothing enters or leaves are
+    components at once. Rows are narrow and linear in nodes and edges, whatever is reachable from what.
+    """
+    edges = keep(_fn_edges(spark, sf_dir).where("src is not null and dst is not null").distinct())
+    nodes = keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    done = nodes.limit(0).select("node", F.col("node").alias("scc"))
+    while not nodes.isEmpty():
+        # Trim: a node without an edge on one side is alone.
+        inner = edges.where("src <> dst")
+        both = inner.select(F.col("src").alias("t_node")).intersect(inner.select("dst"))
+        alone = keep(nodes.join(both, F.col("node") == F.col("t_node"), "left_anti"))
+        done = keep(done.union(alone.select("node", F.col("node").alias("scc"))))
+        nodes = keep(nodes.join(_rename(alone, a_node="node"), F.col("node") == F.col("a_node"), "left_anti"))
+        colour = _spread(nodes.select("node", F.col("node").alias("colour")), _within(edges, nodes))
+        dyed = _rename(colour, s_node="node", s_colour="colour")
+        dyed2 = _rename(colour, d_node="node", d_colour="colour")
+        same = keep(edges.join(dyed, F.col("src") == F.col("s_node")).join(dyed2, F.col("dst") == F.col("d_node")).where("s_colour = d_colour").select("src", "dst"))
+        heads = colour.where("node = colour").select(F.col("colour").alias("root"), "node")
+        found = keep(reach(heads, _rename(same, src="dst", dst="src")).select("node", F.col("root").alias("scc")))
+        done = keep(done.union(found))
+        nodes = keep(nodes.join(_rename(found, f_node="node"), F.col("node") == F.col("f_node"), "left_anti"))
+        edges = keep(_within(same, nodes))
+    return done
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.join(_rename(nodes, w_src="node"), F.col("src") == F.col("w_src"), "left_semi").join(_rename(nodes, w_dst="node"), F.col("dst") == F.col("w_dst"), "left_semi")
+
+
+def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest colour among a node and all that reach it, by rounds over the nodes that changed."""
+    now = changed = keep(colour)
+    edges = keep(_rename(edges, e_src="src", e_dst="dst"))
+    while True:
+        offers = changed.join(edges, F.col("node") == F.col("e_src")).groupBy(F.col("e_dst").alias("o_node")).agg(F.min("colour").alias("offer"))
+        new = keep(now.join(offers, F.col("node") == F.col("o_node"), "left").select("node", F.least("colour", F.coalesce("offer", "colour")).alias("new"), "colour"))
+        changed = keep(new.where("new < colour").select("node", F.col("new").alias("colour")))
+        now = new.select("node", F.col("new").alias("colour"))
+        if changed.isEmpty():
+            return now
+
+
+def strata(rules: list[tuple[str, list[tuple[str, bool]]]]) -> list[list[str]]:
+    """Relations in the order in which they can be saturated, those that hang on each other together, sorted.
+
+    A rule is (head, [(relation, negated)]). ValueError if a relation hangs on its own negation.
+    """
+    uses: dict = {}
+    for head, body in rules:
+        uses.setdefault(head, set()).update(body)
+        for r, _ in body:
+            uses.setdefault(r, set())
+    on = {r: after({h: [x for x, _ in b] for h, b in uses.items()}, r) for r in uses}
+    for head, body in uses.items():
+        if any(negated and (head in on[r] or head == r) for r, negated in body):
+            raise ValueError(f"{head} hangs on a negation of itself")
+    groups = {tuple(sorted({r} | {x for x in on[r] if r in on[x]})) for r in uses}
+    below = lambda g: {x for r in g for x in on[r]} - set(g)
+    out: list[list[str]] = []
+    while groups:
+        ready = sorted(g for g in groups if below(g) <= {r for s in out for r in s})
+        out += [list(g) for g in ready]
+        groups -= set(ready)
+    return out
 
 
 def cg_path_search(spark: SparkSession, sf_dir: str) -> DataFrame:

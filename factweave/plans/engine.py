@@ -1,0 +1,120 @@
+"""A small Datalog engine on DataFrames: relations, rules, stratified negation, semi-naive saturation.
+
+    e = Engine(spark)
+    e.add("edge", edges)
+    e.rule("path(X, Y)", "edge(X, Y)")
+    e.rule("path(X, Z)", "path(X, Y)", "edge(Y, Z)")
+    e.query("path")
+
+Terms are variables (a capital first), numbers or quoted texts. Each stratum is saturated with the rules in which one of its own
+relations is replaced by what the last round added; a rule's body is one chain of equi-joins, a negated atom an anti-join
+(atoms that share no variable are a product, as the rule then asks for one).
+Relations have set semantics and are kept in the session's checkpoint folder between rounds.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.fixpoint import keep
+from ..operators.program import strata
+
+_ATOM = re.compile(r"\s*(not\s+)?(\w+)\s*\((.*)\)\s*")
+
+
+def _atom(text: str) -> tuple[str, list, bool]:
+    m = _ATOM.fullmatch(text)
+    if not m:
+        raise ValueError(f"not an atom: {text}")
+    return m[2], [_term(x.strip()) for x in m[3].split(",")], bool(m[1])
+
+
+def _term(x: str):
+    if x[:1] in "\"'":
+        return ("is", x[1:-1])
+    return ("is", int(x)) if re.fullmatch(r"-?\d+", x) else ("var", x)
+
+
+class Engine:
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.facts: dict[str, DataFrame] = {}
+        self.rules: list[tuple] = []
+        self.stored: dict[str, DataFrame] | None = None
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """Adds rows to a relation; its columns are taken in their order."""
+        rows = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+        self.facts[name] = self.facts[name].union(rows) if name in self.facts else rows
+        self.stored = None
+
+    def rule(self, head: str, *body: str) -> None:
+        """head holds where all of body does; a variable of the head or of a negated atom is bound by another atom."""
+        name, terms, negated = _atom(head)
+        atoms = [_atom(b) for b in body]
+        bound = {v for _, ts, no in atoms if not no for k, v in ts if k == "var"}
+        used = {v for k, v in terms if k == "var"} | {v for _, ts, no in atoms if no for k, v in ts if k == "var"}
+        if negated or not used <= bound:
+            raise ValueError(f"not bound in {head}: {sorted(used - bound)}")
+        self.rules.append((name, terms, sorted(atoms, key=lambda a: a[2])))
+        self.stored = None
+
+    def query(self, name: str) -> DataFrame:
+        """The relation after saturation, with columns c0, c1, ..."""
+        if self.stored is None:
+            self.stored = self._saturate()
+        return self.stored[name]
+
+    def contains(self, name: str, *fact) -> bool:
+        return not self.query(name).where(reduce(lambda a, b: a & b, (F.col(f"c{i}") == F.lit(x) for i, x in enumerate(fact)))).isEmpty()
+
+    def _apply(self, rule: tuple, now: dict[str, DataFrame], new: tuple[int, DataFrame] | None = None) -> DataFrame:
+        _, terms, atoms = rule
+        joined: DataFrame | None = None
+        for i, (name, own, negated) in enumerate(atoms):
+            rows = new[1] if new and new[0] == i else now[name]
+            for k, (kind, v) in enumerate(own):
+                first = next(j for j, t in enumerate(own) if t == (kind, v))
+                rows = rows.where(F.col(f"c{k}") == F.lit(v)) if kind == "is" else rows.where(F.col(f"c{k}") == F.col(f"c{first}")) if first < k else rows
+            names = {v: f"c{k}" for k, (kind, v) in reversed(list(enumerate(own))) if kind == "var"}
+            rows = rows.select(*(F.col(c).alias(f"{v}_{i}") for v, c in names.items()))
+            if joined is None:
+                joined = rows.select(*(F.col(f"{v}_{i}").alias(v) for v in names))
+                continue
+            shared = [F.col(v) == F.col(f"{v}_{i}") for v in names if v in joined.columns]
+            if negated:
+                joined = joined.join(rows, shared, "left_anti")
+                continue
+            both = joined.join(rows, shared) if shared else joined.crossJoin(rows)
+            joined = both.select(*joined.columns, *(F.col(f"{v}_{i}").alias(v) for v in names if v not in joined.columns))
+        return joined.select(*((F.col(v) if kind == "var" else F.lit(v)).alias(f"c{k}") for k, (kind, v) in enumerate(terms))).distinct()
+
+    def _saturate(self) -> dict[str, DataFrame]:
+        now = {n: keep(df.distinct()) for n, df in self.facts.items()}
+        for group in strata([(name, [(a, negated) for a, _, negated in atoms]) for name, _, atoms in self.rules]):
+            mine = [r for r in self.rules if r[0] in group]
+            delta: dict[str, DataFrame] = {}
+            for r in mine:  # first the rules whose relations are known
+                if all(a in now for a, _, _ in r[2]) and not any(a in group for a, _, _ in r[2]):
+                    rows = self._apply(r, now)
+                    delta[r[0]] = delta[r[0]].union(rows).distinct() if r[0] in delta else rows
+            delta = {n: keep(df) for n, df in ({n: now[n] for n in group if n in now} | {n: df.union(now[n]).distinct() if n in now else df for n, df in delta.items()}).items()}
+            now |= delta
+            while delta:
+                fresh: dict[str, list[DataFrame]] = {}
+                for r in mine:
+                    for i, (a, _, negated) in enumerate(r[2]):
+                        if not negated and a in delta and all(x in now for x, _, _ in r[2]):
+                            fresh.setdefault(r[0], []).append(self._apply(r, now, (i, delta[a])))
+                delta = {}
+                for n, parts in fresh.items():
+                    rows = reduce(DataFrame.union, parts).distinct()
+                    rows = keep(rows.subtract(now[n]) if n in now else rows)
+                    if not rows.isEmpty():
+                        delta[n] = rows
+                now |= {n: keep(now[n].union(rows)) if n in now else rows for n, rows in delta.items()}
+        return now

@@ -4,6 +4,8 @@ Each fact is one SQL statement over base tables and earlier facts, in the dialec
 text feeds the engine and the reference statements. Facts are lazy: a query pulls in only those that it names, and Catalyst
 prunes their columns and pushes filters into the scans. The partition key of a program is fn_id.
 
+A folder may hold any of them as a table instead (see frame()).
+
 inst       instructions: events of one user are one function, four consecutive instructions are a basic block
 bb_edge    control flow: fall through, a branch past the next block from every third, a loop back from every fifth
 inst_edge  instruction order: inside a block, and from a block's last instruction to its successors' first
@@ -141,10 +143,22 @@ _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 _JOIN = re.compile(r"JOINED\[(.*?)\|(.*?)\|(.*?)\]")
 
 
+def _brought(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str, seen: dict | None = None) -> DataFrame:
-    """A base table or fact as a DataFrame; seen keeps those already made for the same query."""
+    """A base table or fact as a DataFrame; seen keeps those already made for the same query.
+
+    A fact that lies in the folder as a table of its own (inst.parquet, bb_edge.parquet, call_edge.parquet and so on, with the
+    fact's columns) is read instead of derived: that is how a program's own facts are analysed.
+    """
     seen = {} if seen is None else seen
     if name not in seen:
+        if name not in BASE and _brought(spark, f"{sf_dir}/{name}.parquet"):
+            seen[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return seen[name]
         seen[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in BASE else run_sql(spark, sf_dir, SPLIT[name][0] if name in SPLIT else FACTS[name], seen)
     return seen[name]
 
