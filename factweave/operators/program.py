@@ -136,7 +136,7 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         offers = changed.join(edges, F.col("node") == F.col("e_src")).groupBy(F.col("e_dst").alias("o_node")).agg(F.min("colour").alias("offer"))
         new = keep(now.join(offers, F.col("node") == F.col("o_node"), "left").select("node", F.least("colour", F.coalesce("offer", "colour")).alias("new"), "colour"))
-        changed = keep(new.where("new < colour").select("node", F.col("new").alias("colour")))
+        changed = new.where("new < colour").select("node", F.col("new").alias("colour"))
         now = new.select("node", F.col("new").alias("colour"))
         if changed.isEmpty():
             return now

@@ -343,7 +343,6 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "guru_what": ("V9", "SELECT i.inst_id, concat('fn', CAST(i.fn_id AS STRING), '/bb', CAST(i.bb_id AS STRING), '/', i.op) AS enclosing, i.op IN ('Send', 'Recv') AS peers_apply FROM {inst} i"),
     "lint_bools": ("2.14", "SELECT b.inst_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND b.idx = a.idx + 1 AND a.op = b.op AND a.prim = b.prim"),
     "lint_unreachable": ("2.14", "SELECT b.fn_id, b.bb_id FROM {bb} b WHERE b.bb_id <> 0 AND NOT EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.dst_bb = b.bb_id AND e.src_bb <> b.bb_id - 1)"),
-    "lint_structtag": ("2.14", "SELECT p_brand, p_size, count(*) AS n FROM {part} GROUP BY p_brand, p_size HAVING count(*) > 1"),
     "lint_loopclosure": ("2.14", "SELECT DISTINCT c.site FROM {call_edge} c JOIN {inst} i ON c.site = i.inst_id JOIN {bb_edge} e ON e.fn_id = i.fn_id AND e.dst_bb < e.src_bb AND i.bb_id BETWEEN e.dst_bb AND e.src_bb WHERE c.site_kind IN ('Go', 'Defer')"),
     "lint_atomic": ("2.14", "SELECT s.inst_id FROM {sync_op} s JOIN {sync_api} a ON s.callee = a.callee WHERE a.op = 'Atomic_Int_Add' AND s.value_id % 2 = 0"),
     "lint_nilfunc": ("2.14", "SELECT inst_id FROM {sync_op} WHERE value_id = 0 AND callee LIKE '%.%'"),

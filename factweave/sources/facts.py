@@ -63,6 +63,43 @@ SYNC_API = [
     ("invoke l.RLock", "RWMutex_RLock"),
 ]
 
+# Types that arguments have: kind, bits, what a pointer points to, whether an interface, whether an error.
+TYPES = [
+    ("int", "integer", 64, "", 0, 0),
+    ("uint8", "integer", 8, "", 0, 0),
+    ("int32", "integer", 32, "", 0, 0),
+    ("uint16", "integer", 16, "", 0, 0),
+    ("uintptr", "integer", 64, "", 0, 0),
+    ("string", "string", 128, "", 0, 0),
+    ("error", "interface", 128, "", 1, 1),
+    ("io.Reader", "interface", 128, "", 1, 0),
+    ("MyErr", "struct", 64, "", 0, 1),
+    ("reflect.Value", "struct", 192, "", 0, 0),
+    ("config", "struct", 96, "", 0, 0),
+    ("*MyErr", "pointer", 64, "MyErr", 0, 1),
+    ("*string", "pointer", 64, "string", 0, 0),
+    ("*error", "pointer", 64, "error", 0, 0),
+    ("*io.Reader", "pointer", 64, "io.Reader", 0, 0),
+    ("[]int", "slice", 192, "", 0, 0),
+    ("map[string]int", "map", 64, "", 0, 0),
+]
+# Functions and conversions that the lint passes know.
+CALLS = [
+    "errors.As", "json.Unmarshal", "(*json.Decoder).Decode", "xml.Unmarshal", "sort.Slice", "sort.SliceStable", "reflect.DeepEqual", "unsafe.Pointer", "string",
+    "<<", "==", "fmt.Printf", "atomic.AddInt64", "atomic.LoadUint64", "other",
+]
+# Methods whose signature is agreed on.
+STD_METHODS = [
+    ("Format", "(fmt.State, rune)"),
+    ("GobDecode", "([]byte) error"),
+    ("MarshalJSON", "() ([]byte, error)"),
+    ("ReadByte", "() (byte, error)"),
+    ("Scan", "(fmt.ScanState, rune) error"),
+    ("Seek", "(int64, int) (int64, error)"),
+    ("UnreadByte", "() error"),
+    ("WriteByte", "(byte) error"),
+]
+
 
 def _values(rows: list[tuple], names: str) -> str:
     one = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
@@ -132,6 +169,22 @@ FACTS |= {
     "bench_run": "SELECT p_name AS name, p_partkey AS ord, p_partkey % 700 + 10 AS ns FROM {part}",
     "bench_nth": "SELECT p_name AS name, p_partkey % 2 AS half, p_partkey % 700 AS ns, CAST(row_number() OVER (PARTITION BY p_name, p_partkey % 2 ORDER BY p_partkey) AS BIGINT) AS nth FROM {part}",
 }
+# Facts of the lint passes.
+FACTS |= {
+    "go_type": _values([(i, *t) for i, t in enumerate(TYPES)], "nr, type, kind, bits, pointee, is_iface, is_error"),
+    "go_call": _values(list(enumerate(CALLS)), "nr, callee"),
+    "std_method": _values([(i, *m) for i, m in enumerate(STD_METHODS)], "nr, name, signature"),
+    "call_arg": f"""
+SELECT e.event_id AS site, e.user_id AS fn_id, c.callee, a.type AS type1, b.type AS type2, floor(e.event_id / 3) % 80 AS const, e.event_id % 4 AS n_args,
+       CASE floor(e.event_id / 5) % 4 WHEN 0 THEN 'no verb, 100%%' WHEN 1 THEN '%d and %s' WHEN 2 THEN '%v%%' ELSE '%s %d %v' END AS format
+FROM {{events}} e JOIN {{go_call}} c ON e.event_id % {len(CALLS)} = c.nr JOIN {{go_type}} a ON floor(e.event_id / 7) % {len(TYPES)} = a.nr JOIN {{go_type}} b ON floor(e.event_id / 11) % {len(TYPES)} = b.nr""",
+    "struct_layout": "SELECT p_brand AS struct_name, p_partkey AS field, CASE WHEN p_size % 3 = 0 THEN 8 WHEN p_size % 3 = 1 THEN 4 ELSE 1 END AS size FROM {part}",
+    "method_decl": f"""SELECT p.p_partkey AS fn_id, m.name, CASE WHEN p.p_size % 4 = 0 THEN '() error' ELSE m.signature END AS signature, p.p_type LIKE 'PROMO%' AS is_test_file,
+concat(CASE p.p_size % 3 WHEN 0 THEN 'Test' WHEN 1 THEN 'Benchmark' ELSE 'Test' END, CASE WHEN p.p_size % 5 = 0 THEN lower(split_part(p.p_name, ' ', 2)) ELSE upper(split_part(p.p_name, ' ', 2)) END) AS test_name,
+CASE WHEN p.p_size % 7 = 0 THEN '(int)' WHEN p.p_size % 3 = 1 THEN '(*testing.B)' ELSE '(*testing.T)' END AS test_params
+FROM {{part}} p JOIN {{std_method}} m ON p.p_partkey % {len(STD_METHODS)} = m.nr""",
+    "struct_tag": "SELECT p_partkey AS field, p_brand AS struct_name, CASE p_size % 5 WHEN 0 THEN concat('json:', p_name) WHEN 1 THEN concat('json:\"', split_part(p_name, ' ', 2), '\"') WHEN 2 THEN concat('json:\"', split_part(p_name, ' ', 1), '\" xml:\"x\"') WHEN 3 THEN concat('json :\"a\"') ELSE '' END AS tag FROM {part}",
+}
 # Row-expanding facts differ between the dialects only in how an array is unnested.
 SPLIT = {
     "doc_line": (
