@@ -342,7 +342,7 @@ def _node(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NO_ID)))
 
 
-def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n, component of each row of docs as nodes (a null doc_id is a number from NO_ID on)."""
     text = F.col(f"`{text_col}`")
     rows = docs.select(_node(F.col(f"`{id_col}`").cast("long"), text).alias("id"), text.alias("text"))
@@ -369,7 +369,7 @@ def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 1024, text_co
     return out.select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
-def minhash_components(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def minhash_components(docs: DataFrame, percent: int = 75, block: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     back = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     nodes = minhash_nodes(docs, percent, block, text_col, id_col)
