@@ -44,6 +44,8 @@ HASHES, CHUNKS, CHUNK_ERRORS = 64, 16, 1
 MOST_ERRORS = CHUNKS * (CHUNK_ERRORS + 1) - 1
 #: Shingles of a family's texts that meet in one task, unless one text has more.
 BLOCK_SHINGLES = 1 << 21
+#: Rows of a key, an id and a count that may be broadcast (24 bytes each).
+MOST_BROADCAST = 200_000
 #: Nodes from here on are documents without an id.
 NO_ID = 1 << 62
 _rng = np.random.default_rng(20240229)
@@ -329,11 +331,14 @@ def _links(members: DataFrame, payload: DataFrame, run, limit: float, kind: str,
     near = with_groups(whole, rest, {"key": "key"}, ["lo", "hi"], "size", total)
     open_ = keep(near.where((~F.col("home")) | F.col("far").between(F.col("lo") - limit - 1e-9, F.col("hi") + limit + 1e-9)).where("lo is not null").select("key", "id").distinct())
     size = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    again = with_groups(open_, size.select(F.col("key").alias("s_key"), "n"), {"key": "s_key"}, ["n"], "n", max(1, open_.count()))
+    n_open = open_.count()
+    again = with_groups(open_, size.select(F.col("key").alias("s_key"), "n"), {"key": "s_key"}, ["n"], "n", max(1, n_open))
+    # Few open rows are broadcast, so that the texts of all others stay where they are.
+    again = F.broadcast(again) if n_open <= MOST_BROADCAST else again
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")
     mine = F.pmod(F.xxhash64("id"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64(F.lit(kind), F.col("key"), F.least(j, mine), F.greatest(j, mine)))
-    meets = again.join(held, F.col("id") == F.col("p_id")).select(F.explode(pairs).alias("g"), "key", "id", F.lit(None).cast("long").alias("lead"), data)
+    meets = held.join(again, F.col("id") == F.col("p_id")).select(F.explode(pairs).alias("g"), "key", "id", F.lit(None).cast("long").alias("lead"), data)
     crossed = meets.repartition("g").sortWithinPartitions("g", "key", "id", data).mapInArrow(run, FOUND).select("u", "v")
     return edges.unionByName(crossed)
 
@@ -342,7 +347,7 @@ def _node(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NO_ID)))
 
 
-def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n, component of each row of docs as nodes (a null doc_id is a number from NO_ID on)."""
     text = F.col(f"`{text_col}`")
     rows = docs.select(_node(F.col(f"`{id_col}`").cast("long"), text).alias("id"), text.alias("text"))
@@ -369,7 +374,7 @@ def minhash_nodes(docs: DataFrame, percent: int = 75, block: int = 256, text_col
     return out.select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
-def minhash_components(docs: DataFrame, percent: int = 75, block: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def minhash_components(docs: DataFrame, percent: int = 75, block: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     back = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     nodes = minhash_nodes(docs, percent, block, text_col, id_col)

@@ -365,8 +365,9 @@ def _shingles(texts):
     return sets
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_near_duplicates(docs, empty, block):
+@pytest.mark.parametrize(("block", "most"), [(4, 0), (4, 1000), (1024, 1000)])
+def test_near_duplicates(docs, empty, block, most, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "MOST_BROADCAST", most)
     sets = _shingles(TEXTS)
     top = {i: i for i in sets}
 
