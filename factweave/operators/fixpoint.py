@@ -28,11 +28,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def semi_naive(base: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int | None = None, max_rounds: int = 1000, compact: int = 8) -> DataFrame:
+def semi_naive(base: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int | None = None, max_rounds: int = 1000, compact: int = 8, stride: int = 3) -> DataFrame:
     """Least set that holds base and is closed under step; step sees only the rows that the last round added.
 
     Set semantics, so cycles end. depth bounds the recursion where the operator itself does; a set that is still growing
-    after max_rounds is an error. A round writes only what it adds; `compact` rounds at a time are put together.
+    after max_rounds is an error. A round takes `stride` steps at once, unless steps are counted, and writes only what it
+    adds; `compact` rounds at a time are put together.
     """
     names = base.columns
     delta = keep(base.distinct())
@@ -40,7 +41,11 @@ def semi_naive(base: DataFrame, step: Callable[[DataFrame], DataFrame], depth: i
     for _ in range(max_rounds if depth is None else depth):
         total = reduce(DataFrame.unionByName, parts)
         known = total.select(*(F.col(c).alias(f"t_{c}") for c in names))
-        new = step(delta).select(*names).distinct()
+        new = far = step(delta).select(*names).distinct()
+        for _ in range(stride - 1 if depth is None else 0):
+            far = step(far).select(*names).distinct()
+            new = new.unionByName(far)
+        new = new.distinct() if new is not far else new
         delta = keep(new.join(known, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in names], "left_anti"))
         if delta.isEmpty():
             return total
