@@ -1,6 +1,7 @@
 """Queries that one statement of the shared dialect states for both engines: Catalyst plans it here, DuckDB checks it.
 
 Each entry is (survey id, statement). Names in braces are facts or base tables of factweave.sources.facts.
+Fixed values in the statements: names of Go's functions, kinds of select cases and condition operations, prefixes of reports.
 """
 
 from __future__ import annotations
