@@ -87,14 +87,23 @@ def lock_order_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def double_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lock1, lock2, n_pairs): one report for each first lock, with the smallest second one."""
-    return live_locks_double(spark, sf_dir).groupBy("lock1").agg(F.min("lock2").alias("lock2"), F.count(F.lit(1)).alias("n_pairs"))
+    """(lock1, lock2, depth, n_pairs): one report for each first lock that is taken again while it may be held, here or along calls.
+
+    The report names the second lock that is the fewest calls away (depth; 0: the same function), the smallest of these.
+    """
+    here = live_locks_double(spark, sf_dir).select("lock1", "lock2", F.lit(0).cast("long").alias("depth"))
+    pairs = here.unionByName(_double_pairs(*_contexts(spark, sf_dir))).groupBy("lock1", "lock2").agg(F.min("depth").alias("depth"))
+    report = pairs.groupBy("lock1").agg(F.min(F.struct("depth", "lock2")).alias("best"), F.count(F.lit(1)).alias("n_pairs"))
+    return report.select("lock1", "best.lock2", "best.depth", "n_pairs")
 
 
 def conflict_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(m1, m2, n_fns), m1 < m2: lock pairs taken in both orders anywhere in the program."""
-    pairs = keep(live_locks_conflict(spark, sf_dir))
-    there = pairs.groupBy("m1", "m2").agg(F.countDistinct("fn_id").alias("n"))
+    """(m1, m2, n_fns), m1 < m2: locks taken in both orders somewhere, in a function or along calls.
+
+    n_fns counts, for either order, the functions that take the second lock.
+    """
+    pairs = live_locks_conflict(spark, sf_dir).unionByName(_conflict_pairs(*_contexts(spark, sf_dir)))
+    there = keep(pairs.groupBy("m1", "m2").agg(F.countDistinct("fn_id").alias("n")))
     back = there.select(F.col("m1").alias("b2"), F.col("m2").alias("b1"), F.col("n").alias("b_n"))
     return there.join(back, (F.col("m1") == F.col("b1")) & (F.col("m2") == F.col("b2"))).where("m1 < m2").select("m1", "m2", (F.col("n") + F.col("b_n")).alias("n_fns"))
 
@@ -158,51 +167,101 @@ def lint_lostcancel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn_id, prim, inst_id, op): calls, and locks of prim, reached from the function's entry before prim is released."""
+    """(f_fn, f_prim, f_inst, kind, taken): calls, locks (of taken) and exits reached from a function's entry before f_prim is released.
+
+    Rows of prims that the function releases nowhere are equal: they stand once, with a null f_prim. A prim that it does release
+    has a row of kind Unlock, if nothing else.
+    """
 
     def solve(g, s):
         op, prim, idx = (dict(zip(g["id"], g[c], strict=True)) for c in ("op", "prim", "idx"))
-        first = next(n for n in g["id"] if idx[n] == 0)
+        first = [n for n in g["id"] if idx[n] == 0]
         out = []
-        for p in sorted(set(prim.values())):
-            for n in walk(s, [first], lambda n, p=p: op[n] == "Unlock" and prim[n] == p):
-                if op[n] == "Call" or (op[n] == "Lock" and prim[n] == p):
-                    out.append((p, n, op[n]))
+        for p in [None, *sorted({prim[n] for n in g["id"][g["op"] == "Unlock"]})]:
+            if p is not None:
+                out.append((p, None, "Unlock", None))
+            for n in sorted(walk(s, first, lambda n, p=p: op[n] == "Unlock" and prim[n] == p)):
+                if op[n] in ("Call", "Lock"):
+                    out.append((p, n, op[n], prim[n]))
+                if not s[n] and not (op[n] == "Unlock" and prim[n] == p):
+                    out.append((p, n, "Exit", None))
         return out
 
-    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, prim long, inst_id long, op string")
+    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, f_prim long, f_inst long, kind string, taken long").withColumnRenamed("fn_id", "f_fn")
+
+
+def _held_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fn_id, lock_id, prim, inst_id, is_exit): calls that a lock may be held at, and exits that it may be held after."""
+
+    def solve(g, s):
+        held, op, prim = _held(g, s)
+        out = [(a, p, n, False) for a, p, n in held if op[n] == "Call"]
+        left = {(a, p, n) for a, p, n in held if not s[n] and not (op[n] == "Unlock" and prim[n] == p)}
+        left |= {(n, prim[n], n) for n in g["id"][g["op"] == "Lock"] if not s[n]}
+        return out + [(*r, True) for r in sorted(left)]
+
+    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, lock_id long, prim long, inst_id long, is_exit boolean")
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Contexts (lock_id, prim, fn): fn may be entered, by at most DEPTH calls, while lock_id's lock is held; and entry facts."""
-    calls = frame(spark, sf_dir, "call_edge").where("site_kind = 'Call'").select(F.col("site").alias("c_site"), F.col("callee").alias("c_callee"))
-    facts = keep(_entry_facts(spark, sf_dir).withColumnRenamed("prim", "f_prim").withColumnRenamed("fn_id", "f_fn"))
-    at = held_locks(spark, sf_dir)
-    level = keep(at.join(calls, F.col("inst_id") == F.col("c_site")).select("lock_id", "prim", F.col("c_callee").alias("fn")).distinct())
-    total = level
-    through = keep(facts.where("op = 'Call'").join(calls, F.col("inst_id") == F.col("c_site")).select("f_fn", "f_prim", "c_callee").distinct())
-    for _ in range(DEPTH - 1):
-        step = level.join(through, (F.col("fn") == F.col("f_fn")) & (F.col("prim") == F.col("f_prim"))).select("lock_id", "prim", F.col("c_callee").alias("fn")).distinct()
+    """Contexts (lock_id, prim, fn, depth, key): fn may be entered, by DEPTH calls at most, while lock_id's lock is held; and entry facts.
+
+    Go statements are not followed. A deferred call is entered with what is held after the function's exits; in the function that
+    takes the lock, a deferred call of the first block is skipped. A context stands once, at its least depth: a chain that comes
+    by a function twice reaches nothing that a shorter one does not, so the checkers' limits on recursion and visits are not
+    needed. key is prim where fn releases it somewhere, else null: the f_prim of the facts that hold for the context.
+    """
+    calls = frame(spark, sf_dir, "call_edge").select(F.col("caller").alias("c_fn"), F.col("site").alias("c_site"), F.col("callee").alias("c_callee"), "site_kind")
+    first = frame(spark, sf_dir, "inst").where("bb_id = 0").select(F.col("inst_id").alias("b_inst"))
+    now = calls.where("site_kind = 'Call'").select("c_site", "c_callee")
+    late = calls.where("site_kind = 'Defer'").select("c_fn", "c_site", "c_callee")
+    facts = keep(_entry_facts(spark, sf_dir))
+    released = keep(facts.where("kind = 'Unlock'").select(F.col("f_fn").alias("r_fn"), F.col("f_prim").alias("r_prim")))
+    entered = facts.where("kind = 'Call'").join(now, F.col("f_inst") == F.col("c_site")).select("f_fn", "f_prim", "c_callee")
+    leaving = facts.where("kind = 'Exit'").select("f_fn", "f_prim").distinct().join(late, F.col("f_fn") == F.col("c_fn")).select("f_fn", "f_prim", "c_callee")
+    through = keep(entered.union(leaving).distinct())
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.join(released, (F.col("fn") == F.col("r_fn")) & (F.col("prim") == F.col("r_prim")), "left").select("lock_id", "prim", "fn", "depth", F.col("r_prim").alias("key"))
+
+    at = keep(_held_calls(spark, sf_dir))
+    level = at.where("not is_exit").join(now, F.col("inst_id") == F.col("c_site")).select("lock_id", "prim", F.col("c_callee").alias("fn"))
+    own = late.join(first, F.col("c_site") == F.col("b_inst"), "left_anti")
+    level = level.union(at.where("is_exit").select("fn_id", "lock_id", "prim").distinct().join(own, F.col("fn_id") == F.col("c_fn")).select("lock_id", "prim", "c_callee"))
+    level = total = keep(keyed(level.distinct().withColumn("depth", F.lit(1).cast("long"))))
+    for depth in range(2, DEPTH + 1):
+        step = level.join(through, _fits()).select("lock_id", "prim", F.col("c_callee").alias("fn")).distinct()
         known = total.select(F.col("lock_id").alias("k_lock"), F.col("fn").alias("k_fn"))
-        level = keep(step.join(known, (F.col("lock_id") == F.col("k_lock")) & (F.col("fn") == F.col("k_fn")), "left_anti"))
+        fresh = step.join(known, (F.col("lock_id") == F.col("k_lock")) & (F.col("fn") == F.col("k_fn")), "left_anti")
+        level = keep(keyed(fresh.withColumn("depth", F.lit(depth).cast("long"))))
         if level.isEmpty():
             break
         total = keep(total.unionByName(level))
     return total, facts
 
 
+def _fits():
+    return (F.col("fn") == F.col("f_fn")) & F.col("key").eqNullSafe(F.col("f_prim"))
+
+
+def _double_pairs(ctx: DataFrame, facts: DataFrame) -> DataFrame:
+    again = ctx.join(facts.where("kind = 'Lock'"), _fits() & (F.col("prim") == F.col("taken")))
+    return again.groupBy(F.col("lock_id").alias("lock1"), F.col("f_inst").alias("lock2")).agg(F.min("depth").alias("depth"))
+
+
+def _conflict_pairs(ctx: DataFrame, facts: DataFrame) -> DataFrame:
+    held = ctx.select("prim", "fn", "key").distinct()
+    return held.join(facts.where("kind = 'Lock'"), _fits() & (F.col("prim") != F.col("taken"))).select(F.col("fn").alias("fn_id"), F.col("prim").alias("m1"), F.col("taken").alias("m2")).distinct()
+
+
 def interprocedural_double_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lock1, lock2): lock2 is in a function entered by calls while lock1's lock is held, and takes it again."""
-    ctx, facts = _contexts(spark, sf_dir)
-    again = facts.where("op = 'Lock'")
-    return ctx.join(again, (F.col("fn") == F.col("f_fn")) & (F.col("prim") == F.col("f_prim"))).select(F.col("lock_id").alias("lock1"), F.col("inst_id").alias("lock2")).distinct()
+    return _double_pairs(*_contexts(spark, sf_dir)).select("lock1", "lock2")
 
 
 def interprocedural_lock_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(m1, m2): m2 is taken at the entry block of a function entered by calls while m1 is held."""
-    ctx, _ = _contexts(spark, sf_dir)
-    taken = frame(spark, sf_dir, "inst").where("op = 'Lock' and bb_id = 0").select(F.col("fn_id").alias("t_fn"), F.col("prim").alias("m2"))
-    return ctx.join(taken, F.col("fn") == F.col("t_fn")).where("prim <> m2").select(F.col("prim").alias("m1"), "m2").distinct()
+    """(m1, m2): m2 is taken in a function entered by calls while m1 is held, and before m1 is released there."""
+    return _conflict_pairs(*_contexts(spark, sf_dir)).select("m1", "m2").distinct()
 
 
 _HELD = """held AS (SELECT l.fn_id, l.inst_id AS lock_id, l.prim, e.dst AS at FROM {inst} l JOIN {inst_edge} e ON l.inst_id = e.src WHERE l.op = 'Lock'
@@ -212,12 +271,22 @@ _PAIRS = _HELD + ", pairs AS (SELECT DISTINCT h.fn_id, h.prim AS m1, i.prim AS m
 _DEFERS = "late AS (SELECT fn_id, inst_id AS d, prim, inst_id AS at FROM {inst} WHERE is_defer UNION SELECT l.fn_id, l.d, l.prim, e.dst FROM late l JOIN {inst_edge} e ON l.at = e.src)"
 _CTX = (
     _HELD
-    + """, p5 AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) AS t(prim)),
-ent AS (SELECT i.fn_id, p.prim, i.inst_id AS at FROM {inst} i, p5 p WHERE i.idx = 0
+    + ", "
+    + _ENDS
+    + """, prims AS (SELECT DISTINCT prim FROM {inst} WHERE op = 'Lock'),
+ent AS (SELECT i.fn_id, p.prim, i.inst_id AS at FROM {inst} i, prims p WHERE i.idx = 0
 UNION SELECT n.fn_id, n.prim, e.dst FROM ent n JOIN {inst} i ON n.at = i.inst_id JOIN {inst_edge} e ON n.at = e.src WHERE NOT (i.op = 'Unlock' AND i.prim = n.prim)),
-thru AS (SELECT DISTINCT n.fn_id, n.prim, c.callee FROM ent n JOIN {call_edge} c ON n.at = c.site AND c.site_kind = 'Call'),
-ctx AS (SELECT h.lock_id, h.prim, c.callee AS fn, 1 AS depth FROM held h JOIN {call_edge} c ON h.at = c.site AND c.site_kind = 'Call'
-UNION SELECT x.lock_id, x.prim, t.callee, x.depth + 1 FROM ctx x JOIN thru t ON x.fn = t.fn_id AND x.prim = t.prim WHERE x.depth < 7)"""
+out_held AS (SELECT h.fn_id, h.lock_id, h.prim FROM held h JOIN ends e ON h.at = e.inst_id JOIN {inst} i ON h.at = i.inst_id WHERE NOT (i.op = 'Unlock' AND i.prim = h.prim)
+UNION SELECT l.fn_id, l.inst_id, l.prim FROM {inst} l JOIN ends e ON l.inst_id = e.inst_id WHERE l.op = 'Lock'),
+late_call AS (SELECT c.caller, c.callee, i.bb_id FROM {call_edge} c JOIN {inst} i ON c.site = i.inst_id WHERE c.site_kind = 'Defer'),
+thru AS (SELECT n.fn_id, n.prim, c.callee FROM ent n JOIN {call_edge} c ON n.at = c.site AND c.site_kind = 'Call'
+UNION SELECT n.fn_id, n.prim, c.callee FROM ent n JOIN ends e ON n.at = e.inst_id JOIN {inst} i ON n.at = i.inst_id JOIN late_call c ON c.caller = n.fn_id WHERE NOT (i.op = 'Unlock' AND i.prim = n.prim)),
+start_ctx AS (SELECT h.lock_id, h.prim, c.callee AS fn FROM held h JOIN {call_edge} c ON h.at = c.site AND c.site_kind = 'Call'
+UNION SELECT o.lock_id, o.prim, c.callee FROM out_held o JOIN late_call c ON o.fn_id = c.caller WHERE c.bb_id <> 0),
+ctx AS (SELECT lock_id, prim, fn, CAST(1 AS BIGINT) AS depth FROM start_ctx
+UNION SELECT x.lock_id, x.prim, t.callee, x.depth + 1 FROM ctx x JOIN thru t ON x.fn = t.fn_id AND x.prim = t.prim WHERE x.depth < 7),
+again AS (SELECT x.lock_id AS lock1, n.at AS lock2, min(x.depth) AS depth FROM ctx x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = x.prim GROUP BY x.lock_id, n.at),
+other AS (SELECT DISTINCT x.fn AS fn_id, x.prim AS m1, i.prim AS m2 FROM (SELECT DISTINCT prim, fn FROM ctx) x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND i.prim <> x.prim)"""
 )
 SQL = {
     "held_locks": duck_sql("SELECT fn_id, lock_id, prim, held.at AS inst_id FROM held", _HELD),
@@ -229,10 +298,15 @@ SQL = {
     ),
     "alive_mutexs": duck_sql("SELECT fn_id, held.at AS inst_id, count(DISTINCT prim) AS n_alive FROM held GROUP BY fn_id, held.at", _HELD),
     "lock_order_conflict": duck_sql("SELECT p.fn_id, p.m1, p.m2 FROM pairs p JOIN pairs q ON p.fn_id = q.fn_id AND p.m1 = q.m2 AND p.m2 = q.m1 WHERE p.m1 < p.m2", _PAIRS),
-    "double_lock": duck_sql("SELECT h.lock_id AS lock1, min(h.at) AS lock2, count(*) AS n_pairs FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = h.prim GROUP BY h.lock_id", _HELD),
+    "double_lock": duck_sql(
+        "SELECT lock1, lock2, depth, n_pairs FROM (SELECT *, count(*) OVER (PARTITION BY lock1) AS n_pairs, row_number() OVER (PARTITION BY lock1 ORDER BY depth, lock2) AS nr FROM every) WHERE nr = 1",
+        _CTX + """, every AS (SELECT lock1, lock2, min(depth) AS depth FROM (SELECT h.lock_id AS lock1, h.at AS lock2, CAST(0 AS BIGINT) AS depth FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = h.prim
+UNION ALL SELECT lock1, lock2, depth FROM again) GROUP BY lock1, lock2)""",
+    ),
     "conflict_lock": duck_sql(
         "SELECT p.m1, p.m2, p.n + q.n AS n_fns FROM there p JOIN there q ON p.m1 = q.m2 AND p.m2 = q.m1 WHERE p.m1 < p.m2",
-        _PAIRS + ", there AS (SELECT m1, m2, count(DISTINCT fn_id) AS n FROM pairs GROUP BY m1, m2)",
+        _CTX + """, there AS (SELECT m1, m2, count(DISTINCT fn_id) AS n FROM (SELECT h.fn_id, h.prim AS m1, i.prim AS m2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim <> h.prim
+UNION ALL SELECT fn_id, m1, m2 FROM other) GROUP BY m1, m2)""",
     ),
     "defer_map": duck_sql("SELECT l.fn_id, l.at AS exit_inst, JOINED[l.d|,|-i.idx] AS defers FROM late l JOIN ends e ON l.at = e.inst_id JOIN {inst} i ON l.d = i.inst_id GROUP BY l.fn_id, l.at", _DEFERS + ", " + _ENDS),
     "deferred_unlock_search": duck_sql(
@@ -250,7 +324,7 @@ WHERE NOT EXISTS (SELECT 1 FROM late l JOIN {inst} d ON l.d = d.inst_id WHERE d.
 WHERE l.op = 'Lock' AND (h.lock_id IS NOT NULL OR e.inst_id = l.inst_id) AND NOT (i.op = 'Unlock' AND i.prim = l.prim)""",
         _HELD + ", " + _ENDS,
     ),
-    "interprocedural_double_lock": duck_sql("SELECT DISTINCT x.lock_id AS lock1, n.at AS lock2 FROM ctx x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = x.prim", _CTX),
-    "interprocedural_lock_pairs": duck_sql("SELECT DISTINCT x.prim AS m1, i.prim AS m2 FROM ctx x JOIN {inst} i ON x.fn = i.fn_id WHERE i.op = 'Lock' AND i.bb_id = 0 AND i.prim <> x.prim", _CTX),
+    "interprocedural_double_lock": duck_sql("SELECT lock1, lock2 FROM again", _CTX),
+    "interprocedural_lock_pairs": duck_sql("SELECT DISTINCT m1, m2 FROM other", _CTX),
 }
 QUERIES = {k: globals()[k] for k in SQL}

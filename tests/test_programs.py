@@ -55,6 +55,32 @@ def test_lock_order_of_a_call_against_a_function(spark, tmp_path):
     assert rows(spark, "lock_order_conflict", at) == set()  # neither function alone takes both orders
 
 
+def test_calls_that_locks_are_held_across(spark, tmp_path):
+    # 1 locks and calls 2, which names no lock and calls 3, which takes it again and then another; 4 releases before it calls.
+    # 5 leaves with its lock: the call that it defers in a later block is entered with it, the one of its first block is not.
+    at = bring(
+        tmp_path,
+        {
+            1: [(10, "Lock", 1), (11, "Call", 0), (12, "Unlock", 1)],
+            2: [(20, "Other", 0), (21, "Call", 0)],
+            3: [(30, "Lock", 1), (31, "Lock", 2), (32, "Unlock", 1)],
+            4: [(40, "Lock", 1), (41, "Unlock", 1), (42, "Call", 0)],
+            5: [(50, "Lock", 7, 0), (51, "defer Call", 0, 0), (52, "defer Call", 0, 1)],
+            6: [(60, "Lock", 7)],
+            7: [(70, "Lock", 7)],
+            9: [(90, "Lock", 1), (91, "Call", 0)],
+            10: [(100, "Unlock", 1), (101, "Call", 0)],
+            8: [(80, "Lock", 2), (81, "Lock", 1), (82, "Unlock", 1), (83, "Call", 0), (84, "Unlock", 2)],
+        },
+        edges=[(5, 0, 1)],
+        calls=[(1, 11, 2, "Call"), (2, 21, 3, "Call"), (4, 42, 3, "Call"), (5, 51, 6, "Defer"), (5, 52, 7, "Defer"), (8, 83, 3, "Go"), (9, 91, 10, "Call"), (10, 101, 3, "Call")],
+    )
+    assert rows(spark, "interprocedural_double_lock", at) == {(10, 30), (50, 70)}
+    assert rows(spark, "double_lock", at) == {(10, 30, 2, 1), (50, 70, 1, 1)}
+    assert rows(spark, "interprocedural_lock_pairs", at) == {(1, 2)}
+    assert rows(spark, "conflict_lock", at) == {(1, 2, 2)}
+
+
 def test_locks_that_are_forgotten(spark, tmp_path):
     # Inc: locked and never released; Value: released by a deferred call; Test0: returns with the lock; a branch that releases
     # on one way only.
