@@ -7,6 +7,8 @@ for each level of call depth (seven at most).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,41 +168,32 @@ def lint_lostcancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_function(*_insts(spark, sf_dir), solve, "fn_id long, inst_id long")
 
 
-def _entry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(f_fn, f_prim, f_inst, kind, taken): calls, locks (of taken) and exits reached from a function's entry before f_prim is released.
+def _call_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(f_fn, lock_id, f_prim, f_inst, kind, taken): what calls need to know of a function, in one pass.
 
-    Rows of prims that the function releases nowhere are equal: they stand once, with a null f_prim. A prim that it does release
-    has a row of kind Unlock, if nothing else.
+    With a null lock_id: the calls, locks (of taken) and exits reached from the entry before f_prim is released. Rows of prims that
+    the function releases nowhere are equal: they stand once, with a null f_prim. A prim that it does release has a row of kind
+    Unlock, if nothing else. With a lock_id: the calls that its lock (f_prim) may be held at, and the exits it may be held after.
     """
 
     def solve(g, s):
-        op, prim, idx = (dict(zip(g["id"], g[c], strict=True)) for c in ("op", "prim", "idx"))
-        first = [n for n in g["id"] if idx[n] == 0]
-        out = []
-        for p in [None, *sorted({prim[n] for n in g["id"][g["op"] == "Unlock"]})]:
-            if p is not None:
-                out.append((p, None, "Unlock", None))
-            for n in sorted(walk(s, first, lambda n, p=p: op[n] == "Unlock" and prim[n] == p)):
+        held, op, prim = _held(g, s)
+        frees = lambda n, p: op[n] == "Unlock" and prim[n] == p
+        first = [n for n, i in zip(g["id"], g["idx"], strict=True) if i == 0]
+        out = [(a, p, n, "Call", None) for a, p, n in held if op[n] == "Call"]
+        out += [(a, p, n, "Exit", None) for a, p, n in held if not s[n] and not frees(n, p)]
+        out += [(n, prim[n], n, "Exit", None) for n in g["id"][g["op"] == "Lock"] if not s[n]]
+        released = sorted({prim[n] for n in g["id"][g["op"] == "Unlock"]})
+        out += [(None, p, None, "Unlock", None) for p in released]
+        for p in [None, *released]:
+            for n in sorted(walk(s, first, lambda n, p=p: frees(n, p))):
                 if op[n] in ("Call", "Lock"):
-                    out.append((p, n, op[n], prim[n]))
-                if not s[n] and not (op[n] == "Unlock" and prim[n] == p):
-                    out.append((p, n, "Exit", None))
+                    out.append((None, p, n, op[n], prim[n]))
+                if not s[n] and not frees(n, p):
+                    out.append((None, p, n, "Exit", None))
         return out
 
-    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, f_prim long, f_inst long, kind string, taken long").withColumnRenamed("fn_id", "f_fn")
-
-
-def _held_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn_id, lock_id, prim, inst_id, is_exit): calls that a lock may be held at, and exits that it may be held after."""
-
-    def solve(g, s):
-        held, op, prim = _held(g, s)
-        out = [(a, p, n, False) for a, p, n in held if op[n] == "Call"]
-        left = {(a, p, n) for a, p, n in held if not s[n] and not (op[n] == "Unlock" and prim[n] == p)}
-        left |= {(n, prim[n], n) for n in g["id"][g["op"] == "Lock"] if not s[n]}
-        return out + [(*r, True) for r in sorted(left)]
-
-    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, lock_id long, prim long, inst_id long, is_exit boolean")
+    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, lock_id long, f_prim long, f_inst long, kind string, taken long").withColumnRenamed("fn_id", "f_fn")
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -211,33 +204,33 @@ def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     by a function twice reaches nothing that a shorter one does not, so the checkers' limits on recursion and visits are not
     needed. key is prim where fn releases it somewhere, else null: the f_prim of the facts that hold for the context.
     """
-    calls = frame(spark, sf_dir, "call_edge").select(F.col("caller").alias("c_fn"), F.col("site").alias("c_site"), F.col("callee").alias("c_callee"), "site_kind")
+    known = keep(_call_facts(spark, sf_dir))
+    facts, held = known.where("lock_id is null").drop("lock_id"), known.where("lock_id is not null").drop("taken")
+    frees = facts.where("kind = 'Unlock'").groupBy(F.col("f_fn").alias("r_fn")).agg(F.collect_set("f_prim").alias("frees"))
+    calls = frame(spark, sf_dir, "call_edge").select(F.col("caller").alias("c_fn"), F.col("site").alias("c_site"), F.col("callee").alias("fn"), "site_kind").where("site_kind in ('Call', 'Defer')")
+    calls = keep(calls.join(frees, F.col("fn") == F.col("r_fn"), "left").drop("r_fn"))
+    now, late = calls.where("site_kind = 'Call'"), calls.where("site_kind = 'Defer'")
+
+    def entered(rows: DataFrame, late: DataFrame, *columns: str) -> DataFrame:
+        at_once = rows.where("kind = 'Call'").join(now, F.col("f_inst") == F.col("c_site")).select(*columns, "fn", "frees")
+        left = rows.where("kind = 'Exit'").select(*dict.fromkeys(("f_fn", *columns))).distinct()
+        return at_once.union(left.join(late, F.col("f_fn") == F.col("c_fn")).select(*columns, "fn", "frees")).distinct()
+
+    key = F.when(F.array_contains("frees", F.col("prim")), F.col("prim")).alias("key")
+    through = keep(entered(facts, late, "f_fn", "f_prim").withColumnsRenamed({"fn": "t_fn", "frees": "t_frees"}))
     first = frame(spark, sf_dir, "inst").where("bb_id = 0").select(F.col("inst_id").alias("b_inst"))
-    now = calls.where("site_kind = 'Call'").select("c_site", "c_callee")
-    late = calls.where("site_kind = 'Defer'").select("c_fn", "c_site", "c_callee")
-    facts = keep(_entry_facts(spark, sf_dir))
-    released = keep(facts.where("kind = 'Unlock'").select(F.col("f_fn").alias("r_fn"), F.col("f_prim").alias("r_prim")))
-    entered = facts.where("kind = 'Call'").join(now, F.col("f_inst") == F.col("c_site")).select("f_fn", "f_prim", "c_callee")
-    leaving = facts.where("kind = 'Exit'").select("f_fn", "f_prim").distinct().join(late, F.col("f_fn") == F.col("c_fn")).select("f_fn", "f_prim", "c_callee")
-    through = keep(entered.union(leaving).distinct())
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.join(released, (F.col("fn") == F.col("r_fn")) & (F.col("prim") == F.col("r_prim")), "left").select("lock_id", "prim", "fn", "depth", F.col("r_prim").alias("key"))
-
-    at = keep(_held_calls(spark, sf_dir))
-    level = at.where("not is_exit").join(now, F.col("inst_id") == F.col("c_site")).select("lock_id", "prim", F.col("c_callee").alias("fn"))
-    own = late.join(first, F.col("c_site") == F.col("b_inst"), "left_anti")
-    level = level.union(at.where("is_exit").select("fn_id", "lock_id", "prim").distinct().join(own, F.col("fn_id") == F.col("c_fn")).select("lock_id", "prim", "c_callee"))
-    level = total = keep(keyed(level.distinct().withColumn("depth", F.lit(1).cast("long"))))
+    start = entered(held, late.join(first, F.col("c_site") == F.col("b_inst"), "left_anti"), "lock_id", "f_prim")
+    level = keep(start.withColumnRenamed("f_prim", "prim").select("lock_id", "prim", "fn", F.lit(1).cast("long").alias("depth"), key))
+    levels = [level]
     for depth in range(2, DEPTH + 1):
-        step = level.join(through, _fits()).select("lock_id", "prim", F.col("c_callee").alias("fn")).distinct()
-        known = total.select(F.col("lock_id").alias("k_lock"), F.col("fn").alias("k_fn"))
-        fresh = step.join(known, (F.col("lock_id") == F.col("k_lock")) & (F.col("fn") == F.col("k_fn")), "left_anti")
-        level = keep(keyed(fresh.withColumn("depth", F.lit(depth).cast("long"))))
+        step = level.join(through, _fits()).select("lock_id", "prim", F.col("t_fn").alias("fn"), F.col("t_frees").alias("frees")).dropDuplicates(["lock_id", "fn"])
+        seen = reduce(DataFrame.union, levels).select(F.col("lock_id").alias("k_lock"), F.col("fn").alias("k_fn"))
+        fresh = step.join(seen, (F.col("lock_id") == F.col("k_lock")) & (F.col("fn") == F.col("k_fn")), "left_anti")
+        level = keep(fresh.select("lock_id", "prim", "fn", F.lit(depth).cast("long").alias("depth"), key))
         if level.isEmpty():
             break
-        total = keep(total.unionByName(level))
-    return total, facts
+        levels.append(level)
+    return reduce(DataFrame.union, levels), facts
 
 
 def _fits():
