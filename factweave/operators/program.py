@@ -11,7 +11,8 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.facts import duck_sql, frame, run_sql
+from ..sources.facts import SOLE_OWNER, duck_sql, frame, run_sql
+from . import locks
 from .fixpoint import after, keep, per_function, reach, semi_naive
 
 
@@ -323,19 +324,42 @@ def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fp_recursive_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn_id, is_fp): a function is a false positive if its number says so, or if more than half of its call sites lie in
-    such functions, judged the same way up to three levels up; at the cap the vote is true."""
-    edges = keep(run_sql(spark, sf_dir, "SELECT DISTINCT callee AS fn_id, site, caller FROM {call_edge}"))
-    fns = keep(run_sql(spark, sf_dir, "SELECT DISTINCT fn_id FROM {inst}"))
-    own = F.col("fn_id") % 6 == 0
+    """(fn_id, is_fp): a function whose unlocked uses of fields are no faults: by its name, or because more than half of its call
+    sites have a lock held or lie in such functions, judged the same way up to three levels up; at the cap the vote is true."""
+    held = keep(locks.held_locks(spark, sf_dir).select(F.col("inst_id").alias("h_site")).distinct())
+    edges = run_sql(spark, sf_dir, "SELECT DISTINCT callee AS c_fn, site, caller FROM {call_edge}")
+    edges = keep(edges.join(held, F.col("site") == F.col("h_site"), "left").select("c_fn", "caller", F.col("h_site").isNotNull().alias("alive")))
+    fns = keep(run_sql(spark, sf_dir, f"SELECT fn_id, {_SOLE} AS own FROM {{fn_name}}"))
     vote = fns.select("fn_id", F.lit(True).alias("is_fp"))  # beyond the cap
     for _ in range(3):
         above = _rename(vote, v_fn="fn_id", v_fp="is_fp")
-        share = edges.join(above, F.col("caller") == F.col("v_fn")).groupBy(F.col("fn_id").alias("s_fn")).agg(F.sum(F.col("v_fp").cast("int")).alias("yes"), F.count(F.lit(1)).alias("all"))
-        vote = fns.join(share, F.col("fn_id") == F.col("s_fn"), "left").select("fn_id", (own | F.coalesce(2 * F.col("yes") > F.col("all"), F.lit(False))).alias("is_fp"))
+        sites = edges.join(above, F.col("caller") == F.col("v_fn"), "left").select("c_fn", (F.col("alive") | F.coalesce("v_fp", F.lit(False))).alias("fp"))
+        share = sites.groupBy("c_fn").agg(F.count_if("fp").alias("yes"), F.count(F.lit(1)).alias("all"))
+        vote = fns.join(share, F.col("fn_id") == F.col("c_fn"), "left").select("fn_id", (F.col("own") | F.coalesce(2 * F.col("yes") > F.col("all"), F.lit(False))).alias("is_fp"))
     return vote
 
 
+def fp_trim_and_rerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(struct_name, field, n_uses, n_locked): fields whose uses are mostly locked when the uses that fp_recursive_vote excuses count as
+    locked, but not all, and that are used at four places or more."""
+    return run_sql(spark, sf_dir, _RERATED, votes=fp_recursive_vote(spark, sf_dir))
+
+
+def struct_field_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(struct_name, field, file, line): unlocked uses that nothing excuses, of fields that are mostly used under a lock, both before
+    and after excused uses count as locked."""
+    return run_sql(spark, sf_dir, _RACE, votes=keep(fp_recursive_vote(spark, sf_dir)))
+
+
+_SOLE = "(" + " OR ".join(f"lower(name) LIKE '%{word}%'" for word in SOLE_OWNER) + ")"
+_RERATED = """SELECT struct_name, field, n_uses, n_locked FROM (SELECT u.struct_name, u.field, count(*) AS n_uses,
+CAST(sum(CASE WHEN u.locked OR coalesce(v.is_fp, false) THEN 1 ELSE 0 END) AS BIGINT) AS n_locked, count(DISTINCT concat(u.file, ':', CAST(u.line AS STRING))) AS places
+FROM {field_use} u LEFT JOIN {votes} v ON u.fn_id = v.fn_id GROUP BY u.struct_name, u.field) WHERE 4 * n_locked >= 3 * n_uses AND n_locked < n_uses AND places >= 4"""
+_RACE = f"""SELECT u.struct_name, u.field, u.file, u.line FROM {{field_use}} u JOIN {{field_ratio}} r ON u.struct_name = r.struct_name AND u.field = r.field
+JOIN ({_RERATED}) t ON u.struct_name = t.struct_name AND u.field = t.field LEFT JOIN {{votes}} w ON u.fn_id = w.fn_id
+WHERE NOT u.locked AND NOT coalesce(w.is_fp, false) AND 4 * r.n_locked >= 3 * r.n_uses AND r.n_locked < r.n_uses"""
+
+
 def const_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, first_bb, n_cases): longest runs of consecutive blocks that compare the same value, of two blocks or more."""
     return run_sql(spark, sf_dir, _SWITCH)
@@ -344,6 +368,14 @@ def const_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SWITCH = """SELECT fn_id, min(bb_id) AS first_bb, count(*) AS n_cases FROM (SELECT fn_id, bb_id, v, bb_id - row_number() OVER (PARTITION BY fn_id, v ORDER BY bb_id) AS run FROM
 (SELECT fn_id, bb_id, min(prim) AS v FROM {inst} GROUP BY fn_id, bb_id) a) b GROUP BY fn_id, v, run HAVING count(*) > 1"""
 
+_LEVEL = """(SELECT f.fn_id, f.own OR coalesce(2 * s.yes > s.n, false) AS is_fp FROM fns f LEFT JOIN (SELECT e.callee, count(*) AS n, sum(CASE WHEN e.alive OR coalesce(v.is_fp, false) THEN 1 ELSE 0 END) AS yes
+FROM e LEFT JOIN ABOVE v ON e.caller = v.fn_id GROUP BY e.callee) s ON f.fn_id = s.callee)"""
+_VOTES = (
+    locks._HELD
+    + f""", e AS (SELECT DISTINCT c.callee, c.site, c.caller, EXISTS (SELECT 1 FROM held h WHERE h.at = c.site) AS alive FROM {{call_edge}} c),
+fns AS (SELECT fn_id, {_SOLE} AS own FROM {{fn_name}}), v0 AS (SELECT fn_id, true AS is_fp FROM fns)"""
+    + "".join(f", {name} AS {_LEVEL.replace('ABOVE', above)}" for name, above in (("v1", "v0"), ("v2", "v1"), ("votes", "v2")))
+)
 _PTS = "pts AS (SELECT node, label FROM {obj_addr} UNION SELECT c.dst, p.label FROM pts p JOIN {obj_copy} c ON p.node = c.src)"
 _FWD = "fwd AS (SELECT CAST(s AS BIGINT) AS node FROM (VALUES (1), (2), (3)) AS t(s) UNION SELECT e.callee FROM fwd f JOIN {fn_edge} e ON f.node = e.caller)"
 _DIST = "walk AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.callee, w.depth + 1 FROM walk w JOIN {fn_edge} e ON w.node = e.caller WHERE w.depth < (SELECT n FROM {n_fn})), dist AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
@@ -402,12 +434,9 @@ p AS (SELECT DISTINCT fn_id, prim, 0 AS depth FROM {inst} WHERE op IN ('Send', '
         """e AS (SELECT DISTINCT l_partkey % 60 AS src, l_partkey % 60 + 1 + l_suppkey % 3 AS dst FROM {lineitem} WHERE l_linenumber = 1),
 r AS (SELECT CAST(1 AS BIGINT) AS pkg, CAST(0 AS BIGINT) AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.pkg = e.src)""",
     ),
-    "fp_recursive_vote": duck_sql(
-        "SELECT fn_id, fn_id % 6 = 0 OR coalesce((SELECT 2 * sum(CASE WHEN v.fp THEN 1 ELSE 0 END) > count(*) FROM e JOIN v2 v ON e.caller = v.fn_id WHERE e.callee = f.fn_id), false) AS is_fp FROM fns f",
-        """e AS (SELECT DISTINCT callee, site, caller FROM {call_edge}), fns AS (SELECT DISTINCT fn_id FROM {inst}),
-v1 AS (SELECT fn_id, fn_id % 6 = 0 OR coalesce((SELECT 2 * count(*) > count(*) FROM e JOIN fns g ON e.caller = g.fn_id WHERE e.callee = f.fn_id), false) AS fp FROM fns f),
-v2 AS (SELECT fn_id, fn_id % 6 = 0 OR coalesce((SELECT 2 * sum(CASE WHEN v.fp THEN 1 ELSE 0 END) > count(*) FROM e JOIN v1 v ON e.caller = v.fn_id WHERE e.callee = f.fn_id), false) AS fp FROM fns f)""",
-    ),
+    "fp_recursive_vote": duck_sql("SELECT fn_id, is_fp FROM votes", _VOTES),
+    "fp_trim_and_rerate": duck_sql(_RERATED, _VOTES),
+    "struct_field_race": duck_sql(_RACE, _VOTES),
     "const_switch": duck_sql(_SWITCH),
 }
 QUERIES = {k: globals()[k] for k in SQL} | {"points_to_full": points_to_full}

@@ -165,11 +165,6 @@ UNION ALL SELECT c.site, f.fn_id, 'dynamic' FROM {call_edge} c JOIN (SELECT fn_i
     # --- aggregates -------------------------------------------------------------------------------------------------------------
     "field_protection_ratio": ("A1", "SELECT struct_name, field, n_uses, n_locked FROM {field_ratio} WHERE 4 * n_locked >= 3 * n_uses AND n_locked < n_uses"),
     "suspicious_fields": ("A2", "SELECT struct_name, field FROM {field_ratio} WHERE n_locked > 0"),
-    "fp_trim_and_rerate": (
-        "A3",
-        """SELECT struct_name, field, n_uses, n_locked FROM (SELECT struct_name, field, count(*) AS n_uses, CAST(sum(CASE WHEN locked OR fn_id % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_locked, count(DISTINCT concat(file, ':', CAST(line AS STRING))) AS places
-FROM {field_use} GROUP BY struct_name, field) WHERE 4 * n_locked >= 3 * n_uses AND n_locked < n_uses AND places >= 4""",
-    ),
     "count_send_per_goroutine": ("A5", "SELECT fn_id, prim, count(*) AS n_send FROM {inst} WHERE op = 'Send' GROUP BY fn_id, prim"),
     "ops_per_primitive": ("A6", "SELECT prim, fn_id, JOINED[inst_id|,|inst_id] AS ops FROM {inst} WHERE op IN ('Send', 'Recv') GROUP BY prim, fn_id"),
     "all_finished": (
@@ -240,11 +235,6 @@ FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id WHERE (b.pos = -2 OR i.idx
         "Q7",
         "SELECT DISTINCT c.site, s.inst_id AS fatal_id FROM {call_edge} c JOIN {sync_op} s ON c.callee = s.fn_id JOIN {sync_api} a ON s.callee = a.callee WHERE c.site_kind = 'Go' AND a.op IN ('Test_Fatal', 'Test_Skip')",
     ),
-    "struct_field_race": (
-        "Q6",
-        """SELECT u.struct_name, u.field, u.file, u.line FROM {field_use} u JOIN {field_ratio} r ON u.struct_name = r.struct_name AND u.field = r.field
-WHERE NOT u.locked AND 4 * r.n_locked >= 3 * r.n_uses AND r.n_locked < r.n_uses""",
-    ),
     "fix_gl1": (
         "Q9",
         """SELECT m.fn_id, m.prim, m.n_send <= 1 AND g.n_go = 1 AS fits FROM (SELECT fn_id, prim, CAST(sum(CASE WHEN op = 'Send' THEN 1 ELSE 0 END) AS BIGINT) AS n_send FROM {inst} GROUP BY fn_id, prim) m

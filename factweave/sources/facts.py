@@ -12,6 +12,7 @@ inst_edge  instruction order: inside a block, and from a block's last instructio
 call_edge  call sites (errors) and callees; every fourth site has a second callee
 obj_addr / obj_copy / obj_load / obj_store   inclusion constraints over parts (variables) and suppliers (objects)
 field_use  uses of struct fields, with or without a lock held
+fn_name    names of functions
 sync_op    operations with the name of the function called
 src_line   lines of pages
 """
@@ -100,6 +101,11 @@ STD_METHODS = [
     ("WriteByte", "(byte) error"),
 ]
 
+# What a function's name may hold, in any case, for its unlocked uses of fields to be no faults.
+SOLE_OWNER = ["init", "close", "start", "new", "lockfree", "shutdown"]
+# Names that functions of the test data get in turn.
+FN_NAMES = "Read InitStore handle run Update CloseAll scan Merge NewClient Flush apply startWorker visit Emit lockFreeGet Walk Sync drop Shutdown Load Push pop Commit rollback".split()
+
 
 def _values(rows: list[tuple], names: str) -> str:
     one = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
@@ -157,6 +163,8 @@ FACTS |= {
     "chan_use": "SELECT inst_id, fn_id, op, CAST(floor(inst_id / 8) AS BIGINT) AS prim FROM {inst}",
     "struct_sync": "SELECT DISTINCT p_brand AS struct_name FROM {part} WHERE p_type LIKE 'PROMO%' AND p_size > 45",
     "field_ratio": "SELECT struct_name, field, count(*) AS n_uses, CAST(sum(CASE WHEN locked THEN 1 ELSE 0 END) AS BIGINT) AS n_locked FROM {field_use} GROUP BY struct_name, field",
+    "fn_words": _values(list(enumerate(FN_NAMES)), "nr, word"),
+    "fn_name": f"SELECT f.fn_id, concat(w.word, CAST(f.fn_id AS STRING)) AS name FROM (SELECT DISTINCT user_id AS fn_id FROM {{events}}) f JOIN {{fn_words}} w ON f.fn_id % {len(FN_NAMES)} = w.nr",
     "lock_next": "SELECT a.inst_id AS lock1, b.inst_id AS lock2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'",
     "bb_text": "SELECT fn_id, bb_id, JOINED[op|,|idx] AS ops FROM {inst} GROUP BY fn_id, bb_id",
     "held_text": "SELECT fn_id, JOINED[prim|,|prim] AS prims FROM (SELECT DISTINCT fn_id, prim FROM {inst} WHERE op = 'Lock') GROUP BY fn_id",

@@ -81,6 +81,29 @@ def test_calls_that_locks_are_held_across(spark, tmp_path):
     assert rows(spark, "conflict_lock", at) == {(1, 2, 2)}
 
 
+def test_uses_of_fields_that_nothing_excuses(spark, tmp_path):
+    # Uses in 1 (an initialiser), in 2 (most of its call sites hold a lock) and in 3 (called twice, once without a lock): only 3's
+    # is a fault. Field b is locked too seldom, c is used at too few places.
+    at = bring(
+        tmp_path,
+        {
+            1: [(10, "Other", 0)],
+            2: [(20, "Other", 0)],
+            3: [(30, "Other", 0)],
+            4: [(40, "Lock", 1), (41, "Call", 0), (42, "Call", 0), (43, "Unlock", 1), (44, "Call", 0)],
+            5: [(50, "Lock", 1), (51, "Call", 0), (52, "Unlock", 1), (53, "Call", 0)],
+        },
+        calls=[(4, 41, 2, "Call"), (4, 42, 2, "Call"), (4, 44, 2, "Call"), (5, 51, 3, "Call"), (5, 53, 3, "Call")],
+    )
+    pd.DataFrame([(1, "ReInitAll"), (2, "get"), (3, "put"), (4, "main"), (5, "serve")], columns=["fn_id", "name"]).to_parquet(tmp_path / "fn_name.parquet")
+    uses = [("S", "a", i, True, "x.go", i, 4) for i in range(12)] + [("S", "a", 20 + fn, False, "x.go", 20 + fn, fn) for fn in (1, 2, 3)]
+    uses += [("S", "b", 40 + i, i == 0, "x.go", 40 + i, 3) for i in range(5)] + [("S", "c", 60 + i, i > 0, "x.go", 60 + min(i, 2), 3) for i in range(8)]
+    pd.DataFrame(uses, columns=["struct_name", "field", "inst_id", "locked", "file", "line", "fn_id"]).to_parquet(tmp_path / "field_use.parquet")
+    assert rows(spark, "fp_recursive_vote", at) == {(1, True), (2, True), (3, False), (4, False), (5, False)}
+    assert rows(spark, "fp_trim_and_rerate", at) == {("S", "a", 15, 14)}
+    assert rows(spark, "struct_field_race", at) == {("S", "a", "x.go", 23)}
+
+
 def test_locks_that_are_forgotten(spark, tmp_path):
     # Inc: locked and never released; Value: released by a deferred call; Test0: returns with the lock; a branch that releases
     # on one way only.
