@@ -148,7 +148,7 @@ WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey""
     "obj_store": "SELECT src, dst FROM {obj_pair} WHERE src % 32 = 2",
     "field_use": """
 SELECT p.p_brand AS struct_name, concat('f', CAST(l.l_linenumber AS STRING)) AS field, l.l_orderkey * 8 + l.l_linenumber AS inst_id, l.l_discount > 0.02 AS locked,
-       concat('s', CAST(l.l_suppkey % 50 AS STRING), '.go') AS file, l.l_orderkey % 400 AS line, l.l_suppkey AS fn_id
+       concat('s', CAST(l.l_suppkey % 50 AS STRING), '.go') AS file, l.l_orderkey % 400 AS line, l.l_suppkey * 2 AS fn_id
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
     "sync_api": _values(SYNC_API, "callee, op"),
     "sync_name": _values([(i, c) for i, (c, _) in enumerate(SYNC_API)], "nr, callee"),
