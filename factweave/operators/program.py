@@ -28,34 +28,53 @@ def points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_to_full(spark: SparkSession, sf_dir: str, max_rounds: int = 1000) -> DataFrame:
-    """(node, label) under address, copy, load and store constraints; an object's content is the node -1 - label.
+    """(node, label) under all constraints; an object's content is the node -1 - label.
 
-    Loads and stores add copy edges as their pointers' sets grow: the edges and the sets are one relation in the loop.
+    Beside addresses and copies: loads and stores through pointers; offsets (the field of an object pointed to); type filters (the
+    objects of a type); untagging (what the objects of a type hold); and calls of an interface's method: by the type of each object
+    that the receiver points to, a method is entered, its receiver is the object, and its parameter gets the argument's set.
+    Loads, stores, untagging and calls add copy edges as sets grow: edges and sets are one relation in the loop, and a round joins
+    only what the last one added with the constraints.
     """
     seen: dict = {}
-    addr = frame(spark, sf_dir, "obj_addr", seen)
-    load = keep(_rename(frame(spark, sf_dir, "obj_load", seen), l_src="src", l_dst="dst"))
-    store = keep(_rename(frame(spark, sf_dir, "obj_store", seen), s_src="src", s_dst="dst"))
+    fact = lambda name, **names: keep(_rename(frame(spark, sf_dir, name, seen), **names))
+    load, store = fact("obj_load", l_src="src", l_dst="dst"), fact("obj_store", s_src="src", s_dst="dst")
+    offset, field = fact("obj_offset", f_src="src", f_off="off", f_dst="dst"), fact("obj_field", d_label="label", d_off="off", d_sub="sub")
+    typed = fact("obj_filter", t_src="src", t_type="type_id", t_dst="dst").withColumn("untag", F.lit(False))
+    typed = keep(typed.union(fact("obj_untag", t_src="src", t_type="type_id", t_dst="dst").withColumn("untag", F.lit(True))))
+    kind, invoke = fact("obj_type", k_label="label", k_type="type_id"), fact("obj_invoke", i_recv="recv", i_method="method", i_arg="arg")
+    impl = fact("method_impl", m_type="type_id", m_method="method", m_recv="recv_node", m_param="param_node")
     content = F.col("label") * -1 - 1
-    pts = new_pts = keep(addr.distinct())
-    edges = new_edges = keep(_rename(frame(spark, sf_dir, "obj_copy", seen), a="src", b="dst").distinct())
+    pts = new_pts = keep(frame(spark, sf_dir, "obj_addr", seen).distinct())
+    edges = fact("obj_copy", a="src", b="dst").distinct()
     for _ in range(max_rounds):
-        found = new_pts.join(load, new_pts["node"] == F.col("l_src")).select(content.alias("a"), F.col("l_dst").alias("b"))
-        found = found.union(new_pts.join(store, new_pts["node"] == F.col("s_dst")).select(F.col("s_src").alias("a"), content.alias("b"))).distinct()
+        of_type = new_pts.join(kind, F.col("label") == F.col("k_label"))
+        some = of_type.join(typed, (F.col("node") == F.col("t_src")) & (F.col("k_type") == F.col("t_type")))
+        entered = of_type.join(invoke, F.col("node") == F.col("i_recv")).join(impl, (F.col("k_type") == F.col("m_type")) & (F.col("i_method") == F.col("m_method")))
+        found = new_pts.join(load, F.col("node") == F.col("l_src")).select(content.alias("a"), F.col("l_dst").alias("b"))
+        found = found.union(new_pts.join(store, F.col("node") == F.col("s_dst")).select(F.col("s_src").alias("a"), content.alias("b")))
+        found = found.union(some.where("untag").select(content, "t_dst")).union(entered.select("i_arg", "m_param")).distinct()
         known = _rename(edges, k_a="a", k_b="b")
         added = keep(found.join(known, (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti"))
-        flow = new_pts.join(edges, new_pts["node"] == F.col("a")).select(F.col("b").alias("node"), "label")
-        flow = flow.union(pts.join(added, pts["node"] == F.col("a")).select(F.col("b").alias("node"), "label")).distinct()
+        flow = new_pts.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "label")
+        flow = flow.union(pts.join(added, F.col("node") == F.col("a")).select("b", "label"))
+        flow = flow.union(some.where("not untag").select("t_dst", "label")).union(entered.select("m_recv", "label"))
+        parts = new_pts.join(offset, F.col("node") == F.col("f_src")).join(field, (F.col("label") == F.col("d_label")) & (F.col("f_off") == F.col("d_off")))
+        flow = flow.union(parts.select("f_dst", "d_sub")).distinct()
         old = _rename(pts, o_node="node", o_label="label")
         fresh = keep(flow.join(old, (F.col("node") == F.col("o_node")) & (F.col("label") == F.col("o_label")), "left_anti"))
-        new_edges = added
-        edges = keep(edges.union(new_edges))
         if fresh.isEmpty() and added.isEmpty():
             return pts
+        edges = keep(edges.union(added))
         pts, new_pts = keep(pts.union(fresh)), fresh
     raise RuntimeError("points-to sets did not settle")
 
 
+def cg_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(caller, site, callee): functions that calls of interfaces' methods reach, by the types of what their receivers point to."""
+    return run_sql(spark, sf_dir, _INVOKED, pts=points_to(spark, sf_dir))
+
+
 def dynamic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, type_id, n_labels): the points-to set of each value by the labels' type."""
     pts = points_to(spark, sf_dir)
@@ -351,6 +370,8 @@ def struct_field_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, _RACE, votes=keep(fp_recursive_vote(spark, sf_dir)))
 
 
+_INVOKED = """SELECT DISTINCT i.caller, i.site, m.fn_id AS callee FROM {obj_invoke} i JOIN {pts} p ON i.recv = p.node JOIN {obj_type} t ON p.label = t.label
+JOIN {method_impl} m ON t.type_id = m.type_id AND i.method = m.method"""
 _SOLE = "(" + " OR ".join(f"lower(name) LIKE '%{word}%'" for word in SOLE_OWNER) + ")"
 _RERATED = """SELECT struct_name, field, n_uses, n_locked FROM (SELECT u.struct_name, u.field, count(*) AS n_uses,
 CAST(sum(CASE WHEN u.locked OR coalesce(v.is_fp, false) THEN 1 ELSE 0 END) AS BIGINT) AS n_locked, count(DISTINCT concat(u.file, ':', CAST(u.line AS STRING))) AS places
@@ -382,6 +403,7 @@ _DIST = "walk AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth U
 _DEP = """later AS (SELECT b.inst_id AS b, e.dst AS n FROM {inst} b JOIN {inst_edge} e ON b.inst_id = e.src WHERE b.op IN ('Send', 'Recv') UNION SELECT l.b, e.dst FROM later l JOIN {inst_edge} e ON l.n = e.src),
 dep AS (SELECT DISTINCT l.n % 23 AS p1, l.b % 23 AS p2 FROM later l JOIN {inst} i ON l.n = i.inst_id WHERE i.op IN ('Send', 'Recv', 'Unlock'))"""
 SQL = {
+    "cg_pointer": duck_sql(_INVOKED, _PTS),
     "points_to": duck_sql("SELECT node, label FROM pts", _PTS),
     "dynamic_types": duck_sql("SELECT node, label % 7 AS type_id, count(*) AS n_labels FROM pts GROUP BY node, label % 7", _PTS),
     "guru_pointsto": duck_sql("SELECT node, JOINED[label|,|label] AS labels FROM pts GROUP BY node", _PTS),

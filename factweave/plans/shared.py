@@ -319,7 +319,6 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "lint_unusedwrite": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Store%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx AND u.callee LIKE '%Load%')"),
     "lint_shadow": ("2.14", "SELECT a.inst_id AS outer_id, b.inst_id AS inner_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'"),
     "is_mutex_make": ("P6", "SELECT p_partkey AS inst_id, CASE WHEN p_size % 2 = 0 THEN 'sync.Mutex' ELSE 'sync.RWMutex' END AS made FROM {part} WHERE p_type LIKE 'PROMO%'"),
-    "cg_pointer": ("G7", "SELECT DISTINCT c.caller, c.site, o.label AS callee FROM {call_edge} c JOIN {obj_addr} o ON c.site % 200 = o.node"),
     "bb_precondition_smt": (
         "E14",
         "SELECT fn_id, bb_id, concat('(assert (and ', JOINED[cond| |idx], '))') AS text FROM (SELECT fn_id, bb_id, idx, concat(CASE WHEN pos % 2 = 0 THEN '(not c' ELSE '(c' END, CAST(prim AS STRING), ')') AS cond FROM {inst} WHERE op IN ('Recv', 'Call')) GROUP BY fn_id, bb_id",

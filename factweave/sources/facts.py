@@ -11,6 +11,8 @@ bb_edge    control flow: fall through, a branch past the next block from every t
 inst_edge  instruction order: inside a block, and from a block's last instruction to its successors' first
 call_edge  call sites (errors) and callees; every fourth site has a second callee
 obj_addr / obj_copy / obj_load / obj_store   inclusion constraints over parts (variables) and suppliers (objects)
+obj_offset / obj_filter / obj_untag / obj_invoke   constraints that depend on an object: its field, its type, what a value of a
+           type holds, the method that a call of an interface's method reaches; obj_field, obj_type and method_impl tell which
 field_use  uses of struct fields, with or without a lock held
 fn_name    names of functions
 sync_op    operations with the name of the function called
@@ -146,6 +148,15 @@ WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey""
     "obj_copy": "SELECT src, dst FROM {obj_pair} WHERE src % 4 = 0",
     "obj_load": "SELECT src, dst FROM {obj_pair} WHERE src % 32 = 1",
     "obj_store": "SELECT src, dst FROM {obj_pair} WHERE src % 32 = 2",
+    "obj_offset": "SELECT src, src % 2 AS off, dst FROM {obj_pair} WHERE src % 32 IN (3, 6)",
+    "obj_filter": "SELECT src, dst % 25 AS type_id, dst FROM {obj_pair} WHERE src % 32 = 5",
+    "obj_untag": "SELECT src, dst % 25 AS type_id, dst FROM {obj_pair} WHERE src % 32 = 9",
+    "obj_invoke": "SELECT dst AS caller, concat(CAST(src AS STRING), ':', CAST(dst AS STRING)) AS site, src AS recv, dst % 4 AS method, dst AS arg FROM {obj_pair} WHERE src % 8 = 7",
+    "obj_type": "SELECT s_suppkey AS label, s_nationkey AS type_id FROM {supplier}",
+    "obj_field": "SELECT s_suppkey AS label, CAST(s_nationkey % 2 AS BIGINT) AS off, s_suppkey + 1000000000000 AS sub FROM {supplier}",
+    "method_impl": """
+SELECT type_id, method, type_id * 4 + method AS fn_id, 2000000000000 + type_id * 8 + method * 2 AS recv_node, 2000000000001 + type_id * 8 + method * 2 AS param_node
+FROM (SELECT CAST(n.n_nationkey AS BIGINT) AS type_id, CAST(m.nr AS BIGINT) AS method FROM {nation} n CROSS JOIN (VALUES (0), (1), (2), (3)) AS m(nr)) WHERE (type_id + method) % 3 <> 0""",
     "field_use": """
 SELECT p.p_brand AS struct_name, concat('f', CAST(l.l_linenumber AS STRING)) AS field, l.l_orderkey * 8 + l.l_linenumber AS inst_id, l.l_discount > 0.02 AS locked,
        concat('s', CAST(l.l_suppkey % 50 AS STRING), '.go') AS file, l.l_orderkey % 400 AS line, l.l_suppkey * 2 AS fn_id

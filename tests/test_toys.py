@@ -118,26 +118,57 @@ def test_call_paths_of_any_length(spark, sf_dir, monkeypatch):
     assert {tuple(r) for r in program.guru_callstack(spark, sf_dir).collect()} == {(i, i - 1) for i in range(2, 14)}
 
 
-def test_points_to_with_loads_and_stores(spark, tmp_path):
-    from factweave.operators.program import points_to_full
+def test_points_to_under_all_constraints(spark):
     from factweave.sources import facts
 
     sf = "/root/testdata/sf0.001"
     get = lambda n: {tuple(r) for r in facts.frame(spark, sf, n).collect()}
-    addr, copy, load, store = get("obj_addr"), get("obj_copy"), get("obj_load"), get("obj_store")
-    pts, size = set(addr), -1
+    addr, copy, load, store, offset, only, untag = (get(f"obj_{n}") for n in ("addr", "copy", "load", "store", "offset", "filter", "untag"))
+    kind, field, calls = dict(get("obj_type")), {(x, off): sub for x, off, sub in get("obj_field")}, get("obj_invoke")
+    impl = {(t, m): (recv, param) for t, m, _, recv, param in get("method_impl")}
+    pts, size, gained = set(addr), -1, dict.fromkeys(("load", "offset", "filter", "untag", "recv", "arg"), 0)
     while size != len(pts):
         size = len(pts)
         of: dict = {}
         for n, x in pts:
             of.setdefault(n, set()).add(x)
-        for s, d in copy:
-            pts |= {(d, x) for x in of.get(s, ())}
-        for s, d in load:
-            pts |= {(d, y) for x in of.get(s, ()) for y in of.get(-1 - x, ())}
-        for s, d in store:
-            pts |= {(-1 - x, y) for x in of.get(d, ()) for y in of.get(s, ())}
-    assert {tuple(r) for r in points_to_full(spark, sf).collect()} == pts
+        at = lambda n: of.get(n, ())  # noqa: B023, E731
+        for name, more in (
+            ("copy", {(d, x) for s, d in copy for x in at(s)}),
+            ("load", {(d, y) for s, d in load for x in at(s) for y in at(-1 - x)}),
+            ("store", {(-1 - x, y) for s, d in store for x in at(d) for y in at(s)}),
+            ("offset", {(d, field[x, off]) for s, off, d in offset for x in at(s) if (x, off) in field}),
+            ("filter", {(d, x) for s, t, d in only for x in at(s) if kind.get(x) == t}),
+            ("untag", {(d, y) for s, t, d in untag for x in at(s) if kind.get(x) == t for y in at(-1 - x)}),
+            ("recv", {(impl[kind.get(x), m][0], x) for _, _, r, m, _ in calls for x in at(r) if (kind.get(x), m) in impl}),
+            ("arg", {(impl[kind.get(x), m][1], y) for _, _, r, m, a in calls for x in at(r) if (kind.get(x), m) in impl for y in at(a)}),
+        ):
+            gained[name] = gained.get(name, 0) + len(more - pts)
+            pts |= more
+    assert {tuple(r) for r in program.points_to_full(spark, sf).collect()} == pts
+    assert gained["offset"] and gained["filter"] and gained["recv"] and gained["arg"], gained
+
+
+def test_small_program_of_objects(spark, tmp_path):
+    # 1 points to object 100 (type 7, its content points to 101), 2 to 101 (type 8); both flow to 3.
+    tables = {
+        "obj_addr": (("node", "label"), [(1, 100), (2, 101), (-101, 101), (9, 102)]),
+        "obj_copy": (("src", "dst"), [(1, 3), (2, 3)]),
+        "obj_load": (("src", "dst"), [(1, 10)]),
+        "obj_store": (("src", "dst"), [(9, 2)]),
+        "obj_offset": (("src", "off", "dst"), [(3, 2, 11)]),
+        "obj_field": (("label", "off", "sub"), [(100, 2, 500), (101, 1, 501)]),
+        "obj_filter": (("src", "type_id", "dst"), [(3, 8, 12)]),
+        "obj_untag": (("src", "type_id", "dst"), [(3, 7, 13)]),
+        "obj_type": (("label", "type_id"), [(100, 7), (101, 8)]),
+        "obj_invoke": (("caller", "site", "recv", "method", "arg"), [(40, 41, 3, 5, 9)]),
+        "method_impl": (("type_id", "method", "fn_id", "recv_node", "param_node"), [(7, 5, 70, 71, 72), (8, 6, 80, 81, 82)]),
+    }
+    for name, (columns, data) in tables.items():
+        pd.DataFrame(data, columns=list(columns)).to_parquet(tmp_path / f"{name}.parquet")
+    want = {(1, 100), (2, 101), (-101, 101), (9, 102), (3, 100), (3, 101), (10, 101), (-102, 102), (11, 500), (12, 101), (13, 101), (71, 100), (72, 102)}
+    assert {tuple(r) for r in program.points_to_full(spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in program.cg_pointer(spark, str(tmp_path)).collect()} == {(40, 41, 70)}
 
 
 def test_llm_is_imported_by_nothing_else():
