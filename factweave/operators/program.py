@@ -76,9 +76,8 @@ def cg_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dynamic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, type_id, n_labels): the points-to set of each value by the labels' type."""
-    pts = points_to(spark, sf_dir)
-    return pts.groupBy("node", (F.col("label") % 7).alias("type_id")).agg(F.count(F.lit(1)).alias("n_labels"))
+    """(node, type_id, n_labels): the points-to set of each value by the objects' type."""
+    return run_sql(spark, sf_dir, _DYNAMIC, pts=points_to(spark, sf_dir))
 
 
 def guru_pointsto(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +87,18 @@ def guru_pointsto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, type_id): types that flow to each node along copies."""
-    return points_to(spark, sf_dir).select("node", (F.col("label") % 11).alias("type_id")).distinct()
+    """(node, type_id): types of objects that flow to each node along copies. Types travel instead of objects, so a set is no longer
+    than the program has types."""
+    seen: dict = {}
+    copy = keep(_rename(frame(spark, sf_dir, "obj_copy", seen), c_src="src", c_dst="dst"))
+    start = run_sql(spark, sf_dir, "SELECT DISTINCT a.node, t.type_id FROM {obj_addr} a JOIN {obj_type} t ON a.label = t.label", seen)
+    return semi_naive(start, lambda d: d.join(copy, F.col("node") == F.col("c_src")).select(F.col("c_dst").alias("node"), "type_id"))
+
+
+def callgraph_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(algo, line): the call graph by each algorithm (static calls; interface calls by class hierarchy or by points-to sets beside
+    them) in digraph's notation, without calls of function 0, the root."""
+    return run_sql(spark, sf_dir, _CLI, pts=points_to(spark, sf_dir))
 
 
 def _fn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,6 +379,12 @@ def struct_field_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, _RACE, votes=keep(fp_recursive_vote(spark, sf_dir)))
 
 
+_DYNAMIC = "SELECT p.node, t.type_id, count(*) AS n_labels FROM {pts} p JOIN {obj_type} t ON p.label = t.label GROUP BY p.node, t.type_id"
+_CLI = """SELECT DISTINCT algo, concat('"fn', CAST(caller AS STRING), '" "fn', CAST(callee AS STRING), '"') AS line FROM (
+SELECT a.algo, e.caller, e.callee FROM {fn_edge} e CROSS JOIN (VALUES ('static'), ('cha'), ('pta')) AS a(algo)
+UNION ALL SELECT 'cha', i.caller, m.fn_id FROM {obj_invoke} i JOIN {method_impl} m ON i.method = m.method
+UNION ALL SELECT 'pta', i.caller, m.fn_id FROM {obj_invoke} i JOIN {pts} p ON i.recv = p.node JOIN {obj_type} t ON p.label = t.label
+JOIN {method_impl} m ON t.type_id = m.type_id AND i.method = m.method) WHERE callee <> 0"""
 _INVOKED = """SELECT DISTINCT i.caller, i.site, m.fn_id AS callee FROM {obj_invoke} i JOIN {pts} p ON i.recv = p.node JOIN {obj_type} t ON p.label = t.label
 JOIN {method_impl} m ON t.type_id = m.type_id AND i.method = m.method"""
 _SOLE = "(" + " OR ".join(f"lower(name) LIKE '%{word}%'" for word in SOLE_OWNER) + ")"
@@ -405,9 +420,10 @@ dep AS (SELECT DISTINCT l.n % 23 AS p1, l.b % 23 AS p2 FROM later l JOIN {inst}
 SQL = {
     "cg_pointer": duck_sql(_INVOKED, _PTS),
     "points_to": duck_sql("SELECT node, label FROM pts", _PTS),
-    "dynamic_types": duck_sql("SELECT node, label % 7 AS type_id, count(*) AS n_labels FROM pts GROUP BY node, label % 7", _PTS),
+    "dynamic_types": duck_sql(_DYNAMIC, _PTS),
+    "callgraph_cli": duck_sql(_CLI, _PTS),
     "guru_pointsto": duck_sql("SELECT node, JOINED[label|,|label] AS labels FROM pts GROUP BY node", _PTS),
-    "type_propagation": duck_sql("SELECT DISTINCT node, label % 11 AS type_id FROM pts", _PTS),
+    "type_propagation": duck_sql("SELECT DISTINCT p.node, t.type_id FROM pts p JOIN {obj_type} t ON p.label = t.label", _PTS),
     "digraph_forward": duck_sql("SELECT node FROM fwd", _FWD),
     "digraph_reverse": duck_sql("SELECT node FROM fwd", _FWD.replace("(1), (2), (3)", "(10), (17), (24)").replace("SELECT e.callee", "SELECT e.caller").replace("f.node = e.caller", "f.node = e.callee")),
     "digraph_allpaths": duck_sql(

@@ -157,9 +157,9 @@ CAST(sum(CASE WHEN a.op = 'Cond_Wait' THEN 1 ELSE 0 END) AS BIGINT) AS n_wait FR
     "cg_static": ("G6", "SELECT caller, site, callee FROM {call_edge} WHERE site_kind <> 'Go' AND site % 4 <> 0"),
     "cg_cha": (
         "G5",
-        """SELECT site, callee, 'static' AS rule FROM {call_edge} WHERE site % 4 <> 0
-UNION ALL SELECT c.site, f.fn_id, 'interface' FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, CAST(floor(fn_id / 4) AS BIGINT) AS method FROM {inst}) f ON f.method = CAST(floor(c.callee / 4) AS BIGINT) WHERE c.site % 4 = 0 AND c.site % 8 <> 0
-UNION ALL SELECT c.site, f.fn_id, 'dynamic' FROM {call_edge} c JOIN (SELECT fn_id, CAST(floor(fn_id / 3) AS BIGINT) AS signature FROM {inst} GROUP BY fn_id) f ON f.signature = CAST(floor(c.callee / 3) AS BIGINT) AND f.fn_id <> 0 WHERE c.site % 8 = 0""",
+        """SELECT CAST(site AS STRING) AS site, callee, 'static' AS rule FROM {call_edge} WHERE site % 4 <> 0
+UNION ALL SELECT DISTINCT i.site, m.fn_id, 'interface' FROM {obj_invoke} i JOIN {method_impl} m ON i.method = m.method
+UNION ALL SELECT CAST(c.site AS STRING), f.fn_id, 'dynamic' FROM {call_edge} c JOIN (SELECT fn_id, CAST(floor(fn_id / 3) AS BIGINT) AS signature FROM {inst} GROUP BY fn_id) f ON f.signature = CAST(floor(c.callee / 3) AS BIGINT) AND f.fn_id <> 0 WHERE c.site % 8 = 0""",
     ),
     "check_call_relationship": ("G10", "SELECT i.inst_id FROM {inst} i WHERE EXISTS (SELECT 1 FROM {call_edge} c WHERE c.site = i.inst_id AND c.callee % 3 = 0)"),
     # --- aggregates -------------------------------------------------------------------------------------------------------------
@@ -286,7 +286,6 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "guru_freevars": ("V8", "SELECT DISTINCT u.fn_id, u.prim FROM {inst} u WHERE u.idx BETWEEN 8 AND 15 AND NOT EXISTS (SELECT 1 FROM {inst} d WHERE d.fn_id = u.fn_id AND d.prim = u.prim AND d.idx BETWEEN 8 AND 15 AND d.op = 'Lock' AND d.idx <= u.idx)"),
     "guru_definition": ("V9", "SELECT u.inst_id, min(d.inst_id) AS def_id FROM {inst} u JOIN {inst} d ON u.fn_id = d.fn_id AND u.prim = d.prim GROUP BY u.inst_id"),
     "guru_referrers": ("V10", "SELECT fn_id, prim, count(*) AS n_refs, JOINED[idx|,|idx] AS refs FROM {inst} GROUP BY fn_id, prim"),
-    "callgraph_cli": ("V11", "SELECT DISTINCT concat('\"fn', CAST(caller AS STRING), '\" \"fn', CAST(callee AS STRING), '\"') AS line FROM {call_edge} WHERE callee <> 0"),
     "digraph_nodes": ("V12", "SELECT caller AS node FROM {fn_edge} UNION SELECT callee FROM {fn_edge}"),
     "digraph_succs": ("V12", "SELECT DISTINCT callee AS node FROM {fn_edge} WHERE caller IN (1, 2, 3)"),
     "digraph_preds": ("V12", "SELECT DISTINCT caller AS node FROM {fn_edge} WHERE callee IN (10, 17, 24)"),
