@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.facts import duck_sql, frame
+from ..sources.facts import duck_sql, frame, run_sql
 from .fixpoint import after, flipped, keep, per_function, walk
 
 
@@ -60,6 +60,11 @@ def post_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_function(*_blocks(spark, sf_dir), lambda g, s: [(n, p) for n, ps in _post_least(s).items() for p in ps], "fn_id long, bb_id long, post_bb long")
 
 
+def both_blocks_happen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fn_id, a_bb, b_bb), a_bb < b_bb: blocks with one predecessor each, which end in equal conditions, one post-dominating the other."""
+    return run_sql(spark, sf_dir, _BOTH, post=keep(post_dominators(spark, sf_dir)))
+
+
 def natural_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, header_bb, body_bb): edges whose head dominates their tail, and what reaches the tail without the head."""
 
@@ -164,19 +169,22 @@ SELECT w.fn_id, w.x, e.dst_bb FROM without w JOIN {bb_edge} e ON w.fn_id = e.fn_
 dom AS (SELECT a.fn_id, a.n AS dom_bb, b.n AS bb_id FROM live a JOIN live b ON a.fn_id = b.fn_id
 WHERE a.n = 0 OR NOT EXISTS (SELECT 1 FROM without w WHERE w.fn_id = a.fn_id AND w.x = a.n AND w.n = b.n))"""
 
-SQL = {
-    "reachable_blocks": duck_sql("SELECT fn_id, src_bb, dst_bb FROM reach", _CLOSURE),
-    "dominators": duck_sql("SELECT fn_id, dom_bb, bb_id FROM dom", _WITHOUT),
-    "post_dominators": duck_sql(
-        """SELECT b.fn_id, b.bb_id, x.bb_id AS post_bb FROM {bb} b JOIN {bb} x ON b.fn_id = x.fn_id WHERE EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.src_bb = b.bb_id)
-AND NOT EXISTS (SELECT 1 FROM {bb_edge} e JOIN bad ON bad.fn_id = e.fn_id AND bad.x = x.bb_id AND bad.n = e.dst_bb WHERE e.fn_id = b.fn_id AND e.src_bb = b.bb_id)""",
-        """av AS (SELECT e.fn_id, x.bb_id AS x, e.src_bb AS a, e.dst_bb AS b FROM {bb_edge} e JOIN {bb} x ON e.fn_id = x.fn_id WHERE e.src_bb <> x.bb_id AND e.dst_bb <> x.bb_id
+_POST = """SELECT b.fn_id, b.bb_id, x.bb_id AS post_bb FROM {bb} b JOIN {bb} x ON b.fn_id = x.fn_id WHERE EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.src_bb = b.bb_id)
+AND NOT EXISTS (SELECT 1 FROM {bb_edge} e JOIN bad ON bad.fn_id = e.fn_id AND bad.x = x.bb_id AND bad.n = e.dst_bb WHERE e.fn_id = b.fn_id AND e.src_bb = b.bb_id)"""
+_AVOID = """av AS (SELECT e.fn_id, x.bb_id AS x, e.src_bb AS a, e.dst_bb AS b FROM {bb_edge} e JOIN {bb} x ON e.fn_id = x.fn_id WHERE e.src_bb <> x.bb_id AND e.dst_bb <> x.bb_id
 UNION SELECT av.fn_id, av.x, av.a, e.dst_bb FROM av JOIN {bb_edge} e ON av.fn_id = e.fn_id AND av.b = e.src_bb WHERE e.dst_bb <> av.x),
 ends AS (SELECT fn_id, bb_id AS n FROM {bb} b WHERE NOT EXISTS (SELECT 1 FROM {bb_edge} e WHERE e.fn_id = b.fn_id AND e.src_bb = b.bb_id)),
 bad AS (SELECT e.fn_id, x.bb_id AS x, e.n FROM ends e JOIN {bb} x ON e.fn_id = x.fn_id WHERE e.n <> x.bb_id
 UNION SELECT fn_id, x, a FROM av WHERE a = b UNION SELECT av.fn_id, av.x, av.a FROM av JOIN ends e ON av.fn_id = e.fn_id AND av.b = e.n
-UNION SELECT av.fn_id, av.x, av.a FROM av JOIN av c ON av.fn_id = c.fn_id AND av.x = c.x AND av.b = c.a AND c.a = c.b)""",
-    ),
+UNION SELECT av.fn_id, av.x, av.a FROM av JOIN av c ON av.fn_id = c.fn_id AND av.x = c.x AND av.b = c.a AND c.a = c.b)"""
+_BOTH = """SELECT DISTINCT p.fn_id, least(a.dst_bb, b.dst_bb) AS a_bb, greatest(a.dst_bb, b.dst_bb) AS b_bb FROM {post} p JOIN {one_pred} a ON p.fn_id = a.fn_id AND p.bb_id = a.src_bb
+JOIN {one_pred} b ON p.fn_id = b.fn_id AND p.post_bb = b.src_bb JOIN {if_cond} c ON p.fn_id = c.fn_id AND p.bb_id = c.bb_id JOIN {if_cond} d ON p.fn_id = d.fn_id AND p.post_bb = d.bb_id
+WHERE a.dst_bb <> b.dst_bb AND p.bb_id <> p.post_bb AND c.cond = d.cond"""
+SQL = {
+    "reachable_blocks": duck_sql("SELECT fn_id, src_bb, dst_bb FROM reach", _CLOSURE),
+    "dominators": duck_sql("SELECT fn_id, dom_bb, bb_id FROM dom", _WITHOUT),
+    "post_dominators": duck_sql(_POST, _AVOID),
+    "both_blocks_happen": duck_sql(_BOTH, _AVOID + ", post AS (" + _POST + ")"),
     "natural_loops": duck_sql(
         "SELECT DISTINCT fn_id, h AS header_bb, n AS body_bb FROM body UNION SELECT fn_id, h, h FROM back",
         _WITHOUT

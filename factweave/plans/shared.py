@@ -104,10 +104,6 @@ WHEN 'WaitGroup_Add' THEN 'W_Add' WHEN 'WaitGroup_Done' THEN 'W_Done' ELSE 'W_Wa
         """SELECT DISTINCT fn_id, bb_id FROM (SELECT fn_id, bb_id FROM {sync_op} WHERE callee LIKE '%Fatal%' OR callee LIKE '%assert.%'
 UNION ALL SELECT b.fn_id, b.bb_id FROM {bb} b LEFT JOIN {bb_edge} e ON b.fn_id = e.fn_id AND b.bb_id = e.src_bb WHERE e.fn_id IS NULL)""",
     ),
-    "both_blocks_happen": (
-        "C18",
-        """SELECT a.fn_id, a.dst_bb AS a_bb, b.dst_bb AS b_bb FROM {one_pred} a JOIN {one_pred} b ON a.fn_id = b.fn_id AND a.dst_bb < b.dst_bb AND a.src_bb % 3 = b.src_bb % 3 AND b.src_bb = a.src_bb + 3""",
-    ),
     # --- joins -------------------------------------------------------------------------------------------------------------
     "alias_merge": ("J1", "SELECT o.label, count(*) AS n_ops, JOINED[s.inst_id|,|s.inst_id] AS ops FROM {sync_op} s JOIN {obj_addr} o ON s.value_id = o.node GROUP BY o.label"),
     "withdraw_channels": (

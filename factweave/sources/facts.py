@@ -170,6 +170,7 @@ FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
 FACTS |= {
     "canon": "SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_linenumber % 2 = 0 THEN '<' ELSE '==' END, ' ', CAST(least(l_suppkey % 4, l_partkey % 4) AS STRING), ' ', CAST(greatest(l_suppkey % 4, l_partkey % 4) AS STRING)) AS form FROM {lineitem}",
     "one_pred": "SELECT fn_id, dst_bb, min(src_bb) AS src_bb FROM {bb_edge} GROUP BY fn_id, dst_bb HAVING count(*) = 1",
+    "if_cond": "SELECT e.fn_id, e.bb_id, i.prim AS cond FROM {bb_ends} e JOIN {inst} i ON e.last_inst = i.inst_id JOIN (SELECT fn_id, src_bb FROM {bb_edge} GROUP BY fn_id, src_bb HAVING count(*) > 1) t ON e.fn_id = t.fn_id AND e.bb_id = t.src_bb",
     "pts_text": "SELECT node, JOINED[label|,|label] AS labels FROM {obj_addr} GROUP BY node HAVING count(*) > 1",
     "chan_use": "SELECT inst_id, fn_id, op, CAST(floor(inst_id / 8) AS BIGINT) AS prim FROM {inst}",
     "struct_sync": "SELECT DISTINCT p_brand AS struct_name FROM {part} WHERE p_type LIKE 'PROMO%' AND p_size > 45",

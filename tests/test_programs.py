@@ -133,6 +133,13 @@ def test_loop_and_dominance(spark, tmp_path):
     assert {(r[1], r[2]) for r in rows(spark, "fuse_blocks", at)} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
 
 
+def test_blocks_behind_equal_conditions(spark, tmp_path):
+    # Two ifs in a row, 0 -> {1, 2} and 2 -> {3, 4}, on the same condition; a third one, 4 -> {5, 6}, on another. 1, 3 and 5 join the way.
+    edges = [(7, 0, 1), (7, 0, 2), (7, 1, 2), (7, 2, 3), (7, 2, 4), (7, 3, 4), (7, 4, 5), (7, 4, 6), (7, 5, 6)]
+    at = bring(tmp_path, {7: [(n, "Other", 1 if n in (0, 2) else 2, n) for n in range(7)]}, edges=edges)
+    assert rows(spark, "both_blocks_happen", at) == {(7, 1, 3)}
+
+
 @pytest.mark.parametrize(
     ("edges", "sccs"),
     [
