@@ -16,6 +16,9 @@ MODULES = {
     "op8_minhash_dedup": "minhash_dedup",
     "op9_mixing": "mixing",
     "op10_substring_dedup": "substring_dedup",
+    "op11_fill_in_middle": "fill_in_middle",
+    "op12_token_counts": "token_counts",
+    "op13_centroid_clustering": "centroid_clustering",
 }
 
 

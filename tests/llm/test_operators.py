@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql.functions import lit
 
-from factweave.llm import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, stats, substring_dedup, textcols
+from factweave.llm import centroid_clustering, exact_dedup, fill_in_middle, line_dedup, lm_scoring, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, stats, substring_dedup, textcols, token_counts
 from factweave.llm.fm_index import FMIndex
 from factweave.llm.tables import hashed_sample
 
@@ -611,3 +611,123 @@ def test_windows_are_compared_by_their_words(monkeypatch):
     assert stats.measure(textcols.column(["x\ny\nx y z"]))["n_dup_lines"].tolist() == [0]
     sets = minhash_dedup.whole_sets([a.encode(), b.encode(), a.encode()])
     assert np.array_equal(sets[0], sets[2]) and not set(sets[0]) & set(sets[1])
+
+
+AWKWARD = ["\x01", "\x02", "\x020\x011", "a\x01b\x02c\x021", "x<P>y", "<S", "a<M", "<M>", "P>a<", "é日本𝄞x", "\n\r\n a", "$0 \\\\1", "ab" * 70_000]
+
+
+def _filled(doc_id, text, rate=90, spm_rate=20):
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text or "")
+    h = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not units or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return (doc_id, len(units), "plain", None, None, None, text or "")
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h4 % 100 < spm_rate:
+        return (doc_id, len(units), "spm", p, m, s, f"<S>{s}<P>{p}<M>{m}")
+    return (doc_id, len(units), "psm", p, m, s, f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fill_in_middle(spark, docs, empty):
+    names = ("doc_id", "n", "form", "prefix", "middle", "suffix", "output")
+    assert collected(fill_in_middle.fill_in_middle(docs), *names) == expected([_filled(i, t) for i, t in TEXTS])
+    assert fill_in_middle.fill_in_middle(empty).count() == 0
+    rows = [(100 * k + i, t) for k in range(20) for i, t in enumerate(AWKWARD)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for rates in ((90, 20), (100, 0), (100, 100), (0, 50)):
+        out = fill_in_middle.fill_in_middle(frame, *rates)
+        assert collected(out, *names) == expected([_filled(i, t, *rates) for i, t in rows])
+        back = out.select("text", fill_in_middle.restored(out["output"], out["form"]).alias("back"))
+        assert back.where("text <> back").count() == 0 and back.where("back is null").count() == 0
+
+
+def _counted(texts):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return [len(library.encode(t or "")) for t in texts]
+
+
+def test_token_counts(spark, sf_dir, docs, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    names = ("doc_id", "n_bytes", "n_tokens", "over_limit")
+    texts = [t for _, t in TEXTS]
+    want = [(i, len((t or "").encode()), n, n > 4096) for (i, t), n in zip(TEXTS, _counted(texts), strict=True)]
+    assert collected(token_counts.token_counts(docs, path), *names) == expected(want)
+    assert token_counts.token_counts(empty, path).count() == 0
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(real, path).collect()}
+    rows = real.collect()
+    assert [got[r["doc_id"]] for r in rows] == _counted([r["text"] for r in rows])
+
+
+@pytest.mark.parametrize("slots_log2", [20, 11])  # with the small table, the states are begun anew within texts
+def test_transducer_equals_the_library(slots_log2):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        machine = token_counts.Transducer(f.read(), slots_log2)
+    rng = random.Random(5)
+    units = ["a", "b", " ", "  ", "\t", "\n", "é", "中", "国", "日本", "ا", "𝄞", "▁", "1", "22", "---", "http", "://", " the", "tion", "<s>", "</s>", "<unk>", "<0x0A>", "\x00", "aaaa", "    "]
+    texts = ["".join(rng.choice(units) for _ in range(rng.randrange(200))) for _ in range(300)]
+    # Without a reset for many chunks: each chunk's entry comes from its predecessor.
+    texts += ["a" * 5000, " " * 3000, "ab" * 2500, "=" * 999, "\n" * 2000, "ha" * 1111 + "x", "".join(rng.choice("abcdefgh") for _ in range(20_000)), None, ""]
+    got = [n for t in textcols.pieces(textcols.column(texts), 4096) for n in machine.count(t).tolist()]
+    assert got == _counted(texts)
+
+
+def test_merges_agree_with_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        machine = token_counts.transducer(f.read())
+    rng = random.Random(6)
+    for _ in range(300):  # the two-piece rule on which the states rest
+        a, b = (library.id_to_piece(rng.randrange(300, 31_000)) for _ in range(2))
+        assert machine.merged("▁" + a + b) == library.encode((a + b).replace("▁", " "), out_type=str)
+
+
+def _lloyd(vectors, k, rounds):
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted((hashlib.sha256(f"3:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in kept)[:k]
+    centres = [v for _, v in first]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centres)) for _, v in kept]
+
+    for _ in range(rounds):
+        of = assign()
+        for j in range(len(centres)):
+            if mine := [v for (_, v), (_, c) in zip(kept, of, strict=True) if c == j]:
+                centres[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    of = assign()
+    inertia = [sum(d for d, c in of if c == j) for j in range(len(centres))]
+    return [(i, c, d, inertia[c], sum(inertia), centres[c]) for (i, _), (d, c) in zip(kept, of, strict=True)]
+
+
+def test_centroid_clustering(spark):
+    rng = random.Random(7)
+    near = lambda c, e: [c + rng.gauss(0, e) for _ in range(64)]
+    vectors = [(i, near(i % 5, 0.7)) for i in range(150)]
+    vectors += [(3, vectors[3][1]), (None, near(1, 1)), (None, near(-4, 1)), (900, [0.5] * 64), (901, [0.5] * 64)]  # repeated, without id, equal
+    odd = [(500, None), (501, []), (502, [1.0] * 63), (503, [1.0] * 65), (504, [None] + [1.0] * 63), (505, [float("nan")] + [1.0] * 63), (506, [float("-inf")] + [1.0] * 63)]
+    schema = "vec_id long, embedding array<float>, label int, cluster int, v string"
+    frame = lambda rows: spark.createDataFrame([(i, v, 0, -1, "v") for i, v in rows], schema)
+    names = ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
+    as_float = [(i, np.array(v, np.float32).tolist()) for i, v in vectors]
+    for table in (frame(vectors + odd).repartition(5), frame(vectors + odd).coalesce(1)):
+        assert collected(centroid_clustering.clustered(table), *names) == expected(_lloyd(as_float, 8, 10))
+    same = [(i, [0.25] * 64) for i in range(20)]  # ties: the lowest number takes all, the other centroids stay
+    assert collected(centroid_clustering.clustered(frame(same)), *names) == expected(_lloyd(same, 8, 10))
+    assert collected(centroid_clustering.clustered(frame(same[:3])), *names) == expected(_lloyd(same[:3], 8, 10))
+    for rows in ([], odd):
+        assert centroid_clustering.clustered(frame(rows)).count() == 0
+    with pytest.raises(Exception, match="2\\^27"):
+        centroid_clustering.clustered(frame([(1, [3e38] * 64)])).collect()
