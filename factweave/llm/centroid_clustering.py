@@ -2,8 +2,8 @@
 
 A vector with exactly `dim` finite components becomes integers floor(scale * x), written once. Each round broadcasts the k
 centroids (k x dim numbers), and mapInPandas takes integer squared differences to each centroid in NumPy; argmin takes the
-lowest number of those that tie. A batch gives at most k rows of sums and counts; they merge through groupBy, so the driver
-gets k rows a round. New centroids are exact floors; a centroid without vectors stays. Integers make every figure the same
+lowest number of those that tie. A partition gives at most k rows of sums and counts; they merge through groupBy, so the
+driver gets k x dim numbers a round. New centroids are exact floors; a centroid without vectors stays. Integers make every figure the same
 however the rows are dealt.
 
 Scaled components must lie within 2^27 of zero, so that squared distances fit 64 bits; beyond that the job fails with an
@@ -61,7 +61,7 @@ def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sums(vectors: DataFrame, centroids: np.ndarray) -> list:
-    """For each cluster with vectors: cluster, n, sums."""
+    """For each component i of each cluster with vectors: cluster, i, n (vectors), total."""
     spark, (k, dim) = vectors.sparkSession, centroids.shape
     shared = spark.sparkContext.broadcast(centroids)
 
@@ -79,8 +79,9 @@ def _sums(vectors: DataFrame, centroids: np.ndarray) -> list:
             yield pd.DataFrame({"cluster": some, "n": counts[some], "sums": list(sums[some])})
 
     parts = vectors.select("v").mapInPandas(run, "cluster int, n long, sums array<bigint>")
-    total = lambda j: F.sum(F.col("sums")[j].cast("decimal(20,0)"))
-    rows = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*(total(j) for j in range(dim))).alias("sums")).collect()
+    numbers = parts.select("cluster", "n", F.posexplode("sums").alias("i", "s"))
+    total = F.sum(F.col("s").cast("decimal(20,0)"))
+    rows = numbers.groupBy("cluster", "i").agg(F.sum("n").alias("n"), total.alias("total")).collect()
     shared.unpersist()
     return rows
 
@@ -91,7 +92,7 @@ def lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10) -> tuple[DataFrame,
     for _ in range(rounds if len(centroids) else 0):
         moved = centroids.copy()
         for r in _sums(vectors, centroids):
-            moved[r["cluster"]] = [int(s) // r["n"] for s in r["sums"]]
+            moved[r["cluster"], r["i"]] = int(r["total"]) // r["n"]
         if (moved == centroids).all():
             break  # no later round would move one
         centroids = moved

@@ -22,7 +22,7 @@ from .tables import documents
 MARKERS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 #: The delimiter, the escape, and what follows the escape where the text itself holds the one or the other.
 MARK, ESCAPE, FOR_MARK, FOR_ESCAPE = "\x01", "\x02", "0", "1"
-UNIT = f"[A-Za-z]+|{ESCAPE}[{FOR_MARK}{FOR_ESCAPE}]|[^A-Za-z{ESCAPE}]"
+UNIT = f"[A-Za-z]++|{ESCAPE}[{FOR_MARK}{FOR_ESCAPE}]|[^A-Za-z{ESCAPE}]"
 
 
 def _marked(text: Column) -> Column:
