@@ -1,9 +1,7 @@
-"""Scalar functions that no built-in expresses: identifier search and the ordering check of one channel."""
+"""Scalar functions that no built-in expresses: identifier search."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 
 def fuzzy_score(pattern: str, text: str) -> int:
     """Score of pattern as a subsequence of text, 0 if it is none: a match at a word's head counts 3, one that follows the
@@ -24,64 +22,3 @@ def fuzzy_score(pattern: str, text: str) -> int:
                 before = [best[k - 1][j] + (max(own, 2) if j == i - 1 else own) for j in range(i) if best[k - 1][j]]
                 best[k][i] = max(before, default=0)
     return max(best[-1], default=0)
-
-
-def can_finish(ops: list[tuple[int, int, str]], capacity: int) -> bool:
-    """Whether some interleaving runs all operations (goroutine, position, Send or Recv) of one channel to their ends."""
-    paths: dict = {}
-    for g, _, op in sorted(ops):
-        paths[g] = paths.get(g, "") + op[0]
-    return all_run(Counter(paths.values()), capacity)
-
-
-def all_run(words: dict[str, int], capacity: int) -> bool:
-    """Whether some interleaving runs words of S and R (one for each goroutine, with how many goroutines have it) to their ends.
-
-    Goroutines run their own operations in order. With capacity 0 a send meets a receive of another goroutine; otherwise a
-    send needs a free place and a receive a filled one. What the sends leave over must fit into the channel. Then comes a
-    depth-first search whose states are the words left with their counts, so goroutines with the same rest are one; the
-    level follows from the state. It is exact and has no bound; states that fail are remembered.
-    """
-    left = {w: n for w, n in words.items() if w and n}
-    level = 0
-    over = sum(n * (w.count("S") - w.count("R")) for w, n in left.items())
-    if not 0 <= over <= capacity:
-        return False
-
-    def moves():
-        by = {h: sorted((w for w in left if w[0] == h), key=lambda w: (-len(w), w)) for h in "SR"}
-        if capacity == 0:
-            # A goroutine's operations all meet others': none has more than half of what is left.
-            if 2 * max(map(len, left)) <= sum(len(w) * n for w, n in left.items()):
-                yield from ((s, r) for s in by["S"] for r in by["R"])
-            return
-        heads = (by["S"] if level < capacity else []) + (by["R"] if level else [])
-        yield from ((w,) for w in sorted(heads, key=lambda w: -len(w)))
-
-    def turn(move: tuple[str, ...], way: int) -> None:
-        nonlocal level
-        for w in move:
-            for x, k in ((w, -way), (w[1:], way)):
-                if x:
-                    left[x] = left.get(x, 0) + k
-                    if not left[x]:
-                        del left[x]
-            level += way if w[0] == "S" else -way
-
-    trail, ways, dead = [], [moves()], set()
-    while left:
-        move = next(ways[-1], None)
-        if move is None:
-            dead.add(frozenset(left.items()))
-            ways.pop()
-            if not trail:
-                return False
-            turn(trail.pop(), -1)
-            continue
-        turn(move, 1)
-        if dead and frozenset(left.items()) in dead:
-            turn(move, -1)
-        else:
-            trail.append(move)
-            ways.append(moves())
-    return True

@@ -1,5 +1,4 @@
-"""Sources and text operators: package paths, option lists, CSV reports, names taken from source lines, identifier search;
-and the enumeration of blocked states with its ordering check."""
+"""Sources and text operators: package paths, option lists, CSV reports, names taken from source lines, identifier search."""
 
 from __future__ import annotations
 
@@ -8,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import all_run, can_finish, fuzzy_score  # noqa: F401 - can_finish is called as paths.can_finish
+from ..functions.scalar import fuzzy_score
 from ..sources.facts import duck_sql, frame, run_sql
 
 
@@ -81,33 +80,6 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "part").select("p_partkey", score("p_name").alias("score")).where("score > 0")
 
 
-# Goroutines of a group with the same operations on a primitive are one word with a count.
-_CHANNEL_WORDS = """SELECT grp, prim, word, count(*) AS n FROM (
-SELECT fn_id % 50 AS grp, prim, fn_id, JOINED[CASE op WHEN 'Send' THEN 'S' ELSE 'R' END||idx] AS word FROM {inst} WHERE op IN ('Send', 'Recv') GROUP BY fn_id, prim) GROUP BY grp, prim, word"""
-
-
-def sat_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grp, prim, capacity, finishes): can the operations of a group of functions on a channel all run?
-
-    Every group is decided exactly, whatever its size; the search is exponential at worst.
-    """
-    words = run_sql(spark, sf_dir, _CHANNEL_WORDS)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        grp, prim = int(g["grp"].iloc[0]), int(g["prim"].iloc[0])
-        have = {w: int(n) for w, n in zip(g["word"], g["n"], strict=True)}
-        return pd.DataFrame([(grp, prim, c, all_run(have, c)) for c in (0, 1, 2)], columns=["grp", "prim", "capacity", "finishes"])
-
-    return words.groupBy("grp", "prim").applyInPandas(run, "grp long, prim long, capacity long, finishes boolean")
-
-
-def bmoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grp, prim, capacity, report): channels on which some operation of a path combination blocks for ever."""
-    stuck = sat_check(spark, sf_dir).where("not finishes")
-    text = F.concat(F.lit("Type: BMOC channel "), F.col("prim").cast("string"), F.lit(" of functions "), F.col("grp").cast("string"))
-    return stuck.select("grp", "prim", "capacity", text.alias("report"))
-
-
 _NBMOC = """SELECT 'double close' AS reason, a.inst_id AS inst1, b.inst_id AS inst2 FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.inst_id < b.inst_id WHERE a.op = 'Unlock' AND b.op = 'Unlock'
 UNION ALL SELECT 'send after close', s.inst_id, c.inst_id FROM {chan_use} s JOIN {chan_use} c ON s.prim = c.prim AND s.fn_id <> c.fn_id WHERE s.op = 'Send' AND c.op = 'Unlock'"""
 
@@ -129,4 +101,4 @@ h AS (SELECT coalesce((SELECT p.dir FROM c p WHERE starts_with(c.dir, p.dir) AND
 SELECT dir, CAST(sum(n) AS BIGINT) AS total, row_number() OVER (ORDER BY sum(n) DESC, dir) AS place FROM h GROUP BY dir""",
     "nbmoc": duck_sql(_NBMOC),
 }
-QUERIES = {k: globals()[k] for k in (*SQL, "fuzzy_match", "sat_check", "bmoc")}
+QUERIES = {k: globals()[k] for k in (*SQL, "fuzzy_match")}

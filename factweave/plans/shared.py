@@ -195,18 +195,6 @@ coalesce(max(CASE WHEN op NOT IN ('Call', 'Unlock') THEN 1 ELSE 0 END) OVER (PAR
     "wrappers_append": ("U6", "SELECT callee AS fn_id FROM {call_edge} WHERE site_kind = 'Call' UNION SELECT fn_id FROM {inst} WHERE op = 'Lock'"),
     # --- enumeration ------------------------------------------------------------------------------------------------------------------
     "blocking_positions": ("E2", "SELECT fn_id AS path_id, idx AS pos FROM {inst} WHERE op IN ('Send', 'Recv') UNION ALL SELECT DISTINCT fn_id, -2 FROM {inst}"),
-    "path_combinations": ("E1", "SELECT path1, path2 FROM {go_pair}"),
-    "blocking_combinations": (
-        "E3",
-        """SELECT a.fn_id AS path1, a.pos AS pos1, b.fn_id AS path2, b.pos AS pos2 FROM {go_pair} g JOIN {block_pos} a ON g.path1 = a.fn_id JOIN {block_pos} b ON g.path2 = b.fn_id
-WHERE NOT (a.pos = -2 AND b.pos = -2) AND NOT (a.pos <> -2 AND b.pos <> -2 AND a.prim = b.prim AND a.op <> b.op)""",
-    ),
-    "mark_executed": ("E4", "SELECT i.fn_id, b.pos AS block_pos, i.idx, b.pos = -2 OR i.idx <= b.pos AS executed FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id"),
-    "sync_rule": (
-        "E5",
-        """SELECT fn_id, block_pos, prim, n_send, n_recv FROM (SELECT i.fn_id, b.pos AS block_pos, i.prim, CAST(sum(CASE WHEN i.op = 'Send' THEN 1 ELSE 0 END) AS BIGINT) AS n_send, CAST(sum(CASE WHEN i.op = 'Recv' THEN 1 ELSE 0 END) AS BIGINT) AS n_recv
-FROM {inst} i JOIN {block_pos} b ON i.fn_id = b.fn_id WHERE (b.pos = -2 OR i.idx <= b.pos) GROUP BY i.fn_id, b.pos, i.prim) WHERE n_recv <= n_send""",
-    ),
     "exactly_one": ("E7", "SELECT fn_id, prim, sum(CASE WHEN op = 'Lock' THEN 1 ELSE 0 END) = 1 AS exactly_one, sum(CASE WHEN op = 'Lock' THEN 1 ELSE 0 END) = 0 AS none_true FROM {inst} GROUP BY fn_id, prim"),
     "any_happens_before": ("E8", "SELECT inst_id, coalesce(max(CASE WHEN op = 'Unlock' THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, prim ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS happens_before FROM {inst}"),
     "buffer_level_at": (

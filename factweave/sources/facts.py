@@ -16,6 +16,10 @@ obj_offset / obj_filter / obj_untag / obj_invoke   constraints that depend on an
 field_use  uses of struct fields, with or without a lock held
 fn_name    names of functions
 sync_op    operations with the name of the function called
+channel    channels and how many values they hold (-999: not known before the program runs)
+chan_op    sends, receives and closes of channels
+task_chan  channels that one question takes together: two that depend on each other; those of unknown buffer are left out
+go_task    go statements that start a function with operations of a task
 src_line   lines of pages
 """
 
@@ -164,6 +168,10 @@ FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
     "sync_api": _values(SYNC_API, "callee, op"),
     "sync_name": _values([(i, c) for i, (c, _) in enumerate(SYNC_API)], "nr, callee"),
     "sync_op": f"SELECT i.inst_id, i.fn_id, i.idx, i.bb_id, i.is_defer, n.callee, i.inst_id * 3 % 41 AS value_id FROM {{inst}} i JOIN {{sync_name}} n ON i.inst_id % {len(SYNC_API)} = n.nr",
+    "channel": "SELECT DISTINCT event_id % 46 AS ch_id, CASE WHEN event_id % 46 % 7 = 6 THEN -999 ELSE event_id % 46 % 3 END AS buffer FROM {events}",
+    "chan_op": "SELECT inst_id, fn_id, inst_id % 46 AS ch_id, CASE op WHEN 'Unlock' THEN 'Close' ELSE op END AS op FROM {inst} WHERE op IN ('Send', 'Recv') OR (op = 'Unlock' AND inst_id % 5 = 0)",
+    "task_chan": "SELECT CAST(floor(ch_id / 2) AS BIGINT) AS task, ch_id FROM {channel} WHERE buffer <> -999",
+    "go_task": "SELECT DISTINCT e.caller AS root, e.site, t.task, e.callee AS fn_id FROM {call_edge} e JOIN {chan_op} c ON e.callee = c.fn_id JOIN {task_chan} t ON c.ch_id = t.ch_id WHERE e.site_kind = 'Go' AND e.caller <> e.callee",
     "src_line": "SELECT doc_id AS file_id, line_no, text FROM {doc_line}",
 }
 # Facts that only a few queries use.

@@ -55,46 +55,6 @@ def test_conflict_is_symmetric(spark, sf_dir):
     assert both == {(f, a, b) for f, a, b in pairs if a < b and (f, b, a) in pairs}
 
 
-def test_circular_wait_and_buffer():
-    # Both goroutines send first and receive after: stuck without a buffer, fine with one place for each... of one channel.
-    cross = [(1, 0, "Send"), (1, 1, "Recv"), (2, 0, "Send"), (2, 1, "Recv")]
-    assert not paths.can_finish(cross, 0)
-    assert paths.can_finish(cross, 2)
-    assert paths.can_finish([(1, 0, "Send"), (2, 0, "Recv")], 0)
-    assert not paths.can_finish([(1, 0, "Send"), (1, 1, "Send")], 1)
-
-
-def test_every_blocking_group_is_decided(spark, tmp_path):
-    # Three functions of one group on one channel, 24 operations in all; the last ones stand behind many others.
-    ops = {0: ["click"] * 12, 50: ["view"] * 6, 100: ["view"] * 6, 1: ["click"] * 20}
-    rows = [(fn, e) for fn, es in ops.items() for e in es]
-    table = pd.DataFrame([(5 * i, pd.Timestamp(i, unit="s"), fn, e, 0.0, "") for i, (fn, e) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
-    table.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
-    got = {(r["grp"], r["capacity"]): r["finishes"] for r in paths.sat_check(spark, str(tmp_path)).collect()}
-    assert got == {(0, c): True for c in (0, 1, 2)} | {(1, c): False for c in (0, 1, 2)}
-    assert {(r["grp"], r["capacity"]) for r in paths.bmoc(spark, str(tmp_path)).collect()} == {(1, c) for c in (0, 1, 2)}
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("SR", max_size=4), max_size=4), st.integers(0, 3))
-def test_blocking_search_against_all_interleavings(words, capacity):
-    def runs(rest: tuple, level: int) -> bool:
-        if not any(rest):
-            return True
-        step = lambda *who: tuple(w[i in who :] for i, w in enumerate(rest))
-        for i, w in enumerate(rest):
-            if capacity == 0 and w[:1] == "S" and any(runs(step(i, j), 0) for j, v in enumerate(rest) if v[:1] == "R"):
-                return True
-            if capacity and w[:1] == "S" and level < capacity and runs(step(i), level + 1):
-                return True
-            if capacity and w[:1] == "R" and level and runs(step(i), level - 1):
-                return True
-        return False
-
-    ops = [(g, i, {"S": "Send", "R": "Recv"}[x]) for g, w in enumerate(words) for i, x in enumerate(w)]
-    assert paths.can_finish(ops, capacity) == runs(tuple(words), 0)
-
-
 def test_fuzzy_score():
     assert paths.fuzzy_score("lb", "large bolt") == 6
     assert paths.fuzzy_score("zz", "large bolt") == 0
