@@ -242,21 +242,6 @@ def bounded_call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(start, edges, 3).groupBy("root", "node").agg(F.min("depth").cast("long").alias("depth"))
 
 
-_SHARERS = "SELECT DISTINCT a.fn_id AS f1, b.fn_id AS f2 FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.fn_id < b.fn_id WHERE a.op = 'Send' AND b.op = 'Recv'"
-
-
-def lca_of_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(f1, f2, lca) for functions of which one sends and the other receives on a channel: the caller of both within seven
-    layers (a function calls itself in none) with the least sum of distances, then the smallest."""
-    up = _rename(_fn_edges(spark, sf_dir), src="dst", dst="src")
-    asked = keep(run_sql(spark, sf_dir, _SHARERS))
-    start = asked.select(F.col("f1").alias("root")).union(asked.select("f2")).distinct().select("root", F.col("root").alias("node"))
-    near = keep(_levels(start, up, 7).groupBy("root", "node").agg(F.min("depth").alias("depth")))
-    first, other = _rename(near, r1="root", n1="node", d1="depth"), _rename(near, r2="root", n2="node", d2="depth")
-    pairs = asked.join(first, F.col("f1") == F.col("r1")).join(other, (F.col("f2") == F.col("r2")) & (F.col("n1") == F.col("n2")))
-    return pairs.groupBy("f1", "f2").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("d"), "n1"))["n1"].alias("lca"))
-
-
 def cond_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(op_fn, wrapper): callers, up to three layers and not by go, of functions with a condition variable's operation."""
     calls = keep(frame(spark, sf_dir, "call_edge").where("site_kind <> 'Go'").select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct())
@@ -272,11 +257,14 @@ def prims_of_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semi_naive(own, lambda d: d.join(calls, F.col("fn_id") == F.col("u_callee")).select(F.col("u_caller").alias("fn_id"), "prim"), depth=7)
 
 
+_MADE = "SELECT CAST(floor(inst_id / 10) AS BIGINT) AS ch, min_by(fn_id, inst_id) AS make_fn FROM {inst} GROUP BY CAST(floor(inst_id / 10) AS BIGINT)"
+
+
 def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p1, p2): an operation that may unblock p1 comes after one that may block on p2 in some function."""
     seen: dict = {}
     seen["inst"] = keep(frame(spark, sf_dir, "inst"))
-    nodes = seen["inst"].select("fn_id", F.col("inst_id").alias("id"), "op", (F.col("inst_id") % 23).alias("ch"), "bb_id", "idx")
+    nodes = seen["inst"].select("fn_id", F.col("inst_id").alias("id"), "op", F.floor(F.col("inst_id") / 10).cast("long").alias("ch"), "bb_id", "idx")
     edges = frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
 
     def solve(g, s):
@@ -296,6 +284,16 @@ def circular_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dep.join(back, (F.col("p1") == F.col("b2")) & (F.col("p2") == F.col("b1")), "left_semi").where("p1 < p2")
 
 
+def same_parent_dep_prims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p1, p2, make_fn), p1 < p2: primitives that depend on each other and are made in one function: they make one task.
+
+    A primitive is made in the function of its first instruction.
+    """
+    made = keep(run_sql(spark, sf_dir, _MADE))
+    pairs = circular_dep(spark, sf_dir).join(_rename(made, c1="ch", make_fn="make_fn"), F.col("p1") == F.col("c1"))
+    return pairs.join(_rename(made, c2="ch", other_fn="make_fn"), (F.col("p2") == F.col("c2")) & (F.col("make_fn") == F.col("other_fn"))).select("p1", "p2", "make_fn")
+
+
 def scan_all_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id): package members (every seventh function) and every function that occurs in one already found."""
     edges = _fn_edges(spark, sf_dir)
@@ -416,7 +414,7 @@ _PTS = "pts AS (SELECT node, label FROM {obj_addr} UNION SELECT c.dst, p.label F
 _FWD = "fwd AS (SELECT CAST(s AS BIGINT) AS node FROM (VALUES (1), (2), (3)) AS t(s) UNION SELECT e.callee FROM fwd f JOIN {fn_edge} e ON f.node = e.caller)"
 _DIST = "walk AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.callee, w.depth + 1 FROM walk w JOIN {fn_edge} e ON w.node = e.caller WHERE w.depth < (SELECT n FROM {n_fn})), dist AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
 _DEP = """later AS (SELECT b.inst_id AS b, e.dst AS n FROM {inst} b JOIN {inst_edge} e ON b.inst_id = e.src WHERE b.op IN ('Send', 'Recv') UNION SELECT l.b, e.dst FROM later l JOIN {inst_edge} e ON l.n = e.src),
-dep AS (SELECT DISTINCT l.n % 23 AS p1, l.b % 23 AS p2 FROM later l JOIN {inst} i ON l.n = i.inst_id WHERE i.op IN ('Send', 'Recv', 'Unlock'))"""
+dep AS (SELECT DISTINCT CAST(floor(l.n / 10) AS BIGINT) AS p1, CAST(floor(l.b / 10) AS BIGINT) AS p2 FROM later l JOIN {inst} i ON l.n = i.inst_id WHERE i.op IN ('Send', 'Recv', 'Unlock'))"""
 SQL = {
     "cg_pointer": duck_sql(_INVOKED, _PTS),
     "points_to": duck_sql("SELECT node, label FROM pts", _PTS),
@@ -444,10 +442,6 @@ SQL = {
         "SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node",
         "t AS (SELECT DISTINCT caller AS root, caller AS node, CAST(0 AS BIGINT) AS depth FROM {fn_edge} UNION SELECT t.root, e.callee, t.depth + 1 FROM t JOIN {fn_edge} e ON t.node = e.caller WHERE t.depth < 3)",
     ),
-    "lca_of_functions": duck_sql(
-        "SELECT f1, f2, lca FROM (SELECT q.f1, q.f2, a.node AS lca, row_number() OVER (PARTITION BY q.f1, q.f2 ORDER BY a.depth + b.depth, a.node) AS nr FROM asked q JOIN near a ON q.f1 = a.root JOIN near b ON q.f2 = b.root AND a.node = b.node) WHERE nr = 1",
-        f"asked AS ({_SHARERS}), t AS (SELECT f1 AS root, f1 AS node, 0 AS depth FROM asked UNION SELECT f2, f2, 0 FROM asked UNION SELECT t.root, e.caller, t.depth + 1 FROM t JOIN {{fn_edge}} e ON t.node = e.callee WHERE t.depth < 7), near AS (SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node)",
-    ),
     "cond_wrappers": duck_sql(
         "SELECT DISTINCT root AS op_fn, node AS wrapper FROM t WHERE depth > 0",
         "t AS (SELECT DISTINCT fn_id AS root, fn_id AS node, 0 AS depth FROM {sync_op} WHERE callee = '(*sync.Cond).Wait' UNION SELECT t.root, e.caller, t.depth + 1 FROM t JOIN {call_edge} e ON t.node = e.callee AND e.site_kind <> 'Go' WHERE t.depth < 3)",
@@ -459,6 +453,10 @@ p AS (SELECT DISTINCT fn_id, prim, 0 AS depth FROM {inst} WHERE op IN ('Send', '
     ),
     "dependency_edges": duck_sql("SELECT p1, p2 FROM dep", _DEP),
     "circular_dep": duck_sql("SELECT a.p1, a.p2 FROM dep a JOIN dep b ON a.p1 = b.p2 AND a.p2 = b.p1 WHERE a.p1 < a.p2", _DEP),
+    "same_parent_dep_prims": duck_sql(
+        "SELECT a.p1, a.p2, m.make_fn FROM dep a JOIN dep b ON a.p1 = b.p2 AND a.p2 = b.p1 JOIN made m ON a.p1 = m.ch JOIN made o ON a.p2 = o.ch AND m.make_fn = o.make_fn WHERE a.p1 < a.p2",
+        _DEP + f", made AS ({_MADE})",
+    ),
     "scan_all_functions": duck_sql("SELECT n AS fn_id FROM r", "r AS (SELECT DISTINCT caller AS n FROM {fn_edge} WHERE caller % 7 = 0 UNION SELECT e.callee FROM r JOIN {fn_edge} e ON r.n = e.caller)"),
     "sync_struct_closure": duck_sql("SELECT n AS struct_name FROM r", f"f AS ({_FIELDS}), r AS (SELECT DISTINCT owner AS n FROM f WHERE is_sync UNION SELECT f.owner FROM r JOIN f ON r.n = f.inner_type)"),
     "type_methods": duck_sql(

@@ -133,9 +133,6 @@ FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op IN ('Lock
     "other_buffered_ops": ("J9", "SELECT a.inst_id, b.inst_id AS other_id FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.op = b.op AND a.inst_id <> b.inst_id"),
     "has_pair": ("J10", "SELECT s.inst_id FROM {chan_use} s WHERE s.op = 'Send' AND EXISTS (SELECT 1 FROM {chan_use} r WHERE r.op = 'Recv' AND r.prim = s.prim AND r.fn_id <> s.fn_id)"),
     "double_close_pairs": ("J11", "SELECT a.prim, a.inst_id AS close1, b.inst_id AS close2 FROM {chan_use} a JOIN {chan_use} b ON a.prim = b.prim AND a.inst_id < b.inst_id WHERE a.op = 'Unlock' AND b.op = 'Unlock'"),
-    "ops_to_lca_chains": ("J13", "SELECT c.site, c.caller AS lca_fn, i.inst_id AS op_id FROM {call_edge} c JOIN {inst} i ON c.callee = i.fn_id WHERE i.op = 'Lock' AND c.site_kind = 'Call'"),
-    "same_parent_dep_prims": ("J15", "SELECT a.prim AS prim1, b.prim AS prim2, a.fn_id FROM (SELECT DISTINCT fn_id, prim FROM {inst}) a JOIN (SELECT DISTINCT fn_id, prim FROM {inst}) b ON a.fn_id = b.fn_id AND a.prim < b.prim"),
-    "remove_visited_chains": ("J16", "SELECT DISTINCT c.caller, c.callee FROM {call_edge} c WHERE NOT EXISTS (SELECT 1 FROM {call_edge} v WHERE v.caller = c.caller AND v.callee = c.callee AND v.site_kind = 'Go')"),
     "call_insts_by_name": ("J17", "SELECT c.site, f.fn_id FROM {call_edge} c JOIN (SELECT DISTINCT fn_id, fn_id % 3 AS pkg FROM {inst}) f ON c.callee = f.fn_id AND c.caller % 3 = f.pkg"),
     "go_sites_of_fn": ("J18", "SELECT callee AS fn_id, site FROM {call_edge} WHERE site_kind = 'Go'"),
     "has_direct_call_sites": ("J18", "SELECT DISTINCT callee AS fn_id FROM {call_edge} WHERE site_kind = 'Call'"),
