@@ -135,23 +135,6 @@ def deferred_unlock_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_function(*_insts(spark, sf_dir), solve, "fn_id long, inst_id long, prim long")
 
 
-def forget_unlock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn_id, lock_id, prim): locks that may still be held after an exit instruction and that no deferred unlock releases.
-
-    How path conditions rule reports out is not modelled.
-    """
-
-    def solve(g, s):
-        held, op, prim = _held(g, s)
-        ends = {n for n, ms in s.items() if not ms}
-        deferred = {(prim[d], n) for d in g["id"][g["is_defer"] & (g["op"] == "Unlock")] for n in walk(s, [d])}
-        left = {(a, p) for a, p, n in held if n in ends and not (op[n] == "Unlock" and prim[n] == p) and (p, n) not in deferred}
-        left |= {(n, prim[n]) for n in ends if op[n] == "Lock" and (prim[n], n) not in deferred}
-        return sorted(left)
-
-    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, lock_id long, prim long")
-
-
 def lint_lostcancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, inst_id): what is taken at inst_id (a cancel function, a lock) and left unused on some way out of the function."""
 
@@ -306,12 +289,6 @@ UNION ALL SELECT fn_id, m1, m2 FROM other) GROUP BY m1, m2)""",
         "SELECT DISTINCT w.fn_id, w.at AS inst_id, w.prim FROM way w JOIN {inst} i ON w.at = i.inst_id WHERE i.op = 'Lock'",
         "way AS (SELECT d.fn_id, d.inst_id AS d, d.prim, e.dst AS at FROM {inst} d JOIN {inst_edge} e ON d.inst_id = e.src WHERE d.is_defer AND d.op = 'Unlock' UNION SELECT w.fn_id, w.d, w.prim, e.dst FROM way w JOIN {inst_edge} e ON w.at = e.src)",
     ),
-    "forget_unlock": duck_sql(
-        """SELECT DISTINCT fn_id, lock_id, prim FROM (SELECT h.fn_id, h.lock_id, h.prim, h.at FROM held h JOIN ends e ON h.at = e.inst_id JOIN {inst} i ON h.at = i.inst_id WHERE NOT (i.op = 'Unlock' AND i.prim = h.prim)
-UNION ALL SELECT i.fn_id, i.inst_id, i.prim, i.inst_id FROM {inst} i JOIN ends e ON i.inst_id = e.inst_id WHERE i.op = 'Lock') x
-WHERE NOT EXISTS (SELECT 1 FROM late l JOIN {inst} d ON l.d = d.inst_id WHERE d.op = 'Unlock' AND l.prim = x.prim AND l.at = x.at)""",
-        _HELD + ", " + _DEFERS + ", " + _ENDS,
-    ),
     "lint_lostcancel": duck_sql(
         """SELECT DISTINCT l.fn_id, l.inst_id FROM {inst} l JOIN ends e ON l.fn_id = e.fn_id LEFT JOIN held h ON h.lock_id = l.inst_id AND h.at = e.inst_id JOIN {inst} i ON e.inst_id = i.inst_id
 WHERE l.op = 'Lock' AND (h.lock_id IS NOT NULL OR e.inst_id = l.inst_id) AND NOT (i.op = 'Unlock' AND i.prim = l.prim)""",

@@ -199,18 +199,6 @@ coalesce(max(CASE WHEN op NOT IN ('Call', 'Unlock') THEN 1 ELSE 0 END) OVER (PAR
         "SELECT inst_id, CAST(coalesce(sum(CASE op WHEN 'Send' THEN 1 WHEN 'Recv' THEN -1 ELSE 0 END) OVER (PARTITION BY prim ORDER BY inst_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS level FROM {inst}",
     ),
     "node_lookup": ("E10", "SELECT i.inst_id, concat('n_', CAST(i.fn_id AS STRING), '_', CAST(i.idx AS STRING)) AS name FROM {inst} i JOIN {bb} b ON i.fn_id = b.fn_id AND i.bb_id = b.bb_id"),
-    "path_condition_key": (
-        "E15",
-        "SELECT fn_id, JOINED[cond| && |cond] AS path_key FROM (SELECT DISTINCT fn_id, CASE WHEN prim % 2 = 0 THEN concat('(!x', CAST(prim AS STRING), ' = y)') ELSE concat('x', CAST(prim AS STRING), ' = y') END AS cond FROM {inst} WHERE op = 'Recv') GROUP BY fn_id",
-    ),
-    "sink_smt2_text": (
-        "K4/E12",
-        "SELECT fn_id, concat(JOINED[decl| |prim], ' (assert (not Final)) (check-sat)') AS smt FROM (SELECT DISTINCT fn_id, prim, concat('(declare-fun x', CAST(prim AS STRING), ' () Int)') AS decl FROM {inst}) GROUP BY fn_id",
-    ),
-    "smt_implication_of_union": (
-        "E13",
-        "SELECT a.fn_id AS fn1, b.fn_id AS fn2, concat('(assert (=> F', CAST(a.fn_id AS STRING), ' F', CAST(b.fn_id AS STRING), '))(assert (=> F', CAST(a.fn_id AS STRING), ' F', CAST(b.fn_id AS STRING), '))') AS text FROM {path} a JOIN {path} b ON b.fn_id = a.fn_id + 1",
-    ),
     # --- checkers ------------------------------------------------------------------------------------------------------------------------
     "fatal_in_goroutine": (
         "Q7",
@@ -299,10 +287,6 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "lint_unusedwrite": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Store%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx AND u.callee LIKE '%Load%')"),
     "lint_shadow": ("2.14", "SELECT a.inst_id AS outer_id, b.inst_id AS inner_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'"),
     "is_mutex_make": ("P6", "SELECT p_partkey AS inst_id, CASE WHEN p_size % 2 = 0 THEN 'sync.Mutex' ELSE 'sync.RWMutex' END AS made FROM {part} WHERE p_type LIKE 'PROMO%'"),
-    "bb_precondition_smt": (
-        "E14",
-        "SELECT fn_id, bb_id, concat('(assert (and ', JOINED[cond| |idx], '))') AS text FROM (SELECT fn_id, bb_id, idx, concat(CASE WHEN pos % 2 = 0 THEN '(not c' ELSE '(c' END, CAST(prim AS STRING), ')') AS cond FROM {inst} WHERE op IN ('Recv', 'Call')) GROUP BY fn_id, bb_id",
-    ),
     "patch_2": ("Q13", "SELECT doc_id, line_no, concat('defer func() {{ ', text, ' }}()') AS patched FROM {doc_line} WHERE length(text) > 0"),
     "patch_3": (
         "Q13",

@@ -20,6 +20,7 @@ channel    channels and how many values they hold (-999: not known before the pr
 chan_op    sends, receives and closes of channels
 task_chan  channels that one question takes together: two that depend on each other; those of unknown buffer are left out
 go_task    go statements that start a function with operations of a task
+branch     blocks that end in a comparison of x with y, and where they go then
 src_line   lines of pages
 """
 
@@ -179,6 +180,9 @@ FACTS |= {
     "canon": "SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_linenumber % 2 = 0 THEN '<' ELSE '==' END, ' ', CAST(least(l_suppkey % 4, l_partkey % 4) AS STRING), ' ', CAST(greatest(l_suppkey % 4, l_partkey % 4) AS STRING)) AS form FROM {lineitem}",
     "one_pred": "SELECT fn_id, dst_bb, min(src_bb) AS src_bb FROM {bb_edge} GROUP BY fn_id, dst_bb HAVING count(*) = 1",
     "if_cond": "SELECT e.fn_id, e.bb_id, i.prim AS cond FROM {bb_ends} e JOIN {inst} i ON e.last_inst = i.inst_id JOIN (SELECT fn_id, src_bb FROM {bb_edge} GROUP BY fn_id, src_bb HAVING count(*) > 1) t ON e.fn_id = t.fn_id AND e.bb_id = t.src_bb",
+    "branch": """SELECT e.fn_id, e.bb_id, e.bb_id + 1 AS true_bb, e.bb_id + 2 AS false_bb, concat('v', CAST(e.last_inst % 3 AS STRING)) AS x,
+CASE e.last_inst % 5 WHEN 0 THEN '<' WHEN 1 THEN '<=' WHEN 2 THEN '>' WHEN 3 THEN '>=' ELSE '==' END AS op, CAST(e.last_inst % 4 AS STRING) AS y
+FROM {bb_ends} e JOIN {bb} b ON e.fn_id = b.fn_id AND e.bb_id = b.bb_id WHERE e.bb_id % 3 = 0 AND e.bb_id + 2 <= b.last_bb""",
     "pts_text": "SELECT node, JOINED[label|,|label] AS labels FROM {obj_addr} GROUP BY node HAVING count(*) > 1",
     "chan_use": "SELECT inst_id, fn_id, op, CAST(floor(inst_id / 8) AS BIGINT) AS prim FROM {inst}",
     "struct_sync": "SELECT DISTINCT p_brand AS struct_name FROM {part} WHERE p_type LIKE 'PROMO%' AND p_size > 45",
