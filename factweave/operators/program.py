@@ -6,6 +6,7 @@ bounds the depth. Shared sides of a join are small static relations; Spark broad
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,21 +87,6 @@ def guru_pointsto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_set("label")), lambda x: x.cast("string")), ",").alias("labels"))
 
 
-def type_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, type_id): types of objects that flow to each node along copies. Types travel instead of objects, so a set is no longer
-    than the program has types."""
-    seen: dict = {}
-    copy = keep(_rename(frame(spark, sf_dir, "obj_copy", seen), c_src="src", c_dst="dst"))
-    start = run_sql(spark, sf_dir, "SELECT DISTINCT a.node, t.type_id FROM {obj_addr} a JOIN {obj_type} t ON a.label = t.label", seen)
-    return semi_naive(start, lambda d: d.join(copy, F.col("node") == F.col("c_src")).select(F.col("c_dst").alias("node"), "type_id"))
-
-
-def callgraph_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(algo, line): the call graph by each algorithm (static calls; interface calls by class hierarchy or by points-to sets beside
-    them) in digraph's notation, without calls of function 0, the root."""
-    return run_sql(spark, sf_dir, _CLI, pts=points_to(spark, sf_dir))
-
-
 def _fn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(_rename(frame(spark, sf_dir, "fn_edge"), src="caller", dst="callee"))
 
@@ -126,21 +112,27 @@ def digraph_allpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digraph_sccs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, scc): the smallest function that a function reaches and is reached from.
+    """(node, scc): the smallest function that a function reaches and is reached from."""
+    return components(_fn_edges(spark, sf_dir))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, scc) for edges (src, dst): the smallest node that a node reaches and is reached from.
 
     Forward-backward colouring: every round spreads the smallest node forwards to all that it reaches, then back from each
     colour's own node inside the colour, which is one component a colour; nodes that nothing enters or leaves are
-    components at once. Rows are narrow and linear in nodes and edges, whatever is reachable from what.
+    components at once. Rows are narrow and linear in nodes and edges, whatever is reachable from what, and components
+    that are found are written once.
     """
-    edges = keep(_fn_edges(spark, sf_dir).where("src is not null and dst is not null").distinct())
+    edges = keep(edges.where("src is not null and dst is not null").distinct())
     nodes = keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    done = nodes.limit(0).select("node", F.col("node").alias("scc"))
+    done = [nodes.limit(0).select("node", F.col("node").alias("scc"))]
     while not nodes.isEmpty():
         # Trim: a node without an edge on one side is alone.
         inner = edges.where("src <> dst")
         both = inner.select(F.col("src").alias("t_node")).intersect(inner.select("dst"))
         alone = keep(nodes.join(both, F.col("node") == F.col("t_node"), "left_anti"))
-        done = keep(done.union(alone.select("node", F.col("node").alias("scc"))))
+        done.append(alone.select("node", F.col("node").alias("scc")))
         nodes = keep(nodes.join(_rename(alone, a_node="node"), F.col("node") == F.col("a_node"), "left_anti"))
         colour = _spread(nodes.select("node", F.col("node").alias("colour")), _within(edges, nodes))
         dyed = _rename(colour, s_node="node", s_colour="colour")
@@ -148,10 +140,10 @@ def digraph_sccs(spark: SparkSession, sf_dir: str) -> DataFrame:
         same = keep(edges.join(dyed, F.col("src") == F.col("s_node")).join(dyed2, F.col("dst") == F.col("d_node")).where("s_colour = d_colour").select("src", "dst"))
         heads = colour.where("node = colour").select(F.col("colour").alias("root"), "node")
         found = keep(reach(heads, _rename(same, src="dst", dst="src")).select("node", F.col("root").alias("scc")))
-        done = keep(done.union(found))
+        done.append(found)
         nodes = keep(nodes.join(_rename(found, f_node="node"), F.col("node") == F.col("f_node"), "left_anti"))
         edges = keep(_within(same, nodes))
-    return done
+    return reduce(DataFrame.union, done)
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,30 +163,6 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
-def strata(rules: list[tuple[str, list[tuple[str, bool]]]]) -> list[list[str]]:
-    """Relations in the order in which they can be saturated, those that hang on each other together, sorted.
-
-    A rule is (head, [(relation, negated)]). ValueError if a relation hangs on its own negation.
-    """
-    uses: dict = {}
-    for head, body in rules:
-        uses.setdefault(head, set()).update(body)
-        for r, _ in body:
-            uses.setdefault(r, set())
-    on = {r: after({h: [x for x, _ in b] for h, b in uses.items()}, r) for r in uses}
-    for head, body in uses.items():
-        if any(negated and (head in on[r] or head == r) for r, negated in body):
-            raise ValueError(f"{head} hangs on a negation of itself")
-    groups = {tuple(sorted({r} | {x for x in on[r] if r in on[x]})) for r in uses}
-    below = lambda g: {x for r in g for x in on[r]} - set(g)
-    out: list[list[str]] = []
-    while groups:
-        ready = sorted(g for g in groups if below(g) <= {r for s in out for r in s})
-        out += [list(g) for g in ready]
-        groups -= set(ready)
-    return out
-
-
 def cg_path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, depth): the length of a shortest call path from function 1, to every function that it reaches."""
     edges = _rename(_fn_edges(spark, sf_dir), e_src="src", e_dst="dst")
@@ -378,11 +346,6 @@ def struct_field_race(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DYNAMIC = "SELECT p.node, t.type_id, count(*) AS n_labels FROM {pts} p JOIN {obj_type} t ON p.label = t.label GROUP BY p.node, t.type_id"
-_CLI = """SELECT DISTINCT algo, concat('"fn', CAST(caller AS STRING), '" "fn', CAST(callee AS STRING), '"') AS line FROM (
-SELECT a.algo, e.caller, e.callee FROM {fn_edge} e CROSS JOIN (VALUES ('static'), ('cha'), ('pta')) AS a(algo)
-UNION ALL SELECT 'cha', i.caller, m.fn_id FROM {obj_invoke} i JOIN {method_impl} m ON i.method = m.method
-UNION ALL SELECT 'pta', i.caller, m.fn_id FROM {obj_invoke} i JOIN {pts} p ON i.recv = p.node JOIN {obj_type} t ON p.label = t.label
-JOIN {method_impl} m ON t.type_id = m.type_id AND i.method = m.method) WHERE callee <> 0"""
 _INVOKED = """SELECT DISTINCT i.caller, i.site, m.fn_id AS callee FROM {obj_invoke} i JOIN {pts} p ON i.recv = p.node JOIN {obj_type} t ON p.label = t.label
 JOIN {method_impl} m ON t.type_id = m.type_id AND i.method = m.method"""
 _SOLE = "(" + " OR ".join(f"lower(name) LIKE '%{word}%'" for word in SOLE_OWNER) + ")"
@@ -419,9 +382,7 @@ SQL = {
     "cg_pointer": duck_sql(_INVOKED, _PTS),
     "points_to": duck_sql("SELECT node, label FROM pts", _PTS),
     "dynamic_types": duck_sql(_DYNAMIC, _PTS),
-    "callgraph_cli": duck_sql(_CLI, _PTS),
     "guru_pointsto": duck_sql("SELECT node, JOINED[label|,|label] AS labels FROM pts GROUP BY node", _PTS),
-    "type_propagation": duck_sql("SELECT DISTINCT p.node, t.type_id FROM pts p JOIN {obj_type} t ON p.label = t.label", _PTS),
     "digraph_forward": duck_sql("SELECT node FROM fwd", _FWD),
     "digraph_reverse": duck_sql("SELECT node FROM fwd", _FWD.replace("(1), (2), (3)", "(10), (17), (24)").replace("SELECT e.callee", "SELECT e.caller").replace("f.node = e.caller", "f.node = e.callee")),
     "digraph_allpaths": duck_sql(

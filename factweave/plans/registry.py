@@ -6,12 +6,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cfg, chains, conditions, lint, locks, paths, program, syncgraph
+from ..operators import callgraph, cfg, chains, conditions, lint, locks, paths, program, syncgraph
 from ..sources import facts
 from .shared import SHARED
 
 
-OPERATORS = (cfg, locks, program, paths, lint, syncgraph, chains, conditions)
+OPERATORS = (cfg, locks, program, paths, lint, syncgraph, chains, conditions, callgraph)
 
 
 def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ chan_op    sends, receives and closes of channels
 task_chan  channels that one question takes together: two that depend on each other; those of unknown buffer are left out
 go_task    go statements that start a function with operations of a task
 branch     blocks that end in a comparison of x with y, and where they go then
+ctx_fn / ctx_node   functions, whether they are analysed apart for each call, and their nodes
+ctx_copy   copies inside functions
 src_line   lines of pages
 """
 
@@ -183,6 +185,9 @@ FACTS |= {
     "branch": """SELECT e.fn_id, e.bb_id, e.bb_id + 1 AS true_bb, e.bb_id + 2 AS false_bb, concat('v', CAST(e.last_inst % 3 AS STRING)) AS x,
 CASE e.last_inst % 5 WHEN 0 THEN '<' WHEN 1 THEN '<=' WHEN 2 THEN '>' WHEN 3 THEN '>=' ELSE '==' END AS op, CAST(e.last_inst % 4 AS STRING) AS y
 FROM {bb_ends} e JOIN {bb} b ON e.fn_id = b.fn_id AND e.bb_id = b.bb_id WHERE e.bb_id % 3 = 0 AND e.bb_id + 2 <= b.last_bb""",
+    "ctx_fn": "SELECT DISTINCT f.fn_id, n.n_fn, f.fn_id % 3 = 0 AS apart FROM (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS fn_id FROM {part}) f CROSS JOIN (SELECT count(DISTINCT CAST(floor(p_partkey / 16) AS BIGINT)) AS n_fn FROM {part}) n",
+    "ctx_copy": "SELECT DISTINCT src, CAST(floor(src / 16) AS BIGINT) * 16 + dst % 16 AS dst FROM {obj_pair} WHERE src % 16 <> dst % 16 AND src % 3 = 0",
+    "ctx_node": "SELECT f.fn_id * 16 + k.nr AS node, f.fn_id, f.apart FROM {ctx_fn} f CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) AS k(nr)",
     "pts_text": "SELECT node, JOINED[label|,|label] AS labels FROM {obj_addr} GROUP BY node HAVING count(*) > 1",
     "chan_use": "SELECT inst_id, fn_id, op, CAST(floor(inst_id / 8) AS BIGINT) AS prim FROM {inst}",
     "struct_sync": "SELECT DISTINCT p_brand AS struct_name FROM {part} WHERE p_type LIKE 'PROMO%' AND p_size > 45",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pytest
 
-from factweave.operators import cfg, locks, program
+from factweave.operators import cfg, locks
 from factweave.plans import registry
 
 QUERIES = registry.queries()
@@ -163,29 +163,3 @@ def test_lost_cancel(spark, tmp_path):
         edges=[(1, 0, 1), (1, 0, 2)],
     )
     assert rows(spark, "lint_lostcancel", at) == {(1, 10)}
-
-
-def test_rules_in_strata():
-    assert program.strata([("p", [("q", False)]), ("q", [("p", False), ("r", True)]), ("r", [])]) == [["r"], ["p", "q"]]
-    with pytest.raises(ValueError, match="negation"):
-        program.strata([("p", [("q", True)]), ("q", [("p", False)])])
-
-
-def test_engine_saturates_rules(spark):
-    from factweave.plans.engine import Engine
-
-    e = Engine(spark)
-    e.add("edge", spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "a long, b long"))
-    e.rule("path(X, Y)", "edge(X, Y)")
-    e.rule("path(X, Z)", "path(X, Y)", "edge(Y, Z)")
-    e.rule("node(X)", "edge(X, Y)")
-    e.rule("node(Y)", "edge(X, Y)")
-    e.rule("apart(X, Y)", "node(X)", "node(Y)", "not path(X, Y)")
-    close = {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(5, 6)}
-    assert {tuple(r) for r in e.query("path").collect()} == close
-    assert {tuple(r) for r in e.query("apart").collect()} == {(a, b) for a in (1, 2, 3, 5, 6) for b in (1, 2, 3, 5, 6)} - close
-    assert e.contains("path", 1, 1) and not e.contains("path", 6, 5)
-    e.add("edge", spark.createDataFrame([(6, 5)], "a long, b long"))
-    assert e.contains("path", 5, 5)
-    with pytest.raises(ValueError, match="bound"):
-        e.rule("odd(X, Y)", "edge(X, X)")
