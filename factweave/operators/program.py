@@ -287,24 +287,6 @@ def type_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semi_naive(own, lambda d: d.join(e, F.col("type_name") == F.col("f_inner")).select(F.col("f_owner").alias("type_name"), "method"))
 
 
-_CHAIN = "SELECT conv_id * 1000 + turn AS node, CASE WHEN turn = 0 THEN conv_id * 1000 ELSE conv_id * 1000 + turn - 1 END AS up FROM (SELECT DISTINCT conv_id, turn FROM {conversations})"
-
-
-def get_base_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, base): the root of each chain of field and pointer steps, by pointer jumping (the steps double each round)."""
-    now = keep(run_sql(spark, sf_dir, _CHAIN))
-    while True:
-        jump = _rename(now, j_node="node", j_up="up")
-        new = keep(now.join(jump, F.col("up") == F.col("j_node"), "left").select("node", F.coalesce("j_up", "up").alias("up")))
-        old = _rename(now, o_node="node", o_up="up")
-        if new.join(old, (F.col("node") == F.col("o_node")) & (F.col("up") == F.col("o_up")), "left_anti").isEmpty():
-            return new.select("node", F.col("up").alias("base"))
-        now = new
-
-
-def find_primitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, prim): where a value's chain of operands ends; primitives are the chains' roots."""
-    return get_base_type(spark, sf_dir).select("node", (F.col("base") % 97).alias("prim"))
 
 
 def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,8 +406,6 @@ p AS (SELECT DISTINCT fn_id, prim, 0 AS depth FROM {inst} WHERE op IN ('Send', '
         "SELECT type_name, method FROM r",
         f"f AS ({_FIELDS}), r AS (SELECT DISTINCT p_brand AS type_name, concat(p_brand, '.', p_type) AS method FROM {{part}} UNION SELECT f.owner, r.method FROM r JOIN f ON r.type_name = f.inner_type)",
     ),
-    "get_base_type": duck_sql("SELECT c.node, c.base FROM r c WHERE c.done", f"f AS ({_CHAIN}), r AS (SELECT node, up AS base, node = up AS done FROM f UNION SELECT r.node, f.up, f.up = r.base FROM r JOIN f ON r.base = f.node)"),
-    "find_primitive": duck_sql("SELECT DISTINCT node, base % 97 AS prim FROM r WHERE done", f"f AS ({_CHAIN}), r AS (SELECT node, up AS base, node = up AS done FROM f UNION SELECT r.node, f.up, f.up = r.base FROM r JOIN f ON r.base = f.node)"),
     "package_dependencies": duck_sql(
         "SELECT pkg, max(depth) AS depth FROM r GROUP BY pkg",
         """e AS (SELECT DISTINCT l_partkey % 60 AS src, l_partkey % 60 + 1 + l_suppkey % 3 AS dst FROM {lineitem} WHERE l_linenumber = 1),

@@ -84,10 +84,6 @@ WHEN 'WaitGroup_Add' THEN 'W_Add' WHEN 'WaitGroup_Done' THEN 'W_Done' ELSE 'W_Wa
 (SELECT p_partkey, replace(replace(CASE p_partkey % 6 WHEN 0 THEN concat('*sync.', p_type) WHEN 1 THEN concat('chan ', p_name) WHEN 2 THEN concat('[]<-chan ', p_name) WHEN 3 THEN concat('[]*sync.', p_brand) ELSE p_name END, '*', ''), '[]', '') AS t FROM {part})""",
     ),
     "side_effect_inst": ("P29", "SELECT inst_id, callee FROM {sync_op} WHERE callee LIKE '%Error%' OR callee LIKE '%error%' OR callee LIKE '%Log%' OR callee LIKE '%(*sync/atomic.Value)%' OR callee LIKE '%Leave%'"),
-    "value_equal_limited": (
-        "P30",
-        """SELECT a.l_orderkey, a.l_linenumber AS left_line, b.l_linenumber AS right_line FROM {canon} a JOIN {canon} b ON a.l_orderkey = b.l_orderkey AND a.form = b.form AND a.l_linenumber < b.l_linenumber""",
-    ),
     "new_object_fn": ("P32", "SELECT p_partkey AS fn_id, lower(name) = concat('new', lower(type_name)) AS is_new, p_type LIKE 'PROMO%' AS returns_channel FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 2) AS type_name, concat(CASE p_partkey % 3 WHEN 0 THEN 'New' WHEN 1 THEN 'new' ELSE 'make' END, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END) AS name FROM {part})"),
     # --- control flow ----------------------------------------------------------------------------------------------------
     "prev_insts": ("C1", "SELECT dst AS inst_id, src AS prev_id FROM {inst_edge}"),
@@ -224,7 +220,6 @@ WHERE last_idx = last_recv AND line IS NOT NULL GROUP BY fn_id, prim""",
         """SELECT s.fn_id, s.prim, min(s.line) + 1 AS make_line FROM {inst} s WHERE s.op = 'Send' AND s.line IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {inst} c WHERE c.fn_id = s.fn_id AND c.prim = s.prim AND c.idx > s.idx AND c.op = 'Call') GROUP BY s.fn_id, s.prim""",
     ),
     "report_direct_usage": ("Q12", "SELECT prim AS ch_id, fn_id, concat('channel ', CAST(prim AS STRING), ' used at ', JOINED[line|,|idx]) AS report FROM {inst} WHERE op IN ('Send', 'Recv') AND line IS NOT NULL GROUP BY prim, fn_id"),
-    "patch_1": ("Q13", "SELECT doc_id, line_no, replace(text, 'the ', 'the 1 ') AS patched FROM {doc_line} WHERE text LIKE '%the %'"),
     # --- relational engine ------------------------------------------------------------------------------------------------------------------
     "rel_scan": ("R1", "SELECT src_bb, dst_bb, fn_id FROM {bb_edge}"),
     "rel_contains_fact": ("R2", "SELECT fn_id, src_bb, dst_bb FROM {bb_edge} WHERE dst_bb < src_bb UNION SELECT 0, 0, 0"),
@@ -287,11 +282,6 @@ GROUP BY t.fn_id, q.fn_id, s.n HAVING count(*) = s.n""",
     "lint_unusedwrite": ("2.14", "SELECT s.inst_id FROM {sync_op} s WHERE s.callee LIKE '%Store%' AND NOT EXISTS (SELECT 1 FROM {sync_op} u WHERE u.fn_id = s.fn_id AND u.value_id = s.value_id AND u.idx > s.idx AND u.callee LIKE '%Load%')"),
     "lint_shadow": ("2.14", "SELECT a.inst_id AS outer_id, b.inst_id AS inner_id FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'"),
     "is_mutex_make": ("P6", "SELECT p_partkey AS inst_id, CASE WHEN p_size % 2 = 0 THEN 'sync.Mutex' ELSE 'sync.RWMutex' END AS made FROM {part} WHERE p_type LIKE 'PROMO%'"),
-    "patch_2": ("Q13", "SELECT doc_id, line_no, concat('defer func() {{ ', text, ' }}()') AS patched FROM {doc_line} WHERE length(text) > 0"),
-    "patch_3": (
-        "Q13",
-        "SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN concat(text, '; stop := make(chan struct{{}}); defer close(stop)') ELSE concat('select {{ case ', text, ': case <-stop: }}') END AS patched FROM {doc_line}",
-    ),
     "rel_explanations": ("R17", "SELECT a.fn_id, a.src_bb AS a, b.dst_bb AS c, JOINED[a.dst_bb|,|a.dst_bb] AS proof FROM {bb_edge} a JOIN {bb_edge} b ON a.fn_id = b.fn_id AND a.dst_bb = b.src_bb GROUP BY a.fn_id, a.src_bb, b.dst_bb"),
     "guru_whicherrs": ("V7", "SELECT DISTINCT i.fn_id, o.label AS err, CASE WHEN o.label % 3 = 0 THEN 'global' WHEN o.label % 3 = 1 THEN 'constant' ELSE 'type' END AS kind FROM {inst} i JOIN {obj_addr} o ON i.inst_id % 200 = o.node WHERE i.op = 'Call' AND o.label % 4 <> 0"),
     "guru_what": ("V9", "SELECT i.inst_id, concat('fn', CAST(i.fn_id AS STRING), '/bb', CAST(i.bb_id AS STRING), '/', i.op) AS enclosing, i.op IN ('Send', 'Recv') AS peers_apply FROM {inst} i"),

@@ -23,6 +23,8 @@ go_task    go statements that start a function with operations of a task
 branch     blocks that end in a comparison of x with y, and where they go then
 ctx_fn / ctx_node   functions, whether they are analysed apart for each call, and their nodes
 ctx_copy   copies inside functions
+value / operand   what instructions compute, and from what
+go_line / fix   lines of source files, and what to do to them
 src_line   lines of pages
 """
 
@@ -179,7 +181,6 @@ FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
 }
 # Facts that only a few queries use.
 FACTS |= {
-    "canon": "SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_linenumber % 2 = 0 THEN '<' ELSE '==' END, ' ', CAST(least(l_suppkey % 4, l_partkey % 4) AS STRING), ' ', CAST(greatest(l_suppkey % 4, l_partkey % 4) AS STRING)) AS form FROM {lineitem}",
     "one_pred": "SELECT fn_id, dst_bb, min(src_bb) AS src_bb FROM {bb_edge} GROUP BY fn_id, dst_bb HAVING count(*) = 1",
     "if_cond": "SELECT e.fn_id, e.bb_id, i.prim AS cond FROM {bb_ends} e JOIN {inst} i ON e.last_inst = i.inst_id JOIN (SELECT fn_id, src_bb FROM {bb_edge} GROUP BY fn_id, src_bb HAVING count(*) > 1) t ON e.fn_id = t.fn_id AND e.bb_id = t.src_bb",
     "branch": """SELECT e.fn_id, e.bb_id, e.bb_id + 1 AS true_bb, e.bb_id + 2 AS false_bb, concat('v', CAST(e.last_inst % 3 AS STRING)) AS x,
@@ -188,6 +189,17 @@ FROM {bb_ends} e JOIN {bb} b ON e.fn_id = b.fn_id AND e.bb_id = b.bb_id WHERE e.
     "ctx_fn": "SELECT DISTINCT f.fn_id, n.n_fn, f.fn_id % 3 = 0 AS apart FROM (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS fn_id FROM {part}) f CROSS JOIN (SELECT count(DISTINCT CAST(floor(p_partkey / 16) AS BIGINT)) AS n_fn FROM {part}) n",
     "ctx_copy": "SELECT DISTINCT src, CAST(floor(src / 16) AS BIGINT) * 16 + dst % 16 AS dst FROM {obj_pair} WHERE src % 16 <> dst % 16 AND src % 3 = 0",
     "ctx_node": "SELECT f.fn_id * 16 + k.nr AS node, f.fn_id, f.apart FROM {ctx_fn} f CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) AS k(nr)",
+    "value": """SELECT inst_id AS value_id, fn_id, idx, kind, concat('t', CAST(inst_id % 3 AS STRING)) AS type, CASE kind WHEN 'Const' THEN CAST(inst_id % 4 AS STRING) WHEN 'Global' THEN concat('G', CAST(inst_id % 5 AS STRING)) WHEN 'UnOp' THEN '*'
+WHEN 'FieldAddr' THEN concat('f', CAST(inst_id % 2 AS STRING)) WHEN 'Call' THEN concat('g', CAST(inst_id % 2 AS STRING)) WHEN 'BinOp' THEN CASE inst_id % 7 WHEN 0 THEN '==' WHEN 1 THEN '!=' WHEN 2 THEN '<' WHEN 3 THEN '>' WHEN 4 THEN '<=' WHEN 5 THEN '>=' ELSE '+' END
+ELSE concat('v', CAST(inst_id AS STRING)) END AS text
+FROM (SELECT inst_id, fn_id, idx, CASE WHEN idx = 0 THEN 'Alloc' ELSE CASE inst_id % 8 WHEN 0 THEN 'Const' WHEN 1 THEN 'Alloc' WHEN 2 THEN 'BinOp' WHEN 3 THEN 'Call' WHEN 4 THEN 'UnOp' WHEN 5 THEN 'FieldAddr' WHEN 6 THEN 'Global' ELSE 'Phi' END END AS kind FROM {inst})""",
+    "operand": """SELECT v.value_id, 0 AS pos, a.value_id AS arg_id FROM {value} v JOIN {value} a ON v.fn_id = a.fn_id AND a.idx = CAST(floor(v.idx / 2) AS BIGINT) WHERE v.kind IN ('BinOp', 'Call', 'UnOp', 'FieldAddr', 'Phi')
+UNION ALL SELECT v.value_id, 1, a.value_id FROM {value} v JOIN {value} a ON v.fn_id = a.fn_id AND a.idx = CAST(floor(v.idx / 3) AS BIGINT) WHERE v.kind IN ('BinOp', 'Phi')""",
+    "go_line": """SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS file, p_partkey % 20 + 1 AS line, p_partkey % 8 AS form, CASE p_partkey % 8 WHEN 0 THEN concat(name, ' := make(chan struct{{}})') WHEN 1 THEN concat(name, ' := make(chan int, 3)')
+WHEN 2 THEN concat('use(', name, ', make(chan []string), "make(x)")') WHEN 3 THEN concat('// make(chan int) for ', name) WHEN 4 THEN concat(name, ' <- struct{{}}{{}}') WHEN 5 THEN concat('<-', name) WHEN 6 THEN 'return' ELSE 'go func() {{ use(make(chan map[string](chan int))) }}()' END AS text
+FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS name FROM {part})""",
+    "fix": """SELECT l.file, l.file % 3 + 1 AS strategy, m.make_line, l.line AS op_line FROM {go_line} l JOIN (SELECT file, min(line) AS make_line FROM {go_line} WHERE form IN (0, 1) GROUP BY file) m ON l.file = m.file
+WHERE (l.file % 3 = 0 AND l.form IN (0, 1, 2, 3, 7)) OR (l.file % 3 > 0 AND l.form = 4)""",
     "pts_text": "SELECT node, JOINED[label|,|label] AS labels FROM {obj_addr} GROUP BY node HAVING count(*) > 1",
     "chan_use": "SELECT inst_id, fn_id, op, CAST(floor(inst_id / 8) AS BIGINT) AS prim FROM {inst}",
     "struct_sync": "SELECT DISTINCT p_brand AS struct_name FROM {part} WHERE p_type LIKE 'PROMO%' AND p_size > 45",
