@@ -25,11 +25,18 @@ def _insts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
 
 
+def _ops(g) -> tuple[dict, dict, list]:
+    """Operation and lock of each instruction, and the instructions that lock. A deferred lock or unlock is of another mutex, which no
+    other operation names: it neither takes nor releases where it is reached."""
+    op = {n: f"Deferred{o}" if late and o in ("Lock", "Unlock") else o for n, o, late in zip(g["id"], g["op"], g["is_defer"], strict=True)}
+    return op, dict(zip(g["id"], g["prim"], strict=True)), [n for n in g["id"] if op[n] == "Lock"]
+
+
 def _held(g, succ):
     """(lock operation, its lock, instruction) for each instruction that the lock may be held before."""
-    op, prim = dict(zip(g["id"], g["op"], strict=True)), dict(zip(g["id"], g["prim"], strict=True))
+    op, prim, locks = _ops(g)
     out = []
-    for lock in g["id"][g["op"] == "Lock"]:
+    for lock in locks:
         p = prim[lock]
         out += [(lock, p, n) for n in after(succ, lock, lambda n, p=p: op[n] == "Unlock" and prim[n] == p)]
     return out, op, prim
@@ -40,6 +47,25 @@ def held_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_function(*_insts(spark, sf_dir), lambda g, s: _held(g, s)[0], "fn_id long, lock_id long, prim long, inst_id long")
 
 
+def held_at_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fn_id, site, prim): locks that may be held at a call, from one pass of sets over each function."""
+
+    def solve(g, s):
+        op, prim, _ = _ops(g)
+        before: dict = {n: set() for n in s}
+        todo = list(s)
+        while todo:
+            n = todo.pop()
+            left = before[n] | {prim[n]} if op[n] == "Lock" else before[n] - {prim[n]} if op[n] == "Unlock" else before[n]
+            for m in s[n]:
+                if not left <= before[m]:
+                    before[m] = before[m] | left
+                    todo.append(m)
+        return [(n, p) for n in s if op[n] == "Call" for p in sorted(before[n])]
+
+    return per_function(*_insts(spark, sf_dir), solve, "fn_id long, site long, prim long")
+
+
 def live_locks_double(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, lock1, lock2): lock2 takes what lock1 may still hold."""
 
@@ -64,13 +90,7 @@ def live_locks_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, inst_id, name): names of the locks that may be held before an instruction; deferred ones do not count."""
 
     def solve(g, s):
-        op, prim, late = (dict(zip(g["id"], g[c], strict=True)) for c in ("op", "prim", "is_defer"))
-        out = set()
-        for lock in g["id"][(g["op"] == "Lock") & ~g["is_defer"]]:
-            p = prim[lock]
-            kind = "_mutex" if p % 2 else "_rwmutexW"
-            out |= {(n, f"m{p}{kind}") for n in after(s, lock, lambda n, p=p: op[n] == "Unlock" and prim[n] == p and not late[n])}
-        return sorted(out)
+        return sorted({(n, f"m{p}{'_mutex' if p % 2 else '_rwmutexW'}") for _, p, n in _held(g, s)[0]})
 
     return per_function(*_insts(spark, sf_dir), solve, "fn_id long, inst_id long, name string")
 
@@ -89,14 +109,15 @@ def lock_order_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def double_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lock1, lock2, depth, n_pairs): one report for each first lock that is taken again while it may be held, here or along calls.
+    """(lock1, lock2, depth, n_pairs, chain): one report for each first lock that is taken again while it may be held, here or along calls.
 
-    The report names the second lock that is the fewest calls away (depth; 0: the same function), the smallest of these.
+    The report names the second lock that is the fewest calls away (depth; 0: the same function), the smallest of these, and
+    the functions on the way from the one to the other: the smallest of the shortest chains.
     """
-    here = live_locks_double(spark, sf_dir).select("lock1", "lock2", F.lit(0).cast("long").alias("depth"))
-    pairs = here.unionByName(_double_pairs(*_contexts(spark, sf_dir))).groupBy("lock1", "lock2").agg(F.min("depth").alias("depth"))
-    report = pairs.groupBy("lock1").agg(F.min(F.struct("depth", "lock2")).alias("best"), F.count(F.lit(1)).alias("n_pairs"))
-    return report.select("lock1", "best.lock2", "best.depth", "n_pairs")
+    here = live_locks_double(spark, sf_dir).select("lock1", "lock2", F.lit(0).cast("long").alias("depth"), F.array("fn_id").alias("chain"))
+    pairs = here.unionByName(_double_pairs(*_contexts(spark, sf_dir))).groupBy("lock1", "lock2").agg(F.min(F.struct("depth", "chain")).alias("near"))
+    report = pairs.groupBy("lock1").agg(F.min(F.struct("near.depth", "lock2", "near.chain")).alias("best"), F.count(F.lit(1)).alias("n_pairs"))
+    return report.select("lock1", "best.lock2", "best.depth", "n_pairs", F.array_join(F.col("best.chain").cast("array<string>"), ">").alias("chain"))
 
 
 def conflict_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,12 +182,13 @@ def _call_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def solve(g, s):
         held, op, prim = _held(g, s)
+        locks = [n for n in g["id"] if op[n] == "Lock"]
         frees = lambda n, p: op[n] == "Unlock" and prim[n] == p
         first = [n for n, i in zip(g["id"], g["idx"], strict=True) if i == 0]
         out = [(a, p, n, "Call", None) for a, p, n in held if op[n] == "Call"]
         out += [(a, p, n, "Exit", None) for a, p, n in held if not s[n] and not frees(n, p)]
-        out += [(n, prim[n], n, "Exit", None) for n in g["id"][g["op"] == "Lock"] if not s[n]]
-        released = sorted({prim[n] for n in g["id"][g["op"] == "Unlock"]})
+        out += [(n, prim[n], n, "Exit", None) for n in locks if not s[n]]
+        released = sorted({prim[n] for n in g["id"] if op[n] == "Unlock"})
         out += [(None, p, None, "Unlock", None) for p in released]
         for p in [None, *released]:
             for n in sorted(walk(s, first, lambda n, p=p: frees(n, p))):
@@ -180,12 +202,12 @@ def _call_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Contexts (lock_id, prim, fn, depth, key): fn may be entered, by DEPTH calls at most, while lock_id's lock is held; and entry facts.
+    """Contexts (lock_id, prim, fn, depth, key, chain): fn may be entered, by DEPTH calls at most, while lock_id's lock is held; and entry facts.
 
     Go statements are not followed. A deferred call is entered with what is held after the function's exits; in the function that
     takes the lock, a deferred call of the first block is skipped. A context stands once, at its least depth: a chain that comes
     by a function twice reaches nothing that a shorter one does not, so the checkers' limits on recursion and visits are not
-    needed. key is prim where fn releases it somewhere, else null: the f_prim of the facts that hold for the context.
+    needed. chain holds the functions on the way there, the smallest of the shortest. key is prim where fn releases it somewhere, else null: the f_prim of the facts that hold for the context.
     """
     known = keep(_call_facts(spark, sf_dir))
     facts, held = known.where("lock_id is null").drop("lock_id"), known.where("lock_id is not null").drop("taken")
@@ -202,14 +224,16 @@ def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.when(F.array_contains("frees", F.col("prim")), F.col("prim")).alias("key")
     through = keep(entered(facts, late, "f_fn", "f_prim").withColumnsRenamed({"fn": "t_fn", "frees": "t_frees"}))
     first = frame(spark, sf_dir, "inst").where("bb_id = 0").select(F.col("inst_id").alias("b_inst"))
-    start = entered(held, late.join(first, F.col("c_site") == F.col("b_inst"), "left_anti"), "lock_id", "f_prim")
-    level = keep(start.withColumnRenamed("f_prim", "prim").select("lock_id", "prim", "fn", F.lit(1).cast("long").alias("depth"), key))
+    start = entered(held, late.join(first, F.col("c_site") == F.col("b_inst"), "left_anti"), "lock_id", "f_prim", "f_fn")
+    start = start.withColumnRenamed("f_prim", "prim").select("lock_id", "prim", "fn", F.lit(1).cast("long").alias("depth"), key, F.array("f_fn", "fn").alias("chain"))
+    level = keep(start.groupBy("lock_id", "prim", "fn", "depth", "key").agg(F.min("chain").alias("chain")))
     levels = [level]
     for depth in range(2, DEPTH + 1):
-        step = level.join(through, _fits()).select("lock_id", "prim", F.col("t_fn").alias("fn"), F.col("t_frees").alias("frees")).dropDuplicates(["lock_id", "fn"])
+        step = level.join(through, _fits()).select("lock_id", "prim", F.col("t_fn").alias("fn"), F.col("t_frees").alias("frees"), F.array_append("chain", F.col("t_fn")).alias("chain"))
+        step = step.groupBy("lock_id", "prim", "fn").agg(F.min("chain").alias("chain"), F.first("frees").alias("frees"))
         seen = reduce(DataFrame.union, levels).select(F.col("lock_id").alias("k_lock"), F.col("fn").alias("k_fn"))
         fresh = step.join(seen, (F.col("lock_id") == F.col("k_lock")) & (F.col("fn") == F.col("k_fn")), "left_anti")
-        level = keep(fresh.select("lock_id", "prim", "fn", F.lit(depth).cast("long").alias("depth"), key))
+        level = keep(fresh.select("lock_id", "prim", "fn", F.lit(depth).cast("long").alias("depth"), key, "chain"))
         if level.isEmpty():
             break
         levels.append(level)
@@ -222,7 +246,8 @@ def _fits():
 
 def _double_pairs(ctx: DataFrame, facts: DataFrame) -> DataFrame:
     again = ctx.join(facts.where("kind = 'Lock'"), _fits() & (F.col("prim") == F.col("taken")))
-    return again.groupBy(F.col("lock_id").alias("lock1"), F.col("f_inst").alias("lock2")).agg(F.min("depth").alias("depth"))
+    pairs = again.groupBy(F.col("lock_id").alias("lock1"), F.col("f_inst").alias("lock2")).agg(F.min(F.struct("depth", "chain")).alias("near"))
+    return pairs.select("lock1", "lock2", "near.depth", "near.chain")
 
 
 def _conflict_pairs(ctx: DataFrame, facts: DataFrame) -> DataFrame:
@@ -240,48 +265,52 @@ def interprocedural_lock_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conflict_pairs(*_contexts(spark, sf_dir)).select("m1", "m2").distinct()
 
 
-_HELD = """held AS (SELECT l.fn_id, l.inst_id AS lock_id, l.prim, e.dst AS at FROM {inst} l JOIN {inst_edge} e ON l.inst_id = e.src WHERE l.op = 'Lock'
-UNION SELECT h.fn_id, h.lock_id, h.prim, e.dst FROM held h JOIN {inst} i ON h.at = i.inst_id JOIN {inst_edge} e ON h.at = e.src WHERE NOT (i.op = 'Unlock' AND i.prim = h.prim))"""
+_HELD = """held AS (SELECT l.fn_id, l.inst_id AS lock_id, l.prim, e.dst AS at FROM {inst} l JOIN {inst_edge} e ON l.inst_id = e.src WHERE l.op = 'Lock' AND NOT l.is_defer
+UNION SELECT h.fn_id, h.lock_id, h.prim, e.dst FROM held h JOIN {inst} i ON h.at = i.inst_id JOIN {inst_edge} e ON h.at = e.src WHERE NOT (i.op = 'Unlock' AND NOT i.is_defer AND i.prim = h.prim))"""
 _ENDS = "ends AS (SELECT fn_id, inst_id FROM {inst} i WHERE NOT EXISTS (SELECT 1 FROM {inst_edge} e WHERE e.src = i.inst_id))"
-_PAIRS = _HELD + ", pairs AS (SELECT DISTINCT h.fn_id, h.prim AS m1, i.prim AS m2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim <> h.prim)"
+_PAIRS = _HELD + ", pairs AS (SELECT DISTINCT h.fn_id, h.prim AS m1, i.prim AS m2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND NOT i.is_defer AND i.prim <> h.prim)"
+#: Any unlock counts as a use of what a lock made.
+_HELD_ANY = """held AS (SELECT l.fn_id, l.inst_id AS lock_id, l.prim, e.dst AS at FROM {inst} l JOIN {inst_edge} e ON l.inst_id = e.src WHERE l.op = 'Lock'
+UNION SELECT h.fn_id, h.lock_id, h.prim, e.dst FROM held h JOIN {inst} i ON h.at = i.inst_id JOIN {inst_edge} e ON h.at = e.src WHERE NOT (i.op = 'Unlock' AND i.prim = h.prim))"""
 _DEFERS = "late AS (SELECT fn_id, inst_id AS d, prim, inst_id AS at FROM {inst} WHERE is_defer UNION SELECT l.fn_id, l.d, l.prim, e.dst FROM late l JOIN {inst_edge} e ON l.at = e.src)"
 _CTX = (
     _HELD
     + ", "
     + _ENDS
-    + """, prims AS (SELECT DISTINCT prim FROM {inst} WHERE op = 'Lock'),
+    + """, prims AS (SELECT DISTINCT prim FROM {inst} WHERE op = 'Lock' AND NOT is_defer),
 ent AS (SELECT i.fn_id, p.prim, i.inst_id AS at FROM {inst} i, prims p WHERE i.idx = 0
-UNION SELECT n.fn_id, n.prim, e.dst FROM ent n JOIN {inst} i ON n.at = i.inst_id JOIN {inst_edge} e ON n.at = e.src WHERE NOT (i.op = 'Unlock' AND i.prim = n.prim)),
-out_held AS (SELECT h.fn_id, h.lock_id, h.prim FROM held h JOIN ends e ON h.at = e.inst_id JOIN {inst} i ON h.at = i.inst_id WHERE NOT (i.op = 'Unlock' AND i.prim = h.prim)
-UNION SELECT l.fn_id, l.inst_id, l.prim FROM {inst} l JOIN ends e ON l.inst_id = e.inst_id WHERE l.op = 'Lock'),
+UNION SELECT n.fn_id, n.prim, e.dst FROM ent n JOIN {inst} i ON n.at = i.inst_id JOIN {inst_edge} e ON n.at = e.src WHERE NOT (i.op = 'Unlock' AND NOT i.is_defer AND i.prim = n.prim)),
+out_held AS (SELECT h.fn_id, h.lock_id, h.prim FROM held h JOIN ends e ON h.at = e.inst_id JOIN {inst} i ON h.at = i.inst_id WHERE NOT (i.op = 'Unlock' AND NOT i.is_defer AND i.prim = h.prim)
+UNION SELECT l.fn_id, l.inst_id, l.prim FROM {inst} l JOIN ends e ON l.inst_id = e.inst_id WHERE l.op = 'Lock' AND NOT l.is_defer),
 late_call AS (SELECT c.caller, c.callee, i.bb_id FROM {call_edge} c JOIN {inst} i ON c.site = i.inst_id WHERE c.site_kind = 'Defer'),
 thru AS (SELECT n.fn_id, n.prim, c.callee FROM ent n JOIN {call_edge} c ON n.at = c.site AND c.site_kind = 'Call'
-UNION SELECT n.fn_id, n.prim, c.callee FROM ent n JOIN ends e ON n.at = e.inst_id JOIN {inst} i ON n.at = i.inst_id JOIN late_call c ON c.caller = n.fn_id WHERE NOT (i.op = 'Unlock' AND i.prim = n.prim)),
-start_ctx AS (SELECT h.lock_id, h.prim, c.callee AS fn FROM held h JOIN {call_edge} c ON h.at = c.site AND c.site_kind = 'Call'
-UNION SELECT o.lock_id, o.prim, c.callee FROM out_held o JOIN late_call c ON o.fn_id = c.caller WHERE c.bb_id <> 0),
-ctx AS (SELECT lock_id, prim, fn, CAST(1 AS BIGINT) AS depth FROM start_ctx
-UNION SELECT x.lock_id, x.prim, t.callee, x.depth + 1 FROM ctx x JOIN thru t ON x.fn = t.fn_id AND x.prim = t.prim WHERE x.depth < 7),
-again AS (SELECT x.lock_id AS lock1, n.at AS lock2, min(x.depth) AS depth FROM ctx x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = x.prim GROUP BY x.lock_id, n.at),
-other AS (SELECT DISTINCT x.fn AS fn_id, x.prim AS m1, i.prim AS m2 FROM (SELECT DISTINCT prim, fn FROM ctx) x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND i.prim <> x.prim)"""
+UNION SELECT n.fn_id, n.prim, c.callee FROM ent n JOIN ends e ON n.at = e.inst_id JOIN {inst} i ON n.at = i.inst_id JOIN late_call c ON c.caller = n.fn_id WHERE NOT (i.op = 'Unlock' AND NOT i.is_defer AND i.prim = n.prim)),
+start_ctx AS (SELECT h.lock_id, h.prim, c.callee AS fn, h.fn_id AS lock_fn FROM held h JOIN {call_edge} c ON h.at = c.site AND c.site_kind = 'Call'
+UNION SELECT o.lock_id, o.prim, c.callee, o.fn_id FROM out_held o JOIN late_call c ON o.fn_id = c.caller WHERE c.bb_id <> 0),
+ctx AS (SELECT lock_id, prim, fn, CAST(1 AS BIGINT) AS depth, [lock_fn, fn] AS chain FROM start_ctx
+UNION SELECT x.lock_id, x.prim, t.callee, x.depth + 1, list_append(x.chain, t.callee) FROM ctx x JOIN thru t ON x.fn = t.fn_id AND x.prim = t.prim WHERE x.depth < 7),
+again AS (SELECT x.lock_id AS lock1, n.at AS lock2, min(x.depth) AS depth, arg_min(x.chain, (x.depth, x.chain)) AS chain FROM ctx x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND NOT i.is_defer AND i.prim = x.prim GROUP BY x.lock_id, n.at),
+other AS (SELECT DISTINCT x.fn AS fn_id, x.prim AS m1, i.prim AS m2 FROM (SELECT DISTINCT prim, fn FROM ctx) x JOIN ent n ON x.fn = n.fn_id AND x.prim = n.prim JOIN {inst} i ON n.at = i.inst_id WHERE i.op = 'Lock' AND NOT i.is_defer AND i.prim <> x.prim)"""
 )
 SQL = {
     "held_locks": duck_sql("SELECT fn_id, lock_id, prim, held.at AS inst_id FROM held", _HELD),
-    "live_locks_double": duck_sql("SELECT h.fn_id, h.lock_id AS lock1, h.at AS lock2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = h.prim", _HELD),
+    "held_at_calls": duck_sql("SELECT DISTINCT h.fn_id, h.at AS site, h.prim FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Call'", _HELD),
+    "live_locks_double": duck_sql("SELECT h.fn_id, h.lock_id AS lock1, h.at AS lock2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND NOT i.is_defer AND i.prim = h.prim", _HELD),
     "live_locks_conflict": duck_sql("SELECT fn_id, m1, m2 FROM pairs", _PAIRS),
     "live_locks_names": duck_sql(
         "SELECT DISTINCT fn_id, held.at AS inst_id, concat('m', CAST(prim AS STRING), CASE WHEN prim % 2 = 1 THEN '_mutex' ELSE '_rwmutexW' END) AS name FROM held",
-        _HELD.replace("WHERE l.op = 'Lock'", "WHERE l.op = 'Lock' AND NOT l.is_defer").replace("i.prim = h.prim)", "i.prim = h.prim AND NOT i.is_defer)"),
+        _HELD,
     ),
     "alive_mutexs": duck_sql("SELECT fn_id, held.at AS inst_id, count(DISTINCT prim) AS n_alive FROM held GROUP BY fn_id, held.at", _HELD),
     "lock_order_conflict": duck_sql("SELECT p.fn_id, p.m1, p.m2 FROM pairs p JOIN pairs q ON p.fn_id = q.fn_id AND p.m1 = q.m2 AND p.m2 = q.m1 WHERE p.m1 < p.m2", _PAIRS),
     "double_lock": duck_sql(
-        "SELECT lock1, lock2, depth, n_pairs FROM (SELECT *, count(*) OVER (PARTITION BY lock1) AS n_pairs, row_number() OVER (PARTITION BY lock1 ORDER BY depth, lock2) AS nr FROM every) WHERE nr = 1",
-        _CTX + """, every AS (SELECT lock1, lock2, min(depth) AS depth FROM (SELECT h.lock_id AS lock1, h.at AS lock2, CAST(0 AS BIGINT) AS depth FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim = h.prim
-UNION ALL SELECT lock1, lock2, depth FROM again) GROUP BY lock1, lock2)""",
+        """SELECT lock1, lock2, depth, n_pairs, array_to_string(chain, '>') AS chain FROM (SELECT *, count(*) OVER (PARTITION BY lock1) AS n_pairs, row_number() OVER (PARTITION BY lock1 ORDER BY depth, lock2) AS nr FROM every) WHERE nr = 1""",
+        _CTX + """, every AS (SELECT lock1, lock2, min(depth) AS depth, arg_min(chain, (depth, chain)) AS chain FROM (SELECT h.lock_id AS lock1, h.at AS lock2, CAST(0 AS BIGINT) AS depth, [h.fn_id] AS chain FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND NOT i.is_defer AND i.prim = h.prim
+UNION ALL SELECT lock1, lock2, depth, chain FROM again) GROUP BY lock1, lock2)""",
     ),
     "conflict_lock": duck_sql(
         "SELECT p.m1, p.m2, p.n + q.n AS n_fns FROM there p JOIN there q ON p.m1 = q.m2 AND p.m2 = q.m1 WHERE p.m1 < p.m2",
-        _CTX + """, there AS (SELECT m1, m2, count(DISTINCT fn_id) AS n FROM (SELECT h.fn_id, h.prim AS m1, i.prim AS m2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND i.prim <> h.prim
+        _CTX + """, there AS (SELECT m1, m2, count(DISTINCT fn_id) AS n FROM (SELECT h.fn_id, h.prim AS m1, i.prim AS m2 FROM held h JOIN {inst} i ON h.at = i.inst_id WHERE i.op = 'Lock' AND NOT i.is_defer AND i.prim <> h.prim
 UNION ALL SELECT fn_id, m1, m2 FROM other) GROUP BY m1, m2)""",
     ),
     "defer_map": duck_sql("SELECT l.fn_id, l.at AS exit_inst, JOINED[l.d|,|-i.idx] AS defers FROM late l JOIN ends e ON l.at = e.inst_id JOIN {inst} i ON l.d = i.inst_id GROUP BY l.fn_id, l.at", _DEFERS + ", " + _ENDS),
@@ -292,7 +321,7 @@ UNION ALL SELECT fn_id, m1, m2 FROM other) GROUP BY m1, m2)""",
     "lint_lostcancel": duck_sql(
         """SELECT DISTINCT l.fn_id, l.inst_id FROM {inst} l JOIN ends e ON l.fn_id = e.fn_id LEFT JOIN held h ON h.lock_id = l.inst_id AND h.at = e.inst_id JOIN {inst} i ON e.inst_id = i.inst_id
 WHERE l.op = 'Lock' AND (h.lock_id IS NOT NULL OR e.inst_id = l.inst_id) AND NOT (i.op = 'Unlock' AND i.prim = l.prim)""",
-        _HELD + ", " + _ENDS,
+        _HELD_ANY + ", " + _ENDS,
     ),
     "interprocedural_double_lock": duck_sql("SELECT lock1, lock2 FROM again", _CTX),
     "interprocedural_lock_pairs": duck_sql("SELECT DISTINCT m1, m2 FROM other", _CTX),

@@ -299,14 +299,20 @@ def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("pkg").agg(F.max("depth").alias("depth"))
 
 
-def fp_recursive_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fp_recursive_vote(spark: SparkSession, sf_dir: str, at_cap: bool = False) -> DataFrame:
     """(fn_id, is_fp): a function whose unlocked uses of fields are no faults: by its name, or because more than half of its call
-    sites have a lock held or lie in such functions, judged the same way up to three levels up; at the cap the vote is true."""
-    held = keep(locks.held_locks(spark, sf_dir).select(F.col("inst_id").alias("h_site")).distinct())
-    edges = run_sql(spark, sf_dir, "SELECT DISTINCT callee AS c_fn, site, caller FROM {call_edge}")
-    edges = keep(edges.join(held, F.col("site") == F.col("h_site"), "left").select("c_fn", "caller", F.col("h_site").isNotNull().alias("alive")))
+    sites have the function's mutex (any lock, where it is not known) held or lie in such functions, judged the same way up to three levels up.
+
+    at_cap is the vote beyond the third level. With true, every function that has callers three levels up is excused, whatever
+    is held anywhere; with false, a vote rests on names and locks that were found.
+    """
+    held = locks.held_at_calls(spark, sf_dir).groupBy(F.col("site").alias("h_site")).agg(F.collect_set("prim").alias("held"))
+    edges = run_sql(spark, sf_dir, "SELECT DISTINCT c.callee AS c_fn, c.site, c.caller, m.prim FROM {call_edge} c LEFT JOIN {fn_mutex} m ON c.callee = m.fn_id")
+    met = edges.join(held, F.col("site") == F.col("h_site"), "left")
+    alive = F.col("held").isNotNull() & (F.col("prim").isNull() | F.coalesce(F.array_contains("held", F.col("prim")), F.lit(False)))
+    edges = keep(met.select("c_fn", "caller", alive.alias("alive")))
     fns = keep(run_sql(spark, sf_dir, f"SELECT fn_id, {_SOLE} AS own FROM {{fn_name}}"))
-    vote = fns.select("fn_id", F.lit(True).alias("is_fp"))  # beyond the cap
+    vote = fns.select("fn_id", F.lit(at_cap).alias("is_fp"))
     for _ in range(3):
         above = _rename(vote, v_fn="fn_id", v_fp="is_fp")
         sites = edges.join(above, F.col("caller") == F.col("v_fn"), "left").select("c_fn", (F.col("alive") | F.coalesce("v_fp", F.lit(False))).alias("fp"))
@@ -351,8 +357,8 @@ _LEVEL = """(SELECT f.fn_id, f.own OR coalesce(2 * s.yes > s.n, false) AS is_fp
 FROM e LEFT JOIN ABOVE v ON e.caller = v.fn_id GROUP BY e.callee) s ON f.fn_id = s.callee)"""
 _VOTES = (
     locks._HELD
-    + f""", e AS (SELECT DISTINCT c.callee, c.site, c.caller, EXISTS (SELECT 1 FROM held h WHERE h.at = c.site) AS alive FROM {{call_edge}} c),
-fns AS (SELECT fn_id, {_SOLE} AS own FROM {{fn_name}}), v0 AS (SELECT fn_id, true AS is_fp FROM fns)"""
+    + f""", e AS (SELECT DISTINCT c.callee, c.site, c.caller, EXISTS (SELECT 1 FROM held h LEFT JOIN {{fn_mutex}} m ON m.fn_id = c.callee WHERE h.at = c.site AND (m.prim IS NULL OR m.prim = h.prim)) AS alive FROM {{call_edge}} c),
+fns AS (SELECT fn_id, {_SOLE} AS own FROM {{fn_name}}), v0 AS (SELECT fn_id, false AS is_fp FROM fns)"""
     + "".join(f", {name} AS {_LEVEL.replace('ABOVE', above)}" for name, above in (("v1", "v0"), ("v2", "v1"), ("votes", "v2")))
 )
 _PTS = "pts AS (SELECT node, label FROM {obj_addr} UNION SELECT c.dst, p.label FROM pts p JOIN {obj_copy} c ON p.node = c.src)"

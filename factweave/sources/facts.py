@@ -15,6 +15,7 @@ obj_offset / obj_filter / obj_untag / obj_invoke   constraints that depend on an
            type holds, the method that a call of an interface's method reaches; obj_field, obj_type and method_impl tell which
 field_use  uses of struct fields, with or without a lock held
 fn_name    names of functions
+fn_mutex   the mutex that guards what a function uses, null where it is not known (names without the function's number)
 sync_op    operations with the name of the function called
 channel    channels and how many values they hold (-999: not known before the program runs)
 chan_op    sends, receives and closes of channels
@@ -168,7 +169,7 @@ SELECT type_id, method, type_id * 4 + method AS fn_id, 2000000000000 + type_id *
 FROM (SELECT CAST(n.n_nationkey AS BIGINT) AS type_id, CAST(m.nr AS BIGINT) AS method FROM {nation} n CROSS JOIN (VALUES (0), (1), (2), (3)) AS m(nr)) WHERE (type_id + method) % 3 <> 0""",
     "field_use": """
 SELECT p.p_brand AS struct_name, concat('f', CAST(l.l_linenumber AS STRING)) AS field, l.l_orderkey * 8 + l.l_linenumber AS inst_id, l.l_discount > 0.02 AS locked,
-       concat('s', CAST(l.l_suppkey % 50 AS STRING), '.go') AS file, l.l_orderkey % 400 AS line, l.l_suppkey * 2 AS fn_id
+       concat('s', CAST(l.l_suppkey % 50 AS STRING), '.go') AS file, l.l_orderkey % 400 AS line, l.l_suppkey AS fn_id
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
     "sync_api": _values(SYNC_API, "callee, op"),
     "sync_name": _values([(i, c) for i, (c, _) in enumerate(SYNC_API)], "nr, callee"),
@@ -206,6 +207,7 @@ WHERE (l.file % 3 = 0 AND l.form IN (0, 1, 2, 3, 7)) OR (l.file % 3 > 0 AND l.fo
     "field_ratio": "SELECT struct_name, field, count(*) AS n_uses, CAST(sum(CASE WHEN locked THEN 1 ELSE 0 END) AS BIGINT) AS n_locked FROM {field_use} GROUP BY struct_name, field",
     "fn_words": _values(list(enumerate(FN_NAMES)), "nr, word"),
     "fn_name": f"SELECT f.fn_id, concat(w.word, CAST(f.fn_id AS STRING)) AS name FROM (SELECT DISTINCT user_id AS fn_id FROM {{events}}) f JOIN {{fn_words}} w ON f.fn_id % {len(FN_NAMES)} = w.nr",
+    "fn_mutex": "SELECT fn_id, CASE WHEN name LIKE concat('%', CAST(fn_id AS STRING)) THEN fn_id % 5 END AS prim FROM {fn_name}",
     "lock_next": "SELECT a.inst_id AS lock1, b.inst_id AS lock2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'",
     "bb_text": "SELECT fn_id, bb_id, JOINED[op|,|idx] AS ops FROM {inst} GROUP BY fn_id, bb_id",
     "held_text": "SELECT fn_id, JOINED[prim|,|prim] AS prims FROM (SELECT DISTINCT fn_id, prim FROM {inst} WHERE op = 'Lock') GROUP BY fn_id",

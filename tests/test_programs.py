@@ -76,7 +76,8 @@ def test_calls_that_locks_are_held_across(spark, tmp_path):
         calls=[(1, 11, 2, "Call"), (2, 21, 3, "Call"), (4, 42, 3, "Call"), (5, 51, 6, "Defer"), (5, 52, 7, "Defer"), (8, 83, 3, "Go"), (9, 91, 10, "Call"), (10, 101, 3, "Call")],
     )
     assert rows(spark, "interprocedural_double_lock", at) == {(10, 30), (50, 70)}
-    assert rows(spark, "double_lock", at) == {(10, 30, 2, 1), (50, 70, 1, 1)}
+    assert rows(spark, "double_lock", at) == {(10, 30, 2, 1, "1>2>3"), (50, 70, 1, 1, "5>7")}
+    assert rows(spark, "held_at_calls", at) == {(1, 11, 1), (8, 83, 2), (9, 91, 1), (5, 51, 7), (5, 52, 7)}
     assert rows(spark, "interprocedural_lock_pairs", at) == {(1, 2)}
     assert rows(spark, "conflict_lock", at) == {(1, 2, 2)}
 
@@ -163,3 +164,25 @@ def test_lost_cancel(spark, tmp_path):
         edges=[(1, 0, 1), (1, 0, 2)],
     )
     assert rows(spark, "lint_lostcancel", at) == {(1, 10)}
+
+
+def test_deferred_operations_are_of_another_mutex(spark, tmp_path):
+    # A deferred unlock releases nothing where it stands, and a deferred lock takes nothing; a plain unlock does release. The
+    # shorter of two chains is reported, and of equally short ones the smaller.
+    at = bring(
+        tmp_path,
+        {
+            1: [(10, "Lock", 1), (11, "defer Unlock", 1), (12, "Lock", 1), (13, "Lock", 2)],
+            2: [(20, "Lock", 2), (21, "defer Unlock", 2), (22, "Lock", 1)],
+            3: [(30, "defer Lock", 3), (31, "Lock", 3), (32, "Unlock", 3), (33, "Lock", 3), (34, "Call", 0), (35, "Call", 0)],
+            4: [(40, "Call", 0)],
+            5: [(50, "Call", 0)],
+            6: [(60, "Lock", 3)],
+        },
+        calls=[(3, 34, 5, "Call"), (3, 35, 4, "Call"), (4, 40, 6, "Call"), (5, 50, 6, "Call")],
+    )
+    assert rows(spark, "live_locks_double", at) == {(1, 10, 12)}
+    assert rows(spark, "live_locks_conflict", at) == {(1, 1, 2), (2, 2, 1)}
+    assert rows(spark, "conflict_lock", at) == {(1, 2, 2)}
+    assert rows(spark, "double_lock", at) == {(10, 12, 0, 1, "1"), (33, 60, 2, 1, "3>4>6")}
+    assert {n for _, lock, _, n in rows(spark, "held_locks", at) if lock == 30} == set()

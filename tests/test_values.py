@@ -66,9 +66,9 @@ def test_test_facts_have_values_alike(sf_dir):
     con = duckdb.connect()
     for t in BASE:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    n, classes = con.sql(f"SELECT count(*), count(DISTINCT class_id) FROM ({values.SQL['value_equal_limited']})").fetchone()
+    n, classes = con.sql(f"SELECT count(*), count(DISTINCT class_id) FROM ({values.SQL['value_equal_limited']})").fetchall()[0]
     assert 0 < classes < n
-    assert con.sql(facts.duck_sql("SELECT count(*) FROM {operand}")).fetchone()[0] > 0
+    assert con.sql(facts.duck_sql("SELECT count(*) FROM {operand}")).fetchall()[0][0] > 0
 
 
 @pytest.mark.parametrize(
