@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,17 +222,36 @@ def _mean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["part", "seen", "block"])
 
 
+def _head(counts: DataFrame):
+    """The HEAD most frequent tokens (hash, c, kind), the smaller hashes first among equal counts, as pandas.
+
+    Every count has a token at least, so HEAD + 1 counts from the top say which count the head ends in. Of that one the tokens
+    below a hash that leaves a few more than wanted are fetched, so the driver gets a bounded number however many tie.
+    """
+    bins = counts.groupBy("c").count().orderBy(F.desc("c")).limit(HEAD + 1).toPandas()
+    upto = bins["count"].cumsum()
+    whole = int((upto <= HEAD).sum())
+    fields, order = ["hash", "c", "kind"], {"by": ["c", "hash"], "ascending": [False, True]}
+    least = int(bins["c"].iloc[whole - 1]) if whole else 1 << 62
+    head = counts.where(F.col("c") >= least).select(*fields).toPandas()
+    want = HEAD - len(head)
+    if whole == len(bins) or not want:
+        return head.sort_values(**order)
+    last, size = int(bins["c"].iloc[whole]), int(bins["count"].iloc[whole])
+    share = (want + 6 * want**0.5 + 64) / size
+    while True:
+        bound = min((1 << 63) - 1, int(min(1.0, share) * 2.0**64) - (1 << 63))
+        tied = counts.where((F.col("c") == last) & (F.col("hash") <= F.lit(bound))).select(*fields).toPandas()
+        if len(tied) >= want or share >= 1:
+            break
+        share *= 2
+    return pd.concat([head, tied.sort_values("hash").head(want)]).sort_values(**order)
+
+
 def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, dict]:
     """The model, and what scoring needs of the counts: N, V, per-class N and V, and the head's hashes and counts."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # The head: tokens above a count that leaves at most HEAD of them, found on a histogram of counts.
-    bins = counts.groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).count().orderBy(F.desc("c"))
-    above, least = 0, 1 << 62
-    for row in bins.limit(1 << 16).collect():
-        if above + row["count"] > HEAD:
-            break
-        above, least = above + row["count"], row["c"]
-    head = counts.where(F.col("c") >= least).select("hash", "c", "kind").toPandas().sort_values(["c", "hash"], ascending=[False, True])
+    head = _head(counts)
     hashes_, c = head["hash"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
     frequent = hashes_[:FREQUENT]
     is_end = np.flatnonzero(frequent == np.uint64(END))

@@ -731,3 +731,16 @@ def test_centroid_clustering(spark):
         assert centroid_clustering.clustered(frame(rows)).count() == 0
     with pytest.raises(Exception, match="2\\^27"):
         centroid_clustering.clustered(frame([(1, [3e38] * 64)])).collect()
+
+
+def test_head_is_cut_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 100)
+    rng = random.Random(9)
+    mixed = [(rng.randrange(-(1 << 63), 1 << 63), rng.choice([1, 2, 3, 50, 1 << 21]), 0) for _ in range(500)]
+    near = [(k - (1 << 63), 2, 0) for k in range(300)]  # all hashes at one end of their range
+    far = [((1 << 63) - 1 - k, 2, 0) for k in range(300)]
+    tied = [(rng.randrange(-(1 << 63), 1 << 63), 2_000_000, 0) for _ in range(300)]  # more than the head holds, of one count
+    for rows in (mixed, near, far, tied, tied[:100], tied[:7], near + tied[:99]):
+        got = lm_scoring._head(spark.createDataFrame(rows, "hash long, c long, kind int"))
+        assert list(zip(got["hash"].tolist(), got["c"].tolist(), strict=True)) == [r[:2] for r in sorted(rows, key=lambda r: (-r[1], r[0]))[:100]]
+    assert len(lm_scoring._head(spark.createDataFrame([], "hash long, c long, kind int"))) == 0
