@@ -58,11 +58,11 @@ def patch_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Edits: ord -1 and -2 stand before a line, 0 in its place (null: the line goes).
 _EDITS = """
-SELECT f.file, f.make_line + 1 AS line, CAST(-1 AS INT) AS ord, concat('defer func() {{ ', trim(l.text), ' }}()') AS text FROM {fix} f JOIN {go_line} l ON f.file = l.file AND f.op_line = l.line WHERE f.strategy = 2
+SELECT f.file, f.make_line + 1 AS line, CAST(-1 AS INT) AS ord, concat('defer func() {{ ', regexp_replace(l.text, '^[ \t]+', ''), ' }}()') AS text FROM {fix} f JOIN {go_line} l ON f.file = l.file AND f.op_line = l.line WHERE f.strategy = 2
 UNION ALL SELECT f.file, f.op_line AS line, CAST(0 AS INT) AS ord, NULL AS text FROM {fix} f WHERE f.strategy = 2
 UNION ALL SELECT DISTINCT f.file, f.make_line + 1 AS line, CAST(-2 AS INT) AS ord, 'stop := make(chan struct{{}})' AS text FROM {fix} f WHERE f.strategy = 3
 UNION ALL SELECT DISTINCT f.file, f.make_line + 1 AS line, CAST(-1 AS INT) AS ord, 'defer close(stop)' AS text FROM {fix} f WHERE f.strategy = 3
-UNION ALL SELECT f.file, f.op_line AS line, CAST(0 AS INT) AS ord, concat('select {{ case <-stop: return; case ', trim(l.text), ': }}') AS text FROM {fix} f JOIN {go_line} l ON f.file = l.file AND f.op_line = l.line WHERE f.strategy = 3"""
+UNION ALL SELECT f.file, f.op_line AS line, CAST(0 AS INT) AS ord, concat('select {{ case <-stop: return; case ', regexp_replace(l.text, '^[ \t]+', ''), ': }}') AS text FROM {fix} f JOIN {go_line} l ON f.file = l.file AND f.op_line = l.line WHERE f.strategy = 3"""
 
 
 def patch_2(spark: SparkSession, sf_dir: str) -> DataFrame:
