@@ -211,9 +211,6 @@ WHERE (l.file % 3 = 0 AND l.form IN (0, 1, 2, 3, 7)) OR (l.file % 3 > 0 AND l.fo
     "lock_next": "SELECT a.inst_id AS lock1, b.inst_id AS lock2 FROM {inst} a JOIN {inst} b ON a.fn_id = b.fn_id AND a.prim = b.prim AND b.idx > a.idx WHERE a.op = 'Lock' AND b.op = 'Lock'",
     "bb_text": "SELECT fn_id, bb_id, JOINED[op|,|idx] AS ops FROM {inst} GROUP BY fn_id, bb_id",
     "held_text": "SELECT fn_id, JOINED[prim|,|prim] AS prims FROM (SELECT DISTINCT fn_id, prim FROM {inst} WHERE op = 'Lock') GROUP BY fn_id",
-    "go_pair": "SELECT DISTINCT caller AS path1, callee AS path2 FROM {call_edge} WHERE site_kind = 'Go' AND caller <> callee",
-    "path": "SELECT DISTINCT fn_id FROM {inst}",
-    "block_pos": "SELECT fn_id, idx AS pos, prim, op FROM {inst} WHERE op IN ('Send', 'Recv') UNION ALL SELECT DISTINCT fn_id, -2, -1, 'Exit' FROM {inst}",
     "method_set": "SELECT DISTINCT fn_id, inst_id % 13 AS prim FROM {inst} WHERE op = 'Call'",
     "method_need": "SELECT DISTINCT fn_id, inst_id % 13 AS prim FROM {inst} WHERE op = 'Call' AND is_defer",
     "bench_line": "SELECT concat('Benchmark', replace(p_name, ' ', '_'), ' ', CAST(p_size * 1000 AS STRING), ' ', CAST(p_partkey % 700 + 10 AS STRING), ' ns/op', CASE WHEN p_partkey % 3 = 0 THEN ' 12 B/op' ELSE '' END) AS line, p_partkey AS ord FROM {part}",

@@ -109,5 +109,5 @@ def test_patched_files(spark, tmp_path):
     assert whole[3] == [*go[3][:2], "stop := make(chan struct{})", "defer close(stop)", go[3][2], "select { case <-stop: return; case ch <- 1: }", *go[3][4:]]
     assert whole[4] == go[4]
     patches.write_files(patches.patched_files(spark, folder), f"{folder}/out")
-    back = spark.read.option("wholetext", True).text(f"{folder}/out/file=2").collect()
+    back = spark.read.text(f"{folder}/out/file=2", wholetext=True).collect()
     assert back[0]["value"].rstrip("\n").split("\n") == whole[2]
