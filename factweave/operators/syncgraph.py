@@ -114,7 +114,8 @@ def _options(words: DataFrame) -> DataFrame:
 def _folded(spark: SparkSession, sf_dir: str, options: DataFrame) -> DataFrame:
     """(root, task, executed, blocked): one option (fn_id, task, executed, blocked) for each goroutine of a root, as arrays by k.
 
-    A goroutine that is not started has no steps. Blocked operations that could meet drop the combination.
+    A goroutine that is not started has no steps; one that is started and has no word (no way to an exit) leaves no combination.
+    Blocked operations that could meet drop the combination.
     """
     members = keep(run_sql(spark, sf_dir, _MEMBERS))
     started = members.where("k > 0").select("root", "task", "k", F.col("fn_id").alias("m_fn"))
@@ -271,7 +272,7 @@ choice AS (SELECT DISTINCT fn_id, task, executed, blocked FROM option_at)"""
 _FOLD = """fold AS (SELECT m.root, m.task, m.k, list_value(o.executed) AS executed, list_value(o.blocked) AS blocked FROM member m JOIN choice o ON m.fn_id = o.fn_id AND m.task = o.task WHERE m.k = 0
 UNION ALL SELECT f.root, f.task, m.k, list_append(f.executed, o.executed), list_append(f.blocked, o.blocked)
 FROM fold f JOIN member m ON f.root = m.root AND f.task = m.task AND m.k = f.k + 1
-JOIN (SELECT DISTINCT fn_id, task, array_to_string(list_filter(string_split(executed, ' '), lambda x: NOT starts_with(x, 'G')), ' ') AS executed, blocked, true AS runs FROM choice UNION ALL SELECT DISTINCT fn_id, task, '', '', false FROM choice) o ON o.fn_id = m.fn_id AND o.task = m.task AND o.runs = list_contains(string_split(f.executed[1], ' '), concat('G', m.fn_id))
+JOIN (SELECT DISTINCT fn_id, task, array_to_string(list_filter(string_split(executed, ' '), lambda x: NOT starts_with(x, 'G')), ' ') AS executed, blocked, true AS runs FROM choice UNION ALL SELECT DISTINCT fn_id, task, '', '', false FROM member WHERE k > 0) o ON o.fn_id = m.fn_id AND o.task = m.task AND o.runs = list_contains(string_split(f.executed[1], ' '), concat('G', m.fn_id))
 WHERE o.blocked = '' OR len(list_filter(f.blocked, lambda b: b <> '' AND substr(split_part(b, '@', 1), 2) = substr(split_part(o.blocked, '@', 1), 2) AND substr(b, 1, 1) <> substr(o.blocked, 1, 1))) = 0),
 folded AS (SELECT f.* FROM fold f JOIN (SELECT root, task, max(k) AS last FROM member GROUP BY root, task) s ON f.root = s.root AND f.task = s.task AND f.k = s.last)"""
 _BLOCKING = ", ".join((_STEP, _MEMBER, _OPTION, _FOLD)) + """, blocking AS (SELECT root, task, array_to_string(executed, ' | ') AS executed, array_to_string(list_filter(blocked, lambda b: b <> ''), ' ') AS blocked FROM folded WHERE len(list_filter(blocked, lambda b: b <> '')) > 0)"""
