@@ -6,12 +6,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import callgraph, cfg, chains, conditions, lint, locks, patches, paths, program, syncgraph, values
+from ..operators import callgraph, cfg, chains, conditions, lint, locks, objects, patches, paths, program, syncgraph, values
 from ..sources import facts
 from .shared import SHARED
 
 
-OPERATORS = (cfg, locks, program, paths, lint, syncgraph, chains, conditions, callgraph, values, patches)
+OPERATORS = (cfg, locks, program, paths, lint, syncgraph, chains, conditions, callgraph, values, patches, objects)
 
 
 def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,9 @@ go_task    go statements that start a function with operations of a task
 branch     blocks that end in a comparison of x with y, and where they go then
 ctx_fn / ctx_node   functions, whether they are analysed apart for each call, and their nodes
 ctx_copy   copies inside functions
+obj_typedef / obj_part   types with what they are made of, and the parts of structs and tuples; a value of a type lies in consecutive nodes
+cell_addr / cell_copy   nodes and the first nodes of what they point to, and copies between nodes
+path_query   access paths to be asked about, with the first node and the type of their operand
 value / operand   what instructions compute, and from what
 go_line / fix   lines of source files, and what to do to them
 src_line   lines of pages
@@ -217,6 +220,19 @@ WHERE (l.file % 3 = 0 AND l.form IN (0, 1, 2, 3, 7)) OR (l.file % 3 > 0 AND l.fo
     "bench_run": "SELECT p_name AS name, p_partkey AS ord, p_partkey % 700 + 10 AS ns FROM {part}",
     "bench_nth": "SELECT p_name AS name, p_partkey % 2 AS half, p_partkey % 700 AS ns, CAST(row_number() OVER (PARTITION BY p_name, p_partkey % 2 ORDER BY p_partkey) AS BIGINT) AS nth FROM {part}",
 }
+# Facts of nested types: 64 types in a row are a group of their own, and are made of smaller ones of it.
+FACTS |= {
+    "obj_typedef": """SELECT type_id, CASE k WHEN 0 THEN 'basic' WHEN 1 THEN 'basic' WHEN 2 THEN 'iface' WHEN 3 THEN 'func' ELSE CASE k % 7 WHEN 0 THEN 'struct' WHEN 1 THEN 'pointer' WHEN 2 THEN 'array' WHEN 3 THEN 'slice' WHEN 4 THEN 'map' WHEN 5 THEN 'chan' ELSE 'tuple' END END AS kind,
+CASE WHEN k > 3 AND k % 7 IN (1, 2, 3, 4, 5) THEN type_id - k + CAST(floor(k / 2) AS BIGINT) END AS elem, CASE WHEN k > 3 AND k % 7 = 4 THEN type_id - k + CAST(floor(k / 3) AS BIGINT) END AS key
+FROM (SELECT p_partkey + 64 AS type_id, p_partkey % 64 AS k FROM {part})""",
+    "obj_part": """SELECT t.type_id, CAST(n.nr AS BIGINT) AS pos, n.name, t.type_id - t.type_id % 64 + CAST(floor(t.type_id % 64 / n.step) AS BIGINT) AS part_type
+FROM {obj_typedef} t JOIN (VALUES (0, 'a', 2), (1, 'b', 3), (2, 'xs', 5)) AS n(nr, name, step) ON t.kind IN ('struct', 'tuple') AND (t.kind = 'struct' OR n.nr < t.type_id % 3 + 1)""",
+    "cell_addr": """SELECT (p_partkey + 64) * 64 + n.nr AS node, (p_partkey + 64 - p_partkey % 64 + (p_partkey * 3 + n.nr * 5) % 64) * 64 AS label
+FROM {part} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS n(nr) WHERE (p_partkey + n.nr) % 3 > 0""",
+    "cell_copy": "SELECT type_id * 64 AS src, (type_id - type_id % 64 + (type_id * 7 + 1) % 64) * 64 AS dst FROM {obj_typedef} WHERE type_id % 4 = 0",
+    "path_query": """SELECT type_id AS query_id, type_id * 64 AS node, type_id, CASE type_id % 17 WHEN 0 THEN 'x' WHEN 1 THEN '*x' WHEN 2 THEN 'x.a' WHEN 3 THEN '(*x).b' WHEN 4 THEN 'x[1]' WHEN 5 THEN '<-x' WHEN 6 THEN 'x.a.xs' WHEN 7 THEN '*x.b' WHEN 8 THEN 'x[0].a'
+WHEN 9 THEN '<-x[0]' WHEN 10 THEN '(x)["k"]' WHEN 11 THEN 'x.xs[2]' WHEN 12 THEN 'y.a' WHEN 13 THEN 'x.' WHEN 14 THEN '(<-x).a' WHEN 15 THEN 'x + 1' ELSE '(*x)[0]' END AS query FROM {obj_typedef}""",
+}
 # Facts of the lint passes.
 FACTS |= {
     "go_type": _values([(i, *t) for i, t in enumerate(TYPES)], "nr, type, kind, bits, pointee, is_iface, is_error"),
