@@ -118,6 +118,30 @@ def lint_structtag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.unionByName(again.select("struct_name", "field", F.lit("repeats a name").alias("reason")))
 
 
+def lint_ifaceassert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, pos, v_type, t_type, method): assertions between interfaces that no type can meet, with the first method of both whose signatures differ.
+
+    Equal pairs of interfaces are compared once, however many sites have them. Types without methods never conflict.
+    """
+    asserts, methods = frame(spark, sf_dir, "iface_assert"), frame(spark, sf_dir, "iface_method")
+    of = lambda k: methods.select(F.col("type_id").alias(f"{k}_id"), F.col("name").alias(f"{k}_name"), F.col("signature").alias(f"{k}_signature"))
+    pairs = asserts.select(F.col("v_type").alias("p_v"), F.col("t_type").alias("p_t")).distinct()
+    both = pairs.join(of("v"), F.col("p_v") == F.col("v_id")).join(of("t"), (F.col("p_t") == F.col("t_id")) & (F.col("v_name") == F.col("t_name")))
+    bad = both.where("v_signature <> t_signature").groupBy("p_v", "p_t").agg(F.min("t_name").alias("method"))
+    return asserts.join(bad, (F.col("v_type") == F.col("p_v")) & (F.col("t_type") == F.col("p_t"))).select("site", "pos", "v_type", "t_type", "method")
+
+
+def lint_httpresponse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stmt_id, name): responses that the very next statement of the block defers a call on, so before the error is checked.
+
+    The call must be the http package's or a client's, and return a response and an error. A block is bounded, so is its window.
+    """
+    order = Window.partitionBy("fn_id", "bb_id").orderBy("pos")
+    stmts = frame(spark, sf_dir, "http_stmt").withColumn("next_kind", F.lead("kind").over(order)).withColumn("next_root", F.lead("root").over(order))
+    asks = (F.col("kind") == "assign") & F.col("called_on").isin("http", "net/http.Client", "*net/http.Client") & (F.col("results") == "(*net/http.Response, error)")
+    return stmts.where(asks & (F.col("next_kind") == "defer") & (F.col("root") == F.col("next_root"))).select("stmt_id", F.col("root").alias("name"))
+
+
 def pta_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, new_id): dense ids, nodes that lie in an object (that have a points-to label) first.
 
@@ -171,6 +195,10 @@ SQL = {
 WHERE is_test_file AND (regexp_matches(test_name, '^(Test|Benchmark)[a-z]') OR right(left(test_params, 11), 1) <> left(replace(test_name, 'Test', 'T'), 1))""",
     "lint_structtag": r'''SELECT struct_name, field, 'bad syntax' AS reason FROM {struct_tag} WHERE tag <> '' AND NOT regexp_full_match(tag, '[a-z]+:"[^"]*"( [a-z]+:"[^"]*")*')
 UNION ALL SELECT struct_name, field, 'repeats a name' FROM (SELECT struct_name, field, row_number() OVER (PARTITION BY struct_name, split_part(tag, '"', 2) ORDER BY field) AS nth FROM {struct_tag} WHERE regexp_full_match(tag, '[a-z]+:"[^"]*"( [a-z]+:"[^"]*")*')) WHERE nth > 1''',
+    "lint_ifaceassert": """SELECT DISTINCT a.site, a.pos, a.v_type, a.t_type, (SELECT min(t.name) FROM {iface_method} t WHERE t.type_id = a.t_type AND EXISTS (SELECT 1 FROM {iface_method} v WHERE v.type_id = a.v_type AND v.name = t.name AND v.signature <> t.signature)) AS method
+FROM {iface_assert} a JOIN {iface_method} x ON a.v_type = x.type_id JOIN {iface_method} y ON a.t_type = y.type_id AND x.name = y.name WHERE x.signature <> y.signature""",
+    "lint_httpresponse": """SELECT a.stmt_id, a.root AS name FROM {http_stmt} a JOIN {http_stmt} d ON a.fn_id = d.fn_id AND a.bb_id = d.bb_id AND d.pos = a.pos + 1 WHERE a.kind = 'assign' AND d.kind = 'defer' AND a.root = d.root
+AND a.results LIKE '%, error)' AND (a.called_on = 'http' OR a.called_on LIKE '%http.Client')""",
     "pta_renumber": "SELECT p_partkey AS node, CAST(row_number() OVER (ORDER BY CASE WHEN EXISTS (SELECT 1 FROM {obj_addr} o WHERE o.node = p_partkey) THEN 0 ELSE 1 END, p_partkey) - 1 AS BIGINT) AS new_id FROM {part}",
     "pta_type_flatten": "SELECT a.struct_name, concat('.', CAST(a.field AS VARCHAR)) AS path, CAST((SELECT coalesce(sum(b.size), 0) FROM {struct_layout} b WHERE b.struct_name = a.struct_name AND b.field < a.field) AS BIGINT) AS offset, CAST(a.size AS BIGINT) AS size FROM {struct_layout} a",
     "rel_widen": """SELECT l.fn_id, CASE WHEN u.lo < l.lo THEN NULL ELSE l.lo END AS low, CASE WHEN u.hi > l.hi THEN NULL ELSE l.hi END AS high FROM (SELECT fn_id, min(idx) AS lo, max(idx) AS hi FROM {inst} WHERE op = 'Lock' GROUP BY fn_id) l

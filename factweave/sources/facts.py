@@ -26,6 +26,11 @@ ctx_fn / ctx_node   functions, whether they are analysed apart for each call, an
 ctx_copy   copies inside functions
 obj_typedef / obj_part   types with what they are made of, and the parts of structs and tuples; a value of a type lies in consecutive nodes
 cell_addr / cell_copy   nodes and the first nodes of what they point to, and copies between nodes
+fn_parent / fn_text   functions nested in others, and names with those of the functions that they are nested in
+go_target   functions that go statements start, and whether the statement names them, makes them or only the call graph knows
+defer_closure   deferred instructions that run a closure
+iface_method / iface_assert   methods of interfaces, and assertions (pos: the case of a switch) from one interface to another
+http_stmt   statements of a block: what is called on what, with the variable that it is put in or called on
 path_query   access paths to be asked about, with the first node and the type of their operand
 value / operand   what instructions compute, and from what
 go_line / fix   lines of source files, and what to do to them
@@ -233,8 +238,22 @@ FROM {part} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS n(nr)
     "path_query": """SELECT type_id AS query_id, type_id * 64 AS node, type_id, CASE type_id % 17 WHEN 0 THEN 'x' WHEN 1 THEN '*x' WHEN 2 THEN 'x.a' WHEN 3 THEN '(*x).b' WHEN 4 THEN 'x[1]' WHEN 5 THEN '<-x' WHEN 6 THEN 'x.a.xs' WHEN 7 THEN '*x.b' WHEN 8 THEN 'x[0].a'
 WHEN 9 THEN '<-x[0]' WHEN 10 THEN '(x)["k"]' WHEN 11 THEN 'x.xs[2]' WHEN 12 THEN 'y.a' WHEN 13 THEN 'x.' WHEN 14 THEN '(<-x).a' WHEN 15 THEN 'x + 1' ELSE '(*x)[0]' END AS query FROM {obj_typedef}""",
 }
+# Facts of nested functions.
+FACTS |= {
+    "fn_parent": "SELECT c.fn_id, p.fn_id AS parent_fn FROM (SELECT DISTINCT user_id AS fn_id FROM {events}) c JOIN (SELECT DISTINCT user_id AS fn_id FROM {events}) p ON p.fn_id = c.fn_id - 1 WHERE c.fn_id % 3 > 0",
+    "fn_text": "SELECT f.fn_id, f.name, CASE WHEN n.name IS NULL THEN f.name ELSE concat(n.name, '$1') END AS text FROM {fn_name} f LEFT JOIN {fn_parent} p ON f.fn_id = p.fn_id LEFT JOIN {fn_name} n ON p.parent_fn = n.fn_id",
+    "go_target": """SELECT site, caller AS fn_id, callee AS target, CASE site % 3 WHEN 0 THEN 'static' WHEN 1 THEN 'closure' ELSE 'dynamic' END AS how FROM {call_edge} WHERE site_kind = 'Go'
+UNION ALL SELECT e.site, e.caller, p.fn_id, 'dynamic' FROM {call_edge} e JOIN {fn_parent} p ON e.caller = p.parent_fn WHERE e.site_kind = 'Go'""",
+    "defer_closure": "SELECT i.inst_id AS site, c.callee AS closure_fn FROM {inst} i JOIN {call_edge} c ON i.inst_id = c.site WHERE i.is_defer",
+}
 # Facts of the lint passes.
 FACTS |= {
+    "iface_method": """SELECT p_partkey AS type_id, n.name, CASE WHEN (p_size + n.nr) % 4 = 0 THEN '()' ELSE '([]byte) (int, error)' END AS signature
+FROM {part} JOIN (VALUES (0, 'Read'), (1, 'Write'), (2, 'Close'), (3, 'Len')) AS n(nr, name) ON (p_partkey + n.nr) % 3 > 0""",
+    "iface_assert": "SELECT l_orderkey * 8 + l_linenumber AS site, CAST(k.nr AS BIGINT) AS pos, l_partkey AS v_type, l_suppkey + k.nr AS t_type FROM {lineitem} JOIN (VALUES (0), (1)) AS k(nr) ON k.nr = 0 OR l_linenumber % 3 = 0",
+    "http_stmt": """SELECT inst_id AS stmt_id, fn_id, bb_id, pos, CASE inst_id % 4 WHEN 0 THEN 'assign' WHEN 3 THEN 'other' ELSE 'defer' END AS kind,
+CASE inst_id % 5 WHEN 0 THEN 'http' WHEN 1 THEN '*net/http.Client' WHEN 2 THEN 'net/http.Client' WHEN 3 THEN '*net/http.Server' ELSE 'other' END AS called_on,
+CASE WHEN inst_id % 7 = 0 THEN '(*net/http.Response)' ELSE '(*net/http.Response, error)' END AS results, CASE WHEN inst_id % 6 > 0 THEN concat('r', CAST(inst_id % 3 AS STRING)) END AS root FROM {inst}""",
     "go_type": _values([(i, *t) for i, t in enumerate(TYPES)], "nr, type, kind, bits, pointee, is_iface, is_error"),
     "go_call": _values(list(enumerate(CALLS)), "nr, callee"),
     "std_method": _values([(i, *m) for i, m in enumerate(STD_METHODS)], "nr, name, signature"),
