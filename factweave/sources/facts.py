@@ -26,6 +26,9 @@ ctx_fn / ctx_node   functions, whether they are analysed apart for each call, an
 ctx_copy   copies inside functions
 obj_typedef / obj_part   types with what they are made of, and the parts of structs and tuples; a value of a type lies in consecutive nodes
 cell_addr / cell_copy   nodes and the first nodes of what they point to, and copies between nodes
+fix_inst / fix_edge   instructions by kind with what they call, up to a block's end, and the blocks that follow
+chan_made / chan_site   where a channel is made, and its operations with the go statement that started their goroutine (null: the main one)
+go_start / fn_sig   what go statements start, and the first result of functions
 fn_parent / fn_text   functions nested in others, and names with those of the functions that they are nested in
 go_target   functions that go statements start, and whether the statement names them, makes them or only the call graph knows
 defer_closure   deferred instructions that run a closure
@@ -238,6 +241,21 @@ FROM {part} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS n(nr)
     "path_query": """SELECT type_id AS query_id, type_id * 64 AS node, type_id, CASE type_id % 17 WHEN 0 THEN 'x' WHEN 1 THEN '*x' WHEN 2 THEN 'x.a' WHEN 3 THEN '(*x).b' WHEN 4 THEN 'x[1]' WHEN 5 THEN '<-x' WHEN 6 THEN 'x.a.xs' WHEN 7 THEN '*x.b' WHEN 8 THEN 'x[0].a'
 WHEN 9 THEN '<-x[0]' WHEN 10 THEN '(x)["k"]' WHEN 11 THEN 'x.xs[2]' WHEN 12 THEN 'y.a' WHEN 13 THEN 'x.' WHEN 14 THEN '(<-x).a' WHEN 15 THEN 'x + 1' ELSE '(*x)[0]' END AS query FROM {obj_typedef}""",
 }
+# Facts of repairs. Blocks 4, 10, 16 and so on of a function return.
+FACTS |= {
+    "fix_edge": "SELECT fn_id, src_bb, dst_bb FROM {bb_edge} WHERE src_bb % 6 <> 4",
+    "fix_inst": """SELECT fn_id, bb_id, idx * 4 AS idx, inst_id, line, kind, CASE kind WHEN 'Call' THEN CASE inst_id % 5 WHEN 0 THEN 'close' WHEN 1 THEN 'fmt.Println' WHEN 2 THEN 'time.Sleep' WHEN 3 THEN CASE WHEN inst_id % 4 = 0 THEN '(*log.Logger).Log' ELSE 'use' END
+ELSE CASE WHEN inst_id % 3 = 0 THEN '(*testing.common).Fatal' ELSE 'run' END END WHEN 'Defer' THEN CASE WHEN inst_id % 9 = 0 THEN '(*os.File).Close' ELSE 'done' END END AS callee
+FROM (SELECT *, CASE op WHEN 'Call' THEN CASE inst_id % 7 WHEN 0 THEN 'Go' WHEN 1 THEN 'Defer' ELSE 'Call' END ELSE CASE WHEN op = 'Recv' AND inst_id % 9 = 0 THEN 'Select' WHEN op IN ('Send', 'Recv') AND inst_id % 3 = 0 THEN op ELSE 'UnOp' END END AS kind FROM {inst})
+UNION ALL SELECT b.fn_id, b.bb_id, b.last_idx * 4 + 1, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CASE WHEN e.n IS NULL THEN 'RunDefers' WHEN e.n = 1 THEN 'Jump' ELSE 'If' END, NULL FROM {bb_ends} b LEFT JOIN (SELECT fn_id, src_bb, count(*) AS n FROM {fix_edge} GROUP BY fn_id, src_bb) e ON b.fn_id = e.fn_id AND b.bb_id = e.src_bb
+UNION ALL SELECT b.fn_id, b.bb_id, b.last_idx * 4 + 2, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'Return', NULL FROM {bb_ends} b LEFT JOIN {fix_edge} e ON b.fn_id = e.fn_id AND b.bb_id = e.src_bb WHERE e.src_bb IS NULL""",
+    "chan_made": "SELECT i.ch_id, i.fn_id, i.bb_id, i.idx * 2 + 1 AS line FROM (SELECT CAST(floor(inst_id / 8) AS BIGINT) AS ch_id, fn_id, bb_id, idx, row_number() OVER (PARTITION BY CAST(floor(inst_id / 8) AS BIGINT) ORDER BY inst_id) AS nth FROM {inst}) i WHERE nth = 1",
+    "chan_site": """SELECT CAST(floor(i.inst_id / 8) AS BIGINT) AS ch_id, i.inst_id, i.fn_id, i.bb_id, i.idx, i.line, CASE i.kind WHEN 'Send' THEN 'send' WHEN 'Call' THEN 'close' ELSE 'recv' END AS dir, i.kind = 'Select' AS is_select,
+CASE WHEN i.inst_id % 4 > 0 THEN g.site END AS thread, i.inst_id % 6 = 0 AS by_line FROM {fix_inst} i LEFT JOIN (SELECT callee, min(site) AS site FROM {call_edge} WHERE site_kind = 'Go' GROUP BY callee) g ON i.fn_id = g.callee
+WHERE i.kind IN ('Send', 'Recv', 'Select') OR (i.kind = 'Call' AND i.callee = 'close')""",
+    "go_start": "SELECT e.site, i.fn_id, i.bb_id, e.callee, e.site % 3 <> 1 AS is_static FROM {call_edge} e JOIN {inst} i ON e.site = i.inst_id WHERE e.site_kind = 'Go'",
+    "fn_sig": "SELECT fn_id, name, CASE WHEN name LIKE 'New%' THEN concat('p.', substr(name, 4)) WHEN fn_id % 9 = 0 THEN '<-chan int' WHEN fn_id % 9 = 1 THEN 'p.Client' ELSE '' END AS result FROM {fn_name}",
+}
 # Facts of nested functions.
 FACTS |= {
     "fn_parent": "SELECT c.fn_id, p.fn_id AS parent_fn FROM (SELECT DISTINCT user_id AS fn_id FROM {events}) c JOIN (SELECT DISTINCT user_id AS fn_id FROM {events}) p ON p.fn_id = c.fn_id - 1 WHERE c.fn_id % 3 > 0",
