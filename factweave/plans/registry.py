@@ -6,12 +6,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import callgraph, cfg, chains, closures, conditions, lint, locks, objects, patches, paths, program, repairs, syncgraph, values
+from ..operators import callgraph, cfg, chains, closures, conditions, lint, locks, objects, patches, paths, program, repairs, reports, syncgraph, values
 from ..sources import facts
 from .shared import SHARED
 
 
-OPERATORS = (cfg, locks, program, paths, lint, syncgraph, chains, conditions, callgraph, values, patches, objects, closures, repairs)
+OPERATORS = (cfg, locks, program, paths, lint, syncgraph, chains, conditions, callgraph, values, patches, objects, closures, repairs, reports)
 
 
 def _shared(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
