@@ -121,9 +121,9 @@ def lint_structtag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lint_ifaceassert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, pos, v_type, t_type, method): assertions between interfaces that no type can meet, with the first method of both whose signatures differ.
 
-    Equal pairs of interfaces are compared once, however many sites have them. Types without methods never conflict.
+    Equal pairs of interfaces are compared once, however many sites have them. Types without methods never conflict; an assertion that is there twice stands once.
     """
-    asserts, methods = frame(spark, sf_dir, "iface_assert"), frame(spark, sf_dir, "iface_method")
+    asserts, methods = frame(spark, sf_dir, "iface_assert").distinct(), frame(spark, sf_dir, "iface_method")
     of = lambda k: methods.select(F.col("type_id").alias(f"{k}_id"), F.col("name").alias(f"{k}_name"), F.col("signature").alias(f"{k}_signature"))
     pairs = asserts.select(F.col("v_type").alias("p_v"), F.col("t_type").alias("p_t")).distinct()
     both = pairs.join(of("v"), F.col("p_v") == F.col("v_id")).join(of("t"), (F.col("p_t") == F.col("t_id")) & (F.col("v_name") == F.col("t_name")))
