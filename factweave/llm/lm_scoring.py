@@ -38,7 +38,9 @@ from .textcols import Spans, Texts, column, hashes, lowered, mix, pieces, symbol
 FREQUENT, CLASSES, DIM, NOISE, BATCH, ROUNDS, RATE, START = 1536, 512, 16, 128, 8192, 1, 0.1, 100.0
 SYMBOLS = FREQUENT + CLASSES
 HEAD = 1 << 18
-COUNT_BYTES = 32 << 20
+COUNT_BYTES = 8 << 20
+#: Text that a task scores at once: a token takes some twenty numbers meanwhile.
+SCORE_BYTES = 1 << 18
 #: Hash of the end token, which is no word: the empty byte string.
 END = int(mix(np.zeros(1, np.uint64))[0])
 PARTS = 32
@@ -150,21 +152,30 @@ class Model:
 
     def log10(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Normalised log-probability of each symbol in its context."""
-        a1, a2, norm = _tables(self.params[0].tobytes(), self.params[1].tobytes())
-        return (a1[one, w].astype(np.float64) + a2[two, w] - norm[one, two]) / np.log(10)
+        (e, b), norm = self.params, _normaliser(self.params[0].tobytes(), self.params[1].tobytes())
+        c1, c2, q = e[:SYMBOLS], e[SYMBOLS : 2 * SYMBOLS], e[2 * SYMBOLS :]
+        out = np.empty(len(w))
+        for i in range(0, len(w), BATCH):
+            at = slice(i, i + BATCH)
+            out[at] = np.einsum("ij,ij->i", c1[one[at]] + c2[two[at]], q[w[at]], dtype=np.float64) + b[w[at]] - norm[one[at], two[at]]
+        return out / np.log(10)
 
 
 @lru_cache(maxsize=1)
-def _tables(embeddings: bytes, bias: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores by either context symbol, and the log-normaliser of each pair of them; made once in each worker process."""
+def _normaliser(embeddings: bytes, bias: bytes) -> np.ndarray:
+    """The log-normaliser of each pair of context symbols, made once in each worker process: the one table that a worker holds."""
     e, b = np.frombuffer(embeddings, np.float32).reshape(3, SYMBOLS, DIM), np.frombuffer(bias, np.float32)
-    a1, a2 = e[0] @ e[2].T + b, e[1] @ e[2].T
+    a1, a2 = e[0] @ e[2].T, e[1] @ e[2].T
+    a1 += b
     top1, top2 = a1.max(1), a2.max(1)
-    norm = np.exp(a1 - top1[:, None]) @ np.exp(a2 - top2[:, None]).T
+    for a, top in ((a1, top1), (a2, top2)):
+        a -= top[:, None]
+        np.exp(a, out=a)
+    norm = a1 @ a2.T
     np.log(norm, out=norm)
     norm += top1[:, None]
     norm += top2
-    return a1, a2, norm
+    return norm
 
 
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +296,7 @@ def _score(model: Model, k: dict):
         whole = k["N"] + 0.5 * (k["V"] + 1)
         by_class = k["n"] + 0.5 * (k["v"] + 1)
         for batch in rows:
-            for t in pieces(column(batch.column(1))):
+            for t in pieces(column(batch.column(1)), SCORE_BYTES):
                 h, kind, start, end, bounds = tokens(t)
                 own = np.repeat(np.arange(len(t)), np.diff(bounds))
                 w = model.symbols(h, kind)
