@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from factweave.operators import callgraph, fixpoint
+from factweave.operators import callgraph, chains, fixpoint, program
 
 
 def test_estimates_do_not_multiply_over_rounds(spark):
@@ -20,6 +20,37 @@ def test_estimates_do_not_multiply_over_rounds(spark):
     assert {r[0] for r in now.collect()} == set(range(7, 51))
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_do_not_broadcast_edges_or_what_is_known(spark, monkeypatch):
+    plans, kept = [], fixpoint.keep
+    monkeypatch.setattr(fixpoint, "keep", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    edges = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    start = spark.createDataFrame([(0, 0)], "root long, node long")
+    assert {r["node"] for r in fixpoint.reach(start, edges).collect()} == set(range(13))
+    rounds = [p for p in plans if "LeftAnti" in p]
+    assert rounds and not any("BroadcastHashJoin" in p for p in rounds)
+
+
+def test_types_and_interfaces_meet_by_classes(spark, tmp_path):
+    own = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 1), (None, 1), (None, 2), (5, None), (5, 1)]
+    need = [(7, 1), (8, 1), (8, 2), (9, 4), (10, 1), (10, None), (None, 1)]
+    for name, rows in (("method_set", own), ("method_need", need)):
+        pd.DataFrame(rows, columns=["fn_id", "prim"], dtype="Int64").to_parquet(tmp_path / f"{name}.parquet")
+    found = program.guru_implements(spark, str(tmp_path))
+    assert "Aggregate" not in _plan(found)  # pairs are written as they are found
+    assert {tuple(r) for r in found.collect()} == {(t, 7) for t in (1, 2, 4, 5, None)} | {(t, 8) for t in (1, 2, None)}
+
+
+def test_lowest_callers_of_one_two_and_more_users(spark):
+    reach = [(f, f, 0) for f in range(1, 8)] + [(1, 2, 1), (1, 3, 1), (1, 4, 1), (5, 2, 1), (5, 3, 1), (6, 5, 1), (6, 2, 2), (6, 3, 2), (7, 4, 1)]
+    users = [(0, 2), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4), (3, 2), (3, 7), (4, 2), (4, None)]
+    got = chains._lowest(spark.createDataFrame(users, "ch long, fn_id long"), spark.createDataFrame(reach, "caller long, fn long, depth int"))
+    assert {tuple(r) for r in got.collect()} == {(0, 2), (1, 1), (1, 5), (2, 1)}
+
+
 def test_rapid_types_take_few_rounds(spark, tmp_path, monkeypatch):
     """A chain of 40 calls, then a method that a type made at the end reaches."""
     n = 40
