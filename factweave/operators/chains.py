@@ -33,9 +33,21 @@ def _reach(edges: DataFrame, users: DataFrame) -> DataFrame:
 
 def _lowest(users: DataFrame, reach: DataFrame) -> DataFrame:
     """(ch, lca): the lowest common callers of a channel's users."""
-    need = users.groupBy(F.col("ch").alias("n_ch")).agg(F.count(F.lit(1)).alias("n"))
-    met = users.join(reach, F.col("fn_id") == F.col("fn")).groupBy("ch", "caller").agg(F.count(F.lit(1)).alias("met"))
-    common = keep(met.join(need, (F.col("ch") == F.col("n_ch")) & (F.col("met") == F.col("n"))).select("ch", F.col("caller").alias("lca")))
+    n = users.groupBy(F.col("ch").alias("n_ch")).agg(F.count(F.lit(1)).alias("n"))
+    above = reach.groupBy("fn").agg(F.count(F.lit(1)).alias("above"))
+    sized = keep(users.join(above, F.col("fn_id") == F.col("fn")).select("ch", F.struct("above", "fn_id").alias("user")))
+    one = sized.groupBy(F.col("ch").alias("o_ch")).agg(F.min("user").alias("one"))
+    two = sized.join(one, (F.col("ch") == F.col("o_ch")) & (F.col("user") != F.col("one"))).groupBy(F.col("ch").alias("t_ch")).agg(F.min("user").alias("two"))
+    # The callers of the user with the fewest that call the next one too: few are left to be held against all users of a channel.
+    pair = n.join(one, F.col("n_ch") == F.col("o_ch")).join(two, F.col("n_ch") == F.col("t_ch"), "left")
+    pair = keep(pair.select(F.col("n_ch").alias("ch"), "n", F.col("one.fn_id").alias("fn1"), F.col("two.fn_id").alias("fn2")))
+    start = pair.join(reach, F.col("fn1") == F.col("fn")).select("ch", "n", "fn2", "caller")
+    next_ = reach.select(F.col("caller").alias("x_caller"), F.col("fn").alias("x_fn"))
+    both = keep(start.where("n > 1").join(next_, (F.col("caller") == F.col("x_caller")) & (F.col("fn2") == F.col("x_fn")), "left_semi"))
+    many = both.where("n > 2").join(users.withColumnRenamed("ch", "u_ch"), F.col("ch") == F.col("u_ch"))
+    many = many.join(next_, (F.col("caller") == F.col("x_caller")) & (F.col("fn_id") == F.col("x_fn")), "left_semi").groupBy("ch", "caller", "n").agg(F.count(F.lit(1)).alias("met"))
+    whole = start.where("n = 1").select("ch", "caller").union(both.where("n = 2").select("ch", "caller")).union(many.where("met = n").select("ch", "caller"))
+    common = keep(whole.select("ch", F.col("caller").alias("lca")))
     below = common.select(F.col("ch").alias("b_ch"), F.col("lca").alias("low")).join(reach.where("depth > 0"), F.col("low") == F.col("fn")).select("b_ch", "low", "caller")
     back = reach.select(F.col("caller").alias("up_from"), F.col("fn").alias("up_to"))
     higher = below.join(back, (F.col("low") == F.col("up_from")) & (F.col("caller") == F.col("up_to")), "left_anti")
