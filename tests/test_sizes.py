@@ -64,3 +64,14 @@ def test_rapid_types_take_few_rounds(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(module, "keep", lambda df: calls.append(1) or kept(df))
     assert {tuple(r) for r in callgraph.cg_rta(spark, str(tmp_path)).collect()} == {(k, k + 1) for k in range(n)} | {(3, 70)}
     assert len(calls) < 40
+
+
+def test_components_of_a_long_ring_take_few_jobs(spark, monkeypatch):
+    """A ring of 100 calls that enters a ring of 3, and a function that calls itself."""
+    ring = [(k, (k + 1) % 100) for k in range(100)] + [(50, 200), (200, 201), (201, 202), (202, 200), (300, 300), (None, 1)]
+    calls, kept = [], fixpoint.keep
+    for module in (fixpoint, program):
+        monkeypatch.setattr(module, "keep", lambda df: calls.append(1) or kept(df))
+    found = program.components(spark.createDataFrame(ring, "src long, dst long"))
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(100)} | {(k, 200) for k in (200, 201, 202)} | {(300, 300)}
+    assert len(calls) < 40
