@@ -75,3 +75,15 @@ def test_components_of_a_long_ring_take_few_jobs(spark, monkeypatch):
     found = program.components(spark.createDataFrame(ring, "src long, dst long"))
     assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(100)} | {(k, 200) for k in (200, 201, 202)} | {(300, 300)}
     assert len(calls) < 40
+
+
+def test_rounds_of_points_to_hold_only_nodes_that_go_on(spark, tmp_path, monkeypatch):
+    """1 and 2 copy to each other and to 50 ends; one end and a node apart have objects of their own, node 3 has none."""
+    copies = [(1, 2), (2, 1), (3, 1)] + [(k % 2 + 1, 100 + k) for k in range(50)]
+    pd.DataFrame(copies, columns=["src", "dst"]).to_parquet(tmp_path / "obj_copy.parquet")
+    pd.DataFrame([(1, 7), (2, 8), (100, 9), (900, 9)], columns=["node", "label"]).to_parquet(tmp_path / "obj_addr.parquet")
+    rounds, solve = [], fixpoint.semi_naive
+    monkeypatch.setattr(program, "semi_naive", lambda *a, **k: rounds.append(solve(*a, **k)) or rounds[-1])
+    want = {(n, x) for n in (1, 2, *range(100, 150)) for x in (7, 8)} | {(100, 9), (900, 9)}
+    assert sorted(tuple(r) for r in program.points_to(spark, str(tmp_path)).collect()) == sorted(want)
+    assert {r["node"] for r in rounds[0].collect()} == {1, 2}
