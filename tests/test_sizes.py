@@ -87,3 +87,11 @@ def test_rounds_of_points_to_hold_only_nodes_that_go_on(spark, tmp_path, monkeyp
     want = {(n, x) for n in (1, 2, *range(100, 150)) for x in (7, 8)} | {(100, 9), (900, 9)}
     assert sorted(tuple(r) for r in program.points_to(spark, str(tmp_path)).collect()) == sorted(want)
     assert {r["node"] for r in rounds[0].collect()} == {1, 2}
+
+
+def test_contexts_of_a_function_do_not_meet_in_pairs(spark, sf_dir, monkeypatch):
+    plans, kept = [], fixpoint.keep
+    monkeypatch.setattr(callgraph, "keep", lambda df: plans.append(_plan(df)) or kept(df))
+    callgraph.points_to_context(spark, sf_dir)
+    arcs = [line for p in plans for line in p.splitlines() if "Join" in line and "s_ctx" in line and "d_ctx" in line]
+    assert arcs and not any(" OR " in line for line in arcs)
