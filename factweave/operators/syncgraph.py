@@ -18,6 +18,7 @@ prefixes, and combinations of a root their product: bounded by a program's funct
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -47,46 +48,81 @@ UNION ALL SELECT DISTINCT root, task, 0, root FROM {go_task}
 UNION ALL SELECT DISTINCT c.fn_id, t.task, 0, c.fn_id FROM {chan_op} c JOIN {task_chan} t ON c.ch_id = t.ch_id LEFT JOIN (SELECT caller AS go_fn FROM {call_edge} WHERE site_kind = 'Go' UNION SELECT callee FROM {call_edge} WHERE site_kind = 'Go') g ON c.fn_id = g.go_fn WHERE g.go_fn IS NULL"""
 
 
-def words_of(steps: dict, succ: dict, order: dict, first, unroll: int = UNROLL) -> set[tuple]:
+def words_of(steps: dict, succ: dict, order: dict, first, unroll: int = UNROLL, ends: dict | None = None) -> set[tuple]:
     """Words along the ways from first to an end: steps of a node in turn, a function's first start only; a way takes at most
-    unroll edges back."""
+    unroll edges back. A node may stand for several in a row: ends then has the place of the last one."""
+    ends = order if ends is None else ends
     grown = lambda w, more: w + tuple(x for x in more if x[0] != "G" or x not in w)
-    here: list[dict] = [{n: set() for n in succ} for _ in range(unroll + 1)]
+    here: list[dict] = [{} for _ in range(unroll + 1)]
     here[0][first] = {grown((), steps.get(first, ()))}
     out = set()
-    for back in range(unroll + 1):
+    for back, level_words in enumerate(here):
         for n in sorted(succ, key=order.get):
-            words = here[back][n]
+            words = level_words.get(n)
+            if not words:
+                continue
             if not succ[n]:
                 out |= words
-            for m in succ[n] if words else ():
-                level = back + (order[m] <= order[n])
+            for m in succ[n]:
+                level = back + (order[m] <= ends[n])
                 if level <= unroll:
-                    here[level][m] |= {grown(w, steps[m]) for w in words} if m in steps else words
+                    here[level].setdefault(m, set()).update({grown(w, steps[m]) for w in words} if m in steps else words)
+    return out
+
+
+def runs_of(succ: dict, order: dict, first) -> dict:
+    """Nodes in a row, by the first of each row: what follows has one way in, is the one way on and stands later."""
+    into: dict = {}
+    for ms in succ.values():
+        for m in ms:
+            into[m] = into.get(m, 0) + 1
+    joined = {ms[0]: n for n, ms in succ.items() if len(ms) == 1 and ms[0] != first and into[ms[0]] == 1 and order[ms[0]] > order[n]}
+    out = {}
+    for n in succ:
+        if n not in joined:
+            row = [n]
+            while len(succ[row[-1]]) == 1 and joined.get(succ[row[-1]][0]) == row[-1]:
+                row.append(succ[row[-1]][0])
+            out[n] = row
     return out
 
 
-def sync_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str) -> dict:
+    """The facts that words, goroutines and buffers are made of, each derived once for a query."""
+    seen: dict = {}
+    for name in ("inst", "chan_op", "task_chan", "go_task"):
+        seen[name] = keep(frame(spark, sf_dir, name, seen))
+    return seen
+
+
+def sync_paths(spark: SparkSession, sf_dir: str, seen: dict | None = None) -> DataFrame:
     """(fn_id, task, word): the words of each function's ways from entry to exit, for each task that it takes part in.
 
     A word is text: steps with a space between. S, R and C send to, receive from and close a channel (number@instruction), G starts
     a function with operations of the task (the first time). A function without a way to an exit has no words.
     """
-    tasks = run_sql(spark, sf_dir, _TASKS).groupBy(F.col("fn_id").alias("t_fn")).agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.col("task").cast("string")))).alias("tasks"))
-    nodes = run_sql(spark, sf_dir, _NODES).join(tasks, F.col("fn_id") == F.col("t_fn")).drop("t_fn")
-    edges = frame(spark, sf_dir, "bb_edge").select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
+    seen = _facts(spark, sf_dir) if seen is None else seen
+    tasks = run_sql(spark, sf_dir, _TASKS, seen).groupBy(F.col("fn_id").alias("t_fn")).agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.col("task").cast("string")))).alias("tasks"))
+    nodes = run_sql(spark, sf_dir, _NODES, seen).join(tasks, F.col("fn_id") == F.col("t_fn")).drop("t_fn")
+    edges = frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
 
     def solve(g, succ):
         ids = g["id"].tolist()
         order = dict(zip(ids, g["idx"].tolist(), strict=True))
         first = min(ids, key=order.get)
+        rows = runs_of(succ, order, first)
+        short = {n: succ[row[-1]] for n, row in rows.items()}
+        ends = {n: order[row[-1]] for n, row in rows.items()}
+        text = dict(zip(ids, g["steps"], strict=True))
         own: dict = {}
-        for n, text in zip(ids, g["steps"], strict=True):
-            for step in text.split():
+        for n, row in rows.items():
+            for step in " ".join(text[m] for m in row).split():
                 task, _, name = step.partition(":")
-                own.setdefault(int(task), {}).setdefault(n, []).append(name)
+                names = own.setdefault(int(task), {}).setdefault(n, [])
+                if name[0] != "G" or name not in names:
+                    names.append(name)
         tasks = map(int, g["tasks"][0].split())
-        return [(task, " ".join(w)) for task in tasks for w in words_of({n: tuple(x) for n, x in own[task].items()}, succ, order, first)]
+        return [(task, " ".join(w)) for task in tasks for w in words_of({n: tuple(x) for n, x in own[task].items()}, short, order, first, ends=ends)]
 
     return per_function(nodes, edges, solve, "fn_id long, task long, word string")
 
@@ -111,44 +147,52 @@ def _options(words: DataFrame) -> DataFrame:
     return rows.withColumn("executed", F.array_join(F.slice("steps", 1, F.col("n_executed")), " ")).withColumn("blocked", blocked).drop("steps")
 
 
-def _folded(spark: SparkSession, sf_dir: str, options: DataFrame) -> DataFrame:
+def _folded(spark: SparkSession, sf_dir: str, seen: dict, options: DataFrame, ends: Column | None = None, tallied: Callable = lambda rows: rows) -> DataFrame:
     """(root, task, executed, blocked): one option (fn_id, task, executed, blocked) for each goroutine of a root, as arrays by k.
 
     A goroutine that is not started has no steps; one that is started and has no word (no way to an exit) leaves no combination.
-    Blocked operations that could meet drop the combination.
+    Blocked operations that could meet drop the combination. tallied gives options their tally, which is added up. ends: what is asked
+    of whole combinations, before they are kept. What a fold compares is taken from an option's text once, not in every combination.
     """
-    members = keep(run_sql(spark, sf_dir, _MEMBERS))
+    members = keep(run_sql(spark, sf_dir, _MEMBERS, seen))
     started = members.where("k > 0").select("root", "task", "k", F.col("fn_id").alias("m_fn"))
-    whole = keep(options.select(F.col("fn_id").alias("o_fn"), F.col("task").alias("o_task"), "executed", "blocked").distinct())
+    goes, meet = F.filter(_steps(F.col("executed")), lambda x: x.startswith("G")), F.split_part(F.col("blocked"), F.lit("@"), F.lit(1))
+    whole = keep(tallied(options.select(F.col("fn_id").alias("o_fn"), F.col("task").alias("o_task"), "executed", "blocked").distinct()).withColumns({"goes": goes, "meet": meet, "against": F.translate(meet, "SR", "RS")}))
+    tally = ["tally"] if "tally" in whole.columns else []
     silent = F.array_join(F.filter(_steps(F.col("executed")), lambda x: ~x.startswith("G")), " ")  # what started functions start is not followed
-    other = keep(whole.select("o_fn", "o_task", silent.alias("o_executed"), F.col("blocked").alias("o_blocked")).distinct())
+    other = keep(whole.select("o_fn", "o_task", silent.alias("o_executed"), F.col("blocked").alias("o_blocked"), F.col("meet").alias("o_meet"), F.col("against").alias("o_against"), *(F.col(c).alias(f"o_{c}") for c in tally)).distinct())
     most = members.agg(F.max("k")).first()[0] or 0
     sizes = members.groupBy(F.col("root").alias("s_root"), F.col("task").alias("s_task")).agg(F.max("k").alias("last"))
     heads = members.where("k = 0").join(sizes, (F.col("root") == F.col("s_root")) & (F.col("task") == F.col("s_task")))
-    now = heads.join(whole, (F.col("fn_id") == F.col("o_fn")) & (F.col("task") == F.col("o_task"))).select("root", "task", "last", F.array("executed").alias("executed"), F.array("blocked").alias("blocked"))
-    done = now.where("last = 0")
+    lists = ("executed", "blocked", "against")
+    now = heads.join(whole, (F.col("fn_id") == F.col("o_fn")) & (F.col("task") == F.col("o_task"))).select("root", "task", "last", "goes", *(F.array(c).alias(c) for c in lists), *tally)
+    ask = lambda rows, k: rows if ends is None else rows.where((F.col("last") > k) | ends)
+    done = ask(now.where("last = 0"), 0)
+    summed = F.zip_with("tally", "o_tally", lambda x, y: F.struct(x["cap"].alias("cap"), *((x[c] + y[c]).alias(c) for c in ("rest", "shut", "sends", "recvs")))).alias("tally")
     for k in range(1, most + 1):
         here = started.where(F.col("k") == k).select(F.col("root").alias("m_root"), F.col("task").alias("m_task"), "m_fn")
         joined = now.where(F.col("last") >= k).join(here, (F.col("root") == F.col("m_root")) & (F.col("task") == F.col("m_task")))
-        runs = F.array_contains(_steps(F.col("executed")[0]), F.concat(F.lit("G"), F.col("m_fn").cast("string")))
-        idle = joined.where(~runs).select("root", "task", "last", F.array_append("executed", F.lit("")).alias("executed"), F.array_append("blocked", F.lit("")).alias("blocked"))
+        runs = F.array_contains("goes", F.concat(F.lit("G"), F.col("m_fn").cast("string")))
+        idle = joined.where(~runs).select("root", "task", "last", "goes", *(F.array_append(c, F.lit("")).alias(c) for c in lists), *tally)
         pairs = joined.where(runs).join(other, (F.col("m_fn") == F.col("o_fn")) & (F.col("task") == F.col("o_task")))
-        meets = F.exists("blocked", lambda b: (F.translate(F.split_part(b, F.lit("@"), F.lit(1)), "SR", "RS") == F.split_part(F.col("o_blocked"), F.lit("@"), F.lit(1))) & (b != ""))
-        pairs = pairs.where(~meets).select("root", "task", "last", F.array_append("executed", F.col("o_executed")).alias("executed"), F.array_append("blocked", F.col("o_blocked")).alias("blocked"))
-        now = keep(idle.unionByName(pairs))
+        pairs = pairs.where((F.col("o_meet") == "") | ~F.array_contains("against", F.col("o_meet")))
+        pairs = pairs.select("root", "task", "last", "goes", *(F.array_append(c, F.col(f"o_{c}")).alias(c) for c in lists), *([summed] if tally else []))
+        now = keep(ask(idle.unionByName(pairs), k))
         done = done.unionByName(now.where(F.col("last") == k))
     return done.select("root", "task", "executed", "blocked")
 
 
 def path_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, task, paths): one whole word for each goroutine, in all combinations."""
-    words = keep(sync_paths(spark, sf_dir))
-    whole = _folded(spark, sf_dir, words.select("fn_id", "task", F.col("word").alias("executed"), F.lit("").alias("blocked")))
+    seen = _facts(spark, sf_dir)
+    words = keep(sync_paths(spark, sf_dir, seen))
+    whole = _folded(spark, sf_dir, seen, words.select("fn_id", "task", F.col("word").alias("executed"), F.lit("").alias("blocked")))
     return whole.select("root", "task", F.array_join("executed", " | ").alias("paths"))
 
 
 def _blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folded(spark, sf_dir, _options(keep(sync_paths(spark, sf_dir)))).where(F.exists("blocked", lambda b: b != ""))
+    seen = _facts(spark, sf_dir)
+    return _folded(spark, sf_dir, seen, _options(keep(sync_paths(spark, sf_dir, seen))), F.exists("blocked", lambda b: b != ""))
 
 
 def _texts(rows: DataFrame, *more: str) -> DataFrame:
@@ -160,27 +204,39 @@ def blocking_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(_blocking(spark, sf_dir))
 
 
-def _counted(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """rows whose executed operations leave each channel so that the blocked ones block; with buffers (channel, capacity)."""
-    buffers = run_sql(spark, sf_dir, "SELECT t.task AS b_task, t.ch_id, c.buffer FROM {task_chan} t JOIN {channel} c ON t.ch_id = c.ch_id")
-    buffers = buffers.groupBy("b_task").agg(F.sort_array(F.collect_set(F.struct(F.col("ch_id").cast("string").alias("ch"), F.col("buffer").cast("int").alias("cap")))).alias("buffers"))
-    every = _steps(F.array_join("executed", " "))
-    has = lambda steps, op, ch: F.size(F.filter(steps, lambda x: F.split_part(x, F.lit("@"), F.lit(1)) == F.concat(F.lit(op), ch)))
+def _buffers(spark: SparkSession, sf_dir: str, seen: dict) -> DataFrame:
+    """(b_task, buffers): the channels of a task (ch, cap), in order."""
+    buffers = run_sql(spark, sf_dir, "SELECT t.task AS b_task, t.ch_id, c.buffer FROM {task_chan} t JOIN {channel} c ON t.ch_id = c.ch_id", seen)
+    return buffers.groupBy("b_task").agg(F.sort_array(F.collect_set(F.struct(F.col("ch_id").cast("string").alias("ch"), F.col("buffer").cast("int").alias("cap")))).alias("buffers"))
+
+
+def _counted(spark: SparkSession, sf_dir: str, seen: dict, buffers: DataFrame) -> DataFrame:
+    """The blocking combinations whose executed operations leave each channel so that the blocked ones block.
+
+    Each option has its tally, channel by channel; folds add tallies up, and whole combinations are judged by them before they are kept.
+    """
+    is_op = lambda x, op, ch: F.split_part(x, F.lit("@"), F.lit(1)) == F.concat(F.lit(op), ch)
+    has = lambda op, ch: F.size(F.filter("steps", lambda x: is_op(x, op, ch)))
+
+    def tally(b: Column) -> Column:
+        at = (is_op(F.col("blocked"), op, b["ch"]).cast("int") for op in "SR")
+        return F.struct(b["cap"].alias("cap"), (has("S", b["ch"]) - has("R", b["ch"])).alias("rest"), has("C", b["ch"]).alias("shut"), *(x.alias(c) for x, c in zip(at, ("sends", "recvs"), strict=True)))
+
+    def legal(x: Column) -> Column:
+        fits = (x["shut"] <= 1) & (x["rest"] <= x["cap"]) & ((x["shut"] > 0) | (x["rest"] >= 0))
+        return fits & ((x["sends"] == 0) | ((x["shut"] == 0) & (x["rest"] == x["cap"]))) & ((x["recvs"] == 0) | ((x["shut"] == 0) & (x["rest"] == 0)))
 
-    def legal(b: Column) -> Column:
-        sent, got, closed = (has(F.col("every"), op, b["ch"]) for op in "SRC")
-        send, recv = (has(F.col("blocked"), op, b["ch"]) > 0 for op in "SR")
-        left = sent - got
-        fits = (closed <= 1) & (left <= b["cap"]) & ((closed > 0) | (left >= 0))
-        return fits & (~send | ((closed == 0) & (left == b["cap"]))) & (~recv | ((closed == 0) & (left == 0)))
+    def tallied(rows: DataFrame) -> DataFrame:
+        steps = rows.withColumn("steps", _steps(F.col("executed"))).join(buffers, F.col("o_task") == F.col("b_task"))
+        return steps.withColumn("tally", F.transform("buffers", tally)).drop("steps", "b_task", "buffers")
 
-    rows = rows.join(buffers, F.col("task") == F.col("b_task")).withColumn("every", every)
-    return rows.where(F.forall("buffers", legal)).select("root", "task", "executed", "blocked", "buffers")
+    return _folded(spark, sf_dir, seen, _options(keep(sync_paths(spark, sf_dir, seen))), F.exists("blocked", lambda b: b != "") & F.forall("tally", legal), tallied)
 
 
 def sync_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, task, executed, blocked): the blocking combinations whose channels' counts allow them."""
-    return _texts(_counted(spark, sf_dir, _blocking(spark, sf_dir)))
+    seen = _facts(spark, sf_dir)
+    return _texts(_counted(spark, sf_dir, seen, keep(_buffers(spark, sf_dir, seen))))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -197,6 +253,10 @@ def has_order(words: tuple[tuple[str, ...], ...], buffers: tuple[tuple[str, int]
         ran = [s for w, n in zip(words, cut, strict=True) for s in w[:n]]
         live = [g == 0 or f"G{g}" in words[0][: cut[0]] for g in range(len(words))]
         heads = [w[n] if up and n < len(w) else "" for w, n, up in zip(words, cut, live, strict=True)]
+        starts = [g for g, head in enumerate(heads) if head[:1] == "G"]
+        if starts:  # always possible, and takes no other move away
+            yield (starts[0],)
+            return
         for g, head in enumerate(heads):
             if not head:
                 continue
@@ -222,8 +282,10 @@ def has_order(words: tuple[tuple[str, ...], ...], buffers: tuple[tuple[str, int]
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combinations that pass the counts, with feasible: whether what is executed has an order."""
-    rows = _counted(spark, sf_dir, _blocking(spark, sf_dir))
-    members = run_sql(spark, sf_dir, _MEMBERS).groupBy(F.col("root").alias("m_root"), F.col("task").alias("m_task")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "fn_id"))), lambda x: x["fn_id"]).alias("fns"))
+    seen = _facts(spark, sf_dir)
+    buffers = keep(_buffers(spark, sf_dir, seen))
+    rows = _counted(spark, sf_dir, seen, buffers).join(buffers, F.col("task") == F.col("b_task"))
+    members = run_sql(spark, sf_dir, _MEMBERS, seen).groupBy(F.col("root").alias("m_root"), F.col("task").alias("m_task")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "fn_id"))), lambda x: x["fn_id"]).alias("fns"))
     rows = rows.join(members, (F.col("root") == F.col("m_root")) & (F.col("task") == F.col("m_task"))).drop("m_root", "m_task")
 
     @F.pandas_udf("boolean")
@@ -231,8 +293,10 @@ def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = []
         for words, numbers, caps in zip(executed, fns, buffers, strict=True):
             number = {f"G{int(fn)}": f"G{k}" for k, fn in enumerate(numbers) if k}
-            shape = tuple(tuple(number.get(s, "G") if s[0] == "G" else s.split("@")[0] for s in w.split()) for w in words)
-            out.append(has_order(shape, tuple((c["ch"], int(c["cap"])) for c in caps)))
+            # Channels by their place in the task: tasks of equal buffers ask the same.
+            place = {c["ch"]: str(i) for i, c in enumerate(caps)}
+            shape = tuple(tuple(number.get(s, "G") if s[0] == "G" else s[0] + place.get(s[1:].split("@")[0], s[1:]) for s in w.split()) for w in words)
+            out.append(has_order(shape, tuple((str(i), int(c["cap"])) for i, c in enumerate(caps))))
         return pd.Series(out, dtype=bool)
 
     return rows.withColumn("feasible", feasible("executed", "fns", "buffers"))

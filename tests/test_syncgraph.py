@@ -191,3 +191,20 @@ def test_reports_against_all_executions(spark, sf_dir, task):
                 want.add((root, ",".join(map(str, sorted(origin[k][n] for k, n in state)))))
     got = {(r["root"], r["blocked"]) for r in syncgraph.bmoc(spark, sf_dir).where(f"task = {task}").collect()}
     assert got == want and want
+
+
+def test_whole_combinations_are_judged_before_they_are_kept(spark, sf_dir, monkeypatch):
+    kept, rows = syncgraph.keep, []
+    monkeypatch.setattr(syncgraph, "keep", lambda df: rows.append(kept(df)) or rows[-1])
+    found = syncgraph.sync_rule(spark, sf_dir).count()
+    ended = [r.where("last = k").count() for k, r in enumerate([r for r in rows if "executed" in r.columns and "last" in r.columns], 1) for r in [r.selectExpr("last", f"{k} AS k")]]
+    single = syncgraph.sync_rule(spark, sf_dir).where("instr(executed, '|') = 0").count()
+    assert ended and sum(ended) == found - single
+
+
+def test_nodes_in_a_row_are_one_node():
+    """A straight line is one row; a way in, a branch, a loop and a node that stands earlier begin rows of their own."""
+    assert syncgraph.runs_of({0: [1], 1: [2], 2: []}, {0: 0, 1: 1, 2: 2}, 0) == {0: [0, 1, 2]}
+    succ = {0: [1], 1: [2, 4], 2: [3], 3: [4, 1], 4: [5], 5: []}
+    assert syncgraph.runs_of(succ, {n: n for n in succ}, 0) == {0: [0], 1: [1], 2: [2, 3], 4: [4, 5]}
+    assert syncgraph.runs_of({0: [2], 2: [1], 1: []}, {0: 0, 1: 1, 2: 2}, 0) == {0: [0, 2], 1: [1]}
