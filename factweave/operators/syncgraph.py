@@ -87,21 +87,13 @@ def runs_of(succ: dict, order: dict, first) -> dict:
     return out
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> dict:
-    """The facts that words, goroutines and buffers are made of, each derived once for a query."""
-    seen: dict = {}
-    for name in ("inst", "chan_op", "task_chan", "go_task"):
-        seen[name] = keep(frame(spark, sf_dir, name, seen))
-    return seen
-
-
 def sync_paths(spark: SparkSession, sf_dir: str, seen: dict | None = None) -> DataFrame:
     """(fn_id, task, word): the words of each function's ways from entry to exit, for each task that it takes part in.
 
     A word is text: steps with a space between. S, R and C send to, receive from and close a channel (number@instruction), G starts
     a function with operations of the task (the first time). A function without a way to an exit has no words.
     """
-    seen = _facts(spark, sf_dir) if seen is None else seen
+    seen = {} if seen is None else seen
     tasks = run_sql(spark, sf_dir, _TASKS, seen).groupBy(F.col("fn_id").alias("t_fn")).agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.col("task").cast("string")))).alias("tasks"))
     nodes = run_sql(spark, sf_dir, _NODES, seen).join(tasks, F.col("fn_id") == F.col("t_fn")).drop("t_fn")
     edges = frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
@@ -184,14 +176,14 @@ def _folded(spark: SparkSession, sf_dir: str, seen: dict, options: DataFrame, en
 
 def path_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, task, paths): one whole word for each goroutine, in all combinations."""
-    seen = _facts(spark, sf_dir)
+    seen: dict = {}
     words = keep(sync_paths(spark, sf_dir, seen))
     whole = _folded(spark, sf_dir, seen, words.select("fn_id", "task", F.col("word").alias("executed"), F.lit("").alias("blocked")))
     return whole.select("root", "task", F.array_join("executed", " | ").alias("paths"))
 
 
 def _blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _facts(spark, sf_dir)
+    seen: dict = {}
     return _folded(spark, sf_dir, seen, _options(keep(sync_paths(spark, sf_dir, seen))), F.exists("blocked", lambda b: b != ""))
 
 
@@ -235,7 +227,7 @@ def _counted(spark: SparkSession, sf_dir: str, seen: dict, buffers: DataFrame) -
 
 def sync_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, task, executed, blocked): the blocking combinations whose channels' counts allow them."""
-    seen = _facts(spark, sf_dir)
+    seen: dict = {}
     return _texts(_counted(spark, sf_dir, seen, keep(_buffers(spark, sf_dir, seen))))
 
 
@@ -282,7 +274,7 @@ def has_order(words: tuple[tuple[str, ...], ...], buffers: tuple[tuple[str, int]
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combinations that pass the counts, with feasible: whether what is executed has an order."""
-    seen = _facts(spark, sf_dir)
+    seen: dict = {}
     buffers = keep(_buffers(spark, sf_dir, seen))
     rows = _counted(spark, sf_dir, seen, buffers).join(buffers, F.col("task") == F.col("b_task"))
     members = run_sql(spark, sf_dir, _MEMBERS, seen).groupBy(F.col("root").alias("m_root"), F.col("task").alias("m_task")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "fn_id"))), lambda x: x["fn_id"]).alias("fns"))
