@@ -18,25 +18,21 @@ prefixes, and combinations of a root their product: bounded by a program's funct
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice, product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.facts import duck_sql, frame, run_sql
+from ..sources.facts import brought, duck_sql, frame, run_sql
 from .fixpoint import keep, per_function
 
 #: Edges back (to the same or an earlier place) that a way follows at most.
 UNROLL = 1
 
-_NODES = """
-SELECT i.fn_id, i.inst_id AS id, i.idx, i.bb_id, coalesce(o.steps, '') AS steps
-FROM {inst} i
-LEFT JOIN (SELECT inst_id, JOINED[concat(CAST(task AS STRING), ':', step)| |step] AS steps FROM (
-  SELECT c.inst_id, t.task, concat(substring(c.op, 1, 1), CAST(c.ch_id AS STRING), '@', CAST(c.inst_id AS STRING)) AS step FROM {chan_op} c JOIN {task_chan} t ON c.ch_id = t.ch_id
-  UNION ALL SELECT site, task, concat('G', CAST(fn_id AS STRING)) FROM {go_task}) GROUP BY inst_id) o ON i.inst_id = o.inst_id"""
 # Tasks of a function: those of its own operations and those of the functions that it starts.
 _TASKS = """
 SELECT DISTINCT c.fn_id, t.task FROM {chan_op} c JOIN {task_chan} t ON c.ch_id = t.ch_id UNION SELECT DISTINCT root, task FROM {go_task}"""
@@ -87,36 +83,65 @@ def runs_of(succ: dict, order: dict, first) -> dict:
     return out
 
 
-def sync_paths(spark: SparkSession, sf_dir: str, seen: dict | None = None) -> DataFrame:
-    """(fn_id, task, word): the words of each function's ways from entry to exit, for each task that it takes part in.
+def _facts(spark: SparkSession, sf_dir: str, seen: dict) -> tuple[DataFrame, DataFrame]:
+    """Operations (fn_id, about, task, step), and go statements (root, site, fn_id, tasks) that start a function with operations of tasks.
 
-    A word is text: steps with a space between. S, R and C send to, receive from and close a channel (number@instruction), G starts
-    a function with operations of the task (the first time). A function without a way to an exit has no words.
+    Instructions, tasks and go statements are written once, for all statements that take their facts from seen. A function's tasks are
+    put together before they meet the statements that start it, so that its operations are not repeated for each of these.
     """
-    seen = {} if seen is None else seen
-    tasks = run_sql(spark, sf_dir, _TASKS, seen).groupBy(F.col("fn_id").alias("t_fn")).agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.col("task").cast("string")))).alias("tasks"))
-    nodes = run_sql(spark, sf_dir, _NODES, seen).join(tasks, F.col("fn_id") == F.col("t_fn")).drop("t_fn")
+    if not brought(spark, sf_dir, "inst"):
+        seen["inst"] = keep(frame(spark, sf_dir, "inst", seen).select("inst_id", "fn_id", "idx", "bb_id", "op"))
+    seen["task_chan"] = keep(frame(spark, sf_dir, "task_chan", seen))
+    ops = run_sql(spark, sf_dir, "SELECT c.fn_id, c.inst_id AS about, t.task, concat(substring(c.op, 1, 1), CAST(c.ch_id AS STRING), '@', CAST(c.inst_id AS STRING)) AS step FROM {chan_op} c JOIN {task_chan} t ON c.ch_id = t.ch_id", seen)
+    if brought(spark, sf_dir, "go_task"):
+        goes = frame(spark, sf_dir, "go_task", seen).groupBy("root", "site", "fn_id").agg(F.collect_set("task").alias("tasks"))
+    else:
+        tasks = ops.groupBy(F.col("fn_id").alias("t_fn")).agg(F.collect_set("task").alias("tasks"))
+        sites = run_sql(spark, sf_dir, "SELECT DISTINCT caller AS root, site, callee AS fn_id FROM {call_edge} WHERE site_kind = 'Go' AND caller <> callee", seen)
+        goes = sites.join(tasks, F.col("fn_id") == F.col("t_fn")).drop("t_fn")
+    goes = keep(goes)
+    seen["go_task"] = goes.select("root", "site", F.explode("tasks").alias("task"), "fn_id")
+    return ops, goes
+
+
+def _words(spark: SparkSession, sf_dir: str, seen: dict) -> DataFrame:
+    """(fn_id, task, words): the words of each function's ways from entry to exit, for each task that it takes part in."""
+    ops, goes = _facts(spark, sf_dir, seen)
+    nodes = frame(spark, sf_dir, "inst", seen).select("fn_id", F.col("inst_id").alias("id"), "idx", "bb_id")
     edges = frame(spark, sf_dir, "bb_edge", seen).select("fn_id", F.col("src_bb").alias("src"), F.col("dst_bb").alias("dst"))
-
-    def solve(g, succ):
+    said = ops.select("fn_id", "about", F.concat_ws(":", F.col("task").cast("string"), "step").alias("text"))
+    starts = F.concat(F.array_join(F.col("tasks").cast("array<string>"), " "), F.lit(":G"), F.col("fn_id").cast("string"))
+    said = said.unionByName(goes.select(F.col("root").alias("fn_id"), F.col("site").alias("about"), starts.alias("text")))
+
+    def solve(g, succ, said):
+        steps: dict = {}
+        for n, text in said:
+            tasks, _, name = text.partition(":")
+            steps.setdefault(n, []).extend((name, int(task)) for task in tasks.split())
         ids = g["id"].tolist()
         order = dict(zip(ids, g["idx"].tolist(), strict=True))
         first = min(ids, key=order.get)
         rows = runs_of(succ, order, first)
         short = {n: succ[row[-1]] for n, row in rows.items()}
         ends = {n: order[row[-1]] for n, row in rows.items()}
-        text = dict(zip(ids, g["steps"], strict=True))
-        own: dict = {}
+        own: dict = {task: {} for at in steps.values() for _, task in at}
         for n, row in rows.items():
-            for step in " ".join(text[m] for m in row).split():
-                task, _, name = step.partition(":")
-                names = own.setdefault(int(task), {}).setdefault(n, [])
+            for name, task in (x for m in row if m in steps for x in sorted(steps[m])):
+                names = own[task].setdefault(n, [])
                 if name[0] != "G" or name not in names:
                     names.append(name)
-        tasks = map(int, g["tasks"][0].split())
-        return [(task, " ".join(w)) for task in tasks for w in words_of({n: tuple(x) for n, x in own[task].items()}, short, order, first, ends=ends)]
+        return [(task, [" ".join(w) for w in words]) for task in own if (words := words_of({n: tuple(x) for n, x in own[task].items()}, short, order, first, ends=ends))]
 
-    return per_function(nodes, edges, solve, "fn_id long, task long, word string")
+    return per_function(nodes, edges, solve, "fn_id long, task long, words array<string>", said)
+
+
+def sync_paths(spark: SparkSession, sf_dir: str, seen: dict | None = None) -> DataFrame:
+    """(fn_id, task, word): the words of each function's ways from entry to exit, for each task that it takes part in.
+
+    A word is text: steps with a space between. S, R and C send to, receive from and close a channel (number@instruction), G starts
+    a function with operations of the task (the first time). A function without a way to an exit has no words.
+    """
+    return _words(spark, sf_dir, {} if seen is None else seen).select("fn_id", "task", F.explode("words").alias("word"))
 
 
 def _steps(text: Column) -> Column:
@@ -174,12 +199,33 @@ def _folded(spark: SparkSession, sf_dir: str, seen: dict, options: DataFrame, en
     return done.select("root", "task", "executed", "blocked")
 
 
+def _paths_of(parts: list[dict]) -> Iterator[str]:
+    """One word for each goroutine of a root, in all combinations; parts are its goroutines by k, with their words (null: none)."""
+    started = [(f"G{p['fn_id']}", sorted({" ".join(x for x in w.split() if x[0] != "G") for w in p["words"] or ()})) for p in parts if p["k"] > 0]
+    for head in (w for p in parts if p["k"] == 0 for w in p["words"] or ()):
+        goes = set(head.split())
+        yield from map(" | ".join, product([head], *(words if g in goes else [""] for g, words in started)))
+
+
 def path_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(root, task, paths): one whole word for each goroutine, in all combinations."""
+    """(root, task, paths): one whole word for each goroutine, in all combinations.
+
+    The words of a root's goroutines come together once, as lists; combinations are written as they are made and not shuffled.
+    """
     seen: dict = {}
-    words = keep(sync_paths(spark, sf_dir, seen))
-    whole = _folded(spark, sf_dir, seen, words.select("fn_id", "task", F.col("word").alias("executed"), F.lit("").alias("blocked")))
-    return whole.select("root", "task", F.array_join("executed", " | ").alias("paths"))
+    words = keep(_words(spark, sf_dir, seen)).withColumnsRenamed({"fn_id": "w_fn", "task": "w_task"})
+    members = run_sql(spark, sf_dir, _MEMBERS, seen)
+    parts = members.join(words, (F.col("fn_id") == F.col("w_fn")) & (F.col("task") == F.col("w_task")), "left")
+    parts = parts.groupBy("root", "task").agg(F.sort_array(F.collect_list(F.struct("k", "fn_id", "words"))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = ((r, t, p) for r, t, of in zip(*map(batch.column, ("root", "task", "parts")), strict=True) for p in _paths_of(of.as_py()))
+            found = ((r.as_py(), t.as_py(), p) for r, t, p in found)
+            while rows := list(islice(found, 8192)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["root", "task", "paths"])
+
+    return parts.mapInArrow(run, "root long, task long, paths string")
 
 
 def _blocking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,21 @@ def test_branches_loops_closes_and_starts(spark, tmp_path):
     assert {tuple(r) for r in syncgraph.path_combinations(spark, folder).where("root = 1").collect()} == {(1, 0, "G2 R0@12 | S0@20"), (1, 0, "R0@12 | ")}
 
 
+def test_combinations_of_paths_are_not_kept(spark, tmp_path, monkeypatch):
+    """A root starts three functions of four words each, and one without a way to an exit on another task."""
+    body = lambda n: [(n, "If", -1, 0), (n + 1, "Send", 0, 1), (n + 2, "If", -1, 2), (n + 3, "Recv", 1, 3), (n + 4, "End", -1, 4)]
+    functions = {1: [(11, "Go", 2), (12, "Go", 3), (13, "Go", 4), (14, "Go", 5), (15, "Send", 2)], 5: [(50, "Send", 2)]} | {f: body(10 * f) for f in (2, 3, 4)}
+    diamonds = [(0, 1), (0, 2), (1, 2), (2, 3), (2, 4), (3, 4)]
+    folder = program(tmp_path, functions, {0: 1, 1: 1, 2: 1}, {0: [0, 1], 1: [2]}, dict.fromkeys((2, 3, 4), diamonds) | {5: [(0, 0)]})
+    rows, kept = [], syncgraph.keep
+    monkeypatch.setattr(syncgraph, "keep", lambda df: rows.append(kept(df)) or rows[-1])
+    words = [["", f"S0@{f}1", f"R1@{f}3", f"S0@{f}1 R1@{f}3"] for f in (2, 3, 4)]
+    want = {(1, 0, f"G2 G3 G4 | {a} | {b} | {c}") for a in words[0] for b in words[1] for c in words[2]}
+    got = [tuple(r) for r in syncgraph.path_combinations(spark, folder).collect()]
+    assert len(got) == 64 and set(got) == want
+    assert all(r.count() < 64 for r in rows)
+
+
 def test_no_channels(spark, tmp_path):
     folder = program(tmp_path, {1: [(1, "Call", 2)], 2: [(2, "Ret", -1)]}, {}, {})
     for name in syncgraph.QUERIES:
