@@ -107,16 +107,24 @@ def last_common_dominator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def happens_before_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn_id, inst1, inst2): inst1 may run before inst2, an operation on the same primitive: by index in a block, else by reachability; deferred ones run last."""
-    seen: dict = {}
-    inst = frame(spark, sf_dir, "inst", seen).where("op in ('Send', 'Recv')")
-    a, b = (inst.select(*(F.col(c).alias(f"{c}{k}") for c in ("fn_id", "inst_id", "bb_id", "idx", "prim", "is_defer"))) for k in (1, 2))
-    pairs = a.join(b, (F.col("fn_id1") == F.col("fn_id2")) & (F.col("prim1") == F.col("prim2")) & (F.col("inst_id1") != F.col("inst_id2")))
-    paths = reachable_blocks(spark, sf_dir)
-    ahead = pairs.join(paths, (F.col("fn_id1") == F.col("fn_id")) & (F.col("bb_id1") == F.col("src_bb")) & (F.col("bb_id2") == F.col("dst_bb")), "left")
-    order = (F.col("src_bb").isNotNull() & (F.col("bb_id1") != F.col("bb_id2"))) | ((F.col("bb_id1") == F.col("bb_id2")) & (F.col("idx1") < F.col("idx2")))
-    # Two deferred instructions run in the opposite order; a deferred one comes after every other.
-    happens = F.when(F.col("is_defer1") & F.col("is_defer2"), F.col("idx1") > F.col("idx2")).when(F.col("is_defer2"), F.lit(True)).when(F.col("is_defer1"), F.lit(False)).otherwise(order)
-    return ahead.where(happens).select(F.col("fn_id1").alias("fn_id"), F.col("inst_id1").alias("inst1"), F.col("inst_id2").alias("inst2"))
+    inst = frame(spark, sf_dir, "inst").where("op in ('Send', 'Recv') and prim is not null")
+    nodes = inst.select("fn_id", F.col("inst_id").alias("id"), F.col("bb_id").alias("block"), "idx", "prim", "is_defer")
+
+    def solve(g, s):
+        ops, ahead = {}, {b: after(s, b) for b in set(g["block"].tolist())}
+        for op in zip(*(g[c].tolist() for c in ("id", "block", "idx", "prim", "is_defer")), strict=True):
+            ops.setdefault(op[3], []).append(op)
+
+        def happens(a, b):
+            # Two deferred instructions run in the opposite order; a deferred one comes after every other.
+            if a[4] or b[4]:
+                return bool(b[4]) and (not a[4] or a[2] > b[2])
+            return a[2] < b[2] if a[1] == b[1] else b[1] in ahead[a[1]]
+
+        return [(a[0], b[0]) for same in ops.values() for a in same for b in same if a[0] != b[0] and happens(a, b)]
+
+    # Blocks are known by their number and operations by theirs: edges are between blocks, so the two do not meet.
+    return per_function(nodes, _blocks(spark, sf_dir)[1], solve, "fn_id long, inst1 long, inst2 long")
 
 
 def postdominates_by_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
