@@ -41,17 +41,33 @@ def _lowest(users: DataFrame, reach: DataFrame) -> DataFrame:
     # The callers of the user with the fewest that call the next one too: few are left to be held against all users of a channel.
     pair = n.join(one, F.col("n_ch") == F.col("o_ch")).join(two, F.col("n_ch") == F.col("t_ch"), "left")
     pair = keep(pair.select(F.col("n_ch").alias("ch"), "n", F.col("one.fn_id").alias("fn1"), F.col("two.fn_id").alias("fn2")))
-    start = pair.join(reach, F.col("fn1") == F.col("fn")).select("ch", "n", "fn2", "caller")
+    start = pair.where("n > 1").join(reach, F.col("fn1") == F.col("fn")).select("ch", "n", "fn2", "caller")
     next_ = reach.select(F.col("caller").alias("x_caller"), F.col("fn").alias("x_fn"))
-    both = keep(start.where("n > 1").join(next_, (F.col("caller") == F.col("x_caller")) & (F.col("fn2") == F.col("x_fn")), "left_semi"))
+    both = keep(start.join(next_, (F.col("caller") == F.col("x_caller")) & (F.col("fn2") == F.col("x_fn")), "left_semi"))
     many = both.where("n > 2").join(users.withColumnRenamed("ch", "u_ch"), F.col("ch") == F.col("u_ch"))
     many = many.join(next_, (F.col("caller") == F.col("x_caller")) & (F.col("fn_id") == F.col("x_fn")), "left_semi").groupBy("ch", "caller", "n").agg(F.count(F.lit(1)).alias("met"))
-    whole = start.where("n = 1").select("ch", "caller").union(both.where("n = 2").select("ch", "caller")).union(many.where("met = n").select("ch", "caller"))
-    common = keep(whole.select("ch", F.col("caller").alias("lca")))
-    below = common.select(F.col("ch").alias("b_ch"), F.col("lca").alias("low")).join(reach.where("depth > 0"), F.col("low") == F.col("fn")).select("b_ch", "low", "caller")
+    common = keep(both.where("n = 2").select("ch", "caller").union(many.where("met = n").select("ch", "caller")).toDF("key", "lca"))
+    # A sole user is its own lowest caller, and another of its callers is as low only if the user reaches it back: the rest is not listed.
+    sole = keep(pair.where("n = 1").select(F.col("ch").alias("s_ch"), F.col("fn1").alias("s_fn")))
+    its = reach.select(F.col("fn").alias("key"), F.col("caller").alias("lca"))
+    round_ = its.where("key <> lca").join(sole, F.col("key") == F.col("s_fn"), "left_semi").join(next_, (F.col("key") == F.col("x_caller")) & (F.col("lca") == F.col("x_fn")), "left_semi")
+    own = sole.select(F.col("s_fn").alias("key"), F.col("s_fn").alias("lca")).where("key is not null").distinct().union(_least(keep(round_), its, reach))
+    return _least(common, common, reach).select(F.col("key").alias("ch"), "lca").union(sole.join(own, F.col("s_fn") == F.col("key")).select("s_ch", "lca"))
+
+
+def _least(some: DataFrame, common: DataFrame, reach: DataFrame) -> DataFrame:
+    """Those of some (key, lca) that reach no other common caller (key, lca) of their key that does not reach them back.
+
+    Most are out by what they call themselves, so few are held against all that they reach.
+    """
+    member = common.select(F.col("key").alias("m_key"), F.col("lca").alias("m_lca"))
     back = reach.select(F.col("caller").alias("up_from"), F.col("fn").alias("up_to"))
-    higher = below.join(back, (F.col("low") == F.col("up_from")) & (F.col("caller") == F.col("up_to")), "left_anti")
-    return common.join(higher, (F.col("ch") == F.col("b_ch")) & (F.col("lca") == F.col("caller")), "left_anti")
+    for calls in (reach.where("depth = 1"), reach.where("depth > 1")):
+        low = some.join(calls, F.col("lca") == F.col("caller")).select(F.col("key").alias("l_key"), F.col("lca").alias("l_lca"), F.col("fn").alias("low"))
+        low = low.join(member, (F.col("l_key") == F.col("m_key")) & (F.col("low") == F.col("m_lca")), "left_semi")
+        low = low.join(back, (F.col("low") == F.col("up_from")) & (F.col("l_lca") == F.col("up_to")), "left_anti")
+        some = keep(some.join(low, (F.col("key") == F.col("l_key")) & (F.col("lca") == F.col("l_lca")), "left_anti"))
+    return some
 
 
 def _grown(pairs: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from test_programs import bring
 
-from factweave.operators import cfg
+from factweave.operators import cfg, chains, fixpoint
 
 
 def _plan(df) -> str:
@@ -19,3 +19,13 @@ def test_order_of_operations_needs_no_pairs_with_reachable_blocks(spark, tmp_pat
     assert "Join" not in _plan(found)
     want = {(1, 10, 11), (1, 10, 14), (1, 11, 14), (1, 13, 12), (2, 0, 2)} | {(1, a, b) for a in (10, 11, 14) for b in (12, 13)}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_callers_of_a_sole_user_are_not_held_against_each_other(spark, monkeypatch):
+    """Channel 0 has one user, 0, with 200 callers that call each other in a line; 300 calls it and is called by it; 0 and 1 use channel 1."""
+    line = [(k, j, k - j) for k in range(201) for j in range(max(0, k - 7), k + 1)] + [(0, 300, 1), (300, 0, 1), (300, 300, 0)] + [(k, 0, 7) for k in range(8, 201)]
+    reach, kept, rows = spark.createDataFrame(line, "caller long, fn long, depth int"), fixpoint.keep, []
+    monkeypatch.setattr(chains, "keep", lambda df: rows.append(kept(df)) or rows[-1])
+    got = chains._lowest(spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "ch long, fn_id long"), reach)
+    assert {tuple(r) for r in got.collect()} == {(0, 0), (0, 300), (1, 1)}
+    assert all(r.count() < 20 for r in rows)
