@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from test_programs import bring
 
-from factweave.operators import cfg, chains, fixpoint
+from factweave.operators import cfg, chains, fixpoint, program
 
 
 def _plan(df) -> str:
@@ -29,3 +30,19 @@ def test_callers_of_a_sole_user_are_not_held_against_each_other(spark, monkeypat
     got = chains._lowest(spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "ch long, fn_id long"), reach)
     assert {tuple(r) for r in got.collect()} == {(0, 0), (0, 300), (1, 1)}
     assert all(r.count() < 20 for r in rows)
+
+
+def _constraints(path, **rows: list[tuple]) -> str:
+    """All constraint facts of a program, empty where none are given."""
+    columns = {"obj_addr": "node label", "obj_copy": "src dst", "obj_load": "src dst", "obj_store": "src dst", "obj_offset": "src off dst", "obj_field": "label off sub", "obj_filter": "src type_id dst", "obj_untag": "src type_id dst", "obj_type": "label type_id"}
+    columns |= {"obj_invoke": "caller site recv method arg", "method_impl": "type_id method fn_id recv_node param_node"}
+    for name, names in columns.items():
+        pd.DataFrame(rows.get(name, []), columns=names.split(), dtype="int64").to_parquet(path / f"{name}.parquet")
+    return str(path)
+
+
+def test_points_to_follows_loads_stores_and_calls(spark, tmp_path):
+    """*1 = 2 and 3 = *1, where 1 points to 7 and 2 to 8; 3 is copied to 4, on which a method is called with 2."""
+    at = _constraints(tmp_path, obj_addr=[(1, 7), (2, 8)], obj_store=[(2, 1)], obj_load=[(1, 3)], obj_copy=[(3, 4)], obj_type=[(8, 5)], obj_invoke=[(1, 1, 4, 0, 2)], method_impl=[(5, 0, 9, 90, 91)])
+    want = {(1, 7), (2, 8), (-8, 8), (3, 8), (4, 8), (90, 8), (91, 8)}
+    assert {tuple(r) for r in program.points_to(spark, at).collect()} == want
