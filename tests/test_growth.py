@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from test_programs import bring
 
@@ -46,3 +48,19 @@ def test_points_to_follows_loads_stores_and_calls(spark, tmp_path):
     at = _constraints(tmp_path, obj_addr=[(1, 7), (2, 8)], obj_store=[(2, 1)], obj_load=[(1, 3)], obj_copy=[(3, 4)], obj_type=[(8, 5)], obj_invoke=[(1, 1, 4, 0, 2)], method_impl=[(5, 0, 9, 90, 91)])
     want = {(1, 7), (2, 8), (-8, 8), (3, 8), (4, 8), (90, 8), (91, 8)}
     assert {tuple(r) for r in program.points_to(spark, at).collect()} == want
+
+
+def test_rounds_of_points_to_full_leave_no_files(spark, tmp_path, monkeypatch):
+    """A line of 5 copies takes as many rounds; what they wrote is gone when the next has taken it in, but for edges."""
+    at = _constraints(tmp_path, obj_addr=[(0, 7)], obj_copy=[(k, k + 1) for k in range(5)])
+    paths = []
+
+    def kept(df):
+        out = fixpoint.keep(df)
+        paths.append((out.columns, out.inputFiles()[0].removeprefix("file:") if out.inputFiles() else ""))
+        return out
+
+    monkeypatch.setattr(program, "keep", kept)
+    assert {tuple(r) for r in program.points_to_full(spark, at).collect()} == {(k, 7) for k in range(6)}
+    sets = [path for columns, path in paths if "block" in columns and "k_block" not in columns and path]
+    assert len(sets) > 16 and sum(os.path.exists(path) for path in sets) < 6
